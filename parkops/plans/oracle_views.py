@@ -55,14 +55,15 @@ VIEWS: dict[str, str] = {
                CASE WHEN event_type IN ('purchase', 'view') THEN 'paid'
                     WHEN event_type = 'click' THEN 'cancelled' ELSE 'pending' END AS payment_status,
                CASE event_id % 4 WHEN 0 THEN 'cash' WHEN 1 THEN 'card' WHEN 2 THEN 'online'
-                    ELSE 'subscription' END AS payment_method
+                    ELSE 'subscription' END AS payment_method,
+               CAST(1 + CAST(json_extract_string(props, '$.k') AS BIGINT) % 24 AS INTEGER) AS booked_hours
         FROM events""",
     "parking_sessions": """
         SELECT b.id, b.vehicle_id, b.spot_id, b.user_id, b.entry_time, b.exit_time,
                CAST(datesub('minute', b.entry_time, b.exit_time) AS INTEGER) AS duration_minutes,
                CAST(ceil(datesub('minute', b.entry_time, b.exit_time) / 60.0) * s.hourly_rate
                     AS DECIMAL(10,2)) AS total_amount,
-               b.payment_status, b.payment_method
+               b.payment_status, b.payment_method, b.booked_hours
         FROM sessions_base b LEFT JOIN parking_spots s ON b.spot_id = s.id""",
     "reservations": """
         SELECT o_orderkey AS id, o_custkey % 10 AS user_id, o_orderkey % 200 AS spot_id,

@@ -32,3 +32,225 @@ from .catalog import register
 def q_zone_occupancy(spark, base):
     m = model(spark, base)
     return reports.zone_occupancy(m.zones, m.spots)
+
+
+NOW = f"TIMESTAMP '{AS_OF}'"
+PEAK_NOW = f"TIMESTAMP '{PEAK_AS_OF}'"
+
+SPOT_KPIS_SQL = """
+    SELECT COUNT(*) AS total_spots,
+           COUNT(*) FILTER (WHERE is_occupied = TRUE) AS occupied_spots,
+           COUNT(*) FILTER (WHERE is_occupied = FALSE AND is_reserved = FALSE) AS available_spots,
+           COUNT(*) FILTER (WHERE is_reserved = TRUE) AS reserved_spots
+    FROM parking_spots"""
+
+SPOT_KPIS_JS_SQL = """
+    SELECT COUNT(*) AS total_spots,
+           COUNT(*) FILTER (WHERE coalesce(is_occupied, FALSE)) AS occupied_spots,
+           COUNT(*) FILTER (WHERE NOT coalesce(is_occupied, FALSE) AND NOT coalesce(is_reserved, FALSE))
+               AS available_spots,
+           COUNT(*) FILTER (WHERE coalesce(is_reserved, FALSE)) AS reserved_spots
+    FROM parking_spots"""
+
+CLIENT_REVENUE_SQL = f"""
+    SELECT round(
+        COALESCE(SUM(CASE WHEN duration_minutes > 0 AND total_amount IS NOT NULL AND total_amount <> 0
+                          THEN CAST(total_amount AS DOUBLE) END), 0.0)
+      + COALESCE(SUM(CASE WHEN exit_time IS NULL
+                          THEN (epoch_ms({NOW}) - epoch_ms(entry_time)) / 60000.0 / 60.0 * 5.0 END), 0.0),
+        2) AS today_revenue,
+        COUNT(*) AS today_vehicles
+    FROM parking_sessions"""
+
+
+def occ_rate_sql(occ: str, total: str) -> str:
+    return (f"CASE WHEN {total} > 0 THEN CAST(round(CAST({occ} AS DOUBLE) * 100.0 / {total}) AS BIGINT) "
+            f"ELSE 0 END")
+
+
+@register("dashboard_kpis", f"""
+    WITH k AS ({SPOT_KPIS_SQL}),
+    s AS (
+        SELECT CAST(COALESCE(SUM(total_amount) FILTER (
+                   WHERE CAST(exit_time AS DATE) = CAST({NOW} AS DATE) AND payment_status = 'paid'), 0)
+                   AS DOUBLE) AS today_revenue,
+               COUNT(DISTINCT vehicle_id) FILTER (WHERE CAST(entry_time AS DATE) = CAST({NOW} AS DATE))
+                   AS today_vehicles
+        FROM parking_sessions)
+    SELECT k.total_spots, k.occupied_spots, k.available_spots, k.reserved_spots, s.today_revenue,
+           s.today_vehicles, {occ_rate_sql('k.occupied_spots', 'k.total_spots')} AS occupancy_rate
+    FROM k CROSS JOIN s
+""")
+def q_dashboard_kpis(spark, base):
+    m = model(spark, base)
+    return reports.dashboard_kpis(m.spots, m.sessions, AS_OF)
+
+
+@register("dashboard_kpis_client", f"""
+    WITH k AS ({SPOT_KPIS_JS_SQL}), s AS ({CLIENT_REVENUE_SQL})
+    SELECT k.total_spots, k.occupied_spots, k.available_spots, k.reserved_spots, s.today_revenue,
+           s.today_vehicles, {occ_rate_sql('k.occupied_spots', 'k.total_spots')} AS occupancy_rate
+    FROM k CROSS JOIN s
+""")
+def q_dashboard_kpis_client(spark, base):
+    m = model(spark, base)
+    return reports.dashboard_kpis_client(m.spots, m.sessions, AS_OF)
+
+
+@register("weekly_revenue", f"""
+    SELECT strftime(CAST(exit_time AS DATE), '%Y-%m-%d') AS date,
+           dayname(CAST(exit_time AS DATE)) AS day_name,
+           CAST(COALESCE(SUM(total_amount), 0) AS DOUBLE) AS revenue,
+           COUNT(*) AS transactions
+    FROM parking_sessions
+    WHERE exit_time >= {NOW} - INTERVAL 7 DAY AND exit_time <= {NOW} AND payment_status = 'paid'
+    GROUP BY 1, 2
+    ORDER BY date
+""")
+def q_weekly_revenue(spark, base):
+    m = model(spark, base)
+    return reports.weekly_revenue(m.sessions, AS_OF)
+
+
+@register("vehicle_distribution", """
+    SELECT vehicle_type, COUNT(*) AS "count" FROM vehicles GROUP BY vehicle_type
+""")
+def q_vehicle_distribution(spark, base):
+    return reports.vehicle_distribution(model(spark, base).vehicles)
+
+
+@register("peak_hours", f"""
+    SELECT CAST(hour(entry_time) AS INTEGER) AS hour, COUNT(*) AS entry_count,
+           round(AVG(datesub('minute', entry_time, exit_time)), 4) AS avg_duration
+    FROM parking_sessions
+    WHERE entry_time >= {PEAK_NOW} - INTERVAL 30 DAY AND entry_time <= {PEAK_NOW}
+    GROUP BY 1
+    ORDER BY entry_count DESC, hour ASC
+    LIMIT 10
+""")
+def q_peak_hours(spark, base):
+    return reports.peak_hours(model(spark, base).sessions, PEAK_AS_OF)
+
+
+@register("zones_summary", """
+    SELECT z.id, z.name, z.description, z.total_spots AS declared_spots, z.is_active,
+           CAST(COUNT(ps.id) AS BIGINT) AS total_spots,
+           CAST(SUM(CASE WHEN ps.is_occupied = FALSE AND ps.is_reserved = FALSE THEN 1 ELSE 0 END) AS BIGINT)
+               AS available_spots,
+           CAST(SUM(CASE WHEN ps.is_occupied = TRUE THEN 1 ELSE 0 END) AS BIGINT) AS occupied_spots,
+           CAST(SUM(CASE WHEN ps.is_reserved = TRUE THEN 1 ELSE 0 END) AS BIGINT) AS reserved_spots
+    FROM zones z LEFT JOIN parking_spots ps ON z.id = ps.zone_id
+    WHERE z.is_active = TRUE
+    GROUP BY z.id, z.name, z.description, z.total_spots, z.is_active
+""")
+def q_zones_summary(spark, base):
+    m = model(spark, base)
+    return reports.zones_summary(m.zones, m.spots)
+
+
+@register("zones_summary_client", f"""
+    WITH c AS (
+        SELECT zone_id, COUNT(*) AS total_spots,
+               COUNT(*) FILTER (WHERE NOT coalesce(is_occupied, FALSE) AND NOT coalesce(is_reserved, FALSE))
+                   AS available_spots,
+               COUNT(*) FILTER (WHERE coalesce(is_occupied, FALSE)) AS occupied_spots,
+               COUNT(*) FILTER (WHERE NOT coalesce(is_occupied, FALSE) AND coalesce(is_reserved, FALSE))
+                   AS reserved_spots
+        FROM parking_spots GROUP BY zone_id)
+    SELECT c.zone_id AS id, z.name, 'Zone ' || z.name AS description, c.total_spots, c.available_spots,
+           c.occupied_spots, c.reserved_spots, {occ_rate_sql('c.occupied_spots', 'c.total_spots')} AS utilisation
+    FROM c LEFT JOIN zones z ON c.zone_id = z.id
+""")
+def q_zones_summary_client(spark, base):
+    m = model(spark, base)
+    return reports.zones_summary_client(m.zones, m.spots)
+
+
+@register("spot_type_availability", """
+    SELECT spot_type, COUNT(*) AS total_spots,
+           COUNT(*) FILTER (WHERE NOT coalesce(is_occupied, FALSE) AND NOT coalesce(is_reserved, FALSE))
+               AS available_spots,
+           COUNT(*) FILTER (WHERE coalesce(is_occupied, FALSE)) AS occupied_spots,
+           COUNT(*) FILTER (WHERE NOT coalesce(is_occupied, FALSE)) AS unoccupied_spots
+    FROM parking_spots GROUP BY spot_type
+""")
+def q_spot_type_availability(spark, base):
+    return reports.spot_type_availability(model(spark, base).spots)
+
+
+@register("revenue_summary", f"""
+    WITH s AS (
+        SELECT round(CAST(COALESCE(SUM(CASE WHEN exit_time IS NOT NULL AND duration_minutes > 0
+                                            THEN COALESCE(total_amount, 0) END), 0) AS DOUBLE), 2)
+                   AS completed_total,
+               round(CAST(COALESCE(SUM(CASE WHEN exit_time IS NULL THEN booked_hours * 5.0 END), 0.0)
+                          AS DOUBLE), 2) AS active_estimate
+        FROM parking_sessions),
+    k AS ({CLIENT_REVENUE_SQL})
+    SELECT s.completed_total, s.active_estimate, k.today_revenue AS kpi_total FROM s CROSS JOIN k
+""")
+def q_revenue_summary(spark, base):
+    m = model(spark, base)
+    return reports.revenue_summary(m.spots, m.sessions, AS_OF)
+
+
+@register("occupancy_profile", f"""
+    WITH params AS (
+        SELECT {NOW} AS now, CAST(CAST({NOW} AS DATE) - INTERVAL 6 DAY AS TIMESTAMP) AS day0),
+    live AS (
+        SELECT s.spot_id, p.zone_id, greatest(s.entry_time, day0) AS a,
+               least(coalesce(s.exit_time, now), now) AS b
+        FROM parking_sessions s JOIN parking_spots p ON s.spot_id = p.id CROSS JOIN params
+        WHERE s.entry_time <= now AND coalesce(s.exit_time, now) >= day0),
+    hrs AS (
+        SELECT zone_id, spot_id,
+               unnest(generate_series(date_trunc('hour', a), date_trunc('hour', b), INTERVAL 1 HOUR)) AS h
+        FROM live),
+    per_hour AS (SELECT zone_id, h, COUNT(DISTINCT spot_id) AS n_occ FROM hrs GROUP BY zone_id, h),
+    zs AS (SELECT zone_id, COUNT(*) AS n_spots FROM parking_spots GROUP BY zone_id),
+    act AS (SELECT z.id AS zone_id, zs.n_spots FROM zones z JOIN zs ON z.id = zs.zone_id WHERE z.is_active),
+    grid_h AS (
+        SELECT day0 + to_hours(i) AS h FROM params CROSS JOIN range(7 * 24) t(i)
+        WHERE day0 + to_hours(i) <= now),
+    filled AS (
+        SELECT a.zone_id, hour(g.h) AS hour,
+               CAST(coalesce(p.n_occ, 0) AS DOUBLE) * 100.0 / a.n_spots AS pct
+        FROM act a CROSS JOIN grid_h g LEFT JOIN per_hour p ON p.zone_id = a.zone_id AND p.h = g.h),
+    prof AS (SELECT zone_id, hour, avg(pct) AS m, stddev_pop(pct) AS sd FROM filled GROUP BY zone_id, hour),
+    ahead AS (
+        SELECT CAST(date_trunc('hour', now) + to_hours(i) AS DATE) AS prediction_date,
+               hour(date_trunc('hour', now) + to_hours(i)) AS hour
+        FROM params CROSS JOIN range(24) t(i))
+    SELECT CAST(p.zone_id AS INTEGER) AS zone_id, strftime(a.prediction_date, '%Y-%m-%d') AS prediction_date,
+           CAST(a.hour AS INTEGER) AS hour,
+           round(p.m, 2) AS predicted_occupancy, CAST(NULL AS DOUBLE) AS actual_occupancy,
+           round(greatest(0.0, 100.0 - p.sd), 2) AS confidence_score
+    FROM prof p JOIN ahead a ON p.hour = a.hour
+""")
+def q_occupancy_profile(spark, base):
+    m = model(spark, base)
+    out = reports.occupancy_profile(m.zones, m.spots, m.sessions, AS_OF)
+    # dates travel as ISO text so both engines hash them alike
+    return out.withColumn("prediction_date", F.date_format("prediction_date", "yyyy-MM-dd"))
+
+
+@register("recent_activity", f"""
+    WITH j AS (
+        SELECT s.id AS session_id, v.license_plate, p.spot_number, z.name AS zone_name,
+               s.entry_time, s.exit_time
+        FROM parking_sessions s
+        JOIN vehicles v ON s.vehicle_id = v.id
+        JOIN parking_spots p ON s.spot_id = p.id
+        JOIN zones z ON p.zone_id = z.id
+        WHERE s.entry_time <= {NOW}),
+    e AS (
+        SELECT 'check-in' AS action, license_plate, spot_number, zone_name, entry_time AS "timestamp", session_id
+        FROM j
+        UNION ALL
+        SELECT 'check-out', license_plate, spot_number, zone_name, exit_time, session_id
+        FROM j WHERE exit_time IS NOT NULL AND exit_time <= {NOW})
+    SELECT * FROM e ORDER BY "timestamp" DESC, action ASC, session_id DESC LIMIT 20
+""")
+def q_recent_activity(spark, base):
+    m = model(spark, base)
+    return reports.recent_activity(m.sessions, m.vehicles, m.spots, m.zones, AS_OF)

@@ -120,7 +120,10 @@ class ParkingModel:
 
     @cached_property
     def sessions(self) -> DataFrame:
-        """parking_sessions: one row per event; `error` events stay open."""
+        """parking_sessions: one row per event; `error` events stay open.
+
+        ``booked_hours`` is the duration the client books at check-in (the
+        same ``props`` rule as ``lot_events.hours``)."""
         e = self.raw("events")
         et = F.col("event_type")
         base = e.select(
@@ -136,6 +139,7 @@ class ParkingModel:
              .otherwise("pending").alias("payment_status"),
             F.element_at(F.array(*[F.lit(m) for m in ("cash", "card", "online", "subscription")]),
                          (F.col("event_id") % 4 + 1).cast("int")).alias("payment_method"),
+            props_hours(F.col("props")).alias("booked_hours"),
         )
         minutes = F.timestamp_diff("MINUTE", F.col("entry_time"), F.col("exit_time")).cast("int")
         rates = self.spots.select(F.col("id").alias("_sid"), F.col("hourly_rate").alias("_rate"))
@@ -144,7 +148,8 @@ class ParkingModel:
                 .withColumn("total_amount",
                             (F.ceil(F.col("duration_minutes") / F.lit(60.0)) * F.col("_rate")).cast("decimal(10,2)"))
                 .select("id", "vehicle_id", "spot_id", "user_id", "entry_time", "exit_time",
-                        "duration_minutes", "total_amount", "payment_status", "payment_method"))
+                        "duration_minutes", "total_amount", "payment_status", "payment_method",
+                        "booked_hours"))
 
     @cached_property
     def reservations(self) -> DataFrame:
