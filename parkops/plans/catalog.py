@@ -20,11 +20,26 @@ QUERIES: dict[str, QueryFn] = {}
 ORACLES: dict[str, str] = {}
 
 
+def money_as_double(df: DataFrame) -> DataFrame:
+    """Cast DECIMAL result columns to DOUBLE (the oracle reads them as such)."""
+    from pyspark.sql import functions as F
+    from pyspark.sql.types import DecimalType
+    if not any(isinstance(f.dataType, DecimalType) for f in df.schema.fields):
+        return df
+    return df.select(*[F.col(f.name).cast("double").alias(f.name) if isinstance(f.dataType, DecimalType)
+                       else F.col(f.name) for f in df.schema.fields])
+
+
 def register(name: str, oracle: str | None = None, extra_ctes: list[tuple[str, str]] | None = None):
     def deco(fn: QueryFn) -> QueryFn:
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = fn
+
+        def run(spark: SparkSession, base: str) -> DataFrame:
+            return money_as_double(fn(spark, base))
+        run.__doc__ = fn.__doc__
+        run.__name__ = fn.__name__
+        QUERIES[name] = run
         if oracle is not None:
             ORACLES[name] = with_views(oracle, extra_ctes)
         return fn

@@ -74,6 +74,14 @@ VIEWS: dict[str, str] = {
                     WHEN 'P' THEN 'cancelled' END AS status,
                CAST(o_totalprice AS DECIMAL(10,2)) AS total_amount
         FROM orders""",
+    "handles": """
+        SELECT CAST(c_custkey AS BIGINT) AS handle_id,
+               CASE c_custkey % 4
+                    WHEN 0 THEN 'user' || lpad(CAST(c_custkey % 16 AS VARCHAR), 6, '0')
+                    WHEN 1 THEN 'user' || lpad(CAST(c_custkey % 16 AS VARCHAR), 6, '0') || '@example.com'
+                    WHEN 2 THEN 'nobody' || CAST(c_custkey AS VARCHAR)
+                    ELSE c_name END AS handle
+        FROM customer""",
     "vehicle_log": """
         SELECT event_id, ts, user_id AS vehicle_id, (event_id * 7919) % 200 AS spot_id,
                CASE WHEN event_type IN ('view', 'signup') THEN 'check_in'

@@ -254,3 +254,244 @@ def q_occupancy_profile(spark, base):
 def q_recent_activity(spark, base):
     m = model(spark, base)
     return reports.recent_activity(m.sessions, m.vehicles, m.spots, m.zones, AS_OF)
+
+
+# ---------------------------------------------------------------------------
+# Projections, filters, lookups and joins
+# ---------------------------------------------------------------------------
+from ..operators import billing, lookups  # noqa: E402
+
+JS_RATE = "CASE WHEN {r} IS NULL OR {r} = 0 THEN 5 ELSE {r} END"
+SPOT_SELECT = ("ps.id, ps.spot_number, ps.zone_id, ps.spot_type, ps.is_occupied, ps.is_reserved, "
+               "CAST(ps.hourly_rate AS DOUBLE) AS hourly_rate")
+
+
+@register("spots_filtered", f"""
+    SELECT {SPOT_SELECT}, z.name AS zone_name, z.description AS zone_description
+    FROM parking_spots ps JOIN zones z ON ps.zone_id = z.id
+    WHERE ps.spot_type = 'electric' AND ps.is_occupied = FALSE AND ps.is_reserved = FALSE
+""")
+def q_spots_filtered(spark, base):
+    m = model(spark, base)
+    return lookups.spots_filtered(m.spots, m.zones, spot_type="electric", available="true")
+
+
+@register("spots_filtered_zone", f"""
+    SELECT {SPOT_SELECT}, z.name AS zone_name, z.description AS zone_description
+    FROM parking_spots ps JOIN zones z ON ps.zone_id = z.id
+    WHERE z.name = 'Z05'
+""")
+def q_spots_filtered_zone(spark, base):
+    """Zone filter only: ``available='1'`` is not the string 'true', so no flag filter."""
+    m = model(spark, base)
+    return lookups.spots_filtered(m.spots, m.zones, zone="Z05", spot_type="", available="1")
+
+
+@register("user_profile", "SELECT id, username, email, full_name, role, phone, created_at FROM users")
+def q_user_profile(spark, base):
+    return lookups.user_profile(model(spark, base).users)
+
+
+@register("user_directory", """
+    SELECT id, full_name, username, email, coalesce(nullif(phone, ''), '—') AS phone, role FROM users
+""")
+def q_user_directory(spark, base):
+    return lookups.user_directory(model(spark, base).users)
+
+
+@register("session_history", f"""
+    SELECT s.id, v.license_plate, p.spot_number, z.name AS zone_name,
+           CAST(ceil(s.duration_minutes / 60.0) AS BIGINT) AS duration_hours, s.entry_time,
+           coalesce(CAST(s.total_amount AS DOUBLE), 0.0) AS admin_amount,
+           coalesce(CAST(s.total_amount AS DOUBLE),
+                    CAST(({JS_RATE.format(r='p.hourly_rate')}) * ceil(s.duration_minutes / 60.0) AS DOUBLE))
+               AS user_amount
+    FROM parking_sessions s
+    LEFT JOIN vehicles v ON s.vehicle_id = v.id
+    LEFT JOIN parking_spots p ON s.spot_id = p.id
+    LEFT JOIN zones z ON p.zone_id = z.id
+    WHERE s.exit_time IS NOT NULL
+    ORDER BY s.id DESC
+""")
+def q_session_history(spark, base):
+    m = model(spark, base)
+    return lookups.session_history(m.sessions, m.vehicles, m.spots, m.zones)
+
+
+@register("user_sessions", """
+    SELECT u.id AS user_id, u.username,
+           CAST(coalesce(a.active_sessions, 0) AS BIGINT) AS active_sessions,
+           CAST(coalesce(a.completed_sessions, 0) AS BIGINT) AS completed_sessions
+    FROM users u LEFT JOIN (
+        SELECT user_id, COUNT(*) FILTER (WHERE exit_time IS NULL) AS active_sessions,
+               COUNT(*) FILTER (WHERE exit_time IS NOT NULL) AS completed_sessions
+        FROM parking_sessions GROUP BY user_id) a ON u.id = a.user_id
+""")
+def q_user_sessions(spark, base):
+    m = model(spark, base)
+    return lookups.user_sessions(m.users, m.sessions)
+
+
+@register("active_sessions", f"""
+    SELECT s.id, s.vehicle_id, s.spot_id, s.user_id, s.entry_time, s.exit_time,
+           CAST(s.total_amount AS DOUBLE) AS total_amount, s.payment_status, s.payment_method,
+           v.license_plate, v.vehicle_type, p.spot_number, z.name AS zone_name,
+           datesub('minute', s.entry_time, {NOW}) AS duration_minutes
+    FROM parking_sessions s
+    JOIN vehicles v ON s.vehicle_id = v.id
+    JOIN parking_spots p ON s.spot_id = p.id
+    JOIN zones z ON p.zone_id = z.id
+    WHERE s.exit_time IS NULL AND s.entry_time <= {NOW}
+    ORDER BY s.entry_time DESC, s.id DESC
+""")
+def q_active_sessions(spark, base):
+    m = model(spark, base)
+    return lookups.active_sessions(m.sessions, m.vehicles, m.spots, m.zones, AS_OF)
+
+
+@register("spot_detail", f"""
+    WITH cur AS (
+        SELECT spot_id, license_plate FROM (
+            SELECT s.spot_id, v.license_plate,
+                   row_number() OVER (PARTITION BY s.spot_id ORDER BY s.entry_time, s.id) AS rn
+            FROM parking_sessions s JOIN vehicles v ON s.vehicle_id = v.id
+            WHERE s.exit_time IS NULL AND s.entry_time <= {NOW}) WHERE rn = 1)
+    SELECT {SPOT_SELECT}, z.name AS zone_name, cur.license_plate AS current_vehicle
+    FROM parking_spots ps JOIN zones z ON ps.zone_id = z.id LEFT JOIN cur ON cur.spot_id = ps.id
+""")
+def q_spot_detail(spark, base):
+    m = model(spark, base)
+    return lookups.spot_detail(m.spots, m.zones, m.sessions, m.vehicles, AS_OF)
+
+
+CURRENT_BY_VEHICLE = f"""
+    SELECT vehicle_id, spot_number, entry_time FROM (
+        SELECT s.vehicle_id, p.spot_number, s.entry_time,
+               row_number() OVER (PARTITION BY s.vehicle_id ORDER BY s.entry_time, s.id) AS rn
+        FROM parking_sessions s JOIN parking_spots p ON s.spot_id = p.id
+        WHERE s.exit_time IS NULL AND s.entry_time <= {NOW}) WHERE rn = 1"""
+
+
+@register("vehicles_list", f"""
+    WITH cur AS ({CURRENT_BY_VEHICLE})
+    SELECT v.id, v.user_id, v.license_plate, v.vehicle_type, v.created_at,
+           u.username AS owner_username, u.email AS owner_email, cur.spot_number AS current_spot
+    FROM vehicles v LEFT JOIN users u ON v.user_id = u.id LEFT JOIN cur ON v.id = cur.vehicle_id
+    ORDER BY v.created_at DESC, v.id DESC
+""")
+def q_vehicles_list(spark, base):
+    m = model(spark, base)
+    return lookups.vehicles_list(m.vehicles, m.users, m.sessions, m.spots, AS_OF)
+
+
+@register("my_vehicles", f"""
+    WITH cur AS ({CURRENT_BY_VEHICLE})
+    SELECT v.id, v.user_id, v.license_plate, v.vehicle_type, v.created_at,
+           cur.spot_number AS current_spot, cur.entry_time
+    FROM vehicles v LEFT JOIN cur ON v.id = cur.vehicle_id
+    WHERE v.user_id IS NOT NULL
+    ORDER BY v.user_id, v.created_at DESC, v.id DESC
+""")
+def q_my_vehicles(spark, base):
+    m = model(spark, base)
+    return lookups.my_vehicles(m.vehicles, m.sessions, m.spots, AS_OF)
+
+
+@register("user_reservations", """
+    SELECT r.id, r.user_id, r.spot_id, r.vehicle_id, r.start_time, r.end_time, r.status,
+           CAST(r.total_amount AS DOUBLE) AS total_amount, p.spot_number, z.name AS zone_name, v.license_plate
+    FROM reservations r
+    JOIN parking_spots p ON r.spot_id = p.id
+    JOIN zones z ON p.zone_id = z.id
+    LEFT JOIN vehicles v ON r.vehicle_id = v.id
+    WHERE r.status = 'active'
+    ORDER BY r.user_id, r.start_time, r.id
+""")
+def q_user_reservations(spark, base):
+    m = model(spark, base)
+    return lookups.user_reservations(m.reservations, m.spots, m.zones, m.vehicles)
+
+
+@register("active_session_for_vehicle", f"""
+    SELECT vehicle_id, session_id, spot_id, entry_time, hourly_rate FROM (
+        SELECT s.vehicle_id, s.id AS session_id, s.spot_id, s.entry_time,
+               CAST(p.hourly_rate AS DOUBLE) AS hourly_rate,
+               row_number() OVER (PARTITION BY s.vehicle_id ORDER BY s.entry_time DESC, s.id DESC) AS rn
+        FROM parking_sessions s JOIN parking_spots p ON s.spot_id = p.id
+        WHERE s.exit_time IS NULL AND s.entry_time <= {NOW}) WHERE rn = 1
+""")
+def q_active_session_for_vehicle(spark, base):
+    m = model(spark, base)
+    return lookups.active_session_for_vehicle(m.sessions, m.spots, AS_OF)
+
+
+@register("booking_rows", f"""
+    SELECT s.id, v.license_plate, p.spot_number, z.name AS zone_name, s.booked_hours AS duration_hours,
+           s.entry_time, s.entry_time + to_hours(s.booked_hours) AS end_time,
+           CAST({JS_RATE.format(r='p.hourly_rate')} AS DOUBLE) AS hourly_rate,
+           CAST(({JS_RATE.format(r='p.hourly_rate')}) * s.booked_hours AS DOUBLE) AS booking_cost
+    FROM parking_sessions s
+    LEFT JOIN vehicles v ON s.vehicle_id = v.id
+    LEFT JOIN parking_spots p ON s.spot_id = p.id
+    LEFT JOIN zones z ON p.zone_id = z.id
+    WHERE s.exit_time IS NULL AND s.entry_time <= {NOW}
+""")
+def q_booking_rows(spark, base):
+    m = model(spark, base)
+    return lookups.booking_rows(m.sessions, m.vehicles, m.spots, m.zones, AS_OF)
+
+
+@register("identity_resolve", """
+    WITH act AS (SELECT id AS user_id, username, email, role FROM users WHERE is_active = TRUE),
+    m AS (SELECT DISTINCT h.handle_id, a.user_id, a.role
+          FROM handles h JOIN act a ON h.handle = a.username OR h.handle = a.email)
+    SELECT h.handle_id, h.handle, m.user_id, m.role FROM handles h LEFT JOIN m ON h.handle_id = m.handle_id
+""")
+def q_identity_resolve(spark, base):
+    m = model(spark, base)
+    return lookups.identity_resolve(m.handles, m.users)
+
+
+# ---------------------------------------------------------------------------
+# Billing
+# ---------------------------------------------------------------------------
+
+
+@register("session_billing", f"""
+    WITH j AS (
+        SELECT s.id AS session_id, s.spot_id, s.entry_time, s.exit_time, p.hourly_rate AS rate,
+               epoch_us(s.exit_time) - epoch_us(s.entry_time) AS us
+        FROM parking_sessions s LEFT JOIN parking_spots p ON s.spot_id = p.id
+        WHERE s.exit_time IS NOT NULL),
+    k AS (SELECT *, floor(us / 60000000.0) AS fm, {JS_RATE.format(r='rate')} AS jrate FROM j)
+    SELECT session_id, spot_id, entry_time, exit_time, CAST(rate AS DOUBLE) AS hourly_rate,
+           CAST(fm AS BIGINT) AS server_minutes, CAST(ceil(fm / 60.0) AS BIGINT) AS server_hours,
+           CAST(ceil(fm / 60.0) * rate AS DOUBLE) AS server_amount,
+           CAST(greatest(1, fm) AS BIGINT) AS client_minutes,
+           CAST(ceil(greatest(1, fm) / 60.0) AS BIGINT) AS client_hours,
+           CAST(ceil(greatest(1, fm) / 60.0) * jrate AS DOUBLE) AS client_amount,
+           CAST(fm AS BIGINT) AS display_minutes,
+           CAST(greatest(1, ceil(us / 3600000000.0)) AS BIGINT) AS display_hours,
+           CAST(greatest(1, ceil(us / 3600000000.0)) * jrate AS DOUBLE) AS display_amount,
+           'pending' AS payment_status
+    FROM k
+""")
+def q_session_billing(spark, base):
+    m = model(spark, base)
+    return billing.session_billing(m.sessions, m.spots)
+
+
+@register("active_cost_estimate", f"""
+    SELECT s.id AS session_id, s.spot_id, s.entry_time, s.booked_hours,
+           round(CAST(epoch_us({NOW}) - epoch_us(s.entry_time) AS DOUBLE) / 60000000.0 / 60.0 * 5.0, 4)
+               AS flat_estimate,
+           CAST(ceil((epoch_us({NOW}) - epoch_us(s.entry_time)) / 3600000000.0) * p.hourly_rate AS DOUBLE)
+               AS started_hours_estimate,
+           CAST(({JS_RATE.format(r='p.hourly_rate')}) * s.booked_hours AS DOUBLE) AS booked_estimate
+    FROM parking_sessions s LEFT JOIN parking_spots p ON s.spot_id = p.id
+    WHERE s.exit_time IS NULL AND s.entry_time <= {NOW}
+""")
+def q_active_cost_estimate(spark, base):
+    m = model(spark, base)
+    return billing.active_cost_estimate(m.sessions, m.spots, AS_OF).withColumn(
+        "flat_estimate", F.round("flat_estimate", 4))

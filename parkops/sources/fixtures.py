@@ -168,6 +168,18 @@ class ParkingModel:
             F.col("o_totalprice").cast("decimal(10,2)").alias("total_amount"),
         )
 
+    @cached_property
+    def handles(self) -> DataFrame:
+        """Login handles to resolve: usernames, e-mails, unknown names."""
+        c = self.raw("customer")
+        k = F.col("c_custkey")
+        uname = F.concat(F.lit("user"), _lpad_num(k % 16, 6))
+        return c.select(
+            k.cast("bigint").alias("handle_id"),
+            F.when(k % 4 == 0, uname).when(k % 4 == 1, F.concat(uname, F.lit("@example.com")))
+             .when(k % 4 == 2, F.concat(F.lit("nobody"), k.cast("string"))).otherwise(F.col("c_name"))
+             .alias("handle"))
+
     def lot_events(self, log: str = "vehicle") -> DataFrame:
         """Event log for pairing (``vehicle``) or reservation admission (``reservation``)."""
         e = self.raw("events")
