@@ -1,0 +1,51 @@
+"""Follow successor pointers from start nodes without a per-key scan.
+
+Given an edge table ``(node, nxt)`` where every node has at most one
+successor (a forest of chains), return every node that lies on a chain
+beginning at one of ``starts``.  Pointer doubling:
+
+* level k holds each node's successor 2**k steps ahead, built from level
+  k-1 by one self-join on the (unique) node id, until no node has one;
+* a chain with at most 2**K nodes is then cut into halves K times, each cut
+  one join with the matching level.
+
+So the work is O(log of the longest chain) joins on unique ids: no key is
+ever gathered into one task, however long one chain is.  Each level is
+checkpointed to the shared checkpoint folder so lineage stays short and a
+lost executor recomputes one level, not the whole ladder.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..session import ensure_checkpoint_dir
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """Nodes on the chains from ``starts`` (column ``node``).
+
+    ``edges``: columns ``node`` (unique) and ``nxt`` (NULL at a chain end);
+    ``starts``: column ``node``.  Returns one column ``node``.
+    """
+    level = _cut(edges.select("node", "nxt"))
+    levels = [level]
+    while level.filter(F.col("nxt").isNotNull()).limit(1).count() > 0:
+        a, b = level.alias("a"), level.alias("b")
+        level = _cut(a.join(b, F.col("a.nxt") == F.col("b.node"), "left")
+                     .select(F.col("a.node").alias("node"), F.col("b.nxt").alias("nxt")))
+        levels.append(level)
+    # levels[-1] has no successor at all: every chain has <= 2**K nodes
+    seg = starts.select("node")
+    for lv in reversed(levels[:-1]):
+        j = seg.join(lv, "node", "left")
+        seg = j.select("node").unionByName(j.filter(F.col("nxt").isNotNull()).select(F.col("nxt").alias("node")))
+        if len(levels) > 8:
+            seg = _cut(seg)
+    return seg

@@ -495,3 +495,93 @@ def q_active_cost_estimate(spark, base):
     m = model(spark, base)
     return billing.active_cost_estimate(m.sessions, m.spots, AS_OF).withColumn(
         "flat_estimate", F.round("flat_estimate", 4))
+
+
+# ---------------------------------------------------------------------------
+# Bulk state changes
+# ---------------------------------------------------------------------------
+from ..operators import lifecycle  # noqa: E402
+
+
+@register("session_pairing", """
+    WITH ev AS (SELECT * FROM vehicle_log WHERE action IN ('check_in', 'check_out')),
+    w AS (
+        SELECT *, lag(action) OVER (PARTITION BY vehicle_id ORDER BY ts, event_id) AS prev_action,
+               first_value(CASE WHEN action = 'check_out' THEN ts END IGNORE NULLS) OVER (
+                   PARTITION BY vehicle_id ORDER BY ts, event_id
+                   ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_out_ts,
+               first_value(CASE WHEN action = 'check_out' THEN event_id END IGNORE NULLS) OVER (
+                   PARTITION BY vehicle_id ORDER BY ts, event_id
+                   ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_out_id
+        FROM ev),
+    d AS (
+        SELECT *, CASE WHEN action = 'check_in' THEN NOT coalesce(prev_action = 'check_in', FALSE)
+                       ELSE coalesce(prev_action = 'check_in', FALSE) END AS accepted
+        FROM w)
+    SELECT event_id, vehicle_id, spot_id, action, ts, accepted,
+           CASE WHEN accepted THEN NULL WHEN action = 'check_in' THEN 'already_parked'
+                ELSE 'no_open_session' END AS reason,
+           CASE WHEN accepted AND action = 'check_in' THEN next_out_ts END AS exit_time,
+           CASE WHEN accepted AND action = 'check_in' THEN next_out_id END AS exit_event_id
+    FROM d
+""")
+def q_session_pairing(spark, base):
+    return lifecycle.session_pairing(model(spark, base).lot_events("vehicle"))
+
+
+@register("reservation_admission", """
+    WITH ev AS (
+        SELECT l.*, p.id AS sid, coalesce(p.is_occupied, FALSE) AS occ, coalesce(p.is_reserved, FALSE) AS res
+        FROM reservation_log l LEFT JOIN parking_spots p ON l.spot_id = p.id
+        WHERE l.action IN ('reserve', 'cancel')),
+    w AS (
+        SELECT *, lag(action) OVER (PARTITION BY spot_id ORDER BY ts, event_id) AS prev_action,
+               count(CASE WHEN action = 'cancel' THEN 1 END) OVER (
+                   PARTITION BY spot_id ORDER BY ts, event_id
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_cancels
+        FROM ev),
+    d AS (
+        SELECT *, CASE WHEN sid IS NULL THEN FALSE
+                       WHEN occ THEN action = 'cancel' AND res AND coalesce(prev_cancels, 0) = 0
+                       WHEN action = 'reserve' THEN NOT coalesce(prev_action = 'reserve', res)
+                       ELSE coalesce(prev_action = 'reserve', res) END AS accepted
+        FROM w)
+    SELECT event_id, spot_id, vehicle_id, action, ts, accepted,
+           CASE WHEN accepted THEN NULL WHEN sid IS NULL THEN 'spot_not_found'
+                WHEN action = 'reserve' AND occ THEN 'spot_occupied'
+                WHEN action = 'reserve' THEN 'spot_reserved' ELSE 'not_reserved' END AS reason,
+           CASE WHEN accepted AND action = 'reserve' THEN ts + to_hours(hours) END AS end_time
+    FROM d
+""")
+def q_reservation_admission(spark, base):
+    m = model(spark, base)
+    return lifecycle.reservation_admission(m.lot_events("reservation"), m.spots)
+
+
+BOOKING_ADMISSION_SQL = """
+    req AS (
+        SELECT l.event_id, l.spot_id, l.ts, l.hours,
+               row_number() OVER (PARTITION BY l.spot_id ORDER BY l.ts, l.event_id) AS rn
+        FROM vehicle_log l WHERE l.action = 'check_in' AND l.spot_id IN (SELECT id FROM parking_spots)),
+    walk(spot_id, rn, event_id, accepted, last_end) AS (
+        SELECT spot_id, rn, event_id, TRUE, ts + to_hours(hours) FROM req WHERE rn = 1
+        UNION ALL
+        SELECT r.spot_id, r.rn, r.event_id, r.ts > w.last_end,
+               CASE WHEN r.ts > w.last_end THEN r.ts + to_hours(r.hours) ELSE w.last_end END
+        FROM walk w JOIN req r ON r.spot_id = w.spot_id AND r.rn = w.rn + 1),
+    admission AS (
+        SELECT l.event_id, l.spot_id, l.vehicle_id, l.ts, l.hours, l.ts + to_hours(l.hours) AS end_time,
+               coalesce(w.accepted, FALSE) AS accepted,
+               CASE WHEN w.accepted THEN NULL WHEN w.event_id IS NULL THEN 'spot_not_found'
+                    ELSE 'spot_occupied' END AS reason
+        FROM vehicle_log l LEFT JOIN walk w ON l.event_id = w.event_id
+        WHERE l.action = 'check_in')"""
+
+
+@register("spot_booking_admission", f"""
+    WITH RECURSIVE {BOOKING_ADMISSION_SQL}
+    SELECT * FROM admission
+""")
+def q_spot_booking_admission(spark, base):
+    m = model(spark, base)
+    return lifecycle.spot_booking_admission(m.lot_events("vehicle"), m.spots)
