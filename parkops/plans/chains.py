@@ -43,9 +43,12 @@ def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
         levels.append(level)
     # levels[-1] has no successor at all: every chain has <= 2**K nodes
     seg = starts.select("node")
-    for lv in reversed(levels[:-1]):
-        j = seg.join(lv, "node", "left")
-        seg = j.select("node").unionByName(j.filter(F.col("nxt").isNotNull()).select(F.col("nxt").alias("node")))
-        if len(levels) > 8:
+    for i, lv in enumerate(reversed(levels[:-1])):
+        # each segment splits into its first half and the half 2**k ahead;
+        # one explode keeps the plan linear (no self-union)
+        seg = (seg.join(lv, "node", "left")
+               .select(F.explode(F.array(F.col("node"), F.col("nxt"))).alias("node"))
+               .filter(F.col("node").isNotNull()))
+        if i % 6 == 5:
             seg = _cut(seg)
     return seg

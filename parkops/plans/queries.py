@@ -57,7 +57,7 @@ CLIENT_REVENUE_SQL = f"""
         COALESCE(SUM(CASE WHEN duration_minutes > 0 AND total_amount IS NOT NULL AND total_amount <> 0
                           THEN CAST(total_amount AS DOUBLE) END), 0.0)
       + COALESCE(SUM(CASE WHEN exit_time IS NULL
-                          THEN (epoch_ms({NOW}) - epoch_ms(entry_time)) / 60000.0 / 60.0 * 5.0 END), 0.0),
+                          THEN ((epoch_us({NOW}) // 1000) - (epoch_us(entry_time) // 1000)) / 60000.0 / 60.0 * 5.0 END), 0.0),
         2) AS today_revenue,
         COUNT(*) AS today_vehicles
     FROM parking_sessions"""
@@ -585,3 +585,143 @@ BOOKING_ADMISSION_SQL = """
 def q_spot_booking_admission(spark, base):
     m = model(spark, base)
     return lifecycle.spot_booking_admission(m.lot_events("vehicle"), m.spots)
+
+
+# ---------------------------------------------------------------------------
+# Bookings: extensions, expiry, countdowns
+# ---------------------------------------------------------------------------
+from ..operators import bookings as bk  # noqa: E402
+
+BOOKINGS_SQL = BOOKING_ADMISSION_SQL + f""",
+    bookings AS (
+        SELECT event_id AS booking_id, spot_id, vehicle_id, ts AS start_time, end_time, hours AS duration_hours
+        FROM admission WHERE accepted),
+    ext AS (SELECT event_id, spot_id, ts, hours FROM vehicle_log WHERE action = 'extend' AND ts <= {NOW}),
+    ext_b AS (
+        SELECT x.event_id, x.spot_id, x.ts AS extended_at, x.hours AS added_hours, b.booking_id,
+               b.end_time AS b_end
+        FROM ext x ASOF LEFT JOIN bookings b ON x.spot_id = b.spot_id AND x.ts >= b.start_time),
+    ext_run AS (
+        SELECT *, CASE WHEN booking_id IS NOT NULL THEN b_end + to_hours(CAST(sum(added_hours) OVER (
+                      PARTITION BY booking_id ORDER BY extended_at, event_id) AS BIGINT)) END AS new_end_time
+        FROM ext_b),
+    booking_tot AS (
+        SELECT booking_id, sum(added_hours) AS ext, count(*) AS n FROM ext_b
+        WHERE booking_id IS NOT NULL GROUP BY booking_id),
+    booking_final AS (
+        SELECT b.booking_id, b.spot_id, b.vehicle_id, b.start_time, b.end_time AS original_end_time,
+               b.end_time + to_hours(CAST(coalesce(t.ext, 0) AS BIGINT)) AS end_time,
+               b.duration_hours + CAST(coalesce(t.ext, 0) AS INTEGER) AS duration_hours,
+               CAST(coalesce(t.ext, 0) AS INTEGER) AS total_extended_hours,
+               coalesce(t.n, 0) AS extension_count
+        FROM bookings b LEFT JOIN booking_tot t ON b.booking_id = t.booking_id),
+    cur AS (
+        SELECT * EXCLUDE (rn) FROM (
+            SELECT *, row_number() OVER (PARTITION BY spot_id ORDER BY start_time DESC, booking_id DESC) AS rn
+            FROM booking_final WHERE start_time <= {NOW}) WHERE rn = 1),
+    swept AS (
+        SELECT p.id, p.spot_number, p.zone_id, p.spot_type,
+               CASE WHEN c.booking_id IS NOT NULL AND {NOW} > c.end_time THEN FALSE
+                    WHEN c.booking_id IS NOT NULL THEN TRUE ELSE p.is_occupied END AS is_occupied,
+               CASE WHEN c.booking_id IS NOT NULL AND {NOW} > c.end_time THEN FALSE
+                    ELSE p.is_reserved END AS is_reserved,
+               c.booking_id, c.end_time AS booking_end_time,
+               CASE WHEN c.booking_id IS NOT NULL THEN {NOW} > c.end_time END AS expired
+        FROM parking_spots p LEFT JOIN cur c ON p.id = c.spot_id)"""
+
+
+def _bookings(spark, base):
+    m = model(spark, base)
+    log = m.lot_events("vehicle")
+    adm = lifecycle.spot_booking_admission(log, m.spots)
+    return m, lifecycle.bookings_from_admission(adm), log.filter(F.col("action") == "extend")
+
+
+def _current(spark, base):
+    m, b, x = _bookings(spark, base)
+    return m, bk.current_bookings(b, x, AS_OF)
+
+
+@register("apply_extensions", f"""
+    WITH RECURSIVE {BOOKINGS_SQL}
+    SELECT r.event_id, r.spot_id, r.extended_at, r.added_hours, r.booking_id, r.new_end_time,
+           f.end_time AS booking_end_time, f.duration_hours AS booking_duration_hours,
+           f.total_extended_hours, r.booking_id IS NOT NULL AS applied
+    FROM ext_run r LEFT JOIN booking_final f ON r.booking_id = f.booking_id
+""")
+def q_apply_extensions(spark, base):
+    _, b, x = _bookings(spark, base)
+    return bk.apply_extensions(b, x, AS_OF)
+
+
+@register("expire_bookings", f"""
+    WITH RECURSIVE {BOOKINGS_SQL}
+    SELECT * FROM swept
+""")
+def q_expire_bookings(spark, base):
+    m, cur = _current(spark, base)
+    return bk.expire_bookings(m.spots, cur, AS_OF)
+
+
+@register("spot_status_board", f"""
+    WITH RECURSIVE {BOOKINGS_SQL}
+    SELECT id, spot_number, zone_id, is_occupied, is_reserved, booking_id,
+           CASE WHEN coalesce(is_occupied, FALSE) AND booking_id IS NOT NULL AND rem <= 0 THEN 'overdue'
+                WHEN coalesce(is_occupied, FALSE) AND booking_id IS NOT NULL AND rem < 300000 THEN 'critical'
+                WHEN coalesce(is_occupied, FALSE) AND booking_id IS NOT NULL AND rem < 900000 THEN 'warning'
+                WHEN coalesce(is_occupied, FALSE) THEN 'occupied'
+                WHEN coalesce(is_reserved, FALSE) THEN 'reserved'
+                WHEN spot_type = 'electric' THEN 'electric'
+                WHEN spot_type = 'motorcycle' THEN 'motorcycle'
+                WHEN spot_type = 'handicapped' THEN 'handicapped'
+                ELSE 'regular' END AS status
+    FROM (SELECT *, (epoch_us(booking_end_time) // 1000) - (epoch_us({NOW}) // 1000) AS rem FROM swept)
+""")
+def q_spot_status_board(spark, base):
+    m, cur = _current(spark, base)
+    return bk.spot_status_board(bk.expire_bookings(m.spots, cur, AS_OF), cur, AS_OF)
+
+
+def _pad2_sql(x: str) -> str:
+    return f"CASE WHEN length(CAST({x} AS VARCHAR)) < 2 THEN lpad(CAST({x} AS VARCHAR), 2, '0') " \
+           f"ELSE CAST({x} AS VARCHAR) END"
+
+
+@register("booking_urgency", f"""
+    WITH RECURSIVE {BOOKINGS_SQL},
+    u AS (SELECT *, greatest(0, (epoch_us(end_time) // 1000) - (epoch_us({NOW}) // 1000)) AS rem FROM cur),
+    v AS (SELECT *, rem // 1000 AS secs FROM u)
+    SELECT spot_id, booking_id, end_time, rem AS remaining_ms, rem = 0 AS expired,
+           rem > 0 AND rem < 300000 AS critical, rem > 0 AND rem < 900000 AS warning,
+           {_pad2_sql('secs // 3600')} || ':' || {_pad2_sql('(secs % 3600) // 60')} || ':'
+               || {_pad2_sql('secs % 60')} AS countdown
+    FROM v
+""")
+def q_booking_urgency(spark, base):
+    _, cur = _current(spark, base)
+    return bk.booking_urgency(cur, AS_OF)
+
+
+@register("urgency_counts", f"""
+    WITH RECURSIVE {BOOKINGS_SQL}
+    SELECT count(*) FILTER (WHERE booking_id IS NOT NULL AND NOT coalesce(expired, FALSE)
+                              AND (epoch_us(booking_end_time) // 1000) - (epoch_us({NOW}) // 1000) < 300000) AS critical_count,
+           count(*) FILTER (WHERE booking_id IS NOT NULL AND NOT coalesce(expired, FALSE)
+                              AND (epoch_us(booking_end_time) // 1000) - (epoch_us({NOW}) // 1000) < 900000) AS warning_count
+    FROM swept
+""")
+def q_urgency_counts(spark, base):
+    m, cur = _current(spark, base)
+    return bk.urgency_counts(bk.expire_bookings(m.spots, cur, AS_OF), AS_OF)
+
+
+@register("booking_progress", f"""
+    WITH RECURSIVE {BOOKINGS_SQL}
+    SELECT spot_id, booking_id, duration_hours,
+           round(least(100.0, greatest(0.0, (total - ((epoch_us(end_time) // 1000) - (epoch_us({NOW}) // 1000))) / total * 100.0)), 2)
+               AS used_pct
+    FROM (SELECT *, CAST(duration_hours AS DOUBLE) * 3600000.0 AS total FROM cur)
+""")
+def q_booking_progress(spark, base):
+    _, cur = _current(spark, base)
+    return bk.booking_progress(cur, AS_OF)
