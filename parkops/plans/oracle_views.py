@@ -82,6 +82,41 @@ VIEWS: dict[str, str] = {
                     WHEN 2 THEN 'nobody' || CAST(c_custkey AS VARCHAR)
                     ELSE c_name END AS handle
         FROM customer""",
+    "user_import": """
+        SELECT CAST(c_custkey AS BIGINT) AS request_id,
+               CASE c_custkey % 5 WHEN 0 THEN 'user' || lpad(CAST(c_custkey % 16 AS VARCHAR), 6, '0')
+                    WHEN 1 THEN 'new' || lpad(CAST(c_custkey % 40 AS VARCHAR), 4, '0')
+                    WHEN 2 THEN 'ab' ELSE 'cust' || CAST(c_custkey AS VARCHAR) END AS username,
+               CASE c_custkey % 7 WHEN 0 THEN 'not-an-email'
+                    WHEN 1 THEN 'user' || lpad(CAST(c_custkey % 16 AS VARCHAR), 6, '0') || '@example.com'
+                    WHEN 2 THEN 'shared' || CAST(c_custkey % 30 AS VARCHAR) || '@mail.test'
+                    ELSE 'c' || CAST(c_custkey AS VARCHAR) || '@mail.test' END AS email,
+               CAST(c_custkey % 9 + 2 AS INTEGER) AS password_length,
+               CASE WHEN c_custkey % 11 = 0 THEN '' ELSE c_name END AS full_name,
+               CASE WHEN c_custkey % 13 = 0 THEN 'admin' END AS requested_role
+        FROM customer""",
+    "vehicle_import": """
+        SELECT CAST(c_custkey AS BIGINT) AS request_id, c_custkey % 10 AS user_id,
+               CASE c_custkey % 6 WHEN 0 THEN 'p-' || lpad(CAST(c_custkey % 50 AS VARCHAR), 8, '0')
+                    WHEN 1 THEN '  '
+                    WHEN 2 THEN 'n-' || lpad(CAST(c_custkey % 97 AS VARCHAR), 5, '0')
+                    ELSE 'N-' || CAST(c_custkey AS VARCHAR) END AS license_plate,
+               CASE WHEN c_custkey % 5 = 0 THEN 'spaceship' WHEN c_mktsegment = 'AUTOMOBILE' THEN 'car'
+                    WHEN c_mktsegment = 'HOUSEHOLD' THEN 'electric' WHEN c_mktsegment = 'FURNITURE' THEN 'motorcycle'
+                    ELSE 'truck' END AS vehicle_type
+        FROM customer""",
+    "user_changes": """
+        SELECT o_orderkey AS change_id, CAST(o_custkey % 16 AS BIGINT) AS user_id,
+               CASE WHEN o_orderkey % 20 = 0 THEN 'delete' WHEN o_orderkey % 20 = 1 THEN 'insert'
+                    WHEN o_orderkey % 20 BETWEEN 2 AND 7 THEN 'role' ELSE 'profile' END AS op,
+               o_orderdate + to_seconds(CAST(o_orderkey % 86400 AS BIGINT)) AS changed_at,
+               'user' || lpad(CAST(o_custkey % 16 AS VARCHAR), 6, '0') AS username,
+               'user' || lpad(CAST(o_custkey % 16 AS VARCHAR), 6, '0') || '@example.com' AS email,
+               'Name ' || CAST(o_orderkey AS VARCHAR) AS full_name,
+               CASE WHEN o_orderkey % 3 = 0 THEN NULL
+                    ELSE '555-' || lpad(CAST(o_orderkey % 10000 AS VARCHAR), 4, '0') END AS phone,
+               CASE o_orderkey % 3 WHEN 0 THEN 'customer' WHEN 1 THEN 'staff' ELSE 'admin' END AS role
+        FROM orders""",
     "vehicle_log": """
         SELECT event_id, ts, user_id AS vehicle_id, (event_id * 7919) % 200 AS spot_id,
                CASE WHEN event_type IN ('view', 'signup') THEN 'check_in'
@@ -89,6 +124,11 @@ VIEWS: dict[str, str] = {
                     WHEN event_type = 'click' THEN 'extend' END AS action,
                CAST(1 + CAST(json_extract_string(props, '$.k') AS BIGINT) % 24 AS INTEGER) AS hours
         FROM events""",
+    "checkin_plates": """
+        SELECT event_id, ts, spot_id,
+               CASE WHEN event_id % 10 = 0 THEN 'W-' || lpad(CAST(event_id % 300 AS VARCHAR), 6, '0')
+                    ELSE 'P-' || lpad(CAST(vehicle_id AS VARCHAR), 8, '0') END AS license_plate
+        FROM vehicle_log WHERE action = 'check_in'""",
     "reservation_log": """
         SELECT event_id, ts, user_id AS vehicle_id, (event_id * 7919) % 200 AS spot_id,
                CASE WHEN event_type IN ('view', 'signup') THEN 'reserve'

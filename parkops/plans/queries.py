@@ -725,3 +725,154 @@ def q_urgency_counts(spark, base):
 def q_booking_progress(spark, base):
     _, cur = _current(spark, base)
     return bk.booking_progress(cur, AS_OF)
+
+
+# ---------------------------------------------------------------------------
+# Imports, change log, deletes
+# ---------------------------------------------------------------------------
+from ..operators import changes, imports  # noqa: E402
+
+EMAIL_RE = imports.EMAIL_PATTERN
+
+
+@register("user_import_validate", f"""
+    WITH RECURSIVE r AS (SELECT *, lower(trim(username)) AS u, lower(trim(email)) AS e FROM user_import),
+    chk AS (
+        SELECT r.*, CASE
+            WHEN username IS NULL OR length(username) < 3 OR length(username) > 50 THEN 'username_length'
+            WHEN email IS NULL OR NOT regexp_matches(email, '{EMAIL_RE}') THEN 'email_invalid'
+            WHEN coalesce(password_length, 0) < 6 THEN 'password_short'
+            WHEN coalesce(trim(full_name), '') = '' THEN 'full_name_empty'
+            WHEN u IN (SELECT lower(username) FROM users) OR e IN (SELECT lower(email) FROM users)
+                THEN 'already_exists' END AS pre
+        FROM r),
+    cand AS (SELECT request_id, u, e, row_number() OVER (ORDER BY request_id) AS rn FROM chk WHERE pre IS NULL),
+    walk(rn, request_id, ok, tu, te) AS (
+        SELECT rn, request_id, TRUE, [u], [e] FROM cand WHERE rn = 1
+        UNION ALL
+        SELECT c.rn, c.request_id, NOT (list_contains(w.tu, c.u) OR list_contains(w.te, c.e)),
+               CASE WHEN list_contains(w.tu, c.u) OR list_contains(w.te, c.e) THEN w.tu
+                    ELSE list_append(w.tu, c.u) END,
+               CASE WHEN list_contains(w.tu, c.u) OR list_contains(w.te, c.e) THEN w.te
+                    ELSE list_append(w.te, c.e) END
+        FROM walk w JOIN cand c ON c.rn = w.rn + 1)
+    SELECT chk.request_id, chk.username, chk.email, coalesce(w.ok, FALSE) AS accepted,
+           CASE WHEN coalesce(w.ok, FALSE) THEN NULL ELSE coalesce(chk.pre, 'duplicate_in_batch') END AS reason,
+           CASE WHEN coalesce(w.ok, FALSE) THEN 'customer' END AS role
+    FROM chk LEFT JOIN walk w ON chk.request_id = w.request_id
+""")
+def q_user_import_validate(spark, base):
+    m = model(spark, base)
+    return imports.user_import_validate(m.user_import, m.users)
+
+
+@register("vehicle_import_validate", """
+    WITH r AS (SELECT *, upper(trim(license_plate)) AS plate FROM vehicle_import),
+    chk AS (
+        SELECT r.*, CASE
+            WHEN plate IS NULL OR plate = '' THEN 'plate_required'
+            WHEN length(plate) > 20 THEN 'plate_too_long'
+            WHEN NOT coalesce(vehicle_type IN ('car', 'motorcycle', 'electric', 'truck'), FALSE) THEN 'invalid_type'
+            WHEN plate IN (SELECT upper(trim(license_plate)) FROM vehicles) THEN 'already_registered' END AS pre
+        FROM r),
+    f AS (SELECT plate, min(request_id) AS first FROM chk WHERE pre IS NULL GROUP BY plate)
+    SELECT chk.request_id, chk.user_id, chk.plate, chk.vehicle_type,
+           (chk.pre IS NULL AND chk.request_id = f.first) AS accepted,
+           CASE WHEN chk.pre IS NULL AND chk.request_id = f.first THEN NULL
+                ELSE coalesce(chk.pre, 'duplicate_in_batch') END AS reason
+    FROM chk LEFT JOIN f ON chk.plate = f.plate
+""")
+def q_vehicle_import_validate(spark, base):
+    m = model(spark, base)
+    return imports.vehicle_import_validate(m.vehicle_import, m.vehicles)
+
+
+@register("walk_in_vehicles", """
+    WITH c AS (SELECT *, upper(trim(license_plate)) AS plate FROM checkin_plates),
+    u AS (SELECT * FROM c WHERE NOT EXISTS (
+              SELECT 1 FROM vehicles v WHERE upper(trim(v.license_plate)) = c.plate)),
+    g AS (SELECT plate, count(*) AS check_ins FROM u GROUP BY plate),
+    f AS (SELECT plate, ts, event_id FROM (
+              SELECT plate, ts, event_id, row_number() OVER (PARTITION BY plate ORDER BY ts, event_id) AS rn
+              FROM u) WHERE rn = 1)
+    SELECT f.plate AS license_plate, 'car' AS vehicle_type, CAST(NULL AS BIGINT) AS user_id,
+           f.ts AS first_seen, f.event_id AS first_event_id, g.check_ins
+    FROM f JOIN g ON f.plate = g.plate
+""")
+def q_walk_in_vehicles(spark, base):
+    m = model(spark, base)
+    return imports.walk_in_vehicles(m.checkin_plates, m.vehicles)
+
+
+@register("change_log_snapshot", """
+    WITH ev AS (
+        SELECT id AS user_id, 'base' AS op, TIMESTAMP '1900-01-01 00:00:00' AS changed_at,
+               CAST(-1 AS BIGINT) AS change_id, username, email, full_name, phone, role, is_active
+        FROM users
+        UNION ALL
+        SELECT user_id, op, changed_at, change_id, username, email, full_name, phone, role, TRUE
+        FROM user_changes),
+    rs AS (
+        SELECT * FROM (
+            SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY changed_at DESC, change_id DESC) AS rn
+            FROM ev WHERE op IN ('base', 'insert', 'delete')) WHERE rn = 1 AND op <> 'delete'),
+    up AS (
+        SELECT e.* FROM ev e JOIN rs r ON e.user_id = r.user_id
+        WHERE e.op IN ('profile', 'role')
+          AND (e.changed_at > r.changed_at OR (e.changed_at = r.changed_at AND e.change_id > r.change_id))),
+    pf AS (
+        SELECT * FROM (
+            SELECT user_id, full_name, phone,
+                   row_number() OVER (PARTITION BY user_id ORDER BY changed_at DESC, change_id DESC) AS rn
+            FROM up WHERE op = 'profile') WHERE rn = 1),
+    rl AS (
+        SELECT * FROM (
+            SELECT user_id, role,
+                   row_number() OVER (PARTITION BY user_id ORDER BY changed_at DESC, change_id DESC) AS rn
+            FROM up WHERE op = 'role') WHERE rn = 1)
+    SELECT r.user_id AS id, r.username, r.email,
+           CASE WHEN pf.user_id IS NOT NULL THEN pf.full_name ELSE r.full_name END AS full_name,
+           coalesce(rl.role, r.role) AS role,
+           CASE WHEN pf.user_id IS NOT NULL THEN pf.phone ELSE r.phone END AS phone,
+           r.is_active
+    FROM rs r LEFT JOIN pf ON r.user_id = pf.user_id LEFT JOIN rl ON r.user_id = rl.user_id
+""")
+def q_change_log_snapshot(spark, base):
+    m = model(spark, base)
+    return changes.change_log_snapshot(m.users, m.user_changes)
+
+
+def _count_sql(name: str, before: str, after: str, nulled: bool) -> str:
+    nl = f"(SELECT count(*) FILTER (WHERE nulled) FROM {after})" if nulled else "0"
+    return (f"SELECT '{name}' AS table_name, (SELECT count(*) FROM {before}) AS rows_before, "
+            f"(SELECT count(*) FROM {after}) AS remaining_rows, "
+            f"(SELECT count(*) FROM {before}) - (SELECT count(*) FROM {after}) AS deleted_rows, "
+            f"CAST({nl} AS BIGINT) AS nulled_rows")
+
+
+@register("delete_propagation", """
+    WITH dz AS (SELECT id FROM zones WHERE id % 11 = 3),
+    du AS (SELECT id FROM users WHERE id % 7 = 3),
+    dv AS (SELECT id FROM vehicles WHERE id % 13 = 5),
+    ds AS (SELECT id FROM parking_spots WHERE id % 17 = 4),
+    z2 AS (SELECT * FROM zones WHERE id NOT IN (SELECT id FROM dz)),
+    s2 AS (SELECT * FROM parking_spots
+           WHERE id NOT IN (SELECT id FROM ds) AND zone_id NOT IN (SELECT id FROM dz)),
+    u2 AS (SELECT * FROM users WHERE id NOT IN (SELECT id FROM du)),
+    v2 AS (SELECT *, user_id IN (SELECT id FROM du) AS nulled FROM vehicles WHERE id NOT IN (SELECT id FROM dv)),
+    se2 AS (SELECT *, user_id IN (SELECT id FROM du) AS nulled FROM parking_sessions
+            WHERE spot_id IN (SELECT id FROM s2) AND vehicle_id IN (SELECT id FROM v2)),
+    r2 AS (SELECT *, vehicle_id IN (SELECT id FROM dv) AS nulled FROM reservations
+           WHERE spot_id IN (SELECT id FROM s2) AND user_id NOT IN (SELECT id FROM du))
+""" + " UNION ALL ".join([
+    _count_sql("zones", "zones", "z2", False), _count_sql("parking_spots", "parking_spots", "s2", False),
+    _count_sql("users", "users", "u2", False), _count_sql("vehicles", "vehicles", "v2", True),
+    _count_sql("parking_sessions", "parking_sessions", "se2", True),
+    _count_sql("reservations", "reservations", "r2", True)]))
+def q_delete_propagation(spark, base):
+    m = model(spark, base)
+    before = {"zones": m.zones, "parking_spots": m.spots, "users": m.users, "vehicles": m.vehicles,
+              "parking_sessions": m.sessions, "reservations": m.reservations}
+    after = changes.delete_propagation(m.zones, m.spots, m.users, m.vehicles, m.sessions, m.reservations,
+                                       m.delete_lists())
+    return changes.delete_summary(before, after)

@@ -180,6 +180,77 @@ class ParkingModel:
              .when(k % 4 == 2, F.concat(F.lit("nobody"), k.cast("string"))).otherwise(F.col("c_name"))
              .alias("handle"))
 
+    @cached_property
+    def user_import(self) -> DataFrame:
+        """Registration requests: some valid, some breaking a rule, some
+        taken already, some repeating a name or e-mail inside the batch."""
+        c = self.raw("customer")
+        k = F.col("c_custkey")
+        known = F.concat(F.lit("user"), _lpad_num(k % 16, 6))
+        username = (F.when(k % 5 == 0, known).when(k % 5 == 1, F.concat(F.lit("new"), _lpad_num(k % 40, 4)))
+                    .when(k % 5 == 2, F.lit("ab")).otherwise(F.concat(F.lit("cust"), k.cast("string"))))
+        email = (F.when(k % 7 == 0, F.lit("not-an-email"))
+                 .when(k % 7 == 1, F.concat(known, F.lit("@example.com")))
+                 .when(k % 7 == 2, F.concat(F.lit("shared"), (k % 30).cast("string"), F.lit("@mail.test")))
+                 .otherwise(F.concat(F.lit("c"), k.cast("string"), F.lit("@mail.test"))))
+        return c.select(
+            k.cast("bigint").alias("request_id"), username.alias("username"), email.alias("email"),
+            (k % 9 + 2).cast("int").alias("password_length"),
+            F.when(k % 11 == 0, F.lit("")).otherwise(F.col("c_name")).alias("full_name"),
+            F.when(k % 13 == 0, F.lit("admin")).alias("requested_role"))
+
+    @cached_property
+    def vehicle_import(self) -> DataFrame:
+        """Vehicle registrations: known plates, blank plates, bad types,
+        plates repeated inside the batch."""
+        c = self.raw("customer")
+        k = F.col("c_custkey")
+        seg = F.col("c_mktsegment")
+        plate = (F.when(k % 6 == 0, F.concat(F.lit("p-"), _lpad_num(k % 50, 8)))
+                 .when(k % 6 == 1, F.lit("  "))
+                 .when(k % 6 == 2, F.concat(F.lit("n-"), _lpad_num(k % 97, 5)))
+                 .otherwise(F.concat(F.lit("N-"), k.cast("string"))))
+        vtype = (F.when(k % 5 == 0, F.lit("spaceship")).when(seg == "AUTOMOBILE", "car")
+                 .when(seg == "HOUSEHOLD", "electric").when(seg == "FURNITURE", "motorcycle").otherwise("truck"))
+        return c.select(k.cast("bigint").alias("request_id"), (k % 10).alias("user_id"),
+                        plate.alias("license_plate"), vtype.alias("vehicle_type"))
+
+    @cached_property
+    def checkin_plates(self) -> DataFrame:
+        """Check-in requests by plate; every tenth comes from a walk-in."""
+        e = self.lot_events("vehicle").filter(F.col("action") == "check_in")
+        plate = (F.when(F.col("event_id") % 10 == 0, F.concat(F.lit("W-"), _lpad_num(F.col("event_id") % 300, 6)))
+                 .otherwise(F.concat(F.lit("P-"), _lpad_num(F.col("vehicle_id"), 8))))
+        return e.select("event_id", "ts", "spot_id", plate.alias("license_plate"))
+
+    @cached_property
+    def user_changes(self) -> DataFrame:
+        """User change log: profile edits, role changes, deletes, inserts."""
+        o = self.raw("orders")
+        k = F.col("o_orderkey")
+        uid = (F.col("o_custkey") % 16).cast("bigint")
+        r = k % 20
+        op = (F.when(r == 0, "delete").when(r == 1, "insert").when((r >= 2) & (r <= 7), "role")
+              .otherwise("profile"))
+        uname = F.concat(F.lit("user"), _lpad_num(uid, 6))
+        return o.select(
+            k.alias("change_id"), uid.alias("user_id"), op.alias("op"),
+            (F.col("o_orderdate") + F.make_dt_interval(secs=(k % 86400).cast("int"))).alias("changed_at"),
+            uname.alias("username"), F.concat(uname, F.lit("@example.com")).alias("email"),
+            F.concat(F.lit("Name "), k.cast("string")).alias("full_name"),
+            F.when(k % 3 == 0, F.lit(None).cast("string"))
+             .otherwise(F.concat(F.lit("555-"), _lpad_num(k % 10000, 4))).alias("phone"),
+            F.when(k % 3 == 0, "customer").when(k % 3 == 1, "staff").otherwise("admin").alias("role"))
+
+    def delete_lists(self) -> dict[str, DataFrame]:
+        """Ids to delete per table."""
+        return {
+            "zones": self.zones.filter(F.col("id") % 11 == 3).select("id"),
+            "users": self.users.filter(F.col("id") % 7 == 3).select("id"),
+            "vehicles": self.vehicles.filter(F.col("id") % 13 == 5).select("id"),
+            "spots": self.spots.filter(F.col("id") % 17 == 4).select("id"),
+        }
+
     def lot_events(self, log: str = "vehicle") -> DataFrame:
         """Event log for pairing (``vehicle``) or reservation admission (``reservation``)."""
         e = self.raw("events")
