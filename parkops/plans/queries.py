@@ -876,3 +876,100 @@ def q_delete_propagation(spark, base):
     after = changes.delete_propagation(m.zones, m.spots, m.users, m.vehicles, m.sessions, m.reservations,
                                        m.delete_lists())
     return changes.delete_summary(before, after)
+
+
+# ---------------------------------------------------------------------------
+# Sources, seeds and sinks
+# ---------------------------------------------------------------------------
+from ..operators import seeds  # noqa: E402
+from ..session import scratch_dir  # noqa: E402
+from ..sources import documents, io  # noqa: E402
+
+EV_ZONE = "Z03"  # the fixture zone that plays the seed's EV-charging zone
+
+
+@register("scan_sessions", """
+    SELECT id, vehicle_id, spot_id, entry_time, exit_time, payment_status
+    FROM parking_sessions
+    WHERE entry_time >= TIMESTAMP '2024-01-10 00:00:00' AND entry_time < TIMESTAMP '2024-01-12 00:00:00'
+""")
+def q_scan_sessions(spark, base):
+    """Pruned, filtered scan: the entry-time range reaches the Parquet reader."""
+    m = model(spark, base)
+    lo, hi = F.lit("2024-01-10 00:00:00").cast("timestamp_ntz"), F.lit("2024-01-12 00:00:00").cast("timestamp_ntz")
+    return (m.sessions.filter((F.col("entry_time") >= lo) & (F.col("entry_time") < hi))
+            .select("id", "vehicle_id", "spot_id", "entry_time", "exit_time", "payment_status"))
+
+
+@register("seed_spot_grid", f"""
+    SELECT z.name || '-' || lpad(CAST(n.n AS VARCHAR), 2, '0') AS spot_number, z.id AS zone_id, n.n,
+           CASE WHEN z.name = '{EV_ZONE}' THEN 'electric' WHEN n.n <= 2 THEN 'electric' ELSE 'regular' END
+               AS spot_type,
+           CAST(CASE WHEN z.name = '{EV_ZONE}' THEN 7.00 ELSE 5.00 END AS DOUBLE) AS hourly_rate
+    FROM zones z CROSS JOIN (SELECT CAST(range AS INTEGER) AS n FROM range(1, 13)) n
+""")
+def q_seed_spot_grid(spark, base):
+    return seeds.seed_spot_grid(model(spark, base).zones, ev_zone=EV_ZONE)
+
+
+@register("seed_spot_grid_client", f"""
+    SELECT z.name || '-' || lpad(CAST(n.n AS VARCHAR), 2, '0') AS spot_number, z.id AS zone_id,
+           z.name AS zone_name, n.n,
+           CASE WHEN z.name = '{EV_ZONE}' THEN 'electric' WHEN n.n = 11 THEN 'motorcycle'
+                WHEN n.n = 12 THEN 'electric' ELSE 'regular' END AS spot_type,
+           CASE WHEN z.name = '{EV_ZONE}' THEN 7 ELSE 5 END AS hourly_rate,
+           FALSE AS is_occupied, FALSE AS is_reserved,
+           row_number() OVER (ORDER BY z.id, n.n) AS id
+    FROM zones z CROSS JOIN (SELECT CAST(range AS INTEGER) AS n FROM range(1, 13)) n
+""")
+def q_seed_spot_grid_client(spark, base):
+    return seeds.seed_spot_grid_client(model(spark, base).zones, ev_zone=EV_ZONE)
+
+
+@register("booking_json_flatten", """
+    WITH ev AS (
+        SELECT event_id, ts, user_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k
+        FROM events),
+    d AS (
+        SELECT *, (event_id * 7919) % 200 AS spot_id, CAST(1 + k % 24 AS INTEGER) AS hours,
+               CAST(k % 3 AS INTEGER) AS n_ext, ts + to_hours(1 + k % 24) AS end_ts, k % 4 <> 0 AS has_b
+        FROM ev),
+    b AS (
+        SELECT spot_id, 'S-' || lpad(CAST(spot_id AS VARCHAR), 6, '0') AS spot_number,
+               event_type <> 'error' AS is_occupied,
+               CASE WHEN has_b THEN event_id END AS session_id,
+               CASE WHEN has_b THEN 'P-' || lpad(CAST(user_id AS VARCHAR), 8, '0') END AS license_plate,
+               CASE WHEN has_b THEN date_trunc('millisecond', ts) END AS start_time,
+               CASE WHEN has_b THEN date_trunc('millisecond', end_ts) END AS end_time,
+               CASE WHEN has_b THEN hours END AS duration_hours,
+               CASE WHEN has_b THEN k % 2 = 0 END AS expired,
+               CASE WHEN has_b THEN CAST(n_ext * (n_ext + 1) // 2 AS INTEGER) END AS total_extended_hours,
+               CASE WHEN has_b THEN n_ext ELSE 0 END AS n_b, ts, end_ts
+        FROM d)
+    SELECT b.spot_id, b.spot_number, b.is_occupied, b.session_id, b.license_plate, b.start_time, b.end_time,
+           b.duration_hours, b.expired, b.total_extended_hours,
+           CAST(e.i - 1 AS INTEGER) AS ext_pos, CAST(e.i AS INTEGER) AS added_hours,
+           date_trunc('millisecond', b.ts + to_minutes(e.i * 10)) AS extended_at,
+           date_trunc('millisecond', b.end_ts + to_hours(e.i * (e.i + 1) // 2)) AS new_end_time
+    FROM b LEFT JOIN (SELECT 1 AS i UNION ALL SELECT 2) e ON e.i <= b.n_b
+""")
+def q_booking_json_flatten(spark, base):
+    return documents.booking_json_flatten(model(spark, base).spot_documents)
+
+
+@register("result_sink", """
+    SELECT id, vehicle_id, spot_id, entry_time, exit_time, CAST(total_amount AS DOUBLE) AS total_amount,
+           strftime(CAST(entry_time AS DATE), '%Y-%m-%d') AS entry_date
+    FROM parking_sessions WHERE CAST(entry_time AS DATE) = DATE '2024-01-15'
+""")
+def q_result_sink(spark, base):
+    """Write session facts partitioned by entry date, read one date back
+    (partition pruning: only that folder is scanned)."""
+    m = model(spark, base)
+    path = scratch_dir(spark, "sessions_by_entry_date")
+    facts = m.sessions.select("id", "vehicle_id", "spot_id", "entry_time", "exit_time", "total_amount",
+                              F.to_date("entry_time").alias("entry_date"))
+    io.write_result(facts, path, partition_by=["entry_date"])
+    back = io.scan_table(spark, path, where=F.col("entry_date") == F.lit("2024-01-15").cast("date"))
+    return back.select("id", "vehicle_id", "spot_id", "entry_time", "exit_time", "total_amount",
+                       F.date_format("entry_date", "yyyy-MM-dd").alias("entry_date"))

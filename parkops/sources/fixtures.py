@@ -242,6 +242,34 @@ class ParkingModel:
              .otherwise(F.concat(F.lit("555-"), _lpad_num(k % 10000, 4))).alias("phone"),
             F.when(k % 3 == 0, "customer").when(k % 3 == 1, "staff").otherwise("admin").alias("role"))
 
+    @cached_property
+    def spot_documents(self) -> DataFrame:
+        """Client-storage spot documents as JSON text, one per event: a spot
+        with an optional booking holding 0-2 extension records."""
+        from .documents import iso_text
+        e = self.raw("events")
+        k = F.get_json_object(F.col("props"), "$.k").cast("bigint")
+        hours = (F.lit(1) + k % 24).cast("int")
+        spot = event_spot(F.col("event_id"))
+        number = F.concat(F.lit("S-"), _lpad_num(spot, 6))
+        n_ext = (k % 3).cast("int")
+        end = F.col("ts") + F.make_dt_interval(hours=hours)
+        exts = F.filter(F.transform(F.sequence(F.lit(1), F.lit(2)), lambda i: F.struct(
+            i.alias("addedHours"),
+            iso_text(F.col("ts") + F.make_dt_interval(mins=i * 10)).alias("extendedAt"),
+            iso_text(end + F.make_dt_interval(hours=((i * (i + 1)) / 2).cast("int"))).alias("newEndTime"))),
+            lambda x: x["addedHours"] <= n_ext)
+        booking = F.when(k % 4 == 0, F.lit(None)).otherwise(F.struct(
+            F.col("event_id").alias("sessionId"), spot.alias("spotId"), number.alias("spotNumber"),
+            F.concat(F.lit("P-"), _lpad_num(F.col("user_id"), 8)).alias("licensePlate"),
+            iso_text(F.col("ts")).alias("startTime"), iso_text(end).alias("endTime"),
+            hours.alias("durationHours"), F.lit(5.0).alias("hourlyRate"), (k % 2 == 0).alias("expired"),
+            exts.alias("extensions"), ((n_ext * (n_ext + 1)) / 2).cast("int").alias("totalExtendedHours")))
+        doc = F.to_json(F.struct(spot.alias("id"), number.alias("spot_number"),
+                                 (F.col("event_type") != "error").alias("is_occupied"),
+                                 F.lit(False).alias("is_reserved"), booking.alias("booking")))
+        return e.select(F.col("event_id").alias("doc_id"), doc.alias("doc"))
+
     def delete_lists(self) -> dict[str, DataFrame]:
         """Ids to delete per table."""
         return {
