@@ -973,3 +973,78 @@ def q_result_sink(spark, base):
     back = io.scan_table(spark, path, where=F.col("entry_date") == F.lit("2024-01-15").cast("date"))
     return back.select("id", "vehicle_id", "spot_id", "entry_time", "exit_time", "total_amount",
                        F.date_format("entry_date", "yyyy-MM-dd").alias("entry_date"))
+
+
+# ---------------------------------------------------------------------------
+# Streaming (bounded runs with availableNow; results read back as batch)
+# ---------------------------------------------------------------------------
+from ..streaming import jobs as sj  # noqa: E402
+from ..streaming.runner import run_available_now  # noqa: E402
+
+
+def _stream_model(spark, base):
+    return model(spark, base, streams=("events",))
+
+
+@register("stream_hourly_entries", """
+    SELECT date_trunc('hour', entry_time) AS hour_start, COUNT(*) AS entry_count, COUNT(exit_time) AS closed,
+           CAST(coalesce(SUM(datesub('minute', entry_time, exit_time)), 0) AS BIGINT) AS stay_minutes
+    FROM parking_sessions GROUP BY 1
+""")
+def q_stream_hourly_entries(spark, base):
+    m = _stream_model(spark, base)
+    out = run_available_now(sj.hourly_entries(m.sessions), "hourly_entries", "complete")
+    return sj.hourly_entries_out(out)
+
+
+@register("stream_daily_revenue", """
+    SELECT strftime(CAST(exit_time AS DATE), '%Y-%m-%d') AS date, CAST(SUM(total_amount) AS DOUBLE) AS revenue,
+           COUNT(*) AS transactions
+    FROM parking_sessions WHERE exit_time IS NOT NULL AND payment_status = 'paid' GROUP BY 1
+""")
+def q_stream_daily_revenue(spark, base):
+    m = _stream_model(spark, base)
+    out = run_available_now(sj.daily_revenue(m.sessions), "daily_revenue", "complete")
+    return sj.daily_revenue_out(out)
+
+
+@register("stream_spot_state", """
+    SELECT spot_id, last_action, last_ts, last_event_id, last_action IN ('check_in', 'extend') AS is_occupied,
+           events
+    FROM (
+        SELECT spot_id, action AS last_action, ts AS last_ts, event_id AS last_event_id,
+               COUNT(*) OVER (PARTITION BY spot_id) AS events,
+               row_number() OVER (PARTITION BY spot_id ORDER BY ts DESC, event_id DESC) AS rn
+        FROM vehicle_log) WHERE rn = 1
+""")
+def q_stream_spot_state(spark, base):
+    m = _stream_model(spark, base)
+    out = run_available_now(sj.spot_state(m.lot_events("vehicle")), "spot_state", "complete")
+    return sj.spot_state_out(out)
+
+
+@register("stream_session_pairing", """
+    WITH ev AS (SELECT * FROM vehicle_log WHERE action IN ('check_in', 'check_out')),
+    w AS (SELECT *, lag(action) OVER (PARTITION BY vehicle_id ORDER BY ts, event_id) AS prev_action FROM ev),
+    d AS (SELECT *, CASE WHEN action = 'check_in' THEN NOT coalesce(prev_action = 'check_in', FALSE)
+                         ELSE coalesce(prev_action = 'check_in', FALSE) END AS accepted FROM w),
+    o AS (SELECT *, last_value(CASE WHEN accepted AND action = 'check_in' THEN event_id END IGNORE NULLS) OVER (
+                        PARTITION BY vehicle_id ORDER BY ts, event_id
+                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS opener
+          FROM d)
+    SELECT event_id, vehicle_id, spot_id, action, ts, accepted,
+           CASE WHEN accepted THEN NULL WHEN action = 'check_in' THEN 'already_parked'
+                ELSE 'no_open_session' END AS reason,
+           CASE WHEN accepted AND action = 'check_out' THEN opener END AS entry_event_id
+    FROM o
+""")
+def q_stream_session_pairing(spark, base):
+    m = _stream_model(spark, base)
+    return run_available_now(sj.session_pairing_stream(m.lot_events("vehicle")), "session_pairing", "append")
+
+
+@register("stream_booking_expiry")
+def q_stream_booking_expiry(spark, base):
+    """Rows-only check: expiry rows depend on where the watermark ends."""
+    m = _stream_model(spark, base)
+    return run_available_now(sj.booking_expiry_stream(m.lot_events("vehicle")), "booking_expiry", "append")

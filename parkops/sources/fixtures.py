@@ -56,9 +56,14 @@ class ParkingModel:
 
     spark: SparkSession
     base_dir: str
+    streams: tuple[str, ...] = ()
     _cache: dict = field(default_factory=dict, repr=False)
 
     def raw(self, name: str) -> DataFrame:
+        """A driver table; names listed in ``streams`` are read as a stream."""
+        if name in self.streams:
+            from .streams import read_stream_table
+            return read_stream_table(self.spark, self.base_dir, name)
         return read_table(self.spark, self.base_dir, name)
 
     @cached_property
@@ -292,5 +297,5 @@ class ParkingModel:
         )
 
 
-def model(spark: SparkSession, base_dir: str) -> ParkingModel:
-    return ParkingModel(spark, base_dir)
+def model(spark: SparkSession, base_dir: str, streams: tuple[str, ...] = ()) -> ParkingModel:
+    return ParkingModel(spark, base_dir, streams)
