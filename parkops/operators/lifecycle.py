@@ -90,32 +90,73 @@ def reservation_admission(log: DataFrame, spots: DataFrame) -> DataFrame:
                       .alias("end_time"))
 
 
-def spot_booking_admission(log: DataFrame, spots: DataFrame) -> DataFrame:
+# Spots with at most this many requests are decided by one sequential pass
+# in a grouped pandas function (a group never exceeds this size); busier
+# spots go through the distributed successor chain instead.
+GREEDY_GROUP_LIMIT = 50_000
+
+
+def _greedy_spot(pdf):
+    """Sequential first-come decision for one spot's requests."""
+    import numpy as np
+    pdf = pdf.sort_values(["ts", "event_id"], kind="stable")
+    ts = pdf["ts"].to_numpy()
+    ends = pdf["end_time"].to_numpy()
+    ok = np.zeros(len(pdf), dtype=bool)
+    held = None
+    for i in range(len(pdf)):
+        if held is None or ts[i] > held:
+            ok[i] = True
+            held = ends[i]
+    return pdf.assign(_ok=ok)[["event_id", "_ok"]]
+
+
+def _chain_accept(known: DataFrame) -> DataFrame:
+    """Accepted request ids of ``known`` via successor chains (any size)."""
+    reqs = known.select("spot_id", F.col("ts").alias("t"), F.lit(0).alias("kind"), F.col("event_id").alias("id"),
+                        F.col("event_id").alias("val"))
+    probes = known.select("spot_id", F.col("end_time").alias("t"), F.lit(1).alias("kind"),
+                          F.col("event_id").alias("id"), F.lit(None).cast("bigint").alias("val"))
+    both = reqs.unionByName(probes).withColumn("_b", hour_bucket("t"))
+    nxt = carry_value(both, ["spot_id"], "_b", ["t", "kind", "id"], "val", "nxt", "next")
+    edges = nxt.filter(F.col("kind") == 1).select(F.col("id").alias("node"), "nxt")
+    starts = (known.groupBy("spot_id")
+              .agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("node")).select("node"))
+    return reachable(edges, starts).select(F.col("node").alias("event_id"), F.lit(True).alias("_ok"))
+
+
+def spot_booking_admission(log: DataFrame, spots: DataFrame, group_limit: int = GREEDY_GROUP_LIMIT) -> DataFrame:
     """Booking requests (check-ins with a duration) -> decisions.
 
     A request is rejected if the spot does not exist or is still held by the
     last accepted booking; a booking stops holding the spot once the request
     time is strictly past its end (it expires first).  ``is_reserved`` is
     ignored.  Greedy per spot: from an accepted request, the next accepted
-    one is the first request strictly after its end.  That successor is an
-    as-of look-up (bucketed window), and the accepted set is the chain of
-    successors from each spot's first request (pointer doubling).
+    one is the first request strictly after its end.
+
+    Spots with at most ``group_limit`` requests are decided by a sequential
+    pass per spot (``applyInPandas``; the group size is bounded).  For busier
+    spots the successor of every request is an as-of look-up (bucketed
+    window) and the accepted set is the chain of successors from the spot's
+    first request, found by pointer doubling, so no spot is ever gathered
+    into one task.  Both paths give the same decisions.
     """
     req = (log.filter(F.col("action") == "check_in")
            .select("event_id", "spot_id", "vehicle_id", "ts", "hours",
                    (F.col("ts") + F.make_dt_interval(hours=F.col("hours"))).alias("end_time")))
     ids = spots.select(F.col("id").alias("spot_id")).distinct()
     known = req.join(ids, "spot_id", "left_semi")
-    reqs = known.select("spot_id", F.col("ts").alias("t"), F.lit(0).alias("kind"), F.col("event_id").alias("id"),
-                        F.col("event_id").alias("val"))
-    probes = known.select("spot_id", F.col("end_time").alias("t"), F.lit(1).alias("kind"),
-                          F.col("event_id").alias("id"), F.lit(None).cast("bigint").alias("val"))
-    both = reqs.unionByName(probes).withColumn("_b", hour_bucket("t"))
-    nxt = carry_value(both, ["spot_id"], "_b", ["t", "kind", "id"], "val", "nxt", "next")
-    edges = nxt.filter(F.col("kind") == 1).select(F.col("id").alias("node"), "nxt")
-    starts = (known.groupBy("spot_id")
-              .agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("node")).select("node"))
-    acc = reachable(edges, starts).select(F.col("node").alias("_acc"), F.lit(True).alias("_ok"))
+    sizes = known.groupBy("spot_id").agg(F.count(F.lit(1)).alias("_n"))
+    sized = known.join(sizes, "spot_id")
+    small = sized.filter(F.col("_n") <= group_limit).select("event_id", "spot_id", "ts", "end_time")
+    big = sized.filter(F.col("_n") > group_limit).drop("_n")
+    decided_small = (small.groupBy("spot_id").applyInPandas(_greedy_spot, "event_id long, _ok boolean")
+                     .filter(F.col("_ok")))
+    if big.limit(1).count() > 0:
+        decided = decided_small.unionByName(_chain_accept(big))
+    else:
+        decided = decided_small
+    acc = decided.select(F.col("event_id").alias("_acc"), F.lit(True).alias("_ok"))
     j = (req.join(known.select(F.col("event_id").alias("_kid")), F.col("event_id") == F.col("_kid"), "left")
          .join(acc, F.col("event_id") == F.col("_acc"), "left"))
     accepted = F.coalesce(F.col("_ok"), F.lit(False))

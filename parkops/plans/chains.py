@@ -11,8 +11,8 @@ beginning at one of ``starts``.  Pointer doubling:
 
 So the work is O(log of the longest chain) joins on unique ids: no key is
 ever gathered into one task, however long one chain is.  Each level is
-checkpointed to the shared checkpoint folder so lineage stays short and a
-lost executor recomputes one level, not the whole ladder.
+written to the shared checkpoint folder so lineage stays short and a lost
+executor recomputes one level, not the whole ladder.
 """
 
 from __future__ import annotations
@@ -20,12 +20,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import scratch_dir
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` as Parquet in the shared checkpoint folder and read
+    it back: lineage ends here, the files survive executor loss, and the
+    planner sees the real size (so a small level is broadcast)."""
+    path = scratch_dir(df.sparkSession, "chain")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
