@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.chains import reachable
-from ..plans.windows import carry_value, hour_bucket
+from ..plans.windows import carry_value, hour_bucket, ordered_lookups
 
 ORDER = ["ts", "event_id"]
 
@@ -35,10 +35,10 @@ def session_pairing(log: DataFrame) -> DataFrame:
     ev = (log.filter(F.col("action").isin("check_in", "check_out"))
           .select("event_id", "vehicle_id", "spot_id", "action", "ts")
           .withColumn("_b", hour_bucket("ts")))
-    ev = carry_value(ev, ["vehicle_id"], "_b", ORDER, "action", "prev_action", "prev")
     ev = ev.withColumn("_out", F.when(F.col("action") == "check_out",
                                       F.struct(F.col("ts").alias("ts"), F.col("event_id").alias("event_id"))))
-    ev = carry_value(ev, ["vehicle_id"], "_b", ORDER, "_out", "_next_out", "next")
+    ev = ordered_lookups(ev, ["vehicle_id"], "_b", ORDER,
+                         [("prev", "action", "prev_action"), ("next", "_out", "_next_out")])
     was_parked = F.coalesce(F.col("prev_action") == "check_in", F.lit(False))
     is_in = F.col("action") == "check_in"
     accepted = F.when(is_in, ~was_parked).otherwise(was_parked)
@@ -67,9 +67,9 @@ def reservation_admission(log: DataFrame, spots: DataFrame) -> DataFrame:
           .select("event_id", "spot_id", "vehicle_id", "action", "ts", "hours")
           .join(sp, F.col("spot_id") == F.col("_sid"), "left")
           .withColumn("_b", hour_bucket("ts")))
-    ev = carry_value(ev, ["spot_id"], "_b", ORDER, "action", "prev_action", "prev")
     ev = ev.withColumn("_c", F.when(F.col("action") == "cancel", F.col("event_id")))
-    ev = carry_value(ev, ["spot_id"], "_b", ORDER, "_c", "_prev_cancel", "prev")
+    ev = ordered_lookups(ev, ["spot_id"], "_b", ORDER,
+                         [("prev", "action", "prev_action"), ("prev", "_c", "_prev_cancel")])
     found = F.col("_sid").isNotNull()
     occ = F.coalesce(F.col("_occ"), F.lit(False))
     res0 = F.coalesce(F.col("_res"), F.lit(False))

@@ -6,9 +6,10 @@ the data.  These helpers split each key into time buckets:
 
 1. inside each (key, bucket) chunk an ordinary window answers the question
    for rows whose answer lies in the same chunk;
-2. each chunk is reduced to one summary row (map-side combinable);
-3. a window over the *summaries* of a key (one row per bucket, so at most
-   the number of buckets per key) carries the answer across chunks;
+2. each chunk's edge value (last / first non-null, or total) is a
+   map-side-combined aggregate, one row per chunk;
+3. a window over those chunk rows (one per bucket of a key, so at most the
+   number of buckets per key) carries the edges across chunks;
 4. the carried value is joined back on (key, bucket).
 
 The result equals the plain window exactly; only the bucket width decides
@@ -27,50 +28,80 @@ def _cols(names: Sequence[str]) -> list[Column]:
     return [F.col(c) for c in names]
 
 
+def ordered_lookups(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str],
+                    specs: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """Add several per-key ordered look-ups in one pass.
+
+    ``specs`` holds ``(kind, value, out)`` with kind ``prev`` (last non-null
+    value strictly before the row), ``next`` (first non-null value strictly
+    after it) or ``cumsum`` (running sum including the row).  ``bucket``
+    must be monotone in ``order`` (e.g. the hour of the leading timestamp);
+    keys and bucket must not be NULL.
+
+    Plan: the rows are shuffled once on (key, bucket) into one window
+    operator that answers inside each chunk.  The chunk edges (last / first
+    non-null value, or total) come from an aggregate of the same input that
+    combines map-side, so only one small row per chunk and map task crosses
+    the network; a window over those chunk rows (one per bucket of a key)
+    carries the edges forward or backward, and an equi-join on (key, bucket)
+    brings them back - broadcast when small, otherwise a sort-merge join
+    that reuses the chunk partitioning of the big side.
+    """
+    keys = list(keys)
+    ords = _cols(order)
+    w = Window.partitionBy(*keys, bucket).orderBy(*ords)
+    inner: list[Column] = []
+    edges: list[Column] = []
+    for i, (kind, value, _) in enumerate(specs):
+        v = F.col(value)
+        rank = F.when(v.isNotNull(), F.struct(*ords))
+        if kind == "prev":
+            inner.append(F.last(v, True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_in{i}"))
+            edges.append(F.max_by(v, rank).alias(f"_edge{i}"))
+        elif kind == "next":
+            inner.append(F.first(v, True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias(f"_in{i}"))
+            edges.append(F.min_by(v, rank).alias(f"_edge{i}"))
+        elif kind == "cumsum":
+            inner.append(F.sum(v).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(f"_in{i}"))
+            edges.append(F.sum(v).alias(f"_edge{i}"))
+        else:
+            raise ValueError(kind)
+    win = df.select("*", *inner)
+    wk = Window.partitionBy(*keys).orderBy(bucket)
+    carries: list[Column] = []
+    for i, (kind, _, _) in enumerate(specs):
+        e = F.col(f"_edge{i}")
+        if kind == "prev":
+            c = F.last(e, True).over(wk.rowsBetween(Window.unboundedPreceding, -1))
+        elif kind == "next":
+            c = F.first(e, True).over(wk.rowsBetween(1, Window.unboundedFollowing))
+        else:
+            c = F.sum(e).over(wk.rowsBetween(Window.unboundedPreceding, -1))
+        carries.append(c.alias(f"_c{i}"))
+    summ = df.groupBy(*keys, bucket).agg(*edges).select(*keys, bucket, *carries)
+    out = win.join(summ, [*keys, bucket], "left")
+    for i, (kind, _, name) in enumerate(specs):
+        if kind == "cumsum":
+            expr = F.coalesce(F.col(f"_in{i}"), F.lit(0)) + F.coalesce(F.col(f"_c{i}"), F.lit(0))
+        else:
+            expr = F.coalesce(F.col(f"_in{i}"), F.col(f"_c{i}"))
+        out = out.withColumn(name, expr)
+    return out.drop(*[f"{p}{i}" for i in range(len(specs)) for p in ("_in", "_c")])
+
+
 def carry_value(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str], value: str, out: str,
                 direction: str = "prev") -> DataFrame:
     """Add ``out``: within each key ordered by ``order``, the last non-null
     ``value`` strictly before the row (``prev``) or the first non-null one
-    strictly after it (``next``).  ``bucket`` must be monotone in ``order``
-    (e.g. the hour of the timestamp that leads ``order``)."""
-    keys = list(keys)
-    v = F.col(value)
-    ords = _cols(order)
-    w_chunk = Window.partitionBy(*keys, bucket).orderBy(*ords)
-    w_keys = Window.partitionBy(*keys).orderBy(bucket)
-    ranked = F.when(v.isNotNull(), F.struct(*ords))
-    if direction == "prev":
-        inner = F.last(v, ignorenulls=True).over(w_chunk.rowsBetween(Window.unboundedPreceding, -1))
-        edge = F.max_by(v, ranked)
-        carry = F.last("_edge", ignorenulls=True).over(w_keys.rowsBetween(Window.unboundedPreceding, -1))
-    elif direction == "next":
-        inner = F.first(v, ignorenulls=True).over(w_chunk.rowsBetween(1, Window.unboundedFollowing))
-        edge = F.min_by(v, ranked)
-        carry = F.first("_edge", ignorenulls=True).over(w_keys.rowsBetween(1, Window.unboundedFollowing))
-    else:
+    strictly after it (``next``)."""
+    if direction not in ("prev", "next"):
         raise ValueError(direction)
-    chunks = (df.groupBy(*keys, bucket).agg(edge.alias("_edge"))
-              .select(*keys, bucket, carry.alias("_carry")))
-    return (df.withColumn("_inner", inner)
-            .join(chunks, [*keys, bucket], "left")
-            .withColumn(out, F.coalesce(F.col("_inner"), F.col("_carry")))
-            .drop("_inner", "_carry"))
-
-
-def prefix_sum(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str], value: str, out: str,
-               inclusive: bool = True) -> DataFrame:
-    """Add ``out``: running sum of ``value`` per key in ``order`` (including
-    the row itself when ``inclusive``), split by bucket as above."""
-    keys = list(keys)
-    w_chunk = (Window.partitionBy(*keys, bucket).orderBy(*_cols(order))
-               .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
-    w_keys = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    chunks = (df.groupBy(*keys, bucket).agg(F.sum(value).alias("_tot"))
-              .select(*keys, bucket, F.sum("_tot").over(w_keys).alias("_before")))
-    return (df.withColumn("_inner", F.sum(value).over(w_chunk))
-            .join(chunks, [*keys, bucket], "left")
-            .withColumn(out, F.coalesce(F.col("_inner"), F.lit(0)) + F.coalesce(F.col("_before"), F.lit(0)))
-            .drop("_inner", "_before"))
+    return ordered_lookups(df, keys, bucket, order, [(direction, value, out)])
+
+
+def prefix_sum(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str], value: str, out: str) -> DataFrame:
+    """Add ``out``: running sum of ``value`` per key in ``order``, the row included."""
+    return ordered_lookups(df, keys, bucket, order, [("cumsum", value, out)])
 
 
 def hour_bucket(ts: str | Column) -> Column:
