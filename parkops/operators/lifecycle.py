@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.chains import reachable
+from ..plans.materialize import materialize
 from ..plans.windows import carry_value, hour_bucket, ordered_lookups
 
 ORDER = ["ts", "event_id"]
@@ -160,10 +161,12 @@ def spot_booking_admission(log: DataFrame, spots: DataFrame, group_limit: int =
     j = (req.join(known.select(F.col("event_id").alias("_kid")), F.col("event_id") == F.col("_kid"), "left")
          .join(acc, F.col("event_id") == F.col("_acc"), "left"))
     accepted = F.coalesce(F.col("_ok"), F.lit(False))
-    return j.select("event_id", "spot_id", "vehicle_id", "ts", "hours", "end_time", accepted.alias("accepted"),
+    # the decisions are a table of their own: written once, then read by
+    # every branch that needs bookings (no re-run of the sequential pass)
+    return materialize(j.select("event_id", "spot_id", "vehicle_id", "ts", "hours", "end_time", accepted.alias("accepted"),
                     F.when(accepted, F.lit(None).cast("string"))
                      .when(F.col("_kid").isNull(), F.lit("spot_not_found"))
-                     .otherwise(F.lit("spot_occupied")).alias("reason"))
+                     .otherwise(F.lit("spot_occupied")).alias("reason")), "booking-admission")
 
 
 def bookings_from_admission(admission: DataFrame) -> DataFrame:

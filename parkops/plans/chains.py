@@ -20,16 +20,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import scratch_dir
+from .materialize import materialize
 
 
 def _cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` as Parquet in the shared checkpoint folder and read
     it back: lineage ends here, the files survive executor loss, and the
     planner sees the real size (so a small level is broadcast)."""
-    path = scratch_dir(df.sparkSession, "chain")
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return materialize(df, "chain")
 
 
 def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
