@@ -17,6 +17,10 @@ VIEWS: dict[str, str] = {
                CAST(100 AS INTEGER) AS total_spots,
                (n_nationkey % 8 <> 7) AS is_active
         FROM nation""",
+    "seed_zones": """
+        SELECT CAST(s_suppkey AS INTEGER) AS id, 'L' || CAST(s_suppkey AS VARCHAR) AS name,
+               s_name AS description, CAST(12 AS INTEGER) AS total_spots, TRUE AS is_active
+        FROM supplier""",
     "parking_spots": """
         SELECT CAST(p_partkey AS BIGINT) AS id,
                'S-' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS spot_number,

@@ -885,7 +885,7 @@ from ..operators import seeds  # noqa: E402
 from ..session import scratch_dir  # noqa: E402
 from ..sources import documents, io  # noqa: E402
 
-EV_ZONE = "Z03"  # the fixture zone that plays the seed's EV-charging zone
+EV_ZONE = "L3"  # the seeded zone that plays the EV-charging zone
 
 
 @register("scan_sessions", """
@@ -906,10 +906,10 @@ def q_scan_sessions(spark, base):
            CASE WHEN z.name = '{EV_ZONE}' THEN 'electric' WHEN n.n <= 2 THEN 'electric' ELSE 'regular' END
                AS spot_type,
            CAST(CASE WHEN z.name = '{EV_ZONE}' THEN 7.00 ELSE 5.00 END AS DOUBLE) AS hourly_rate
-    FROM zones z CROSS JOIN (SELECT CAST(range AS INTEGER) AS n FROM range(1, 13)) n
+    FROM seed_zones z CROSS JOIN (SELECT CAST(range AS INTEGER) AS n FROM range(1, 13)) n
 """)
 def q_seed_spot_grid(spark, base):
-    return seeds.seed_spot_grid(model(spark, base).zones, ev_zone=EV_ZONE)
+    return seeds.seed_spot_grid(model(spark, base).seed_zones, ev_zone=EV_ZONE)
 
 
 @register("seed_spot_grid_client", f"""
@@ -920,10 +920,10 @@ def q_seed_spot_grid(spark, base):
            CASE WHEN z.name = '{EV_ZONE}' THEN 7 ELSE 5 END AS hourly_rate,
            FALSE AS is_occupied, FALSE AS is_reserved,
            row_number() OVER (ORDER BY z.id, n.n) AS id
-    FROM zones z CROSS JOIN (SELECT CAST(range AS INTEGER) AS n FROM range(1, 13)) n
+    FROM seed_zones z CROSS JOIN (SELECT CAST(range AS INTEGER) AS n FROM range(1, 13)) n
 """)
 def q_seed_spot_grid_client(spark, base):
-    return seeds.seed_spot_grid_client(model(spark, base).zones, ev_zone=EV_ZONE)
+    return seeds.seed_spot_grid_client(model(spark, base).seed_zones, ev_zone=EV_ZONE)
 
 
 @register("booking_json_flatten", """

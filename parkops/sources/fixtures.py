@@ -77,6 +77,19 @@ class ParkingModel:
             (F.col("n_nationkey") % 8 != 7).alias("is_active"),
         )
 
+    @cached_property
+    def seed_zones(self) -> DataFrame:
+        """Zones to seed a spot grid for (one per supplier row, so the grid
+        grows with the data): id, name ``L<id>``, description, 12, active."""
+        s = self.raw("supplier")
+        return s.select(
+            F.col("s_suppkey").cast("int").alias("id"),
+            F.concat(F.lit("L"), F.col("s_suppkey").cast("string")).alias("name"),
+            F.col("s_name").alias("description"),
+            F.lit(12).cast("int").alias("total_spots"),
+            F.lit(True).alias("is_active"),
+        )
+
     @cached_property
     def spots(self) -> DataFrame:
         p = self.raw("part")
