@@ -23,9 +23,9 @@ def _ms(c):
     return F.unix_millis(c.cast("timestamp"))
 
 
-def match_extensions(bookings: DataFrame, extensions: DataFrame) -> DataFrame:
-    """Each extension with the booking it extends (NULL when the spot has no
-    booking yet) and the booking's end after it (``new_end_time``)."""
+def _assign(bookings: DataFrame, extensions: DataFrame) -> DataFrame:
+    """Each extension with the booking it extends: the spot's latest booking
+    starting at or before it (NULL when there is none yet)."""
     b = bookings.select("spot_id", F.col("start_time").alias("t"), F.lit(0).alias("kind"),
                         F.col("booking_id").alias("id"), F.col("booking_id").alias("val"),
                         F.lit(None).cast("int").alias("hours"))
@@ -33,9 +33,15 @@ def match_extensions(bookings: DataFrame, extensions: DataFrame) -> DataFrame:
                           F.col("event_id").alias("id"), F.lit(None).cast("bigint").alias("val"), "hours")
     both = b.unionByName(x).withColumn("_b", hour_bucket("t"))
     m = carry_value(both, ["spot_id"], "_b", ["t", "kind", "id"], "val", "booking_id", "prev")
-    ext = (m.filter(F.col("kind") == 1)
-           .select(F.col("id").alias("event_id"), "spot_id", F.col("t").alias("extended_at"),
-                   F.col("hours").alias("added_hours"), "booking_id"))
+    return (m.filter(F.col("kind") == 1)
+            .select(F.col("id").alias("event_id"), "spot_id", F.col("t").alias("extended_at"),
+                    F.col("hours").alias("added_hours"), "booking_id"))
+
+
+def match_extensions(bookings: DataFrame, extensions: DataFrame) -> DataFrame:
+    """Each extension with the booking it extends (NULL when the spot has no
+    booking yet) and the booking's end after it (``new_end_time``)."""
+    ext = _assign(bookings, extensions)
     matched = ext.filter(F.col("booking_id").isNotNull()).withColumn("_b", hour_bucket("extended_at"))
     run = prefix_sum(matched, ["booking_id"], "_b", ["extended_at", "event_id"], "added_hours", "cum_hours")
     ends = bookings.select(F.col("booking_id").alias("_bid"), F.col("end_time").alias("_end"))
@@ -82,7 +88,7 @@ def current_bookings(bookings: DataFrame, extensions: DataFrame, as_of: str) ->
     with its extensions up to ``as_of`` applied."""
     now = as_of_lit(as_of)
     b = bookings.filter(F.col("start_time") <= now)
-    eb = extended_bookings(b, match_extensions(b, extensions.filter(F.col("ts") <= now)))
+    eb = extended_bookings(b, _assign(b, extensions.filter(F.col("ts") <= now)))
     cols = ["booking_id", "vehicle_id", "start_time", "end_time", "duration_hours", "total_extended_hours",
             "extension_count"]
     g = eb.groupBy("spot_id").agg(F.max_by(F.struct(*cols), F.struct("start_time", "booking_id")).alias("b"))
