@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import hhmmss
-from ..plans.windows import carry_value, hour_bucket, prefix_sum
+from ..plans.windows import adaptive_bucket, carry_value, prefix_sum
 from ..schemas import CRITICAL_MS, WARNING_MS
 from ..sources.fixtures import as_of_lit
 
@@ -31,7 +31,7 @@ def _assign(bookings: DataFrame, extensions: DataFrame) -> DataFrame:
                         F.lit(None).cast("int").alias("hours"))
     x = extensions.select("spot_id", F.col("ts").alias("t"), F.lit(1).alias("kind"),
                           F.col("event_id").alias("id"), F.lit(None).cast("bigint").alias("val"), "hours")
-    both = b.unionByName(x).withColumn("_b", hour_bucket("t"))
+    both = adaptive_bucket(b.unionByName(x), ["spot_id"], "t")
     m = carry_value(both, ["spot_id"], "_b", ["t", "kind", "id"], "val", "booking_id", "prev")
     return (m.filter(F.col("kind") == 1)
             .select(F.col("id").alias("event_id"), "spot_id", F.col("t").alias("extended_at"),
@@ -42,7 +42,7 @@ def match_extensions(bookings: DataFrame, extensions: DataFrame) -> DataFrame:
     """Each extension with the booking it extends (NULL when the spot has no
     booking yet) and the booking's end after it (``new_end_time``)."""
     ext = _assign(bookings, extensions)
-    matched = ext.filter(F.col("booking_id").isNotNull()).withColumn("_b", hour_bucket("extended_at"))
+    matched = adaptive_bucket(ext.filter(F.col("booking_id").isNotNull()), ["booking_id"], "extended_at")
     run = prefix_sum(matched, ["booking_id"], "_b", ["extended_at", "event_id"], "added_hours", "cum_hours")
     ends = bookings.select(F.col("booking_id").alias("_bid"), F.col("end_time").alias("_end"))
     run = (run.join(ends, F.col("booking_id") == F.col("_bid"), "inner")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..plans.chains import reachable
 from ..plans.materialize import materialize
-from ..plans.windows import carry_value, hour_bucket, ordered_lookups
+from ..plans.windows import adaptive_bucket, carry_value, ordered_lookups
 
 ORDER = ["ts", "event_id"]
 
@@ -33,9 +33,8 @@ def session_pairing(log: DataFrame) -> DataFrame:
     vehicle was already parked), so the previous event decides each one.
     An accepted check-in is closed by the next check-out of the vehicle.
     """
-    ev = (log.filter(F.col("action").isin("check_in", "check_out"))
-          .select("event_id", "vehicle_id", "spot_id", "action", "ts")
-          .withColumn("_b", hour_bucket("ts")))
+    ev = adaptive_bucket(log.filter(F.col("action").isin("check_in", "check_out"))
+                         .select("event_id", "vehicle_id", "spot_id", "action", "ts"), ["vehicle_id"], "ts")
     ev = ev.withColumn("_out", F.when(F.col("action") == "check_out",
                                       F.struct(F.col("ts").alias("ts"), F.col("event_id").alias("event_id"))))
     ev = ordered_lookups(ev, ["vehicle_id"], "_b", ORDER,
@@ -66,8 +65,8 @@ def reservation_admission(log: DataFrame, spots: DataFrame) -> DataFrame:
                       F.col("is_reserved").alias("_res"))
     ev = (log.filter(F.col("action").isin("reserve", "cancel"))
           .select("event_id", "spot_id", "vehicle_id", "action", "ts", "hours")
-          .join(sp, F.col("spot_id") == F.col("_sid"), "left")
-          .withColumn("_b", hour_bucket("ts")))
+          .join(sp, F.col("spot_id") == F.col("_sid"), "left"))
+    ev = adaptive_bucket(ev, ["spot_id"], "ts")
     ev = ev.withColumn("_c", F.when(F.col("action") == "cancel", F.col("event_id")))
     ev = ordered_lookups(ev, ["spot_id"], "_b", ORDER,
                          [("prev", "action", "prev_action"), ("prev", "_c", "_prev_cancel")])
@@ -118,7 +117,7 @@ def _chain_accept(known: DataFrame) -> DataFrame:
                         F.col("event_id").alias("val"))
     probes = known.select("spot_id", F.col("end_time").alias("t"), F.lit(1).alias("kind"),
                           F.col("event_id").alias("id"), F.lit(None).cast("bigint").alias("val"))
-    both = reqs.unionByName(probes).withColumn("_b", hour_bucket("t"))
+    both = adaptive_bucket(reqs.unionByName(probes), ["spot_id"], "t")
     nxt = carry_value(both, ["spot_id"], "_b", ["t", "kind", "id"], "val", "nxt", "next")
     edges = nxt.filter(F.col("kind") == 1).select(F.col("id").alias("node"), "nxt")
     starts = (known.groupBy("spot_id")

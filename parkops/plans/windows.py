@@ -107,3 +107,25 @@ def prefix_sum(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[
 def hour_bucket(ts: str | Column) -> Column:
     c = F.col(ts) if isinstance(ts, str) else ts
     return F.date_trunc("hour", c)
+
+
+# A (key, hour) chunk with more rows than this is split into one-second
+# chunks, so a burst of one key inside one hour does not land in one task.
+HOT_CHUNK_ROWS = 1_000_000
+
+
+def adaptive_bucket(df: DataFrame, keys: Sequence[str], ts: str, out: str = "_b",
+                    hot_rows: int = HOT_CHUNK_ROWS) -> DataFrame:
+    """Add the bucket column for :func:`ordered_lookups`: the hour of ``ts``,
+    or the second of ``ts`` inside an hour that holds more than ``hot_rows``
+    rows of one key.  Both are truncations of ``ts``, so the bucket stays
+    monotone in (ts, ...) order.  The table of hot chunks has at most
+    rows / ``hot_rows`` entries, a proven bound, so it is broadcast."""
+    keys = list(keys)
+    hour = F.date_trunc("hour", F.col(ts))
+    with_hour = df.withColumn("_hb", hour)
+    hot = (with_hour.groupBy(*keys, "_hb").agg(F.count(F.lit(1)).alias("_n"))
+           .filter(F.col("_n") > hot_rows).select(*keys, "_hb", F.lit(True).alias("_hot")))
+    j = with_hour.join(F.broadcast(hot), [*keys, "_hb"], "left")
+    return (j.withColumn(out, F.when(F.col("_hot"), F.date_trunc("second", F.col(ts))).otherwise(F.col("_hb")))
+            .drop("_hb", "_hot"))

@@ -55,3 +55,18 @@ def test_global_row_number_is_dense(spark):
     df = spark.range(0, 1000).select((F.col("id") * 7 % 1000).alias("x"))
     r = global_row_number(df, ["x"], "rn", partitions=5).collect()
     assert sorted((row["x"], row["rn"]) for row in r) == [(i, i + 1) for i in range(1000)]
+
+
+def test_hot_hour_is_split_by_second(spark):
+    from parkops.plans.windows import adaptive_bucket
+    rnd = random.Random(17)
+    t0 = datetime(2024, 1, 1, 5)
+    rows = [(i, 1, t0 + timedelta(seconds=rnd.randint(0, 3599)), rnd.choice([None, i])) for i in range(300)]
+    rows += [(1000 + i, 2, t0 + timedelta(hours=rnd.randint(0, 30)), i) for i in range(50)]
+    df = spark.createDataFrame(rows, "id long, k long, ts timestamp_ntz, v long")
+    b = adaptive_bucket(df, ["k"], "ts", hot_rows=100)
+    assert b.filter("k = 1").select("_b").distinct().count() > 100   # the hot hour is split
+    got = carry_value(b, ["k"], "_b", ["ts", "id"], "v", "pv", "prev")
+    w = Window.partitionBy("k").orderBy("ts", "id")
+    ref = df.withColumn("pv", F.last("v", True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    assert sorted(got.select("id", "pv").collect()) == sorted(ref.select("id", "pv").collect())
