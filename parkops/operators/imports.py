@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import PASSWORD_MIN_LEN, PLATE_MAX_LEN, USERNAME_MAX_LEN, USERNAME_MIN_LEN, VEHICLE_TYPES
-from ..session import ensure_checkpoint_dir
+from ..plans.materialize import materialize
 
 # Fixed value: simplified e-mail shape (one @, a dot in the domain, no blanks).
 EMAIL_PATTERN = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
@@ -31,10 +31,9 @@ def greedy_unique(cand: DataFrame, id_col: str, keys: list[str], max_rounds: int
     the first remaining row for every one of its keys is certainly accepted;
     the rows sharing a key with it are certainly rejected; repeat on the
     rest.  Each round is a few aggregates and anti-joins; the remaining rows
-    are checkpointed between rounds.  Returns one column ``id_col``."""
-    spark = cand.sparkSession
-    ensure_checkpoint_dir(spark)
-    rest = cand.select(id_col, *keys).checkpoint(eager=True)
+    are written to the checkpoint folder between rounds.  Returns one column
+    ``id_col``."""
+    rest = materialize(cand.select(id_col, *keys), "greedy-rest")
     won: DataFrame | None = None
     rounds = 0
     while rest.limit(1).count() > 0:
@@ -42,12 +41,12 @@ def greedy_unique(cand: DataFrame, id_col: str, keys: list[str], max_rounds: int
         for k in keys:
             m = rest.groupBy(k).agg(F.min(id_col).alias(f"_min_{k}"))
             firsts = firsts.join(m, k, "inner").filter(F.col(id_col) == F.col(f"_min_{k}")).drop(f"_min_{k}")
-        firsts = firsts.checkpoint(eager=True)
+        firsts = materialize(firsts, "greedy-won")
         won = firsts.select(id_col) if won is None else won.unionByName(firsts.select(id_col))
         nxt = rest
         for k in keys:
             nxt = nxt.join(firsts.select(k).distinct(), k, "left_anti")
-        rest = nxt.checkpoint(eager=True)
+        rest = materialize(nxt, "greedy-rest")
         rounds += 1
         if max_rounds is not None and rounds >= max_rounds:
             raise RuntimeError("greedy_unique did not settle")
