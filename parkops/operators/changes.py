@@ -86,14 +86,19 @@ def delete_propagation(zones: DataFrame, spots: DataFrame, users: DataFrame, veh
 
 
 def delete_summary(before: dict[str, DataFrame], after: dict[str, DataFrame]) -> DataFrame:
-    """Rows before / after and SET NULL counts per table (one row each)."""
-    out = None
+    """Rows before / after and SET NULL counts per table (one row each),
+    from one aggregate over the tagged union of all tables."""
+    parts = []
     for name, df in after.items():
-        nulled = F.count_if(F.col("_nulled")) if "_nulled" in df.columns else F.lit(0).cast("bigint")
-        a = df.agg(F.count(F.lit(1)).alias("remaining_rows"), nulled.alias("nulled_rows"))
-        b = before[name].agg(F.count(F.lit(1)).alias("rows_before"))
-        row = a.crossJoin(b).select(F.lit(name).alias("table_name"), "rows_before", "remaining_rows",
-                                    (F.col("rows_before") - F.col("remaining_rows")).alias("deleted_rows"),
-                                    F.col("nulled_rows").cast("bigint").alias("nulled_rows"))
-        out = row if out is None else out.unionByName(row)
-    return out
+        nulled = F.col("_nulled") if "_nulled" in df.columns else F.lit(False)
+        parts.append(df.select(F.lit(name).alias("table_name"), F.lit(1).alias("_after"), nulled.alias("_null")))
+        parts.append(before[name].select(F.lit(name).alias("table_name"), F.lit(0).alias("_after"),
+                                         F.lit(False).alias("_null")))
+    u = parts[0]
+    for p in parts[1:]:
+        u = u.unionByName(p)
+    g = u.groupBy("table_name").agg(F.count_if(F.col("_after") == 0).alias("rows_before"),
+                                    F.count_if(F.col("_after") == 1).alias("remaining_rows"),
+                                    F.count_if(F.col("_null")).alias("nulled_rows"))
+    return g.select("table_name", "rows_before", "remaining_rows",
+                    (F.col("rows_before") - F.col("remaining_rows")).alias("deleted_rows"), "nulled_rows")

@@ -94,18 +94,11 @@ def dashboard_kpis_client(spots: DataFrame, sessions: DataFrame, as_of: str,
     """Client dashboard: revenue = every completed amount plus open time at a
     flat rate (minutes / 60 * rate), rounded to cents, with no date filter;
     vehicles = number of sessions."""
-    now_ms = F.unix_millis(as_of_lit(as_of).cast("timestamp"))
-    open_ms = now_ms - F.unix_millis(F.col("entry_time").cast("timestamp"))
-    is_open = F.col("exit_time").isNull()
-    completed = (F.col("duration_minutes") > 0) & F.col("total_amount").isNotNull() & (F.col("total_amount") != 0)
-    s = sessions.agg(
-        F.coalesce(F.sum(F.when(completed, F.col("total_amount").cast("double"))), F.lit(0.0)).alias("_done"),
-        F.coalesce(F.sum(F.when(is_open, open_ms / 60000.0 / 60.0 * flat_rate)), F.lit(0.0)).alias("_open"),
-        F.count(F.lit(1)).alias("today_vehicles"))
+    s = sessions.agg(_client_revenue(as_of, flat_rate).alias("today_revenue"),
+                     F.count(F.lit(1)).alias("today_vehicles"))
     k = spot_kpis(spots, js_truthy=True)
     return k.crossJoin(s).select(
-        "total_spots", "occupied_spots", "available_spots", "reserved_spots",
-        F.round(F.col("_done") + F.col("_open"), 2).alias("today_revenue"),
+        "total_spots", "occupied_spots", "available_spots", "reserved_spots", "today_revenue",
         "today_vehicles", pct_int(F.col("occupied_spots"), F.col("total_spots")).alias("occupancy_rate"))
 
 
@@ -190,18 +183,28 @@ def spot_type_availability(spots: DataFrame) -> DataFrame:
         F.count_if(~occ).alias("unoccupied_spots"))
 
 
-def revenue_summary(spots: DataFrame, sessions: DataFrame, as_of: str, flat_rate: float = 5.0) -> DataFrame:
+def _client_revenue(as_of: str, flat_rate: float):
+    """Aggregate expression of the client dashboard revenue (sessions only)."""
+    now_ms = F.unix_millis(as_of_lit(as_of).cast("timestamp"))
+    open_ms = now_ms - F.unix_millis(F.col("entry_time").cast("timestamp"))
+    completed = (F.col("duration_minutes") > 0) & F.col("total_amount").isNotNull() & (F.col("total_amount") != 0)
+    done = F.coalesce(F.sum(F.when(completed, F.col("total_amount").cast("double"))), F.lit(0.0))
+    live = F.coalesce(F.sum(F.when(F.col("exit_time").isNull(), open_ms / 60000.0 / 60.0 * flat_rate)), F.lit(0.0))
+    return F.round(done + live, 2)
+
+
+def revenue_summary(sessions: DataFrame, as_of: str, flat_rate: float = 5.0) -> DataFrame:
     """Client revenue card: completed total, booked-hours estimate of open
-    sessions at a flat rate, and the dashboard total (need not add up)."""
+    sessions at a flat rate, and the dashboard total (need not add up).
+    One aggregate over the sessions."""
     done = F.col("exit_time").isNotNull() & (F.col("duration_minutes") > 0)
     is_open = F.col("exit_time").isNull()
-    s = sessions.agg(
+    return sessions.agg(
         F.round(F.coalesce(F.sum(F.when(done, F.coalesce(F.col("total_amount"), F.lit(0)))), F.lit(0))
                 .cast("double"), 2).alias("completed_total"),
         F.round(F.coalesce(F.sum(F.when(is_open, F.col("booked_hours") * flat_rate)), F.lit(0.0))
-                .cast("double"), 2).alias("active_estimate"))
-    k = dashboard_kpis_client(spots, sessions, as_of, flat_rate).select(F.col("today_revenue").alias("kpi_total"))
-    return s.crossJoin(k)
+                .cast("double"), 2).alias("active_estimate"),
+        _client_revenue(as_of, flat_rate).alias("kpi_total"))
 
 
 def occupancy_profile(zones: DataFrame, spots: DataFrame, sessions: DataFrame, as_of: str,

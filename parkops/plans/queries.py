@@ -191,7 +191,7 @@ def q_spot_type_availability(spark, base):
 """)
 def q_revenue_summary(spark, base):
     m = model(spark, base)
-    return reports.revenue_summary(m.spots, m.sessions, AS_OF)
+    return reports.revenue_summary(m.sessions, AS_OF)
 
 
 @register("occupancy_profile", f"""

@@ -6,8 +6,9 @@ import __spark_entry__ as entry
 from conftest import SF_SMALL
 
 QUERIES = entry.queries()
-CROSS_OK = {"dashboard_kpis", "dashboard_kpis_client", "revenue_summary", "occupancy_profile", "seed_spot_grid",
-            "seed_spot_grid_client", "delete_propagation"}
+# one-row KPI frames (#23, #24), the seed grid (#2, #3), the zone x hour grid (#33)
+CROSS_OK = {"dashboard_kpis", "dashboard_kpis_client", "occupancy_profile", "seed_spot_grid",
+            "seed_spot_grid_client"}
 PYTHON_OK = {"spot_booking_admission", "apply_extensions", "expire_bookings", "spot_status_board",
              "booking_urgency", "urgency_counts", "booking_progress"}
 STREAMS = {q for q in QUERIES if q.startswith("stream_")} | {"result_sink"}
