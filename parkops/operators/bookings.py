@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import hhmmss
-from ..plans.windows import adaptive_bucket, carry_value, prefix_sum
+from ..plans.materialize import materialize
+from ..plans.windows import adaptive_bucket, carry_value, ordered_lookups
 from ..schemas import CRITICAL_MS, WARNING_MS
 from ..sources.fixtures import as_of_lit
 
@@ -23,16 +24,31 @@ def _ms(c):
     return F.unix_millis(c.cast("timestamp"))
 
 
-def _assign(bookings: DataFrame, extensions: DataFrame) -> DataFrame:
-    """Each extension with the booking it extends: the spot's latest booking
-    starting at or before it (NULL when there is none yet)."""
+def _spot_pass(bookings: DataFrame, extensions: DataFrame) -> DataFrame:
+    """One ordered pass per spot over bookings and extensions together:
+    the booking each row falls under (latest start at or before it) and the
+    running total of extension hours on the spot."""
     b = bookings.select("spot_id", F.col("start_time").alias("t"), F.lit(0).alias("kind"),
                         F.col("booking_id").alias("id"), F.col("booking_id").alias("val"),
                         F.lit(None).cast("int").alias("hours"))
     x = extensions.select("spot_id", F.col("ts").alias("t"), F.lit(1).alias("kind"),
                           F.col("event_id").alias("id"), F.lit(None).cast("bigint").alias("val"), "hours")
     both = adaptive_bucket(b.unionByName(x), ["spot_id"], "t")
-    m = carry_value(both, ["spot_id"], "_b", ["t", "kind", "id"], "val", "booking_id", "prev")
+    return ordered_lookups(both, ["spot_id"], "_b", ["t", "kind", "id"],
+                           [("prev", "val", "booking_id"), ("cumsum", "hours", "cum_hours")])
+
+
+def _assign(bookings: DataFrame, extensions: DataFrame) -> DataFrame:
+    """Each extension with the booking it extends: the spot's latest booking
+    starting at or before it (NULL when there is none yet)."""
+    m = carry_value(adaptive_bucket(
+        bookings.select("spot_id", F.col("start_time").alias("t"), F.lit(0).alias("kind"),
+                        F.col("booking_id").alias("id"), F.col("booking_id").alias("val"),
+                        F.lit(None).cast("int").alias("hours"))
+        .unionByName(extensions.select("spot_id", F.col("ts").alias("t"), F.lit(1).alias("kind"),
+                                       F.col("event_id").alias("id"), F.lit(None).cast("bigint").alias("val"),
+                                       "hours")), ["spot_id"], "t"),
+        ["spot_id"], "_b", ["t", "kind", "id"], "val", "booking_id", "prev")
     return (m.filter(F.col("kind") == 1)
             .select(F.col("id").alias("event_id"), "spot_id", F.col("t").alias("extended_at"),
                     F.col("hours").alias("added_hours"), "booking_id"))
@@ -40,18 +56,26 @@ def _assign(bookings: DataFrame, extensions: DataFrame) -> DataFrame:
 
 def match_extensions(bookings: DataFrame, extensions: DataFrame) -> DataFrame:
     """Each extension with the booking it extends (NULL when the spot has no
-    booking yet) and the booking's end after it (``new_end_time``)."""
-    ext = _assign(bookings, extensions)
-    matched = adaptive_bucket(ext.filter(F.col("booking_id").isNotNull()), ["booking_id"], "extended_at")
-    run = prefix_sum(matched, ["booking_id"], "_b", ["extended_at", "event_id"], "added_hours", "cum_hours")
-    ends = bookings.select(F.col("booking_id").alias("_bid"), F.col("end_time").alias("_end"))
-    run = (run.join(ends, F.col("booking_id") == F.col("_bid"), "inner")
-           .withColumn("new_end_time", F.col("_end") + F.make_dt_interval(hours=F.col("cum_hours").cast("int")))
-           .select("event_id", "spot_id", "extended_at", "added_hours", "booking_id", "new_end_time"))
-    unmatched = (ext.filter(F.col("booking_id").isNull())
-                 .select("event_id", "spot_id", "extended_at", "added_hours", "booking_id",
-                         F.lit(None).cast("timestamp_ntz").alias("new_end_time")))
-    return run.unionByName(unmatched)
+    booking yet) and the booking's end after it (``new_end_time``).
+
+    The running extension total of the spot at the extension, minus the one
+    at the booking's start, is the booking's running total; the latter is a
+    join on the (unique) booking id, not a window over the booking."""
+    p = materialize(_spot_pass(bookings, extensions), "spot-pass")
+    at_start = (p.filter(F.col("kind") == 0)
+                .select(F.col("id").alias("_bid"), F.col("cum_hours").alias("_base")))
+    ends = bookings.select(F.col("booking_id").alias("_eid"), F.col("end_time").alias("_end"))
+    ext = p.filter(F.col("kind") == 1)
+    matched = (ext.filter(F.col("booking_id").isNotNull())
+               .join(at_start, F.col("booking_id") == F.col("_bid"), "inner")
+               .join(ends, F.col("booking_id") == F.col("_eid"), "inner")
+               .withColumn("new_end_time", F.col("_end") + F.make_dt_interval(
+                   hours=(F.col("cum_hours") - F.coalesce(F.col("_base"), F.lit(0))).cast("int"))))
+    unmatched = ext.filter(F.col("booking_id").isNull()).withColumn(
+        "new_end_time", F.lit(None).cast("timestamp_ntz"))
+    cols = [F.col("id").alias("event_id"), "spot_id", F.col("t").alias("extended_at"),
+            F.col("hours").alias("added_hours"), "booking_id", "new_end_time"]
+    return matched.select(*cols).unionByName(unmatched.select(*cols))
 
 
 def extended_bookings(bookings: DataFrame, matched: DataFrame) -> DataFrame:

@@ -146,13 +146,15 @@ def spot_booking_admission(log: DataFrame, spots: DataFrame, group_limit: int =
                    (F.col("ts") + F.make_dt_interval(hours=F.col("hours"))).alias("end_time")))
     ids = spots.select(F.col("id").alias("spot_id")).distinct()
     known = req.join(ids, "spot_id", "left_semi")
-    sizes = known.groupBy("spot_id").agg(F.count(F.lit(1)).alias("_n"))
+    # requests per spot: a small table, written once and read by the split
+    # below and by the check for busy spots
+    sizes = materialize(known.groupBy("spot_id").agg(F.count(F.lit(1)).alias("_n")), "spot-sizes")
     sized = known.join(sizes, "spot_id")
     small = sized.filter(F.col("_n") <= group_limit).select("event_id", "spot_id", "ts", "end_time")
     big = sized.filter(F.col("_n") > group_limit).drop("_n")
     decided_small = (small.groupBy("spot_id").applyInPandas(_greedy_spot, "event_id long, _ok boolean")
                      .filter(F.col("_ok")))
-    if big.limit(1).count() > 0:
+    if sizes.filter(F.col("_n") > group_limit).limit(1).count() > 0:
         decided = decided_small.unionByName(_chain_accept(big))
     else:
         decided = decided_small
