@@ -32,9 +32,16 @@ def session_pairing(log: DataFrame) -> DataFrame:
     exactly when the event is a check-in (accepted, or rejected because the
     vehicle was already parked), so the previous event decides each one.
     An accepted check-in is closed by the next check-out of the vehicle.
+    Events without a vehicle or a time are rejected (``invalid_event``).
     """
-    ev = adaptive_bucket(log.filter(F.col("action").isin("check_in", "check_out"))
-                         .select("event_id", "vehicle_id", "spot_id", "action", "ts"), ["vehicle_id"], "ts")
+    pairs = (log.filter(F.col("action").isin("check_in", "check_out"))
+             .select("event_id", "vehicle_id", "spot_id", "action", "ts"))
+    ok = F.col("vehicle_id").isNotNull() & F.col("ts").isNotNull()
+    bad = pairs.filter(~ok).select(
+        "event_id", "vehicle_id", "spot_id", "action", "ts", F.lit(False).alias("accepted"),
+        F.lit("invalid_event").alias("reason"), F.lit(None).cast("timestamp_ntz").alias("exit_time"),
+        F.lit(None).cast("bigint").alias("exit_event_id"))
+    ev = adaptive_bucket(pairs.filter(ok), ["vehicle_id"], "ts")
     ev = ev.withColumn("_out", F.when(F.col("action") == "check_out",
                                       F.struct(F.col("ts").alias("ts"), F.col("event_id").alias("event_id"))))
     ev = ordered_lookups(ev, ["vehicle_id"], "_b", ORDER,
@@ -48,7 +55,7 @@ def session_pairing(log: DataFrame) -> DataFrame:
         F.when(accepted, F.lit(None).cast("string"))
          .when(is_in, F.lit("already_parked")).otherwise(F.lit("no_open_session")).alias("reason"),
         F.when(closes, F.col("_next_out.ts")).alias("exit_time"),
-        F.when(closes, F.col("_next_out.event_id")).alias("exit_event_id"))
+        F.when(closes, F.col("_next_out.event_id")).alias("exit_event_id")).unionByName(bad)
 
 
 def reservation_admission(log: DataFrame, spots: DataFrame) -> DataFrame:
@@ -63,10 +70,14 @@ def reservation_admission(log: DataFrame, spots: DataFrame) -> DataFrame:
     """
     sp = spots.select(F.col("id").alias("_sid"), F.col("is_occupied").alias("_occ"),
                       F.col("is_reserved").alias("_res"))
-    ev = (log.filter(F.col("action").isin("reserve", "cancel"))
-          .select("event_id", "spot_id", "vehicle_id", "action", "ts", "hours")
-          .join(sp, F.col("spot_id") == F.col("_sid"), "left"))
-    ev = adaptive_bucket(ev, ["spot_id"], "ts")
+    rows = (log.filter(F.col("action").isin("reserve", "cancel"))
+            .select("event_id", "spot_id", "vehicle_id", "action", "ts", "hours"))
+    ok = F.col("spot_id").isNotNull() & F.col("ts").isNotNull()
+    bad = rows.filter(~ok).select(
+        "event_id", "spot_id", "vehicle_id", "action", "ts", F.lit(False).alias("accepted"),
+        F.when(F.col("spot_id").isNull(), F.lit("spot_not_found")).otherwise(F.lit("invalid_event"))
+         .alias("reason"), F.lit(None).cast("timestamp_ntz").alias("end_time"))
+    ev = adaptive_bucket(rows.filter(ok).join(sp, F.col("spot_id") == F.col("_sid"), "left"), ["spot_id"], "ts")
     ev = ev.withColumn("_c", F.when(F.col("action") == "cancel", F.col("event_id")))
     ev = ordered_lookups(ev, ["spot_id"], "_b", ORDER,
                          [("prev", "action", "prev_action"), ("prev", "_c", "_prev_cancel")])
@@ -87,7 +98,7 @@ def reservation_admission(log: DataFrame, spots: DataFrame) -> DataFrame:
     return ev.select("event_id", "spot_id", "vehicle_id", "action", "ts", accepted.alias("accepted"),
                      reason.alias("reason"),
                      F.when(accepted & is_res, F.col("ts") + F.make_dt_interval(hours=F.col("hours")))
-                      .alias("end_time"))
+                      .alias("end_time")).unionByName(bad)
 
 
 # Spots with at most this many requests are decided by one sequential pass
@@ -145,7 +156,7 @@ def spot_booking_admission(log: DataFrame, spots: DataFrame, group_limit: int =
            .select("event_id", "spot_id", "vehicle_id", "ts", "hours",
                    (F.col("ts") + F.make_dt_interval(hours=F.col("hours"))).alias("end_time")))
     ids = spots.select(F.col("id").alias("spot_id")).distinct()
-    known = req.join(ids, "spot_id", "left_semi")
+    known = req.filter(F.col("ts").isNotNull() & F.col("hours").isNotNull()).join(ids, "spot_id", "left_semi")
     # requests per spot: a small table, written once and read by the split
     # below and by the check for busy spots
     sizes = materialize(known.groupBy("spot_id").agg(F.count(F.lit(1)).alias("_n")), "spot-sizes")

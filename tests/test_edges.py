@@ -170,3 +170,15 @@ def test_batch_registration_first_wins_and_chains(spark):
     assert [r[i]["accepted"] for i in range(1, 7)] == [True, False, True, False, False, False]
     assert r[2]["reason"] == "duplicate_in_batch" and r[5]["reason"] == "already_exists"
     assert r[6]["reason"] == "email_invalid" and r[1]["role"] == "customer"
+
+
+def test_events_without_key_or_time_are_rejected(spark):
+    log = log_df(spark, [(1, None, 7, 1, "check_in", 1), (2, dt(2024, 1, 1, 9), None, 1, "check_in", 1),
+                         (3, dt(2024, 1, 1, 9), 7, 1, "check_in", 1)])
+    r = {x["event_id"]: (x["accepted"], x["reason"]) for x in lifecycle.session_pairing(log).collect()}
+    assert r == {1: (False, "invalid_event"), 2: (False, "invalid_event"), 3: (True, None)}
+    spots = spots_df(spark, [(1, "S1", 1, "regular", False, False, None)])
+    rl = log_df(spark, [(1, None, 7, 1, "reserve", 1), (2, dt(2024, 1, 1, 9), 7, None, "reserve", 1),
+                        (3, dt(2024, 1, 1, 9), 7, 1, "reserve", 1)])
+    r = {x["event_id"]: (x["accepted"], x["reason"]) for x in lifecycle.reservation_admission(rl, spots).collect()}
+    assert r == {1: (False, "invalid_event"), 2: (False, "spot_not_found"), 3: (True, None)}
