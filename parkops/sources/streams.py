@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def read_stream_table(spark: SparkSession, base_dir: str, name: str, max_files: int = 1) -> DataFrame:
-    schema = spark.read.parquet(f"{base_dir.rstrip('/')}/{name}.parquet").schema
+    from .tables import RAW_SCHEMAS
+    schema = RAW_SCHEMAS.get(name) or spark.read.parquet(f"{base_dir.rstrip('/')}/{name}.parquet").schema
     return (spark.readStream.schema(schema)
             .option("pathGlobFilter", f"{name}.parquet")
             .option("maxFilesPerTrigger", max_files)

@@ -7,15 +7,42 @@ filters of whatever query is built on top down into the Parquet scan.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
                  "events", "documents", "embeddings", "pages", "benchmark", "labels",
                  "conversations")
 
 
+def _schema(*fields: tuple[str, T.DataType]) -> T.StructType:
+    return T.StructType([T.StructField(n, t, True) for n, t in fields])
+
+
+_L, _I, _D, _S, _TS = T.LongType(), T.IntegerType(), T.DoubleType(), T.StringType(), T.TimestampNTZType()
+
+# Explicit schemas of the input tables the parking model reads: nothing is
+# inferred, and a file whose types drift fails at the scan instead of later.
+RAW_SCHEMAS: dict[str, T.StructType] = {
+    "nation": _schema(("n_nationkey", _I), ("n_name", _S), ("n_regionkey", _I)),
+    "customer": _schema(("c_custkey", _L), ("c_name", _S), ("c_nationkey", _I), ("c_acctbal", _D),
+                        ("c_mktsegment", _S)),
+    "supplier": _schema(("s_suppkey", _L), ("s_name", _S), ("s_nationkey", _I), ("s_acctbal", _D)),
+    "part": _schema(("p_partkey", _L), ("p_name", _S), ("p_brand", _S), ("p_type", _S), ("p_size", _I),
+                    ("p_retailprice", _D)),
+    "orders": _schema(("o_orderkey", _L), ("o_custkey", _L), ("o_orderstatus", _S), ("o_totalprice", _D),
+                      ("o_orderdate", _TS), ("o_orderpriority", _S)),
+    "events": _schema(("event_id", _L), ("ts", _TS), ("user_id", _L), ("event_type", _S), ("value", _D),
+                      ("props", _S)),
+}
+
+
 def table_path(base_dir: str, name: str) -> str:
     return f"{base_dir.rstrip('/')}/{name}.parquet"
 
 
 def read_table(spark: SparkSession, base_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(table_path(base_dir, name))
+    """Read one input table, with its explicit schema when it has one."""
+    reader = spark.read
+    if name in RAW_SCHEMAS:
+        reader = reader.schema(RAW_SCHEMAS[name])
+    return reader.parquet(table_path(base_dir, name))
