@@ -15,11 +15,6 @@ def whole_minutes(start: Column | str, end: Column | str) -> Column:
     return F.timestamp_diff("MINUTE", col(start), col(end))
 
 
-def elapsed_ms(start: Column | str, end: Column | str) -> Column:
-    """Milliseconds from ``start`` to ``end`` as BIGINT."""
-    return F.unix_millis(col(end).cast("timestamp")) - F.unix_millis(col(start).cast("timestamp"))
-
-
 def js_or(x: Column | str, default) -> Column:
     """``x || default`` of JavaScript for numbers: 0 and NULL both fall back."""
     x = col(x)
@@ -37,14 +32,6 @@ def pct_int(part: Column, whole: Column) -> Column:
         .cast("bigint")
 
 
-def money(c: Column | str) -> Column:
-    return col(c).cast("double")
-
-
-def count_if(cond: Column) -> Column:
-    return F.count_if(cond)
-
-
 def hhmmss(total_ms: Column) -> Column:
     """``hh:mm:ss`` from milliseconds; hours are padded to two digits but
     never cut (100 h stays ``100``)."""

@@ -104,9 +104,6 @@ def prefix_sum(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[
     return ordered_lookups(df, keys, bucket, order, [("cumsum", value, out)])
 
 
-def hour_bucket(ts: str | Column) -> Column:
-    c = F.col(ts) if isinstance(ts, str) else ts
-    return F.date_trunc("hour", c)
 
 
 # A (key, hour) chunk with more rows than this is split into one-second

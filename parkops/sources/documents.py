@@ -42,8 +42,3 @@ def booking_json_flatten(docs: DataFrame, doc_col: str = "doc") -> DataFrame:
         "duration_hours", "expired", "total_extended_hours", "ext_pos",
         F.col("ext.addedHours").alias("added_hours"), iso_time(F.col("ext.extendedAt")).alias("extended_at"),
         iso_time(F.col("ext.newEndTime")).alias("new_end_time"))
-
-
-def booking_json_build(flat_bookings: DataFrame) -> DataFrame:
-    """Serialise spot rows with a booking struct column to JSON text."""
-    return flat_bookings.select(F.to_json(F.struct(*flat_bookings.columns)).alias("doc"))
