@@ -40,3 +40,15 @@ def test_stream_booking_admissions_match_batch_without_extensions(spark):
     booked = st.filter(F.col("kind") == "booked").select("event_id")
     assert booked.exceptAll(batch.filter("accepted").select("event_id")).count() == 0
     assert batch.filter("accepted").count() == booked.count()
+
+
+def test_spot_state_update_mode_equals_complete_mode(spark):
+    from parkops.sources.fixtures import model
+    from parkops.streaming import jobs as sj
+    from parkops.streaming.runner import run_available_now
+    ms = model(spark, SF_SMALL, streams=("events",))
+    upd = sj.spot_state_out(run_available_now(sj.spot_state(ms.lot_events("vehicle")), "spot_state_upd",
+                                              "update", keys=["spot_id"]))
+    full = Q["stream_spot_state"](spark, SF_SMALL)
+    assert upd.count() == full.count()
+    assert upd.exceptAll(full.select(*upd.columns)).count() == 0
