@@ -38,9 +38,12 @@ def run_available_now(stream: DataFrame, name: str, output_mode: str = "append",
     w = w.trigger(processingTime=processing_time) if processing_time else w.trigger(availableNow=True)
     q = w.start()
     try:
-        q.awaitTermination(timeout_s)
+        finished = q.awaitTermination(timeout_s)
         if q.exception() is not None:
             raise RuntimeError(f"stream {name} failed: {q.exception()}")
+        if not finished:
+            # never hand back a partial result as if it were whole
+            raise TimeoutError(f"stream {name} did not drain its input within {timeout_s} s")
     finally:
         if q.isActive:
             q.stop()
