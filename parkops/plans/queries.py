@@ -1043,6 +1043,38 @@ def q_stream_session_pairing(spark, base):
     return run_available_now(sj.session_pairing_stream(m.lot_events("vehicle")), "session_pairing", "append")
 
 
+@register("stream_booking_decisions", """
+    WITH RECURSIVE ev AS (
+        SELECT event_id, spot_id, ts, action, hours,
+               row_number() OVER (PARTITION BY spot_id ORDER BY ts, event_id) AS rn
+        FROM vehicle_log WHERE action IN ('check_in', 'extend')),
+    walk(spot_id, rn, event_id, ts, bid, end_t, kind) AS (
+        SELECT spot_id, rn, event_id, ts,
+               CASE WHEN action = 'check_in' THEN event_id END,
+               CASE WHEN action = 'check_in' THEN ts + to_hours(hours) END,
+               CASE WHEN action = 'check_in' THEN 'booked' END
+        FROM ev WHERE rn = 1
+        UNION ALL
+        SELECT e.spot_id, e.rn, e.event_id, e.ts,
+               CASE WHEN e.action = 'check_in' AND (w.bid IS NULL OR e.ts > w.end_t) THEN e.event_id
+                    ELSE w.bid END,
+               CASE WHEN e.action = 'check_in' AND (w.bid IS NULL OR e.ts > w.end_t) THEN e.ts + to_hours(e.hours)
+                    WHEN e.action = 'extend' AND w.bid IS NOT NULL THEN w.end_t + to_hours(e.hours)
+                    ELSE w.end_t END,
+               CASE WHEN e.action = 'check_in' AND (w.bid IS NULL OR e.ts > w.end_t) THEN 'booked'
+                    WHEN e.action = 'check_in' THEN 'rejected'
+                    WHEN w.bid IS NOT NULL THEN 'extended' END
+        FROM walk w JOIN ev e ON e.spot_id = w.spot_id AND e.rn = w.rn + 1)
+    SELECT spot_id, event_id, kind, ts, end_t AS end_time FROM walk WHERE kind IS NOT NULL
+""")
+def q_stream_booking_decisions(spark, base):
+    """The admission and extension rows of the live booking stream (#51);
+    expiry rows, which depend on where the watermark ends, are left out."""
+    m = _stream_model(spark, base)
+    out = run_available_now(sj.booking_expiry_stream(m.lot_events("vehicle")), "booking_decisions", "append")
+    return out.filter(F.col("kind") != "expired")
+
+
 @register("stream_booking_expiry")
 def q_stream_booking_expiry(spark, base):
     """Rows-only check: expiry rows depend on where the watermark ends."""

@@ -118,38 +118,43 @@ def session_pairing_stream(log: DataFrame) -> DataFrame:
 # #51 booking admission and expiry, stateful per spot with event-time timeout
 # --------------------------------------------------------------------------
 BOOKING_OUT = "spot_id long, event_id long, kind string, ts timestamp_ntz, end_time timestamp_ntz"
-BOOKING_STATE = "booking_id long, end_ms long, expired boolean"
+BOOKING_STATE = "booking_id long, end_us long, expired boolean"
+_HOUR_US = 3_600_000_000
+
+
+def _us_to_ts(us: int) -> pd.Timestamp:
+    return pd.Timestamp(us * 1000)
 
 
 def _booking(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     spot = int(key[0])
     if state.hasTimedOut:
-        bid, end_ms, _ = state.get
-        state.update((bid, end_ms, True))
+        bid, end_us, _ = state.get
+        state.update((bid, end_us, True))
         yield pd.DataFrame({"spot_id": [spot], "event_id": [bid], "kind": ["expired"],
-                            "ts": [pd.Timestamp(end_ms, unit="ms")], "end_time": [pd.Timestamp(end_ms, unit="ms")]})
+                            "ts": [_us_to_ts(end_us)], "end_time": [_us_to_ts(end_us)]})
         return
     pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "event_id"], kind="stable")
-    bid, end_ms, expired = state.get if state.exists else (None, None, True)
+    bid, end_us, expired = state.get if state.exists else (None, None, True)
     rows = []
     # requests of one spot in one micro-batch, in (time, id) order: the
     # decision of each depends on the booking the previous ones left
     for ev_id, ts, action, hours in zip(pdf["event_id"], pdf["ts"], pdf["action"], pdf["hours"]):
-        t_ms = int(pd.Timestamp(ts).value // 1_000_000)
+        t_us = int(pd.Timestamp(ts).value // 1000)
         if action == "check_in":
-            if bid is None or t_ms > end_ms:
-                bid, end_ms, expired = int(ev_id), t_ms + int(hours) * 3_600_000, False
-                rows.append((spot, bid, "booked", ts, pd.Timestamp(end_ms, unit="ms")))
+            if bid is None or t_us > end_us:
+                bid, end_us, expired = int(ev_id), t_us + int(hours) * _HOUR_US, False
+                rows.append((spot, bid, "booked", ts, _us_to_ts(end_us)))
             else:
-                rows.append((spot, int(ev_id), "rejected", ts, pd.Timestamp(end_ms, unit="ms")))
+                rows.append((spot, int(ev_id), "rejected", ts, _us_to_ts(end_us)))
         elif action == "extend" and bid is not None:
-            end_ms, expired = end_ms + int(hours) * 3_600_000, False
-            rows.append((spot, int(ev_id), "extended", ts, pd.Timestamp(end_ms, unit="ms")))
+            end_us, expired = end_us + int(hours) * _HOUR_US, False
+            rows.append((spot, int(ev_id), "extended", ts, _us_to_ts(end_us)))
     if bid is not None:
-        state.update((bid, end_ms, expired))
-        wm = state.getCurrentWatermarkMs()
-        if not expired and end_ms + 1 > wm:
-            state.setTimeoutTimestamp(end_ms + 1)
+        state.update((bid, end_us, expired))
+        timeout_ms = end_us // 1000 + 1
+        if not expired and timeout_ms > state.getCurrentWatermarkMs():
+            state.setTimeoutTimestamp(timeout_ms)
     yield pd.DataFrame(rows, columns=["spot_id", "event_id", "kind", "ts", "end_time"])
 
 
