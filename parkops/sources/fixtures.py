@@ -9,7 +9,7 @@ broadcast-size-checked dimension lookup done by the planner.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,7 +57,6 @@ class ParkingModel:
     spark: SparkSession
     base_dir: str
     streams: tuple[str, ...] = ()
-    _cache: dict = field(default_factory=dict, repr=False)
 
     def raw(self, name: str) -> DataFrame:
         """A driver table; names listed in ``streams`` are read as a stream."""

@@ -3,7 +3,6 @@
 from datetime import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
 
 from parkops import schemas as S
 from parkops.functions.billing import bill
