@@ -157,18 +157,21 @@ def spot_booking_admission(log: DataFrame, spots: DataFrame, group_limit: int =
                    (F.col("ts") + F.make_dt_interval(hours=F.col("hours"))).alias("end_time")))
     ids = spots.select(F.col("id").alias("spot_id")).distinct()
     known = req.filter(F.col("ts").isNotNull() & F.col("hours").isNotNull()).join(ids, "spot_id", "left_semi")
-    # requests per spot: a small table, written once and read by the split
-    # below and by the check for busy spots
-    sizes = materialize(known.groupBy("spot_id").agg(F.count(F.lit(1)).alias("_n")), "spot-sizes")
-    sized = known.join(sizes, "spot_id")
-    small = sized.filter(F.col("_n") <= group_limit).select("event_id", "spot_id", "ts", "end_time")
-    big = sized.filter(F.col("_n") > group_limit).drop("_n")
-    decided_small = (small.groupBy("spot_id").applyInPandas(_greedy_spot, "event_id long, _ok boolean")
-                     .filter(F.col("_ok")))
-    if sizes.filter(F.col("_n") > group_limit).limit(1).count() > 0:
-        decided = decided_small.unionByName(_chain_accept(big))
+    # busiest spot first (one small aggregate): in the usual case every spot
+    # fits the bounded pandas pass and no split is needed
+    sizes = known.groupBy("spot_id").agg(F.count(F.lit(1)).alias("_n"))
+    busiest = sizes.agg(F.max("_n")).first()[0] or 0
+    cols = ["event_id", "spot_id", "ts", "end_time"]
+    if busiest <= group_limit:
+        decided = (known.select(*cols).groupBy("spot_id")
+                   .applyInPandas(_greedy_spot, "event_id long, _ok boolean").filter(F.col("_ok")))
     else:
-        decided = decided_small
+        sizes = materialize(sizes, "spot-sizes")
+        sized = known.join(sizes, "spot_id")
+        small = sized.filter(F.col("_n") <= group_limit).select(*cols)
+        big = sized.filter(F.col("_n") > group_limit).drop("_n")
+        decided = (small.groupBy("spot_id").applyInPandas(_greedy_spot, "event_id long, _ok boolean")
+                   .filter(F.col("_ok")).unionByName(_chain_accept(big)))
     acc = decided.select(F.col("event_id").alias("_acc"), F.lit(True).alias("_ok"))
     j = (req.join(known.select(F.col("event_id").alias("_kid")), F.col("event_id") == F.col("_kid"), "left")
          .join(acc, F.col("event_id") == F.col("_acc"), "left"))
