@@ -4,8 +4,10 @@ Bookings are the accepted rows of the booking admission.  An extension
 (``extend`` event) applies to the spot's current booking, i.e. the latest
 booking that started at or before it - also when that booking has already
 run out (the new end counts from the old end and may still be past).  The
-look-up is an as-of match done with the bucketed windows, the running new
-end a bucketed prefix sum, and the per-booking totals a plain aggregate.
+look-up is an as-of match done with the bucketed windows; the running new
+end is the spot's running extension total minus its value at the booking's
+start (a join on the booking id), and the per-booking totals a plain
+aggregate.
 """
 
 from __future__ import annotations
@@ -24,31 +26,30 @@ def _ms(c):
     return F.unix_millis(c.cast("timestamp"))
 
 
-def _spot_pass(bookings: DataFrame, extensions: DataFrame) -> DataFrame:
-    """One ordered pass per spot over bookings and extensions together:
-    the booking each row falls under (latest start at or before it) and the
-    running total of extension hours on the spot."""
+def _timeline(bookings: DataFrame, extensions: DataFrame) -> DataFrame:
+    """Bookings (kind 0) and extensions (kind 1) of each spot on one time
+    line; at equal times a booking comes first, so an extension made at
+    the very start of a booking extends it."""
     b = bookings.select("spot_id", F.col("start_time").alias("t"), F.lit(0).alias("kind"),
                         F.col("booking_id").alias("id"), F.col("booking_id").alias("val"),
                         F.lit(None).cast("int").alias("hours"))
     x = extensions.select("spot_id", F.col("ts").alias("t"), F.lit(1).alias("kind"),
                           F.col("event_id").alias("id"), F.lit(None).cast("bigint").alias("val"), "hours")
-    both = adaptive_bucket(b.unionByName(x), ["spot_id"], "t")
-    return ordered_lookups(both, ["spot_id"], "_b", ["t", "kind", "id"],
+    return adaptive_bucket(b.unionByName(x), ["spot_id"], "t")
+
+
+def _spot_pass(bookings: DataFrame, extensions: DataFrame) -> DataFrame:
+    """One ordered pass per spot: the booking each row falls under (latest
+    start at or before it) and the running total of extension hours."""
+    return ordered_lookups(_timeline(bookings, extensions), ["spot_id"], "_b", ["t", "kind", "id"],
                            [("prev", "val", "booking_id"), ("cumsum", "hours", "cum_hours")])
 
 
 def _assign(bookings: DataFrame, extensions: DataFrame) -> DataFrame:
     """Each extension with the booking it extends: the spot's latest booking
     starting at or before it (NULL when there is none yet)."""
-    m = carry_value(adaptive_bucket(
-        bookings.select("spot_id", F.col("start_time").alias("t"), F.lit(0).alias("kind"),
-                        F.col("booking_id").alias("id"), F.col("booking_id").alias("val"),
-                        F.lit(None).cast("int").alias("hours"))
-        .unionByName(extensions.select("spot_id", F.col("ts").alias("t"), F.lit(1).alias("kind"),
-                                       F.col("event_id").alias("id"), F.lit(None).cast("bigint").alias("val"),
-                                       "hours")), ["spot_id"], "t"),
-        ["spot_id"], "_b", ["t", "kind", "id"], "val", "booking_id", "prev")
+    m = carry_value(_timeline(bookings, extensions), ["spot_id"], "_b", ["t", "kind", "id"], "val",
+                    "booking_id", "prev")
     return (m.filter(F.col("kind") == 1)
             .select(F.col("id").alias("event_id"), "spot_id", F.col("t").alias("extended_at"),
                     F.col("hours").alias("added_hours"), "booking_id"))
