@@ -1009,18 +1009,23 @@ def q_stream_daily_revenue(spark, base):
 
 
 @register("stream_spot_state", """
-    SELECT spot_id, last_action, last_ts, last_event_id, last_action IN ('check_in', 'extend') AS is_occupied,
-           events
-    FROM (
-        SELECT spot_id, action AS last_action, ts AS last_ts, event_id AS last_event_id,
-               COUNT(*) OVER (PARTITION BY spot_id) AS events,
-               row_number() OVER (PARTITION BY spot_id ORDER BY ts DESC, event_id DESC) AS rn
-        FROM vehicle_log) WHERE rn = 1
+    WITH agg AS (
+        SELECT spot_id, COUNT(*) AS events, COUNT(*) FILTER (WHERE action = 'check_out') AS check_outs
+        FROM vehicle_log GROUP BY spot_id),
+    last AS (
+        SELECT * FROM (
+            SELECT spot_id, action AS last_action, ts AS last_ts, event_id AS last_event_id,
+                   row_number() OVER (PARTITION BY spot_id ORDER BY ts DESC, event_id DESC) AS rn
+            FROM vehicle_log) WHERE rn = 1)
+    SELECT l.spot_id, l.last_action, l.last_ts, l.last_event_id,
+           l.last_action IN ('check_in', 'extend') AS is_occupied,
+           coalesce(p.is_reserved, FALSE) AND a.check_outs = 0 AS is_reserved, a.events
+    FROM last l JOIN agg a ON l.spot_id = a.spot_id LEFT JOIN parking_spots p ON l.spot_id = p.id
 """)
 def q_stream_spot_state(spark, base):
     m = _stream_model(spark, base)
     out = run_available_now(sj.spot_state(m.lot_events("vehicle")), "spot_state", "complete")
-    return sj.spot_state_out(out)
+    return sj.spot_state_out(out, m.spots)
 
 
 @register("stream_session_pairing", """

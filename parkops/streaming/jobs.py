@@ -62,13 +62,20 @@ def spot_state(log: DataFrame) -> DataFrame:
     clears the reservation flag (client rule)."""
     s = _event_time(log, "ts").withWatermark("et", WATERMARK)
     last = F.max_by(F.struct("action", "ts", "event_id"), F.struct("ts", "event_id"))
-    return s.groupBy("spot_id").agg(last.alias("l"), F.count(F.lit(1)).alias("events"))
-
-
-def spot_state_out(df: DataFrame) -> DataFrame:
-    return df.select("spot_id", F.col("l.action").alias("last_action"), F.col("l.ts").alias("last_ts"),
-                     F.col("l.event_id").alias("last_event_id"),
-                     F.col("l.action").isin("check_in", "extend").alias("is_occupied"), "events")
+    return s.groupBy("spot_id").agg(last.alias("l"), F.count(F.lit(1)).alias("events"),
+                                    F.count_if(F.col("action") == "check_out").alias("check_outs"))
+
+
+def spot_state_out(df: DataFrame, spots: DataFrame) -> DataFrame:
+    """Final state per spot that saw events: occupied after a check-in or
+    extend; the snapshot's reserved flag holds until the first check-out."""
+    sp = spots.select(F.col("id").alias("_sid"), F.col("is_reserved").alias("_res"))
+    j = df.join(sp, F.col("spot_id") == F.col("_sid"), "left")
+    return j.select("spot_id", F.col("l.action").alias("last_action"), F.col("l.ts").alias("last_ts"),
+                    F.col("l.event_id").alias("last_event_id"),
+                    F.col("l.action").isin("check_in", "extend").alias("is_occupied"),
+                    (F.coalesce(F.col("_res"), F.lit(False)) & (F.col("check_outs") == 0)).alias("is_reserved"),
+                    "events")
 
 
 # --------------------------------------------------------------------------

@@ -48,7 +48,7 @@ def test_spot_state_update_mode_equals_complete_mode(spark):
     from parkops.streaming.runner import run_available_now
     ms = model(spark, SF_SMALL, streams=("events",))
     upd = sj.spot_state_out(run_available_now(sj.spot_state(ms.lot_events("vehicle")), "spot_state_upd",
-                                              "update", keys=["spot_id"]))
+                                              "update", keys=["spot_id"]), ms.spots)
     full = Q["stream_spot_state"](spark, SF_SMALL)
     assert upd.count() == full.count()
     assert upd.exceptAll(full.select(*upd.columns)).count() == 0
