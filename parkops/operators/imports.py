@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schemas import PASSWORD_MIN_LEN, PLATE_MAX_LEN, USERNAME_MAX_LEN, USERNAME_MIN_LEN, VEHICLE_TYPES
+from ..schemas import (FORCED_ROLE, PASSWORD_MIN_LEN, PLATE_MAX_LEN, USERNAME_MAX_LEN, USERNAME_MIN_LEN,
+                       VEHICLE_TYPES, WALK_IN_VEHICLE_TYPE)
 from ..plans.materialize import materialize
 
 # Fixed value: simplified e-mail shape (one @, a dot in the domain, no blanks).
@@ -84,7 +85,7 @@ def user_import_validate(requests: DataFrame, users: DataFrame) -> DataFrame:
     return j.select("request_id", "username", "email", accepted.alias("accepted"),
                     F.when(accepted, F.lit(None).cast("string"))
                      .otherwise(F.coalesce(F.col("_pre"), F.lit("duplicate_in_batch"))).alias("reason"),
-                    F.when(accepted, F.lit("customer")).alias("role"))
+                    F.when(accepted, F.lit(FORCED_ROLE)).alias("role"))
 
 
 def vehicle_import_validate(requests: DataFrame, vehicles: DataFrame) -> DataFrame:
@@ -121,6 +122,6 @@ def walk_in_vehicles(checkins: DataFrame, vehicles: DataFrame) -> DataFrame:
     g = unknown.groupBy("plate").agg(
         F.min_by(F.struct("ts", "event_id"), F.struct("ts", "event_id")).alias("first"),
         F.count(F.lit(1)).alias("check_ins"))
-    return g.select(F.col("plate").alias("license_plate"), F.lit("car").alias("vehicle_type"),
+    return g.select(F.col("plate").alias("license_plate"), F.lit(WALK_IN_VEHICLE_TYPE).alias("vehicle_type"),
                     F.lit(None).cast("bigint").alias("user_id"), F.col("first.ts").alias("first_seen"),
                     F.col("first.event_id").alias("first_event_id"), "check_ins")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import pct, pct_int, whole_minutes
+from ..schemas import ACTIVITY_CHECK_IN, ACTIVITY_CHECK_OUT, CLIENT_ZONE_LABEL
 from ..sources.fixtures import as_of_lit
 
 
@@ -166,7 +167,7 @@ def zones_summary_client(zones: DataFrame, spots: DataFrame) -> DataFrame:
     j = counts.join(zn, counts["zone_id"] == zn["_zid"], "left")
     return j.select(
         F.col("zone_id").alias("id"), "name",
-        F.concat(F.lit("Zone "), F.col("name")).alias("description"),
+        F.concat(F.lit(CLIENT_ZONE_LABEL), F.col("name")).alias("description"),
         "total_spots", "available_spots", "occupied_spots", "reserved_spots",
         pct_int(F.col("occupied_spots"), F.col("total_spots")).alias("utilisation"))
 
@@ -271,8 +272,8 @@ def recent_activity(sessions: DataFrame, vehicles: DataFrame, spots: DataFrame,
          .join(s, F.col("spot_id") == F.col("_sid"))
          .join(z, F.col("zone_id") == F.col("_zid")))
     ev = F.array(
-        F.struct(F.lit("check-in").alias("action"), F.col("entry_time").alias("timestamp")),
-        F.struct(F.lit("check-out").alias("action"),
+        F.struct(F.lit(ACTIVITY_CHECK_IN).alias("action"), F.col("entry_time").alias("timestamp")),
+        F.struct(F.lit(ACTIVITY_CHECK_OUT).alias("action"),
                  F.when(F.col("exit_time") <= now, F.col("exit_time")).alias("timestamp")))
     x = (j.select(F.col("id").alias("session_id"), "license_plate", "spot_number", "zone_name",
                   F.explode(ev).alias("e"))

@@ -23,6 +23,11 @@ PLATE_MAX_LEN = 20
 CRITICAL_MS = 5 * 60 * 1000         # countdown shown red
 WARNING_MS = 15 * 60 * 1000         # countdown shown amber
 DASH = "—"                    # shown for a missing phone number
+CLIENT_ZONE_LABEL = "Zone "          # client zone description: "Zone " + name
+ACTIVITY_CHECK_IN = "check-in"       # activity feed action labels
+ACTIVITY_CHECK_OUT = "check-out"
+WALK_IN_VEHICLE_TYPE = "car"         # type given to an unregistered plate at check-in
+FORCED_ROLE = "customer"             # role of every self-registered user
 
 # ---------------------------------------------------------------------------
 # Table schemas (Spark types).  Ids are LongType throughout.
