@@ -52,3 +52,24 @@ def test_spot_state_update_mode_equals_complete_mode(spark):
     full = Q["stream_spot_state"](spark, SF_SMALL)
     assert upd.count() == full.count()
     assert upd.exceptAll(full.select(*upd.columns)).count() == 0
+
+
+def test_live_jobs_run_on_a_processing_time_trigger(spark):
+    import os
+    import tempfile
+
+    from parkops.streaming.live import start_live_jobs
+    base = tempfile.mkdtemp(prefix="live-")
+    qs = start_live_jobs(spark, SF_SMALL, f"{base}/out", f"{base}/ckpt", trigger="1 second")
+    try:
+        for q in qs.values():
+            q.processAllAvailable()
+    finally:
+        for q in qs.values():
+            q.stop()
+    assert sorted(os.listdir(f"{base}/out")) == sorted(qs)
+    hourly = spark.read.parquet(f"{base}/out/hourly_entries")
+    assert hourly.agg(F.sum("entry_count")).collect()[0][0] == \
+        spark.read.parquet(f"{SF_SMALL}/events.parquet").count()
+    pairing = spark.read.parquet(f"{base}/out/session_pairing")
+    assert pairing.count() == Q["session_pairing"](spark, SF_SMALL).count()
