@@ -159,7 +159,9 @@ class ParkingModel:
             props_hours(F.col("props")).alias("booked_hours"),
         )
         minutes = F.timestamp_diff("MINUTE", F.col("entry_time"), F.col("exit_time")).cast("int")
-        rates = self.spots.select(F.col("id").alias("_sid"), F.col("hourly_rate").alias("_rate"))
+        # one rate per spot id (the primary key); being visibly unique on the
+        # key lets the optimizer drop this join when no amount is read
+        rates = self.spots.groupBy(F.col("id").alias("_sid")).agg(F.max("hourly_rate").alias("_rate"))
         return (base.withColumn("duration_minutes", minutes)
                 .join(rates, F.col("spot_id") == F.col("_sid"), "left")
                 .withColumn("total_amount",
