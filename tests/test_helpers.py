@@ -70,3 +70,13 @@ def test_hot_hour_is_split_by_second(spark):
     w = Window.partitionBy("k").orderBy("ts", "id")
     ref = df.withColumn("pv", F.last("v", True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
     assert sorted(got.select("id", "pv").collect()) == sorted(ref.select("id", "pv").collect())
+
+
+def test_global_row_number_on_a_larger_cross_join(spark):
+    # several range partitions over a computed input: numbering must stay dense
+    zones = spark.range(0, 900).select(F.col("id").alias("z"))
+    slots = spark.range(1, 13).select(F.col("id").alias("n"))
+    g = zones.crossJoin(F.broadcast(slots))
+    r = global_row_number(g, ["z", "n"], "rn", partitions=8)
+    bad = r.filter(F.col("rn") != F.col("z") * 12 + F.col("n"))
+    assert bad.count() == 0 and r.count() == 900 * 12
