@@ -57,12 +57,13 @@ class ParkingModel:
     spark: SparkSession
     base_dir: str
     streams: tuple[str, ...] = ()
+    max_files_per_trigger: int = 64
 
     def raw(self, name: str) -> DataFrame:
         """A driver table; names listed in ``streams`` are read as a stream."""
         if name in self.streams:
             from .streams import read_stream_table
-            return read_stream_table(self.spark, self.base_dir, name)
+            return read_stream_table(self.spark, self.base_dir, name, self.max_files_per_trigger)
         return read_table(self.spark, self.base_dir, name)
 
     @cached_property
@@ -316,5 +317,6 @@ class ParkingModel:
         )
 
 
-def model(spark: SparkSession, base_dir: str, streams: tuple[str, ...] = ()) -> ParkingModel:
-    return ParkingModel(spark, base_dir, streams)
+def model(spark: SparkSession, base_dir: str, streams: tuple[str, ...] = (),
+          max_files_per_trigger: int = 64) -> ParkingModel:
+    return ParkingModel(spark, base_dir, streams, max_files_per_trigger)
