@@ -46,7 +46,7 @@ def event_spot(event_id: Column) -> Column:
 
 
 def props_hours(props: Column) -> Column:
-    k = F.get_json_object(props, "$.k").cast("bigint")
+    k = F.get_json_object(props, "$.k").try_cast("bigint")
     return (F.lit(1) + k % F.lit(24)).cast("int")
 
 
@@ -175,7 +175,7 @@ class ParkingModel:
     def reservations(self) -> DataFrame:
         o = self.raw("orders")
         st = F.col("o_orderstatus")
-        hours = F.substring(F.col("o_orderpriority"), 1, 1).cast("int")
+        hours = F.substring(F.col("o_orderpriority"), 1, 1).try_cast("int")
         return o.select(
             F.col("o_orderkey").alias("id"),
             (F.col("o_custkey") % 10).alias("user_id"),
@@ -273,7 +273,7 @@ class ParkingModel:
         cores = self.spark.sparkContext.defaultParallelism
         if e.rdd.getNumPartitions() < cores:
             e = e.repartition(cores)
-        k = F.get_json_object(F.col("props"), "$.k").cast("bigint")
+        k = F.get_json_object(F.col("props"), "$.k").try_cast("bigint")
         hours = (F.lit(1) + k % 24).cast("int")
         spot = event_spot(F.col("event_id"))
         number = F.concat(F.lit("S-"), _lpad_num(spot, 6))
