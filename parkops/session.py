@@ -72,9 +72,30 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf_dir
 
 
+_SCRATCH: list[str] = []
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder (never machine-local
     on a cluster, because the parent comes from ``spark.checkpoint.dir``)."""
     base = ensure_checkpoint_dir(spark)
     import uuid
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    _SCRATCH.append(path)
+    return path
+
+
+def cleanup_scratch(spark: SparkSession) -> int:
+    """Delete the intermediate folders this process wrote (call once the
+    results built on them have been consumed).  Works on any Hadoop file
+    system, so it also clears shared storage on a cluster."""
+    sc = spark.sparkContext
+    conf = sc._jsc.hadoopConfiguration()
+    removed = 0
+    while _SCRATCH:
+        p = sc._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        fs = p.getFileSystem(conf)
+        if fs.exists(p):
+            fs.delete(p, True)
+            removed += 1
+    return removed

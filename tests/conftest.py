@@ -18,4 +18,6 @@ def spark():
     s = get_session("local[4]", app_name="parkops-tests", shuffle_partitions=4,
                     extra={"spark.checkpoint.dir": scratch})
     yield s
+    from parkops.session import cleanup_scratch
+    cleanup_scratch(s)
     s.stop()

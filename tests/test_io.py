@@ -35,3 +35,16 @@ def test_explicit_schemas_match_the_files(spark):
         inferred = spark.read.parquet(f"{SF_SMALL}/{name}.parquet").schema
         assert [(f.name, f.dataType) for f in inferred] == [(f.name, f.dataType) for f in schema], name
         assert read_table(spark, SF_SMALL, name).limit(1).count() == 1
+
+
+def test_cleanup_removes_intermediate_folders(spark):
+    import os
+
+    from parkops.plans.materialize import materialize
+    from parkops.session import _SCRATCH, cleanup_scratch
+    df = materialize(spark.range(10), "cleanup-check")
+    assert df.count() == 10
+    path = _SCRATCH[-1]
+    assert os.path.exists(path.replace("file:", ""))
+    assert cleanup_scratch(spark) >= 1
+    assert not os.path.exists(path.replace("file:", ""))
