@@ -50,9 +50,40 @@ def get_session(master: str | None = None, app_name: str = "parkops",
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``parkops`` importable in the Python workers.
+
+    The grouped pandas functions (booking admission, stream state) live in
+    this package and are pickled by reference, so every executor must be
+    able to import it.  When the package is not installed on the cluster,
+    it is zipped once per application and handed to ``addPyFile``, which
+    ships it to every executor (the same as ``--py-files``)."""
+    import zipfile
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    zpath = os.path.join(tempfile.mkdtemp(prefix="parkops-pkg-"), "parkops.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for here, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(here, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(app)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder used to cut lineage (``DataFrame.checkpoint``).
 
