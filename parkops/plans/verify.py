@@ -1,4 +1,9 @@
-"""Order-insensitive comparison of a Spark result with a DuckDB result."""
+"""Order-insensitive comparison of a Spark result with its DuckDB oracle.
+
+Used by ``tools/check_oracle.py`` and the tests: both sides are turned into
+sorted row tuples with floats rounded to 6 places, NULL-likes unified and
+times rendered as ISO text.
+"""
 
 from __future__ import annotations
 

@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
-from compare import duck, rows
+from parkops.plans.verify import duck, rows
 from conftest import SF_CHECK, SF_SMALL
 
 QUERIES = entry.queries()
