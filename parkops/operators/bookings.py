@@ -41,14 +41,14 @@ def _timeline(bookings: DataFrame, extensions: DataFrame) -> DataFrame:
 def _spot_pass(bookings: DataFrame, extensions: DataFrame) -> DataFrame:
     """One ordered pass per spot: the booking each row falls under (latest
     start at or before it) and the running total of extension hours."""
-    return ordered_lookups(_timeline(bookings, extensions), ["spot_id"], "_b", ["t", "kind", "id"],
+    return ordered_lookups(_timeline(bookings, extensions), ["spot_id"], ("_h", "_b"), ["t", "kind", "id"],
                            [("prev", "val", "booking_id"), ("cumsum", "hours", "cum_hours")])
 
 
 def _assign(bookings: DataFrame, extensions: DataFrame) -> DataFrame:
     """Each extension with the booking it extends: the spot's latest booking
     starting at or before it (NULL when there is none yet)."""
-    m = carry_value(_timeline(bookings, extensions), ["spot_id"], "_b", ["t", "kind", "id"], "val",
+    m = carry_value(_timeline(bookings, extensions), ["spot_id"], ("_h", "_b"), ["t", "kind", "id"], "val",
                     "booking_id", "prev")
     return (m.filter(F.col("kind") == 1)
             .select(F.col("id").alias("event_id"), "spot_id", F.col("t").alias("extended_at"),

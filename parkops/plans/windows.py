@@ -8,12 +8,13 @@ the data.  These helpers split each key into time buckets:
    for rows whose answer lies in the same chunk;
 2. each chunk's edge value (last / first non-null, or total) is a
    map-side-combined aggregate, one row per chunk;
-3. a window over those chunk rows (one per bucket of a key, so at most the
-   number of buckets per key) carries the edges across chunks;
+3. windows over those chunk rows carry the edges across chunks - inside an
+   hour over its (at most 3,600) second chunks, then across the hours of a
+   key (one row per hour);
 4. the carried value is joined back on (key, bucket).
 
-The result equals the plain window exactly; only the bucket width decides
-how finely a hot key is split.
+The result equals the plain window exactly; the buckets only decide how
+finely a hot key is split.
 """
 
 from __future__ import annotations
@@ -28,69 +29,99 @@ def _cols(names: Sequence[str]) -> list[Column]:
     return [F.col(c) for c in names]
 
 
-def ordered_lookups(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str],
+def _edge_agg(kind: str, value: Column, rank: Column) -> Column:
+    """The chunk's edge: last / first non-null value in order, or the total."""
+    if kind == "prev":
+        return F.max_by(value, F.when(value.isNotNull(), rank))
+    if kind == "next":
+        return F.min_by(value, F.when(value.isNotNull(), rank))
+    if kind == "cumsum":
+        return F.sum(value)
+    raise ValueError(kind)
+
+
+def _carry(kind: str, edge: Column, w: Window) -> Column:
+    """Carry chunk edges along ``w``: from the earlier (prev, cumsum) or the
+    later (next) chunks of the same partition."""
+    if kind == "prev":
+        return F.last(edge, True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    if kind == "next":
+        return F.first(edge, True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    return F.sum(edge).over(w.rowsBetween(Window.unboundedPreceding, -1))
+
+
+def _combine(kind: str, near: Column, far: Column) -> Column:
+    if kind == "cumsum":
+        return F.coalesce(near, F.lit(0)) + F.coalesce(far, F.lit(0))
+    return F.coalesce(near, far)
+
+
+def ordered_lookups(df: DataFrame, keys: Sequence[str], bucket: str | Sequence[str], order: Sequence[str],
                     specs: Sequence[tuple[str, str, str]]) -> DataFrame:
     """Add several per-key ordered look-ups in one pass.
 
     ``specs`` holds ``(kind, value, out)`` with kind ``prev`` (last non-null
     value strictly before the row), ``next`` (first non-null value strictly
-    after it) or ``cumsum`` (running sum including the row).  ``bucket``
-    must be monotone in ``order`` (e.g. the hour of the leading timestamp);
-    keys and bucket must not be NULL.
-
-    Plan: the rows are shuffled once on (key, bucket) into one window
-    operator that answers inside each chunk.  The chunk edges (last / first
-    non-null value, or total) come from an aggregate of the same input that
-    combines map-side, so only one small row per chunk and map task crosses
-    the network; a window over those chunk rows (one per bucket of a key)
-    carries the edges forward or backward, and an equi-join on (key, bucket)
-    brings them back - broadcast when small, otherwise a sort-merge join
-    that reuses the chunk partitioning of the big side.
+    after it) or ``cumsum`` (running sum including the row).  ``bucket`` is
+    one column or a (coarse, fine) pair - e.g. the hour and the sub-bucket
+    from :func:`adaptive_bucket` - each monotone in ``order``; keys and
+    buckets must not be NULL.
+
+    Plan: the rows are shuffled once on (key, buckets) into one window
+    operator that answers inside each chunk.  Chunk edges are an aggregate
+    of the same input that combines map-side.  With two bucket levels the
+    edges are carried first inside each coarse bucket (at most the number of
+    fine buckets per coarse one, e.g. 3,600 seconds per hour) and then
+    across the coarse buckets of a key (one row per hour), so no window ever
+    holds more than one chunk, one hour's chunks or one key's hours.  The
+    carried values come back through equi-joins - broadcast when small,
+    otherwise sort-merge joins that reuse the chunk partitioning.
     """
     keys = list(keys)
+    buckets = [bucket] if isinstance(bucket, str) else list(bucket)
+    chunk = [*keys, *buckets]
     ords = _cols(order)
-    w = Window.partitionBy(*keys, bucket).orderBy(*ords)
+    rank = F.struct(*ords)
+    w = Window.partitionBy(*chunk).orderBy(*ords)
     inner: list[Column] = []
-    edges: list[Column] = []
     for i, (kind, value, _) in enumerate(specs):
         v = F.col(value)
-        rank = F.when(v.isNotNull(), F.struct(*ords))
         if kind == "prev":
             inner.append(F.last(v, True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_in{i}"))
-            edges.append(F.max_by(v, rank).alias(f"_edge{i}"))
         elif kind == "next":
             inner.append(F.first(v, True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias(f"_in{i}"))
-            edges.append(F.min_by(v, rank).alias(f"_edge{i}"))
         elif kind == "cumsum":
             inner.append(F.sum(v).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(f"_in{i}"))
-            edges.append(F.sum(v).alias(f"_edge{i}"))
         else:
             raise ValueError(kind)
     win = df.select("*", *inner)
-    wk = Window.partitionBy(*keys).orderBy(bucket)
-    carries: list[Column] = []
-    for i, (kind, _, _) in enumerate(specs):
-        e = F.col(f"_edge{i}")
-        if kind == "prev":
-            c = F.last(e, True).over(wk.rowsBetween(Window.unboundedPreceding, -1))
-        elif kind == "next":
-            c = F.first(e, True).over(wk.rowsBetween(1, Window.unboundedFollowing))
-        else:
-            c = F.sum(e).over(wk.rowsBetween(Window.unboundedPreceding, -1))
-        carries.append(c.alias(f"_c{i}"))
-    summ = df.groupBy(*keys, bucket).agg(*edges).select(*keys, bucket, *carries)
-    out = win.join(summ, [*keys, bucket], "left")
+    edges = df.groupBy(*chunk).agg(*[_edge_agg(k, F.col(v), rank).alias(f"_edge{i}")
+                                     for i, (k, v, _) in enumerate(specs)])
+    if len(buckets) == 1:
+        wk = Window.partitionBy(*keys).orderBy(buckets[0])
+        summ = edges.select(*chunk, *[_carry(k, F.col(f"_edge{i}"), wk).alias(f"_c{i}")
+                                      for i, (k, _, _) in enumerate(specs)])
+    else:
+        coarse, fine = buckets
+        w1 = Window.partitionBy(*keys, coarse).orderBy(fine)
+        near = edges.select(*chunk, *[_carry(k, F.col(f"_edge{i}"), w1).alias(f"_n{i}")
+                                      for i, (k, _, _) in enumerate(specs)])
+        coarse_edges = edges.groupBy(*keys, coarse).agg(
+            *[_edge_agg(k, F.col(f"_edge{i}"), F.col(fine)).alias(f"_ce{i}") for i, (k, _, _) in enumerate(specs)])
+        w2 = Window.partitionBy(*keys).orderBy(coarse)
+        far = coarse_edges.select(*keys, coarse, *[_carry(k, F.col(f"_ce{i}"), w2).alias(f"_f{i}")
+                                                   for i, (k, _, _) in enumerate(specs)])
+        summ = near.join(far, [*keys, coarse], "left").select(
+            *chunk, *[_combine(k, F.col(f"_n{i}"), F.col(f"_f{i}")).alias(f"_c{i}")
+                      for i, (k, _, _) in enumerate(specs)])
+    out = win.join(summ, chunk, "left")
     for i, (kind, _, name) in enumerate(specs):
-        if kind == "cumsum":
-            expr = F.coalesce(F.col(f"_in{i}"), F.lit(0)) + F.coalesce(F.col(f"_c{i}"), F.lit(0))
-        else:
-            expr = F.coalesce(F.col(f"_in{i}"), F.col(f"_c{i}"))
-        out = out.withColumn(name, expr)
+        out = out.withColumn(name, _combine(kind, F.col(f"_in{i}"), F.col(f"_c{i}")))
     return out.drop(*[f"{p}{i}" for i in range(len(specs)) for p in ("_in", "_c")])
 
 
-def carry_value(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str], value: str, out: str,
-                direction: str = "prev") -> DataFrame:
+def carry_value(df: DataFrame, keys: Sequence[str], bucket: str | Sequence[str], order: Sequence[str],
+                value: str, out: str, direction: str = "prev") -> DataFrame:
     """Add ``out``: within each key ordered by ``order``, the last non-null
     ``value`` strictly before the row (``prev``) or the first non-null one
     strictly after it (``next``)."""
@@ -99,7 +130,8 @@ def carry_value(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence
     return ordered_lookups(df, keys, bucket, order, [(direction, value, out)])
 
 
-def prefix_sum(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str], value: str, out: str) -> DataFrame:
+def prefix_sum(df: DataFrame, keys: Sequence[str], bucket: str | Sequence[str], order: Sequence[str], value: str,
+               out: str) -> DataFrame:
     """Add ``out``: running sum of ``value`` per key in ``order``, the row included."""
     return ordered_lookups(df, keys, bucket, order, [("cumsum", value, out)])
 
@@ -111,18 +143,20 @@ def prefix_sum(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[
 HOT_CHUNK_ROWS = 1_000_000
 
 
-def adaptive_bucket(df: DataFrame, keys: Sequence[str], ts: str, out: str = "_b",
+def adaptive_bucket(df: DataFrame, keys: Sequence[str], ts: str, out: str = "_b", hour_out: str = "_h",
                     hot_rows: int = HOT_CHUNK_ROWS) -> DataFrame:
-    """Add the bucket column for :func:`ordered_lookups`: the hour of ``ts``,
-    or the second of ``ts`` inside an hour that holds more than ``hot_rows``
-    rows of one key.  Both are truncations of ``ts``, so the bucket stays
-    monotone in (ts, ...) order.  The table of hot chunks has at most
-    rows / ``hot_rows`` entries, a proven bound, so it is broadcast."""
+    """Add the two bucket levels for :func:`ordered_lookups`: ``hour_out``,
+    the hour of ``ts``, and ``out``, the same hour or - inside an hour that
+    holds more than ``hot_rows`` rows of one key - the second of ``ts``.
+    Both are truncations of ``ts``, so they stay monotone in (ts, ...)
+    order.  The table of hot hours has at most rows / ``hot_rows`` entries,
+    a proven bound, so it is broadcast.  Pass ``(hour_out, out)`` as the
+    bucket of :func:`ordered_lookups`."""
     keys = list(keys)
-    hour = F.date_trunc("hour", F.col(ts))
-    with_hour = df.withColumn("_hb", hour)
-    hot = (with_hour.groupBy(*keys, "_hb").agg(F.count(F.lit(1)).alias("_n"))
-           .filter(F.col("_n") > hot_rows).select(*keys, "_hb", F.lit(True).alias("_hot")))
-    j = with_hour.join(F.broadcast(hot), [*keys, "_hb"], "left")
-    return (j.withColumn(out, F.when(F.col("_hot"), F.date_trunc("second", F.col(ts))).otherwise(F.col("_hb")))
-            .drop("_hb", "_hot"))
+    with_hour = df.withColumn(hour_out, F.date_trunc("hour", F.col(ts)))
+    hot = (with_hour.groupBy(*keys, hour_out).agg(F.count(F.lit(1)).alias("_n"))
+           .filter(F.col("_n") > hot_rows).select(*keys, hour_out, F.lit(True).alias("_hot")))
+    j = with_hour.join(F.broadcast(hot), [*keys, hour_out], "left")
+    return (j.withColumn(out, F.when(F.col("_hot"), F.date_trunc("second", F.col(ts)))
+                         .otherwise(F.col(hour_out)))
+            .drop("_hot"))

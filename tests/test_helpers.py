@@ -66,10 +66,15 @@ def test_hot_hour_is_split_by_second(spark):
     df = spark.createDataFrame(rows, "id long, k long, ts timestamp_ntz, v long")
     b = adaptive_bucket(df, ["k"], "ts", hot_rows=100)
     assert b.filter("k = 1").select("_b").distinct().count() > 100   # the hot hour is split
-    got = carry_value(b, ["k"], "_b", ["ts", "id"], "v", "pv", "prev")
+    got = carry_value(b, ["k"], ("_h", "_b"), ["ts", "id"], "v", "pv", "prev")
+    got = carry_value(got, ["k"], ("_h", "_b"), ["ts", "id"], "v", "nv", "next")
+    got = prefix_sum(got, ["k"], ("_h", "_b"), ["ts", "id"], "id", "ps")
     w = Window.partitionBy("k").orderBy("ts", "id")
-    ref = df.withColumn("pv", F.last("v", True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    assert sorted(got.select("id", "pv").collect()) == sorted(ref.select("id", "pv").collect())
+    ref = (df.withColumn("pv", F.last("v", True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+             .withColumn("nv", F.first("v", True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+             .withColumn("ps", F.sum("id").over(w.rowsBetween(Window.unboundedPreceding, 0))))
+    cols = ["id", "pv", "nv", "ps"]
+    assert sorted(got.select(*cols).collect()) == sorted(ref.select(*cols).collect())
 
 
 def test_global_row_number_on_a_larger_cross_join(spark):
