@@ -144,7 +144,7 @@ HOT_CHUNK_ROWS = 1_000_000
 
 
 def adaptive_bucket(df: DataFrame, keys: Sequence[str], ts: str, out: str = "_b", hour_out: str = "_h",
-                    hot_rows: int = HOT_CHUNK_ROWS) -> DataFrame:
+                    hot_rows: int | None = None) -> DataFrame:
     """Add the two bucket levels for :func:`ordered_lookups`: ``hour_out``,
     the hour of ``ts``, and ``out``, the same hour or - inside an hour that
     holds more than ``hot_rows`` rows of one key - the second of ``ts``.
@@ -153,6 +153,7 @@ def adaptive_bucket(df: DataFrame, keys: Sequence[str], ts: str, out: str = "_b"
     a proven bound, so it is broadcast.  Pass ``(hour_out, out)`` as the
     bucket of :func:`ordered_lookups`."""
     keys = list(keys)
+    hot_rows = HOT_CHUNK_ROWS if hot_rows is None else hot_rows
     with_hour = df.withColumn(hour_out, F.date_trunc("hour", F.col(ts)))
     hot = (with_hour.groupBy(*keys, hour_out).agg(F.count(F.lit(1)).alias("_n"))
            .filter(F.col("_n") > hot_rows).select(*keys, hour_out, F.lit(True).alias("_hot")))

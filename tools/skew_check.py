@@ -75,9 +75,18 @@ def main() -> None:
     plain = hot_vehicle.withColumn("prev", F.lag("action").over(
         Window.partitionBy("vehicle_id").orderBy("ts", "event_id")))
     plain.write.format("noop").mode("overwrite").save()
+    # the same hot vehicle with all of its events packed into one hour; the
+    # hot-chunk limit is lowered so that hour is split into seconds
+    from parkops.plans import windows
+    hot_hour = hot_vehicle.withColumn("ts", F.when(
+        F.col("vehicle_id") == 0,
+        F.lit("2024-01-15 10:00:00").cast("timestamp_ntz") + F.make_dt_interval(
+            secs=(F.col("event_id") % 3600).cast("int"))).otherwise(F.col("ts")))
     results = {}
     for name, run in [
         ("session_pairing (hot vehicle)", lambda: lifecycle.session_pairing(hot_vehicle)),
+        ("session_pairing (hot vehicle inside one hour, split into seconds)",
+         lambda: lifecycle.session_pairing(hot_hour)),
         ("reservation_admission (hot spot)",
          lambda: lifecycle.reservation_admission(m.lot_events("reservation").withColumn(
              "spot_id", F.when(F.col("event_id") % 3 == 0, F.lit(0)).otherwise(F.col("spot_id"))), m.spots)),
@@ -85,6 +94,7 @@ def main() -> None:
          lambda: lifecycle.spot_booking_admission(hot_spot, m.spots, group_limit=1000)),
     ]:
         t0 = time.time()
+        windows.HOT_CHUNK_ROWS = 5_000 if "one hour" in name else 1_000_000
         df = run()
         df.write.format("noop").mode("overwrite").save()   # every column computed
         rows = df.count()
