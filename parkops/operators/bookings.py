@@ -26,7 +26,7 @@ def _ms(c):
     return F.unix_millis(c.cast("timestamp"))
 
 
-def _timeline(bookings: DataFrame, extensions: DataFrame) -> DataFrame:
+def _timeline(bookings: DataFrame, extensions: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
     """Bookings (kind 0) and extensions (kind 1) of each spot on one time
     line; at equal times a booking comes first, so an extension made at
     the very start of a booking extends it."""
@@ -35,21 +35,22 @@ def _timeline(bookings: DataFrame, extensions: DataFrame) -> DataFrame:
                         F.lit(None).cast("int").alias("hours"))
     x = extensions.select("spot_id", F.col("ts").alias("t"), F.lit(1).alias("kind"),
                           F.col("event_id").alias("id"), F.lit(None).cast("bigint").alias("val"), "hours")
-    return adaptive_bucket(b.unionByName(x), ["spot_id"], "t")
+    return adaptive_bucket(b.unionByName(x), ["spot_id"], "t")   # (rows, bucket columns)
 
 
 def _spot_pass(bookings: DataFrame, extensions: DataFrame) -> DataFrame:
     """One ordered pass per spot: the booking each row falls under (latest
     start at or before it) and the running total of extension hours."""
-    return ordered_lookups(_timeline(bookings, extensions), ["spot_id"], ("_h", "_b"), ["t", "kind", "id"],
+    rows, buckets = _timeline(bookings, extensions)
+    return ordered_lookups(rows, ["spot_id"], buckets, ["t", "kind", "id"],
                            [("prev", "val", "booking_id"), ("cumsum", "hours", "cum_hours")])
 
 
 def _assign(bookings: DataFrame, extensions: DataFrame) -> DataFrame:
     """Each extension with the booking it extends: the spot's latest booking
     starting at or before it (NULL when there is none yet)."""
-    m = carry_value(_timeline(bookings, extensions), ["spot_id"], ("_h", "_b"), ["t", "kind", "id"], "val",
-                    "booking_id", "prev")
+    rows, buckets = _timeline(bookings, extensions)
+    m = carry_value(rows, ["spot_id"], buckets, ["t", "kind", "id"], "val", "booking_id", "prev")
     return (m.filter(F.col("kind") == 1)
             .select(F.col("id").alias("event_id"), "spot_id", F.col("t").alias("extended_at"),
                     F.col("hours").alias("added_hours"), "booking_id"))

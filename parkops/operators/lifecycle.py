@@ -41,10 +41,10 @@ def session_pairing(log: DataFrame) -> DataFrame:
         "event_id", "vehicle_id", "spot_id", "action", "ts", F.lit(False).alias("accepted"),
         F.lit("invalid_event").alias("reason"), F.lit(None).cast("timestamp_ntz").alias("exit_time"),
         F.lit(None).cast("bigint").alias("exit_event_id"))
-    ev = adaptive_bucket(pairs.filter(ok), ["vehicle_id"], "ts")
+    ev, buckets = adaptive_bucket(pairs.filter(ok), ["vehicle_id"], "ts")
     ev = ev.withColumn("_out", F.when(F.col("action") == "check_out",
                                       F.struct(F.col("ts").alias("ts"), F.col("event_id").alias("event_id"))))
-    ev = ordered_lookups(ev, ["vehicle_id"], ("_h", "_b"), ORDER,
+    ev = ordered_lookups(ev, ["vehicle_id"], buckets, ORDER,
                          [("prev", "action", "prev_action"), ("next", "_out", "_next_out")])
     was_parked = F.coalesce(F.col("prev_action") == "check_in", F.lit(False))
     is_in = F.col("action") == "check_in"
@@ -77,9 +77,10 @@ def reservation_admission(log: DataFrame, spots: DataFrame) -> DataFrame:
         "event_id", "spot_id", "vehicle_id", "action", "ts", F.lit(False).alias("accepted"),
         F.when(F.col("spot_id").isNull(), F.lit("spot_not_found")).otherwise(F.lit("invalid_event"))
          .alias("reason"), F.lit(None).cast("timestamp_ntz").alias("end_time"))
-    ev = adaptive_bucket(rows.filter(ok).join(sp, F.col("spot_id") == F.col("_sid"), "left"), ["spot_id"], "ts")
+    ev, buckets = adaptive_bucket(rows.filter(ok).join(sp, F.col("spot_id") == F.col("_sid"), "left"),
+                                  ["spot_id"], "ts")
     ev = ev.withColumn("_c", F.when(F.col("action") == "cancel", F.col("event_id")))
-    ev = ordered_lookups(ev, ["spot_id"], ("_h", "_b"), ORDER,
+    ev = ordered_lookups(ev, ["spot_id"], buckets, ORDER,
                          [("prev", "action", "prev_action"), ("prev", "_c", "_prev_cancel")])
     found = F.col("_sid").isNotNull()
     occ = F.coalesce(F.col("_occ"), F.lit(False))
@@ -128,8 +129,8 @@ def _chain_accept(known: DataFrame) -> DataFrame:
                         F.col("event_id").alias("val"))
     probes = known.select("spot_id", F.col("end_time").alias("t"), F.lit(1).alias("kind"),
                           F.col("event_id").alias("id"), F.lit(None).cast("bigint").alias("val"))
-    both = adaptive_bucket(reqs.unionByName(probes), ["spot_id"], "t")
-    nxt = carry_value(both, ["spot_id"], ("_h", "_b"), ["t", "kind", "id"], "val", "nxt", "next")
+    both, buckets = adaptive_bucket(reqs.unionByName(probes), ["spot_id"], "t")
+    nxt = carry_value(both, ["spot_id"], buckets, ["t", "kind", "id"], "val", "nxt", "next")
     edges = nxt.filter(F.col("kind") == 1).select(F.col("id").alias("node"), "nxt")
     starts = (known.groupBy("spot_id")
               .agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("node")).select("node"))

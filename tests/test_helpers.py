@@ -64,11 +64,12 @@ def test_hot_hour_is_split_by_second(spark):
     rows = [(i, 1, t0 + timedelta(seconds=rnd.randint(0, 3599)), rnd.choice([None, i])) for i in range(300)]
     rows += [(1000 + i, 2, t0 + timedelta(hours=rnd.randint(0, 30)), i) for i in range(50)]
     df = spark.createDataFrame(rows, "id long, k long, ts timestamp_ntz, v long")
-    b = adaptive_bucket(df, ["k"], "ts", hot_rows=100)
+    b, buckets = adaptive_bucket(df, ["k"], "ts", hot_rows=100)
+    assert buckets == ("_h", "_b")
     assert b.filter("k = 1").select("_b").distinct().count() > 100   # the hot hour is split
-    got = carry_value(b, ["k"], ("_h", "_b"), ["ts", "id"], "v", "pv", "prev")
-    got = carry_value(got, ["k"], ("_h", "_b"), ["ts", "id"], "v", "nv", "next")
-    got = prefix_sum(got, ["k"], ("_h", "_b"), ["ts", "id"], "id", "ps")
+    got = carry_value(b, ["k"], buckets, ["ts", "id"], "v", "pv", "prev")
+    got = carry_value(got, ["k"], buckets, ["ts", "id"], "v", "nv", "next")
+    got = prefix_sum(got, ["k"], buckets, ["ts", "id"], "id", "ps")
     w = Window.partitionBy("k").orderBy("ts", "id")
     ref = (df.withColumn("pv", F.last("v", True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
              .withColumn("nv", F.first("v", True).over(w.rowsBetween(1, Window.unboundedFollowing)))
@@ -85,3 +86,11 @@ def test_global_row_number_on_a_larger_cross_join(spark):
     r = global_row_number(g, ["z", "n"], "rn", partitions=8)
     bad = r.filter(F.col("rn") != F.col("z") * 12 + F.col("n"))
     assert bad.count() == 0 and r.count() == 900 * 12
+
+
+def test_no_hot_hour_keeps_one_level(spark):
+    from parkops.plans.windows import adaptive_bucket
+    df = spark.createDataFrame([(i, 1, datetime(2024, 1, 1) + timedelta(minutes=7 * i)) for i in range(50)],
+                               "id long, k long, ts timestamp_ntz")
+    b, buckets = adaptive_bucket(df, ["k"], "ts", hot_rows=1000)
+    assert buckets == ("_h",) and "_b" not in b.columns
