@@ -103,3 +103,30 @@ def test_stateful_streams_carry_state_across_micro_batches(spark):
     single = Q["stream_booking_decisions"](spark, SF_SMALL)
     cols = ["spot_id", "event_id", "kind"]
     assert bk.filter("kind != 'expired'").select(*cols).exceptAll(single.select(*cols)).count() == 0
+
+
+def test_booking_expiry_rows_follow_the_watermark(spark):
+    """Single data batch: a spot's last booking expires exactly when its end
+    lies before the final watermark (latest event time minus one hour)."""
+    import datetime
+
+    from pyspark.sql import Window
+
+    from parkops.sources.fixtures import model
+    out = Q["stream_booking_expiry"](spark, SF_SMALL)
+    dec = out.filter("kind != 'expired'")
+    w = Window.partitionBy("spot_id").orderBy(F.col("ts").desc(), F.col("event_id").desc())
+    last = (dec.filter(F.col("kind").isin("booked", "extended")).withColumn("rn", F.row_number().over(w))
+            .filter("rn = 1"))
+    latest = (model(spark, SF_SMALL).lot_events("vehicle").filter(F.col("action").isin("check_in", "extend"))
+              .agg(F.max("ts")).collect()[0][0])
+    wm_ms = int((latest - datetime.timedelta(hours=1)).replace(tzinfo=datetime.timezone.utc).timestamp() * 1000)
+    due = last.filter(F.lit(wm_ms) > F.unix_millis(F.col("end_time").cast("timestamp")) + 1)
+    expired = out.filter("kind = 'expired'")
+    # the expiry row carries the booking id of the spot's current booking
+    booking_of = (dec.filter("kind = 'booked'").withColumn("rn", F.row_number().over(w)).filter("rn = 1")
+                  .select("spot_id", F.col("event_id").alias("booking_id")))
+    want = due.select("spot_id").join(booking_of, "spot_id")
+    got = expired.select("spot_id", F.col("event_id").alias("booking_id"))
+    assert got.count() == want.count() > 0
+    assert got.exceptAll(want).count() == 0
