@@ -8,8 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import reports
+from ..operators import billing, bookings as bk, changes, imports, lifecycle, lookups, reports, seeds
+from ..session import scratch_dir
+from ..sources import documents, io
 from ..sources.fixtures import AS_OF, PEAK_AS_OF, model
+from ..streaming import jobs as sj
+from ..streaming.runner import run_available_now
 from .catalog import register
 
 # ---------------------------------------------------------------------------
@@ -259,7 +263,6 @@ def q_recent_activity(spark, base):
 # ---------------------------------------------------------------------------
 # Projections, filters, lookups and joins
 # ---------------------------------------------------------------------------
-from ..operators import billing, lookups  # noqa: E402
 
 JS_RATE = "CASE WHEN {r} IS NULL OR {r} = 0 THEN 5 ELSE {r} END"
 SPOT_SELECT = ("ps.id, ps.spot_number, ps.zone_id, ps.spot_type, ps.is_occupied, ps.is_reserved, "
@@ -500,7 +503,6 @@ def q_active_cost_estimate(spark, base):
 # ---------------------------------------------------------------------------
 # Bulk state changes
 # ---------------------------------------------------------------------------
-from ..operators import lifecycle  # noqa: E402
 
 
 @register("session_pairing", """
@@ -590,7 +592,6 @@ def q_spot_booking_admission(spark, base):
 # ---------------------------------------------------------------------------
 # Bookings: extensions, expiry, countdowns
 # ---------------------------------------------------------------------------
-from ..operators import bookings as bk  # noqa: E402
 
 BOOKINGS_SQL = BOOKING_ADMISSION_SQL + f""",
     bookings AS (
@@ -730,7 +731,6 @@ def q_booking_progress(spark, base):
 # ---------------------------------------------------------------------------
 # Imports, change log, deletes
 # ---------------------------------------------------------------------------
-from ..operators import changes, imports  # noqa: E402
 
 EMAIL_RE = imports.EMAIL_PATTERN
 
@@ -881,9 +881,6 @@ def q_delete_propagation(spark, base):
 # ---------------------------------------------------------------------------
 # Sources, seeds and sinks
 # ---------------------------------------------------------------------------
-from ..operators import seeds  # noqa: E402
-from ..session import scratch_dir  # noqa: E402
-from ..sources import documents, io  # noqa: E402
 
 EV_ZONE = "L3"  # the seeded zone that plays the EV-charging zone
 
@@ -978,8 +975,6 @@ def q_result_sink(spark, base):
 # ---------------------------------------------------------------------------
 # Streaming (bounded runs with availableNow; results read back as batch)
 # ---------------------------------------------------------------------------
-from ..streaming import jobs as sj  # noqa: E402
-from ..streaming.runner import run_available_now  # noqa: E402
 
 
 def _stream_model(spark, base):
