@@ -88,8 +88,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder used to cut lineage (``DataFrame.checkpoint``).
 
     On a cluster ``spark.checkpoint.dir`` names a shared, fault-tolerant
-    folder and is used as is.  Only when it is unset (local runs and tests)
-    do we pick a scratch folder of our own.
+    folder and is used as is (a cluster without it is an error, never a
+    silent fall-back to local disk).  Only a local-mode session without it
+    (local runs and tests) gets a scratch folder of our own.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -97,6 +98,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local"):
+            # a machine-local folder is not visible to the other executors
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on HDFS or object storage)")
         conf_dir = tempfile.mkdtemp(prefix="parkops-ckpt-", dir=os.environ.get("PARKOPS_SCRATCH", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     sc.setCheckpointDir(conf_dir)
