@@ -94,3 +94,28 @@ def test_no_hot_hour_keeps_one_level(spark):
                                "id long, k long, ts timestamp_ntz")
     b, buckets = adaptive_bucket(df, ["k"], "ts", hot_rows=1000)
     assert buckets == ("_h",) and "_b" not in b.columns
+
+
+import pytest  # noqa: E402
+
+
+@pytest.mark.parametrize("levels", [("minute",), ("day",), ("day", "minute"), ("hour", "second")])
+def test_ordered_lookups_any_bucket_levels(spark, levels):
+    from parkops.plans.windows import ordered_lookups
+    rnd = random.Random(len("".join(levels)))
+    t0 = datetime(2024, 1, 1)
+    rows = [(i, rnd.choice([0, 0, 0, 1, 2]), t0 + timedelta(seconds=rnd.randint(0, 3 * 86400)),
+             rnd.choice([None, i % 7]), rnd.randint(0, 3)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, k long, ts timestamp_ntz, v long, w long")
+    names = []
+    for j, unit in enumerate(levels):
+        df = df.withColumn(f"_l{j}", F.date_trunc(unit, "ts"))
+        names.append(f"_l{j}")
+    got = ordered_lookups(df, ["k"], tuple(names) if len(names) > 1 else names[0], ["ts", "id"],
+                          [("prev", "v", "pv"), ("next", "v", "nv"), ("cumsum", "w", "ps")])
+    w = Window.partitionBy("k").orderBy("ts", "id")
+    ref = (df.withColumn("pv", F.last("v", True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+             .withColumn("nv", F.first("v", True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+             .withColumn("ps", F.sum("w").over(w.rowsBetween(Window.unboundedPreceding, 0))))
+    cols = ["id", "pv", "nv", "ps"]
+    assert sorted(got.select(*cols).collect()) == sorted(ref.select(*cols).collect())
