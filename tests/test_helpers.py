@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -96,8 +97,6 @@ def test_no_hot_hour_keeps_one_level(spark):
     assert buckets == ("_h",) and "_b" not in b.columns
 
 
-import pytest  # noqa: E402
-
 
 @pytest.mark.parametrize("levels", [("minute",), ("day",), ("day", "minute"), ("hour", "second")])
 def test_ordered_lookups_any_bucket_levels(spark, levels):
