@@ -73,7 +73,7 @@ def queue(df: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5,
     return (merged.crossJoin(F.broadcast(budget))   # one row
             .withColumn("taken", F.when(fits, F.col("size")).otherwise(F.lit(0)).cast("long"))
             .select("_uid", "doc_id", "source", "size", "source_size", "target", "epoch",
-                    F.col("position").alias("place"), "taken"))
+                    "_t", F.col("position").alias("place"), "taken"))
 
 
 def mix(df: DataFrame, **settings) -> DataFrame:
@@ -89,3 +89,25 @@ def mix(df: DataFrame, **settings) -> DataFrame:
                  F.first("source_size").alias("source_size"), F.first("target").alias("target"),
                  F.sum("taken").alias("taken"))
             .drop("_uid"))
+
+
+def mixed_rows(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **settings) -> DataFrame:
+    """The mix itself: each row of ``df`` as often as the mix takes it, all columns
+    as they were.  Rows without words are never taken.
+
+    Rows are met again by id, source and digest of the text; of equal rows, the
+    copies are dealt evenly."""
+    taken = queue(df, doc_id=doc_id, text=text, source=source, **settings)
+    key = [F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("_t").alias("_digest")]
+    copies = taken.groupBy(*key).agg(F.sum(F.when(F.col("taken") > 0, 1).otherwise(0)).alias("_copies"),
+                                     F.countDistinct("_uid").alias("_rows")).where("_copies > 0")
+    packed = df.select(F.struct("*").alias("row"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
+    met = packed.join(copies, (F.col("_t") == F.col("_digest")) & F.col(f"row.{doc_id}").eqNullSafe(F.col("_id"))
+                      & F.col(f"row.{source}").eqNullSafe(F.col("_source")))
+    equal = Window.partitionBy("_id", "_source", "_digest").orderBy(F.lit(1))
+    one = met.where("_rows = 1").withColumn("_times", F.col("_copies").cast("int"))
+    many = met.where("_rows > 1").withColumn("_nth", F.row_number().over(equal)).withColumn(
+        "_times", (F.floor(F.col("_copies") / F.col("_rows")) + F.when(F.col("_nth") <= F.col("_copies") % F.col("_rows"), 1).otherwise(0)).cast("int"))
+    both = one.unionByName(many.drop("_nth")).where("_times > 0")
+    return (both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+            .select(*[F.col("row")[c].alias(c) for c in df.columns]))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, secrets, sharding
+from . import minhash, mixing, packing, secrets, sharding
 from .common import prepare, read
 
 QUERIES, ORACLES = {}, {}
@@ -53,6 +53,25 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def tokenizer() -> dict[str, str]:
+    """The byte-level BPE's files and its pre-token pattern."""
+    import public_tokenizers
+    return {"json_path": public_tokenizers.path("byte_bpe_50k.json"), "ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"),
+            "pattern": public_tokenizers.PATTERN}
+
+
+@query()
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 1024 tokens."""
+    return packing.pack(read(spark, sf_dir, "documents"), **tokenizer()).drop("ids")
+
+
+@query()
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents: class id and which document stays."""
+    return minhash.classes(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept", "n_shingles")
+
+
 @query()
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document: counts and digest of the strong kinds, and all spans."""
