@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, minhash, mixing, packing, secrets, sharding
+from . import language, minhash, mixing, packing, secrets, sharding, suffix_tree
 from .common import prepare, read
 
 QUERIES, ORACLES = {}, {}
@@ -24,14 +24,24 @@ def query(oracle: str | None = None):
     return keep
 
 
+def crc_of_id() -> Column:
+    return F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8"))
+
+
 @query()
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from three quarters of those with a known one."""
     docs = read(spark, sf_dir, "documents")
-    docs = docs.withColumn("held_out", F.coalesce(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 4 == 2, F.lit(False)))
+    docs = docs.withColumn("held_out", F.coalesce(crc_of_id() % 4 == 2, F.lit(False)))
     return language.identify(docs.select("doc_id", "held_out", "text"), docs.where(~F.col("held_out"))).drop("text")
 
 
+@query()
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suffix-tree and unigram scores of every document, learned from nine tenths of them."""
+    return suffix_tree.score(read(spark, sf_dir, "documents"), crc_of_id() % 10 == 0)
+
+
 @query("""
 WITH light AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
