@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, minhash, mixing, packing, secrets, sharding, suffix_tree
+from . import chat, embedding_dedup, language, minhash, mixing, packing, secrets, sharding, suffix_tree
 from .common import prepare, read
 
 QUERIES, ORACLES = {}, {}
@@ -28,6 +28,12 @@ def crc_of_id() -> Column:
     return F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8"))
 
 
+@query()
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Link counts and components of all vectors at cosine 0.95."""
+    return embedding_dedup.links(read(spark, sf_dir, "embeddings"))
+
+
 @query()
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from three quarters of those with a known one."""
@@ -84,6 +90,18 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), **tokenizer()).drop("ids")
 
 
+@query()
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one that is full of control strings, formatted and read back."""
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], turns.schema)
+    out = chat.format_conversations(turns.unionByName(extra))
+    kind = turns.schema["conv_id"].dataType.simpleString()
+    return out.mapInPandas(chat.digests, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, "
+                                         "loss_sha256 string, formatted_chars long")
+
+
 @query()
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents: class id and which document stays."""
