@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embedding_dedup, language, minhash, mixing, packing, secrets, sharding, suffix_tree
+from . import chat, embedding_dedup, language, minhash, mixing, multi_index, packing, secrets, sharding, suffix_tree
 from .common import prepare, read
 
 QUERIES, ORACLES = {}, {}
@@ -108,6 +108,12 @@ def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept", "n_shingles")
 
 
+@query()
+def op8_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest by inner product of every vector whose id is divisible by 20."""
+    return multi_index.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @query()
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document: counts and digest of the strong kinds, and all spans."""
