@@ -152,5 +152,5 @@ def identify(df: DataFrame, training: DataFrame, text: str = "text", lang: str =
 
     guess = F.pandas_udf(guesses, "lang_pred string, score double")
     rest = [c for c in df.columns if c not in ("lang_pred", "score")]
-    return df.select(*rest, guess(F.col(text)).alias("_guess")).select(
-        *rest, F.col("_guess.lang_pred").alias("lang_pred"), F.col("_guess.score").alias("score"))
+    told = df.select(F.struct(*rest).alias("row"), guess(F.col(text)).alias("guess"))   # no name of theirs can clash
+    return told.select(*[F.col("row")[c].alias(c) for c in rest], F.col("guess.lang_pred").alias("lang_pred"), F.col("guess.score").alias("score"))

@@ -130,7 +130,7 @@ def _level(keys: np.ndarray, totals: np.ndarray, k: np.ndarray, n: np.ndarray, s
     rest = np.maximum(totals - kept + _DISCOUNT * kinds, 1e-9) / totals
     own = (n - _DISCOUNT) / totals[ctx]
     above = parent(keys[ctx], nxt)
-    gain = np.bincount(ctx, weights=n * np.log((own + rest[ctx] * above) / above), minlength=len(keys))
+    gain = np.bincount(ctx, weights=n * np.log((own + rest[ctx] * above) / above), minlength=len(keys)).astype(float)
     gain += (totals - kept) * np.log(rest)
     return {"keys": keys, "rest": rest, "k": k, "own": own, "gain": gain / totals}
 
