@@ -14,10 +14,17 @@ __all__ = ["materialize", "prepare", "read", "word_count", "spread", "union_all"
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
 
+#: Rows that a Python worker gets at a time.  Texts are long: Spark's default of ten thousand can be gigabytes.
+BATCH_ROWS = 1000
+
+
 def prepare(spark: SparkSession) -> None:
-    """Shared checkpoint folder and package for the Python workers."""
+    """Shared checkpoint folder, package and batch size for the Python workers."""
     ensure_checkpoint_dir(spark)
     ship_package(spark)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":   # left at the default
+        spark.conf.set(rows, str(BATCH_ROWS))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -72,7 +72,7 @@ def prob_minhash(elements: np.ndarray, weights: np.ndarray, m: int) -> np.ndarra
             gap = -np.log(((bits >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0 ** -53) * scale[:, None]
             at = last[:, None] + np.cumsum(gap, axis=1)
             row, col = np.nonzero(at < horizon)
-            part = ((bits[row, col] & np.uint64(2047)) * np.uint64(m)) >> np.uint64(11)
+            part = ((mix(bits[row, col]) >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
             found.append((at[row, col], part.astype(np.int64), live[row]))
             last = at[:, -1]
             on = last < horizon

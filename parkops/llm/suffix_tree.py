@@ -95,7 +95,7 @@ def _flat(column: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows in slices of a bounded number of symbols (a long text is a slice)."""
     for batch in batches:
-        size = batch.symbols.map(len).cumsum() // (4 * _TOKENS)
+        size = batch.symbols.map(len).cumsum() // (2 * _TOKENS)
         for _, part in batch.groupby(size, sort=False):
             yield part
 
@@ -113,11 +113,17 @@ def _next_counts(contexts: object, symbols: int):
     word are symbols, of two words ``first * symbols + second``."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         depth, keys = contexts.value
+        held, size = [], 0
         for part in _slices(batches):
             now, one, two, _ = _flat(part.symbols)
             past = one if depth == 1 else np.where(two >= 0, two * symbols + one, -1)
             at, there = _place(keys, past)
-            yield _tally([(at * symbols + now)[there]])
+            held.append((at * symbols + now)[there])
+            size += len(held[-1])
+            if size > _TOKENS:
+                yield _tally(held)
+                held, size = [], 0
+        yield _tally(held)
     return run
 
 
