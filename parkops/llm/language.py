@@ -13,30 +13,58 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _LETTERS = re.compile(r"[^\W\d_]+")
-_CACHE_WORDS, _CACHED_LENGTH = 100_000, 24
 _FLUSH = 200_000   # distinct (language, word) pairs that a task gathers before it hands them on
 
 
-class _Grams(dict):
-    """n-grams of a word with a blank on either side; short words are remembered."""
-
-    def __init__(self, longest: int) -> None:
-        self.longest = longest
-
-    def __missing__(self, word: str) -> list[str]:
-        padded = f" {word} "
-        grams = [padded[i:i + n] for n in range(1, self.longest + 1) for i in range(len(padded) - n + 1)]
-        grams = [g for g in grams if g != " "]
-        if len(word) <= _CACHED_LENGTH:
-            if len(self) >= _CACHE_WORDS:
-                self.clear()
-            self[word] = grams
-        return grams
+def _windows(listed: list[str], longest: int) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """n-grams of words with a blank on either side: ``(names, slots, starts, sizes)``.
+
+    ``names`` are the distinct n-grams by code point.  Word ``i`` has
+    ``slots[starts[i]:starts[i] + sizes[i]]``: places in ``names``, or ``len(names)``
+    for a window that is none.  All words are one row of characters, and a
+    window is a number made of its characters' places in the alphabet."""
+    points = np.frombuffer(f" {' '.join(listed)} ".encode("utf-32-le"), np.uint32)
+    blank = points == 32
+    alphabet, letter = np.unique(points, return_inverse=True)
+    bits = len(alphabet).bit_length()
+    if bits * longest > 63:   # more letters than a number holds: name the windows instead
+        whole = points.tobytes().decode("utf-32-le")
+    keys = np.zeros((len(points), longest), np.int64 if bits * longest <= 63 else f"U{longest}")
+    valid = np.zeros((len(points), longest), bool)
+    inner = np.zeros(len(points), bool)   # whether a blank stands inside the window
+    for n in range(1, longest + 1):
+        count = len(points) - n + 1
+        if count <= 0:
+            break
+        if n == 1:
+            valid[:, 0] = ~blank
+        else:
+            if n > 2:
+                inner[:count] |= blank[n - 2:n - 2 + count]
+            valid[:count, n - 1] = ~inner[:count]
+        if keys.dtype.kind == "U":
+            keys[:count, n - 1] = [whole[i:i + n] for i in range(count)]
+        else:
+            for i in range(n):   # shorter windows sort before longer ones that begin alike
+                keys[:count, n - 1] |= (letter[i:i + count] + 1) << (bits * (longest - 1 - i))
+    found, where = np.unique(keys[valid], return_inverse=True)
+    slots = np.full(valid.shape, len(found), np.int64)
+    slots[valid] = where
+    if keys.dtype.kind == "U":
+        names = found.tolist()
+    else:
+        mask = (1 << bits) - 1
+        parts = [(found >> (bits * (longest - 1 - i))) & mask for i in range(longest)]
+        signs = ["", *map(chr, alphabet.tolist())]
+        names = ["".join(signs[c] for c in g) for g in zip(*(p.tolist() for p in parts))]
+    lengths = np.array([len(w) for w in listed], np.int64) + 1
+    return names, slots.ravel(), (np.cumsum(lengths) - lengths) * longest, lengths * longest
 
 
 def words(text: str | None) -> Counter:
@@ -44,18 +72,6 @@ def words(text: str | None) -> Counter:
     return Counter(_LETTERS.findall((text or "").lower()))
 
 
-def ranked(text: str | None, grams: _Grams, size: int) -> list[str]:
-    """The text's ``size`` most frequent n-grams, ties by code point."""
-    total: dict[str, int] = {}
-    for word, n in words(text).items():
-        for g in grams[word]:
-            total[g] = total.get(g, 0) + n
-    if len(total) > size:
-        least = sorted(total.values(), reverse=True)[size - 1]
-        total = {g: n for g, n in total.items() if n >= least}
-    return sorted(total, key=lambda g: (-total[g], g))[:size]
-
-
 def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     held: dict[str, Counter] = {}
 
@@ -74,13 +90,21 @@ def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _gram_counts(longest: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        grams = _Grams(longest)
+        held: dict[str, Counter] = {}
+
+        def flush() -> pd.DataFrame:
+            rows = [(lang, g, n) for lang, c in held.items() for g, n in c.items()]
+            held.clear()
+            return pd.DataFrame(rows, columns=["lang", "gram", "n"])
+
         for batch in batches:
-            total: Counter = Counter()
-            for lang, word, n in zip(batch.lang, batch.word, batch.n):
-                for g in grams[word]:
-                    total[lang, g] += n
-            yield pd.DataFrame([(lang, g, n) for (lang, g), n in total.items()], columns=["lang", "gram", "n"])
+            for lang, part in batch.groupby("lang"):
+                names, slots, _, sizes = _windows(part.word.tolist(), longest)
+                total = np.bincount(slots[:sizes.sum()], weights=np.repeat(part.n.to_numpy(), sizes), minlength=len(names) + 1)
+                held.setdefault(lang, Counter()).update(dict(zip(names, total.astype(np.int64).tolist())))
+            if sum(map(len, held.values())) >= _FLUSH:
+                yield flush()
+        yield flush()
     return run
 
 
@@ -102,33 +126,65 @@ def profiles(df: DataFrame, lang: str = "lang", text: str = "text", longest: int
     return few.withColumn("rank", rank).where(F.col("rank") < size).select("lang", "rank", "gram")
 
 
+def _distances(counts: list[Counter], learned: dict[str, dict[str, int]], longest: int, size: int) -> list[tuple[np.ndarray, int]]:
+    """Per text: its distance to each profile, and how many n-grams it was taken over.
+
+    Texts are taken a few at a time: the n-grams of their words become one count
+    matrix; a text's ranks come from its row, by count, then code point."""
+    listed = list({w for c in counts for w in c})
+    place = {w: i for i, w in enumerate(listed)}
+    names, flat, starts, sizes = _windows(listed, longest)
+    away = np.array([[p.get(g, -1) for p in learned.values()] for g in names]).reshape(len(names), len(learned))
+    width = len(names) + 1   # the last column gathers what is no n-gram
+    out: list[tuple[np.ndarray, int]] = []
+    step = max(1, 1_000_000 // width)
+    for at in range(0, len(counts), step):
+        part = counts[at:at + step]
+        row = np.repeat(np.arange(len(part)), [len(c) for c in part])
+        word = np.array([place[w] for c in part for w in c], np.int64)
+        times = np.array([n for c in part for n in c.values()], np.float64)
+        long = sizes[word]
+        inside = np.arange(long.sum()) - np.repeat(np.cumsum(long) - long, long)
+        cell = np.repeat(row, long) * width + flat[np.repeat(starts[word], long) + inside]
+        total = np.bincount(cell, weights=np.repeat(times, long), minlength=len(part) * width).reshape(len(part), -1)[:, :-1]
+        for counted in total:
+            own = np.flatnonzero(counted)
+            n = counted[own]
+            if len(own) > size:
+                least = np.partition(n, len(n) - size)[len(n) - size]
+                own, n = own[n >= least], n[n >= least]
+            own = own[np.lexsort((own, -n))][:size]
+            there = away[own]
+            apart = np.where(there < 0, size, np.abs(there - np.arange(len(own))[:, None])).sum(axis=0)
+            out.append((apart, len(own)))
+    return out
+
+
 def _predict(learned: dict[str, list[str]], longest: int, size: int):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        grams = _Grams(longest)
         langs = sorted(learned)
-        # n-gram -> its rank in each profile; a missing one is `size` places off
-        places: dict[str, list[int | None]] = {}
-        for i, lang in enumerate(langs):
-            for rank, g in enumerate(learned[lang]):
-                places.setdefault(g, [None] * len(langs))[i] = rank
+        places = {lang: {g: r for r, g in enumerate(learned[lang])} for lang in langs}
         for batch in batches:
-            found, scores = [], []
-            for text in batch:
-                own = ranked(text, grams, size)
-                if not own or not langs:
-                    found.append("und")
-                    scores.append(0.0)
-                    continue
-                apart = [0] * len(langs)
-                for rank, g in enumerate(own):
-                    there = places.get(g)
-                    if there is None:
-                        apart = [d + size for d in apart]
-                    else:
-                        apart = [d + (size if p is None else abs(p - rank)) for d, p in zip(apart, there)]
-                least = min(apart)
-                found.append(langs[apart.index(least)])
-                scores.append(1 - least / (size * len(own)))
+            found, scores = ["und"] * len(batch), [0.0] * len(batch)
+            waiting: list[tuple[int, Counter]] = []
+
+            def settle() -> None:
+                for (i, _), (apart, n) in zip(waiting, _distances([c for _, c in waiting], places, longest, size)):
+                    best = int(apart.argmin())
+                    found[i], scores[i] = langs[best], 1 - float(apart[best]) / (size * n)
+                waiting.clear()
+
+            held = 0
+            for i, text in enumerate(batch):
+                c = words(text)
+                if c and langs:
+                    waiting.append((i, c))
+                    held += len(c)
+                    if held > _FLUSH:
+                        settle()
+                        held = 0
+            if waiting:
+                settle()
             yield pd.DataFrame({"lang_pred": found, "score": scores})
     return run
 
