@@ -80,10 +80,11 @@ def chosen_paths(messages: DataFrame, top: int = 1) -> DataFrame:
     ranked = some.where(F.col("_r") <= top).withColumn("branch", F.row_number().over(Window.partitionBy("tree").orderBy(*best)))
     ranked = ranked.where(F.col("branch") <= top)
     # all messages of a chosen path: each level's jump doubles what is there
-    walk = ranked.select("tree", "branch", F.col("leaf").alias("msg"), "depth")
+    walk = materialize(ranked.select("tree", "branch", F.col("leaf").alias("msg"), "depth"), "walk")
     for k in reversed(range(len(levels) - 1)):
         hop = levels[k].where("jump IS NOT NULL").select("msg", "jump")
-        walk = walk.unionByName(walk.join(hop, "msg").select("tree", "branch", F.col("jump").alias("msg"), (F.col("depth") - 2 ** k).alias("depth")))
+        more = walk.join(hop, "msg").select("tree", "branch", F.col("jump").alias("msg"), (F.col("depth") - 2 ** k).alias("depth"))
+        walk = materialize(walk.unionByName(more), "walk")   # read twice by the next round
     return walk
 
 
