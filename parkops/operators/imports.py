@@ -114,9 +114,10 @@ def vehicle_import_validate(requests: DataFrame, vehicles: DataFrame) -> DataFra
 
 def walk_in_vehicles(checkins: DataFrame, vehicles: DataFrame) -> DataFrame:
     """Plates seen at check-in that are not registered become vehicles of
-    type ``car`` without an owner: one per plate, from its earliest check-in."""
+    type ``car`` without an owner: one per plate, from its earliest check-in.
+    A check-in needs a plate: NULL and blank ones make no vehicle."""
     plate = F.upper(F.trim("license_plate"))
-    c = checkins.withColumn("plate", plate)
+    c = checkins.withColumn("plate", plate).filter(F.col("plate") != "")
     known = vehicles.select(F.upper(F.trim("license_plate")).alias("plate"))
     unknown = c.join(known, "plate", "left_anti")
     g = unknown.groupBy("plate").agg(

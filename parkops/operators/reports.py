@@ -223,7 +223,8 @@ def occupancy_profile(zones: DataFrame, spots: DataFrame, sessions: DataFrame, a
     now = as_of_lit(as_of)
     day0 = F.date_sub(F.to_date(now), days - 1).cast("timestamp_ntz")
     end = F.coalesce(F.col("exit_time"), now)
-    live = sessions.filter((F.col("entry_time") <= now) & (end >= day0))
+    # a row that ends before it begins (clock errors) covers no hour
+    live = sessions.filter((F.col("entry_time") <= now) & (end >= day0) & (end >= F.col("entry_time")))
     sp = spots.select(F.col("id").alias("_sid"), F.col("zone_id"))
     hours = (live.join(sp, live["spot_id"] == sp["_sid"], "inner")
              .select("zone_id", "spot_id",

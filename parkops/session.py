@@ -45,8 +45,14 @@ def get_session(master: str | None = None, app_name: str = "parkops",
     if shuffle_partitions is not None:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
+    # what the cluster (spark-defaults, spark-submit) or a running session has set stays
+    from pyspark import SparkConf
+    active = SparkSession.getActiveSession()
+    given = dict(active.sparkContext.getConf().getAll()) if active else dict(SparkConf().getAll())
+    asked = {"spark.sql.shuffle.partitions", *(extra or {})}
     for k, v in conf.items():
-        builder = builder.config(k, v)
+        if k in asked or k not in given:
+            builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)

@@ -21,7 +21,8 @@ def iso_text(ts: Column) -> Column:
 
 
 def iso_time(text: Column) -> Column:
-    return F.to_timestamp(text, ISO_FORMAT).cast("timestamp_ntz")
+    """NULL for a text that is no such time; one bad document never stops the job."""
+    return F.try_to_timestamp(text, F.lit(ISO_FORMAT)).cast("timestamp_ntz")
 
 
 def booking_json_flatten(docs: DataFrame, doc_col: str = "doc") -> DataFrame:

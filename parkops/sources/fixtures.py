@@ -42,7 +42,8 @@ def reservation_action(event_type: Column) -> Column:
 
 
 def event_spot(event_id: Column) -> Column:
-    return (event_id * F.lit(7919)) % F.lit(200)
+    # the remainder first, so large ids never overflow
+    return ((event_id % F.lit(200)) * F.lit(7919)) % F.lit(200)
 
 
 def props_hours(props: Column) -> Column:
@@ -267,12 +268,7 @@ class ParkingModel:
         """Client-storage spot documents as JSON text, one per event: a spot
         with an optional booking holding 0-2 extension records."""
         from .documents import iso_text
-        # building JSON is CPU work: spread the rows when the input arrives in
-        # fewer splits than there are cores (one row group per file here)
         e = self.raw("events")
-        cores = self.spark.sparkContext.defaultParallelism
-        if e.rdd.getNumPartitions() < cores:
-            e = e.repartition(cores)
         k = F.get_json_object(F.col("props"), "$.k").try_cast("bigint")
         hours = (F.lit(1) + k % 24).cast("int")
         spot = event_spot(F.col("event_id"))

@@ -9,6 +9,8 @@ Parquet written by the executors.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -19,12 +21,14 @@ POLL = "15 seconds"
 
 
 def _publish(stream: DataFrame, name: str, out_dir: str, ckpt_dir: str, mode: str,
-             trigger: str | None) -> StreamingQuery:
+             trigger: str | None, shape: Callable[[DataFrame], DataFrame] = lambda df: df) -> StreamingQuery:
+    assert mode in ("complete", "append")   # an update batch holds only what changed: it can't replace a table
+
     def sink(batch: DataFrame, epoch_id: int) -> None:
-        # complete / update: the latest table replaces the previous one;
+        # complete: the whole table replaces the previous one;
         # append: each micro-batch adds its own folder
-        target = f"{out_dir}/{name}" if mode != "append" else f"{out_dir}/{name}/epoch={epoch_id:012d}"
-        batch.write.mode("overwrite").parquet(target)
+        target = f"{out_dir}/{name}" if mode == "complete" else f"{out_dir}/{name}/epoch={epoch_id:012d}"
+        shape(batch).write.mode("overwrite").parquet(target)
 
     w = (stream.writeStream.outputMode(mode).foreachBatch(sink)
          .option("checkpointLocation", f"{ckpt_dir}/{name}").queryName(f"live_{name}"))
@@ -42,10 +46,11 @@ def start_live_jobs(spark: SparkSession, events_dir: str, out_dir: str, ckpt_dir
     log = m.lot_events("vehicle")
     return {
         "hourly_entries": _publish(sj.hourly_entries(m.sessions), "hourly_entries", out_dir, ckpt_dir,
-                                   "complete", trigger),
+                                   "complete", trigger, sj.hourly_entries_out),
         "daily_revenue": _publish(sj.daily_revenue(m.sessions), "daily_revenue", out_dir, ckpt_dir,
-                                  "complete", trigger),
-        "spot_state": _publish(sj.spot_state(log), "spot_state", out_dir, ckpt_dir, "update", trigger),
+                                  "complete", trigger, sj.daily_revenue_out),
+        "spot_state": _publish(sj.spot_state(log), "spot_state", out_dir, ckpt_dir, "complete", trigger,
+                               lambda df: sj.spot_state_out(df, m.spots)),
         "session_pairing": _publish(sj.session_pairing_stream(log), "session_pairing", out_dir, ckpt_dir,
                                     "append", trigger),
         "booking_expiry": _publish(sj.booking_expiry_stream(log), "booking_expiry", out_dir, ckpt_dir,

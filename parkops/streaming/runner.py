@@ -23,8 +23,13 @@ from pyspark.sql import functions as F
 from ..session import scratch_dir
 
 
+def _has_batches(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
+
+
 def run_available_now(stream: DataFrame, name: str, output_mode: str = "append",
-                      keys: Sequence[str] | None = None, timeout_s: int = 600,
+                      keys: Sequence[str] | None = None, timeout_s: int | None = None,
                       processing_time: str | None = None) -> DataFrame:
     spark: SparkSession = stream.sparkSession
     out = scratch_dir(spark, f"stream-{name}-out")
@@ -38,7 +43,7 @@ def run_available_now(stream: DataFrame, name: str, output_mode: str = "append",
     w = w.trigger(processingTime=processing_time) if processing_time else w.trigger(availableNow=True)
     q = w.start()
     try:
-        finished = q.awaitTermination(timeout_s)
+        finished = q.awaitTermination(timeout_s) if timeout_s else (q.awaitTermination() or True)
         if q.exception() is not None:
             raise RuntimeError(f"stream {name} failed: {q.exception()}")
         if not finished:
@@ -47,10 +52,9 @@ def run_available_now(stream: DataFrame, name: str, output_mode: str = "append",
     finally:
         if q.isActive:
             q.stop()
-    try:
-        res = spark.read.parquet(out)
-    except Exception:  # noqa: BLE001 - no micro-batch produced output
+    if not _has_batches(spark, out):   # no micro-batch ran: the input is empty
         return spark.createDataFrame([], stream.schema)
+    res = spark.read.parquet(out)
     cols = [c for c in res.columns if c != "epoch"]
     if output_mode == "complete":
         last = res.agg(F.max("epoch").alias("_e"))

@@ -71,6 +71,10 @@ def test_live_jobs_run_on_a_processing_time_trigger(spark):
     hourly = spark.read.parquet(f"{base}/out/hourly_entries")
     assert hourly.agg(F.sum("entry_count")).collect()[0][0] == \
         spark.read.parquet(f"{SF_SMALL}/events.parquet").count()
+    state = spark.read.parquet(f"{base}/out/spot_state")
+    full = Q["stream_spot_state"](spark, SF_SMALL)
+    assert state.count() == full.count() > 0
+    assert state.select(*full.columns).exceptAll(full).count() == 0
     pairing = spark.read.parquet(f"{base}/out/session_pairing")
     assert pairing.count() == Q["session_pairing"](spark, SF_SMALL).count()
 
