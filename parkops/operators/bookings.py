@@ -1,13 +1,7 @@
 """Bookings: extensions, expiry and the per-spot countdown views.
 
-Bookings are the accepted rows of the booking admission.  An extension
-(``extend`` event) applies to the spot's current booking, i.e. the latest
-booking that started at or before it - also when that booking has already
-run out (the new end counts from the old end and may still be past).  The
-look-up is an as-of match done with the bucketed windows; the running new
-end is the spot's running extension total minus its value at the booking's
-start (a join on the booking id), and the per-booking totals a plain
-aggregate.
+All of them read the booking life cycle (:mod:`parkops.operators.cycle`), which
+decides check-ins, extensions and check-outs of a spot in one order.
 """
 
 from __future__ import annotations
@@ -16,130 +10,84 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import hhmmss
-from ..plans.materialize import materialize
-from ..plans.windows import adaptive_bucket, carry_value, ordered_lookups
 from ..schemas import CRITICAL_MS, WARNING_MS
 from ..sources.fixtures import as_of_lit
+from .cycle import us_time
 
 
 def _ms(c):
     return F.unix_millis(c.cast("timestamp"))
 
 
-def _timeline(bookings: DataFrame, extensions: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
-    """Bookings (kind 0) and extensions (kind 1) of each spot on one time
-    line; at equal times a booking comes first, so an extension made at
-    the very start of a booking extends it."""
-    b = bookings.select("spot_id", F.col("start_time").alias("t"), F.lit(0).alias("kind"),
-                        F.col("booking_id").alias("id"), F.col("booking_id").alias("val"),
-                        F.lit(None).cast("int").alias("hours"))
-    x = extensions.select("spot_id", F.col("ts").alias("t"), F.lit(1).alias("kind"),
-                          F.col("event_id").alias("id"), F.lit(None).cast("bigint").alias("val"), "hours")
-    return adaptive_bucket(b.unionByName(x), ["spot_id"], "t")   # (rows, bucket columns)
-
-
-def _spot_pass(bookings: DataFrame, extensions: DataFrame) -> DataFrame:
-    """One ordered pass per spot: the booking each row falls under (latest
-    start at or before it) and the running total of extension hours."""
-    rows, buckets = _timeline(bookings, extensions)
-    return ordered_lookups(rows, ["spot_id"], buckets, ["t", "kind", "id"],
-                           [("prev", "val", "booking_id"), ("cumsum", "hours", "cum_hours")])
-
-
-def _assign(bookings: DataFrame, extensions: DataFrame) -> DataFrame:
-    """Each extension with the booking it extends: the spot's latest booking
-    starting at or before it (NULL when there is none yet)."""
-    rows, buckets = _timeline(bookings, extensions)
-    m = carry_value(rows, ["spot_id"], buckets, ["t", "kind", "id"], "val", "booking_id", "prev")
-    return (m.filter(F.col("kind") == 1)
-            .select(F.col("id").alias("event_id"), "spot_id", F.col("t").alias("extended_at"),
-                    F.col("hours").alias("added_hours"), "booking_id"))
-
-
-def match_extensions(bookings: DataFrame, extensions: DataFrame) -> DataFrame:
-    """Each extension with the booking it extends (NULL when the spot has no
-    booking yet) and the booking's end after it (``new_end_time``).
-
-    The running extension total of the spot at the extension, minus the one
-    at the booking's start, is the booking's running total; the latter is a
-    join on the (unique) booking id, not a window over the booking."""
-    p = materialize(_spot_pass(bookings, extensions), "spot-pass")
-    at_start = (p.filter(F.col("kind") == 0)
-                .select(F.col("id").alias("_bid"), F.col("cum_hours").alias("_base")))
-    ends = bookings.select(F.col("booking_id").alias("_eid"), F.col("end_time").alias("_end"))
-    ext = p.filter(F.col("kind") == 1)
-    matched = (ext.filter(F.col("booking_id").isNotNull())
-               .join(at_start, F.col("booking_id") == F.col("_bid"), "inner")
-               .join(ends, F.col("booking_id") == F.col("_eid"), "inner")
-               .withColumn("new_end_time", F.col("_end") + F.make_dt_interval(
-                   hours=(F.col("cum_hours") - F.coalesce(F.col("_base"), F.lit(0))).cast("int"))))
-    unmatched = ext.filter(F.col("booking_id").isNull()).withColumn(
-        "new_end_time", F.lit(None).cast("timestamp_ntz"))
-    cols = [F.col("id").alias("event_id"), "spot_id", F.col("t").alias("extended_at"),
-            F.col("hours").alias("added_hours"), "booking_id", "new_end_time"]
-    return matched.select(*cols).unionByName(unmatched.select(*cols))
-
-
-def extended_bookings(bookings: DataFrame, matched: DataFrame) -> DataFrame:
-    """Bookings after all their extensions: end, booked and extended hours."""
-    tot = (matched.filter(F.col("booking_id").isNotNull()).groupBy(F.col("booking_id").alias("_bid"))
-           .agg(F.sum("added_hours").alias("_ext"), F.count(F.lit(1)).alias("extension_count")))
-    j = bookings.join(tot, F.col("booking_id") == F.col("_bid"), "left")
-    ext = F.coalesce(F.col("_ext"), F.lit(0)).cast("int")
-    return j.select("booking_id", "spot_id", "vehicle_id", "start_time",
-                    F.col("end_time").alias("original_end_time"),
-                    (F.col("end_time") + F.make_dt_interval(hours=ext)).alias("end_time"),
-                    (F.col("duration_hours") + ext).alias("duration_hours"),
-                    ext.alias("total_extended_hours"),
-                    F.coalesce(F.col("extension_count"), F.lit(0)).alias("extension_count"))
-
-
-def apply_extensions(bookings: DataFrame, extensions: DataFrame, as_of: str) -> DataFrame:
-    """Fold extension events into bookings: one row per extension with the
-    new end it produced and the booking's state after all extensions (the
-    ``expired`` flag is cleared by an extension; the spot is occupied again).
-    Extensions with no booking to extend come back with NULL booking."""
+def _totals(cycle: DataFrame) -> DataFrame:
+    """Per booking: its start row and its applied extensions."""
+    mine = cycle.filter(F.col("kind").isin("booked", "extended"))
+    ext = F.col("kind") == "extended"
+    start = F.max(F.when(~ext, F.struct("spot_id", "vehicle_id", "ts", "hours")))
+    g = mine.groupBy("booking_id").agg(
+        start.alias("s"), F.coalesce(F.sum(F.when(ext, F.col("hours"))), F.lit(0)).cast("int").alias("total_extended_hours"),
+        F.count_if(ext).alias("extension_count"), F.max_by("end_us", F.struct("ts", "event_id")).alias("end_us"))
+    return g.select("booking_id", F.col("s.vehicle_id").alias("vehicle_id"), F.col("s.ts").alias("start_time"),
+                    us_time(F.col("end_us")).alias("end_time"),
+                    (F.col("s.hours") + F.col("total_extended_hours")).alias("duration_hours"),
+                    "total_extended_hours", "extension_count")
+
+
+def apply_extensions(cycle: DataFrame, as_of: str) -> DataFrame:
+    """Extension events up to ``as_of``: the booking each one extends, the end it
+    gives it, and the booking's state after all its extensions.  An extension
+    of a spot without a booking (none yet, or checked out) is not applied and
+    has a NULL booking."""
+    past = cycle.filter(F.col("ts") <= as_of_lit(as_of))
+    x = past.filter((F.col("action") == "extend") & F.col("kind").isin("extended", "no_booking"))
+    done = _totals(past).select(F.col("booking_id").alias("_bid"), F.col("end_time").alias("booking_end_time"),
+                                F.col("duration_hours").alias("booking_duration_hours"), "total_extended_hours")
+    return (x.join(done, F.col("booking_id") == F.col("_bid"), "left")
+            .select("event_id", "spot_id", F.col("ts").alias("extended_at"), F.col("hours").alias("added_hours"), "booking_id",
+                    us_time(F.col("end_us")).alias("new_end_time"), "booking_end_time", "booking_duration_hours",
+                    "total_extended_hours", (F.col("kind") == "extended").alias("applied")))
+
+
+def spot_bookings(cycle: DataFrame, as_of: str) -> DataFrame:
+    """Per spot with any action up to ``as_of``: its booking (NULL after a
+    check-out or without one) with its extensions, and whether a check-out or
+    an expiry has ``cleared`` the spot's flags."""
     now = as_of_lit(as_of)
-    x = extensions.filter(F.col("ts") <= now)
-    m = match_extensions(bookings, x)
-    eb = extended_bookings(bookings, m).select(
-        F.col("booking_id").alias("_bid"), F.col("end_time").alias("booking_end_time"),
-        F.col("duration_hours").alias("booking_duration_hours"), "total_extended_hours")
-    return (m.join(eb, F.col("booking_id") == F.col("_bid"), "left").drop("_bid")
-            .withColumn("applied", F.col("booking_id").isNotNull()))
-
-
-def current_bookings(bookings: DataFrame, extensions: DataFrame, as_of: str) -> DataFrame:
-    """Per spot, the booking held at ``as_of`` (latest start not after it),
-    with its extensions up to ``as_of`` applied."""
-    now = as_of_lit(as_of)
-    b = bookings.filter(F.col("start_time") <= now)
-    eb = extended_bookings(b, _assign(b, extensions.filter(F.col("ts") <= now)))
-    cols = ["booking_id", "vehicle_id", "start_time", "end_time", "duration_hours", "total_extended_hours",
-            "extension_count"]
-    g = eb.groupBy("spot_id").agg(F.max_by(F.struct(*cols), F.struct("start_time", "booking_id")).alias("b"))
-    return g.select("spot_id", *[F.col(f"b.{c}").alias(c) for c in cols])
-
-
-def expire_bookings(spots: DataFrame, current: DataFrame, as_of: str) -> DataFrame:
-    """Sweep at ``as_of``: a current booking strictly past its end becomes
-    expired and its spot's occupied and reserved flags are cleared; a live
-    booking keeps its spot occupied.  Spots without a booking keep their
+    past = cycle.filter((F.col("ts") <= now) & F.col("kind").isin("booked", "extended", "rejected", "no_booking", "checked_out"))
+    ran_out = F.col("kind").isin("booked", "extended", "rejected") & (
+        F.least(F.coalesce(F.col("next_ts"), now), now) > us_time(F.col("end_us")))
+    g = past.groupBy("spot_id").agg(
+        F.max_by("booking_id", F.struct("ts", "event_id")).alias("booking_id"),
+        (F.count_if(ran_out | (F.col("kind") == "checked_out")) > 0).alias("cleared"))
+    t = _totals(past).withColumnRenamed("booking_id", "_bid")
+    return g.join(t, F.col("booking_id") == F.col("_bid"), "left").drop("_bid")
+
+
+def current_bookings(spot_states: DataFrame) -> DataFrame:
+    """The spots' bookings, of spots that have one."""
+    return spot_states.filter(F.col("booking_id").isNotNull()).drop("cleared")
+
+
+def expire_bookings(spots: DataFrame, spot_states: DataFrame, as_of: str) -> DataFrame:
+    """Sweep at ``as_of``: a booking strictly past its end becomes expired and its
+    spot's occupied and reserved flags are cleared, as by a check-out; a live
+    booking keeps its spot occupied.  Spots without any action keep their
     flags.  The session is not closed."""
     now = as_of_lit(as_of)
-    c = current.select(F.col("spot_id").alias("_sid"), "booking_id", "end_time")
+    c = spot_states.select(F.col("spot_id").alias("_sid"), "booking_id", "end_time", "cleared")
     j = spots.join(c, F.col("id") == F.col("_sid"), "left")
     has = F.col("booking_id").isNotNull()
     expired = has & (now > F.col("end_time"))
+    cleared = F.coalesce(F.col("cleared"), F.lit(False))
     return j.select(
         "id", "spot_number", "zone_id", "spot_type",
-        F.when(expired, F.lit(False)).when(has, F.lit(True)).otherwise(F.col("is_occupied")).alias("is_occupied"),
-        F.when(expired, F.lit(False)).otherwise(F.col("is_reserved")).alias("is_reserved"),
+        F.when(has, ~expired).when(cleared, F.lit(False)).otherwise(F.col("is_occupied")).alias("is_occupied"),
+        F.when(cleared, F.lit(False)).otherwise(F.col("is_reserved")).alias("is_reserved"),
         "booking_id", F.col("end_time").alias("booking_end_time"),
         F.when(has, expired).alias("expired"))
 
 
-def spot_status_board(swept: DataFrame, current: DataFrame, as_of: str) -> DataFrame:
+def spot_status_board(swept: DataFrame, as_of: str) -> DataFrame:
     """One status per spot, first match wins: overdue, critical (< 5 min),
     warning (< 15 min), occupied, reserved, then the spot type.  The time
     classes need an occupied spot with a booking."""

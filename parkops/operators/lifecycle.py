@@ -6,9 +6,9 @@ first request wins.  Every input row comes back with ``accepted`` and a
 ``reason`` for a rejection.
 
 Per-key order questions ("what did this vehicle do last?") use the
-bucketed windows of :mod:`parkops.plans.windows`, and the greedy booking
-chain uses pointer doubling (:mod:`parkops.plans.chains`), so a hot vehicle
-or spot is never gathered into a single task.
+bucketed windows of :mod:`parkops.plans.windows`, and bookings come from the
+life cycle in :mod:`parkops.operators.cycle`, so a hot vehicle or spot is
+never gathered into a single task.
 """
 
 from __future__ import annotations
@@ -16,9 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.chains import reachable
-from ..plans.materialize import materialize
-from ..plans.windows import adaptive_bucket, carry_value, ordered_lookups
+from ..plans.windows import adaptive_bucket, ordered_lookups
 
 ORDER = ["ts", "event_id"]
 
@@ -102,91 +100,18 @@ def reservation_admission(log: DataFrame, spots: DataFrame) -> DataFrame:
                       .alias("end_time")).unionByName(bad)
 
 
-# Spots with at most this many requests are decided by one sequential pass
-# in a grouped pandas function (a group never exceeds this size); busier
-# spots go through the distributed successor chain instead.
-GREEDY_GROUP_LIMIT = 50_000
-
-
-def _greedy_spot(pdf):
-    """Sequential first-come decision for one spot's requests."""
-    import numpy as np
-    pdf = pdf.sort_values(["ts", "event_id"], kind="stable")
-    ts = pdf["ts"].to_numpy()
-    ends = pdf["end_time"].to_numpy()
-    ok = np.zeros(len(pdf), dtype=bool)
-    held = None
-    for i in range(len(pdf)):
-        if held is None or ts[i] > held:
-            ok[i] = True
-            held = ends[i]
-    return pdf.assign(_ok=ok)[["event_id", "_ok"]]
-
-
-def _chain_accept(known: DataFrame) -> DataFrame:
-    """Accepted request ids of ``known`` via successor chains (any size)."""
-    reqs = known.select("spot_id", F.col("ts").alias("t"), F.lit(0).alias("kind"), F.col("event_id").alias("id"),
-                        F.col("event_id").alias("val"))
-    probes = known.select("spot_id", F.col("end_time").alias("t"), F.lit(1).alias("kind"),
-                          F.col("event_id").alias("id"), F.lit(None).cast("bigint").alias("val"))
-    both, buckets = adaptive_bucket(reqs.unionByName(probes), ["spot_id"], "t")
-    nxt = carry_value(both, ["spot_id"], buckets, ["t", "kind", "id"], "val", "nxt", "next")
-    edges = nxt.filter(F.col("kind") == 1).select(F.col("id").alias("node"), "nxt")
-    starts = (known.groupBy("spot_id")
-              .agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("node")).select("node"))
-    return reachable(edges, starts).select(F.col("node").alias("event_id"), F.lit(True).alias("_ok"))
-
-
-def spot_booking_admission(log: DataFrame, spots: DataFrame, group_limit: int = GREEDY_GROUP_LIMIT) -> DataFrame:
-    """Booking requests (check-ins with a duration) -> decisions.
-
-    A request is rejected if the spot does not exist or is still held by the
-    last accepted booking; a booking stops holding the spot once the request
-    time is strictly past its end (it expires first).  ``is_reserved`` is
-    ignored.  Greedy per spot: from an accepted request, the next accepted
-    one is the first request strictly after its end.
-
-    Spots with at most ``group_limit`` requests are decided by a sequential
-    pass per spot (``applyInPandas``; the group size is bounded).  For busier
-    spots the successor of every request is an as-of look-up (bucketed
-    window) and the accepted set is the chain of successors from the spot's
-    first request, found by pointer doubling, so no spot is ever gathered
-    into one task.  Both paths give the same decisions.
-    """
-    req = (log.filter(F.col("action") == "check_in")
-           .select("event_id", "spot_id", "vehicle_id", "ts", "hours",
-                   (F.col("ts") + F.make_dt_interval(hours=F.col("hours"))).alias("end_time")))
-    ids = spots.select(F.col("id").alias("spot_id")).distinct()
-    known = req.filter(F.col("ts").isNotNull() & F.col("hours").isNotNull()).join(ids, "spot_id", "left_semi")
-    # busiest spot first (one small aggregate): in the usual case every spot
-    # fits the bounded pandas pass and no split is needed
-    sizes = known.groupBy("spot_id").agg(F.count(F.lit(1)).alias("_n"))
-    busiest = sizes.agg(F.max("_n")).first()[0] or 0
-    cols = ["event_id", "spot_id", "ts", "end_time"]
-    if busiest <= group_limit:
-        decided = (known.select(*cols).groupBy("spot_id")
-                   .applyInPandas(_greedy_spot, "event_id long, _ok boolean").filter(F.col("_ok")))
-    else:
-        sizes = materialize(sizes, "spot-sizes")
-        sized = known.join(sizes, "spot_id")
-        small = sized.filter(F.col("_n") <= group_limit).select(*cols)
-        big = sized.filter(F.col("_n") > group_limit).drop("_n")
-        decided = (small.groupBy("spot_id").applyInPandas(_greedy_spot, "event_id long, _ok boolean")
-                   .filter(F.col("_ok")).unionByName(_chain_accept(big)))
-    acc = decided.select(F.col("event_id").alias("_acc"), F.lit(True).alias("_ok"))
-    j = (req.join(known.select(F.col("event_id").alias("_kid")), F.col("event_id") == F.col("_kid"), "left")
-         .join(acc, F.col("event_id") == F.col("_acc"), "left"))
-    accepted = F.coalesce(F.col("_ok"), F.lit(False))
-    # the decisions are a table of their own: written once, then read by
-    # every branch that needs bookings (no re-run of the sequential pass)
-    return materialize(j.select("event_id", "spot_id", "vehicle_id", "ts", "hours", "end_time", accepted.alias("accepted"),
-                    F.when(accepted, F.lit(None).cast("string"))
-                     .when(F.col("_kid").isNull(), F.lit("spot_not_found"))
-                     .otherwise(F.lit("spot_occupied")).alias("reason")), "booking-admission")
-
-
-def bookings_from_admission(admission: DataFrame) -> DataFrame:
-    """Accepted requests as bookings (one row per booking)."""
-    return admission.filter(F.col("accepted")).select(
-        F.col("event_id").alias("booking_id"), "spot_id", "vehicle_id", F.col("ts").alias("start_time"),
-        "end_time", F.col("hours").alias("duration_hours"))
+def spot_booking_admission(cycle: DataFrame) -> DataFrame:
+    """Booking requests (check-ins with a duration) -> decisions, read from the
+    booking life cycle (:mod:`parkops.operators.cycle`).
+
+    A request is rejected if the spot does not exist, if it is invalid (no
+    spot, time or positive duration), or if the spot's booking, with its
+    extensions, still holds; a check-out ends a booking early.
+    ``is_reserved`` is ignored."""
+    req = cycle.filter(F.col("action") == "check_in")
+    accepted = F.col("kind") == "booked"
+    reason = (F.when(accepted, F.lit(None).cast("string")).when(F.col("kind") == "rejected", F.lit("spot_occupied"))
+              .when(F.col("kind") == "invalid", F.lit("invalid_event")).otherwise(F.col("kind")))
+    return req.select("event_id", "spot_id", "vehicle_id", "ts", "hours",
+                      (F.col("ts") + F.make_dt_interval(hours=F.col("hours"))).alias("end_time"),
+                      accepted.alias("accepted"), reason.alias("reason"))

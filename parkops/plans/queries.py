@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import billing, bookings as bk, changes, imports, lifecycle, lookups, reports, seeds
+from ..operators import billing, bookings as bk, changes, cycle, imports, lifecycle, lookups, reports, seeds
 from ..session import scratch_dir
 from ..sources import documents, io
 from ..sources.fixtures import AS_OF, PEAK_AS_OF, model
@@ -560,99 +560,101 @@ def q_reservation_admission(spark, base):
     return lifecycle.reservation_admission(m.lot_events("reservation"), m.spots)
 
 
-BOOKING_ADMISSION_SQL = """
-    req AS (
-        SELECT l.event_id, l.spot_id, l.ts, l.hours,
-               row_number() OVER (PARTITION BY l.spot_id ORDER BY l.ts, l.event_id) AS rn
-        FROM vehicle_log l WHERE l.action = 'check_in' AND l.spot_id IN (SELECT id FROM parking_spots)),
-    walk(spot_id, rn, event_id, accepted, last_end) AS (
-        SELECT spot_id, rn, event_id, TRUE, ts + to_hours(hours) FROM req WHERE rn = 1
+CYCLE_SQL = """
+    act AS (
+        SELECT event_id, spot_id, ts, action, hours,
+               row_number() OVER (PARTITION BY spot_id ORDER BY ts, event_id) AS rn,
+               lead(ts) OVER (PARTITION BY spot_id ORDER BY ts, event_id) AS next_ts
+        FROM vehicle_log
+        WHERE action IN ('check_in', 'extend', 'check_out') AND spot_id IN (SELECT id FROM parking_spots)
+              AND ts IS NOT NULL AND (action = 'check_out' OR hours > 0)),
+    walk(spot_id, rn, bid, end_t, kind) AS (
+        SELECT spot_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS TIMESTAMP), CAST(NULL AS VARCHAR)
+        FROM act WHERE rn = 1
         UNION ALL
-        SELECT r.spot_id, r.rn, r.event_id, r.ts > w.last_end,
-               CASE WHEN r.ts > w.last_end THEN r.ts + to_hours(r.hours) ELSE w.last_end END
-        FROM walk w JOIN req r ON r.spot_id = w.spot_id AND r.rn = w.rn + 1),
-    admission AS (
-        SELECT l.event_id, l.spot_id, l.vehicle_id, l.ts, l.hours, l.ts + to_hours(l.hours) AS end_time,
-               coalesce(w.accepted, FALSE) AS accepted,
-               CASE WHEN w.accepted THEN NULL WHEN w.event_id IS NULL THEN 'spot_not_found'
-                    ELSE 'spot_occupied' END AS reason
-        FROM vehicle_log l LEFT JOIN walk w ON l.event_id = w.event_id
-        WHERE l.action = 'check_in')"""
-
-
-@register("spot_booking_admission", f"""
-    WITH RECURSIVE {BOOKING_ADMISSION_SQL}
-    SELECT * FROM admission
-""")
-def q_spot_booking_admission(spark, base):
-    m = model(spark, base)
-    return lifecycle.spot_booking_admission(m.lot_events("vehicle"), m.spots)
-
-
-# ---------------------------------------------------------------------------
-# Bookings: extensions, expiry, countdowns
-# ---------------------------------------------------------------------------
-
-BOOKINGS_SQL = BOOKING_ADMISSION_SQL + f""",
-    bookings AS (
-        SELECT event_id AS booking_id, spot_id, vehicle_id, ts AS start_time, end_time, hours AS duration_hours
-        FROM admission WHERE accepted),
-    ext AS (SELECT event_id, spot_id, ts, hours FROM vehicle_log WHERE action = 'extend' AND ts <= {NOW}),
-    ext_b AS (
-        SELECT x.event_id, x.spot_id, x.ts AS extended_at, x.hours AS added_hours, b.booking_id,
-               b.end_time AS b_end
-        FROM ext x ASOF LEFT JOIN bookings b ON x.spot_id = b.spot_id AND x.ts >= b.start_time),
-    ext_run AS (
-        SELECT *, CASE WHEN booking_id IS NOT NULL THEN b_end + to_hours(CAST(sum(added_hours) OVER (
-                      PARTITION BY booking_id ORDER BY extended_at, event_id) AS BIGINT)) END AS new_end_time
-        FROM ext_b),
-    booking_tot AS (
-        SELECT booking_id, sum(added_hours) AS ext, count(*) AS n FROM ext_b
-        WHERE booking_id IS NOT NULL GROUP BY booking_id),
+        SELECT a.spot_id, a.rn,
+               CASE WHEN a.action = 'check_out' THEN NULL
+                    WHEN a.action = 'check_in' AND (w.bid IS NULL OR a.ts > w.end_t) THEN a.event_id
+                    ELSE w.bid END,
+               CASE WHEN a.action = 'check_out' THEN NULL
+                    WHEN a.action = 'check_in' AND (w.bid IS NULL OR a.ts > w.end_t) THEN a.ts + to_hours(a.hours)
+                    WHEN a.action = 'extend' THEN w.end_t + to_hours(a.hours)
+                    ELSE w.end_t END,
+               CASE WHEN a.action = 'check_out' THEN 'checked_out'
+                    WHEN a.action = 'check_in' AND (w.bid IS NULL OR a.ts > w.end_t) THEN 'booked'
+                    WHEN a.action = 'check_in' THEN 'rejected'
+                    WHEN w.bid IS NULL THEN 'no_booking' ELSE 'extended' END
+        FROM walk w JOIN act a ON a.spot_id = w.spot_id AND a.rn = w.rn + 1),
+    life AS (
+        SELECT a.event_id, a.spot_id, a.ts, a.action, a.hours, a.rn, a.next_ts, w.bid, w.end_t, w.kind
+        FROM walk w JOIN act a ON a.spot_id = w.spot_id AND a.rn = w.rn)"""
+
+BOOKINGS_SQL = CYCLE_SQL + f""",
+    past AS (SELECT * FROM life WHERE ts <= {NOW}),
+    added AS (SELECT bid, sum(hours) AS ext, count(*) AS n FROM past WHERE kind = 'extended' GROUP BY bid),
+    ends AS (SELECT bid, arg_max(end_t, rn) AS end_time FROM past WHERE kind IN ('booked', 'extended') GROUP BY bid),
     booking_final AS (
-        SELECT b.booking_id, b.spot_id, b.vehicle_id, b.start_time, b.end_time AS original_end_time,
-               b.end_time + to_hours(CAST(coalesce(t.ext, 0) AS BIGINT)) AS end_time,
-               b.duration_hours + CAST(coalesce(t.ext, 0) AS INTEGER) AS duration_hours,
-               CAST(coalesce(t.ext, 0) AS INTEGER) AS total_extended_hours,
-               coalesce(t.n, 0) AS extension_count
-        FROM bookings b LEFT JOIN booking_tot t ON b.booking_id = t.booking_id),
+        SELECT l.event_id AS booking_id, l.spot_id, v.vehicle_id, l.ts AS start_time, e.end_time,
+               CAST(l.hours + coalesce(a.ext, 0) AS INTEGER) AS duration_hours,
+               CAST(coalesce(a.ext, 0) AS INTEGER) AS total_extended_hours, coalesce(a.n, 0) AS extension_count
+        FROM past l JOIN ends e ON l.event_id = e.bid JOIN vehicle_log v ON l.event_id = v.event_id
+             LEFT JOIN added a ON l.event_id = a.bid
+        WHERE l.kind = 'booked'),
+    latest AS (SELECT spot_id, max(rn) AS rn FROM past GROUP BY spot_id),
     cur AS (
-        SELECT * EXCLUDE (rn) FROM (
-            SELECT *, row_number() OVER (PARTITION BY spot_id ORDER BY start_time DESC, booking_id DESC) AS rn
-            FROM booking_final WHERE start_time <= {NOW}) WHERE rn = 1),
+        SELECT b.booking_id, b.spot_id, b.vehicle_id, b.start_time, b.end_time, b.duration_hours,
+               b.total_extended_hours, b.extension_count
+        FROM latest t JOIN past l ON t.spot_id = l.spot_id AND t.rn = l.rn JOIN booking_final b ON l.bid = b.booking_id),
+    freed AS (
+        SELECT DISTINCT spot_id FROM past
+        WHERE kind = 'checked_out' OR end_t < least(coalesce(next_ts, {NOW}), {NOW})),
     swept AS (
         SELECT p.id, p.spot_number, p.zone_id, p.spot_type,
-               CASE WHEN c.booking_id IS NOT NULL AND {NOW} > c.end_time THEN FALSE
-                    WHEN c.booking_id IS NOT NULL THEN TRUE ELSE p.is_occupied END AS is_occupied,
-               CASE WHEN c.booking_id IS NOT NULL AND {NOW} > c.end_time THEN FALSE
-                    ELSE p.is_reserved END AS is_reserved,
+               CASE WHEN c.booking_id IS NOT NULL THEN c.end_time >= {NOW}
+                    WHEN f.spot_id IS NOT NULL THEN FALSE ELSE p.is_occupied END AS is_occupied,
+               p.is_reserved AND f.spot_id IS NULL AS is_reserved,
                c.booking_id, c.end_time AS booking_end_time,
                CASE WHEN c.booking_id IS NOT NULL THEN {NOW} > c.end_time END AS expired
-        FROM parking_spots p LEFT JOIN cur c ON p.id = c.spot_id)"""
+        FROM parking_spots p LEFT JOIN cur c ON p.id = c.spot_id LEFT JOIN freed f ON p.id = f.spot_id)"""
 
 
-def _bookings(spark, base):
+def _cycle(spark, base):
     m = model(spark, base)
-    log = m.lot_events("vehicle")
-    adm = lifecycle.spot_booking_admission(log, m.spots)
-    return m, lifecycle.bookings_from_admission(adm), log.filter(F.col("action") == "extend")
+    return m, cycle.booking_cycle(m.lot_events("vehicle"), m.spots)
 
 
 def _current(spark, base):
-    m, b, x = _bookings(spark, base)
-    return m, bk.current_bookings(b, x, AS_OF)
+    m, life = _cycle(spark, base)
+    return m, bk.spot_bookings(life, AS_OF)
+
+
+@register("spot_booking_admission", f"""
+    WITH RECURSIVE {CYCLE_SQL}
+    SELECT l.event_id, l.spot_id, l.vehicle_id, l.ts, l.hours, l.ts + to_hours(l.hours) AS end_time,
+           coalesce(c.kind = 'booked', FALSE) AS accepted,
+           CASE WHEN c.kind = 'booked' THEN NULL WHEN c.kind = 'rejected' THEN 'spot_occupied'
+                WHEN l.ts IS NULL OR l.spot_id IS NULL OR coalesce(l.hours, 0) <= 0 THEN 'invalid_event'
+                ELSE 'spot_not_found' END AS reason
+    FROM vehicle_log l LEFT JOIN life c ON l.event_id = c.event_id WHERE l.action = 'check_in'
+""")
+def q_spot_booking_admission(spark, base):
+    return lifecycle.spot_booking_admission(_cycle(spark, base)[1])
+
+
+# ---------------------------------------------------------------------------
+# Bookings: extensions, expiry, countdowns
+# ---------------------------------------------------------------------------
 
 
 @register("apply_extensions", f"""
     WITH RECURSIVE {BOOKINGS_SQL}
-    SELECT r.event_id, r.spot_id, r.extended_at, r.added_hours, r.booking_id, r.new_end_time,
+    SELECT l.event_id, l.spot_id, l.ts AS extended_at, l.hours AS added_hours, l.bid AS booking_id, l.end_t AS new_end_time,
            f.end_time AS booking_end_time, f.duration_hours AS booking_duration_hours,
-           f.total_extended_hours, r.booking_id IS NOT NULL AS applied
-    FROM ext_run r LEFT JOIN booking_final f ON r.booking_id = f.booking_id
+           f.total_extended_hours, l.kind = 'extended' AS applied
+    FROM past l LEFT JOIN booking_final f ON l.bid = f.booking_id WHERE l.action = 'extend'
 """)
 def q_apply_extensions(spark, base):
-    _, b, x = _bookings(spark, base)
-    return bk.apply_extensions(b, x, AS_OF)
+    return bk.apply_extensions(_cycle(spark, base)[1], AS_OF)
 
 
 @register("expire_bookings", f"""
@@ -680,7 +682,7 @@ def q_expire_bookings(spark, base):
 """)
 def q_spot_status_board(spark, base):
     m, cur = _current(spark, base)
-    return bk.spot_status_board(bk.expire_bookings(m.spots, cur, AS_OF), cur, AS_OF)
+    return bk.spot_status_board(bk.expire_bookings(m.spots, cur, AS_OF), AS_OF)
 
 
 def _pad2_sql(x: str) -> str:
@@ -700,7 +702,7 @@ def _pad2_sql(x: str) -> str:
 """)
 def q_booking_urgency(spark, base):
     _, cur = _current(spark, base)
-    return bk.booking_urgency(cur, AS_OF)
+    return bk.booking_urgency(bk.current_bookings(cur), AS_OF)
 
 
 @register("urgency_counts", f"""
@@ -725,7 +727,7 @@ def q_urgency_counts(spark, base):
 """)
 def q_booking_progress(spark, base):
     _, cur = _current(spark, base)
-    return bk.booking_progress(cur, AS_OF)
+    return bk.booking_progress(bk.current_bookings(cur), AS_OF)
 
 
 # ---------------------------------------------------------------------------
@@ -1013,9 +1015,11 @@ def q_stream_daily_revenue(spark, base):
                    row_number() OVER (PARTITION BY spot_id ORDER BY ts DESC, event_id DESC) AS rn
             FROM vehicle_log) WHERE rn = 1)
     SELECT l.spot_id, l.last_action, l.last_ts, l.last_event_id,
-           l.last_action IN ('check_in', 'extend') AS is_occupied,
+           coalesce(m.moved = 'check_in', FALSE) AS is_occupied,
            coalesce(p.is_reserved, FALSE) AND a.check_outs = 0 AS is_reserved, a.events
     FROM last l JOIN agg a ON l.spot_id = a.spot_id LEFT JOIN parking_spots p ON l.spot_id = p.id
+         LEFT JOIN (SELECT spot_id, arg_max(action, (ts, event_id)) AS moved FROM vehicle_log
+                    WHERE action <> 'extend' GROUP BY spot_id) m ON l.spot_id = m.spot_id
 """)
 def q_stream_spot_state(spark, base):
     m = _stream_model(spark, base)
@@ -1043,40 +1047,29 @@ def q_stream_session_pairing(spark, base):
     return run_available_now(sj.session_pairing_stream(m.lot_events("vehicle")), "session_pairing", "append")
 
 
-@register("stream_booking_decisions", """
-    WITH RECURSIVE ev AS (
-        SELECT event_id, spot_id, ts, action, hours,
-               row_number() OVER (PARTITION BY spot_id ORDER BY ts, event_id) AS rn
-        FROM vehicle_log WHERE action IN ('check_in', 'extend')),
-    walk(spot_id, rn, event_id, ts, bid, end_t, kind) AS (
-        SELECT spot_id, rn, event_id, ts,
-               CASE WHEN action = 'check_in' THEN event_id END,
-               CASE WHEN action = 'check_in' THEN ts + to_hours(hours) END,
-               CASE WHEN action = 'check_in' THEN 'booked' END
-        FROM ev WHERE rn = 1
-        UNION ALL
-        SELECT e.spot_id, e.rn, e.event_id, e.ts,
-               CASE WHEN e.action = 'check_in' AND (w.bid IS NULL OR e.ts > w.end_t) THEN e.event_id
-                    ELSE w.bid END,
-               CASE WHEN e.action = 'check_in' AND (w.bid IS NULL OR e.ts > w.end_t) THEN e.ts + to_hours(e.hours)
-                    WHEN e.action = 'extend' AND w.bid IS NOT NULL THEN w.end_t + to_hours(e.hours)
-                    ELSE w.end_t END,
-               CASE WHEN e.action = 'check_in' AND (w.bid IS NULL OR e.ts > w.end_t) THEN 'booked'
-                    WHEN e.action = 'check_in' THEN 'rejected'
-                    WHEN w.bid IS NOT NULL THEN 'extended' END
-        FROM walk w JOIN ev e ON e.spot_id = w.spot_id AND e.rn = w.rn + 1)
-    SELECT spot_id, event_id, kind, ts, end_t AS end_time FROM walk WHERE kind IS NOT NULL
+@register("stream_booking_decisions", f"""
+    WITH RECURSIVE {CYCLE_SQL}
+    SELECT spot_id, event_id, kind, ts, end_t AS end_time FROM life
 """)
 def q_stream_booking_decisions(spark, base):
-    """The admission and extension rows of the live booking stream (#51);
-    expiry rows, which depend on where the watermark ends, are left out."""
+    """The decisions of the live booking stream (#51), one per action."""
     m = _stream_model(spark, base)
-    out = run_available_now(sj.booking_expiry_stream(m.lot_events("vehicle")), "booking_decisions", "append")
+    out = run_available_now(sj.booking_expiry_stream(m.lot_events("vehicle"), m.spots), "booking_decisions", "append")
     return out.filter(F.col("kind") != "expired")
 
 
-@register("stream_booking_expiry")
+@register("stream_booking_expiry", f"""
+    WITH RECURSIVE {CYCLE_SQL},
+    mark AS (SELECT epoch_ms(max(ts) - INTERVAL 1 HOUR) AS ms FROM act)
+    SELECT spot_id, event_id, kind, ts, end_t AS end_time FROM life
+    UNION ALL
+    SELECT spot_id, bid, 'expired', end_t, end_t FROM life
+    WHERE kind IN ('booked', 'rejected', 'extended')
+          AND CASE WHEN next_ts IS NULL THEN (SELECT ms FROM mark) > epoch_ms(end_t) + 1 ELSE next_ts > end_t END
+""")
 def q_stream_booking_expiry(spark, base):
-    """Rows-only check: expiry rows depend on where the watermark ends."""
+    """All rows of the live booking stream: decisions, and an expiry for each time a
+    booking's end passed before the spot's next action (for its last one:
+    before the final watermark, one hour behind the latest action)."""
     m = _stream_model(spark, base)
-    return run_available_now(sj.booking_expiry_stream(m.lot_events("vehicle")), "booking_expiry", "append")
+    return run_available_now(sj.booking_expiry_stream(m.lot_events("vehicle"), m.spots), "booking_expiry", "append")

@@ -37,6 +37,8 @@ def _edge_agg(kind: str, value: Column, rank: Column) -> Column:
         return F.min_by(value, F.when(value.isNotNull(), rank))
     if kind == "cumsum":
         return F.sum(value)
+    if kind == "prevmax":
+        return F.max(value)
     raise ValueError(kind)
 
 
@@ -47,12 +49,16 @@ def _carry(kind: str, edge: Column, w: Window) -> Column:
         return F.last(edge, True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     if kind == "next":
         return F.first(edge, True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    if kind == "prevmax":
+        return F.max(edge).over(w.rowsBetween(Window.unboundedPreceding, -1))
     return F.sum(edge).over(w.rowsBetween(Window.unboundedPreceding, -1))
 
 
 def _combine(kind: str, near: Column, far: Column) -> Column:
     if kind == "cumsum":
         return F.coalesce(near, F.lit(0)) + F.coalesce(far, F.lit(0))
+    if kind == "prevmax":
+        return F.greatest(near, far)
     return F.coalesce(near, far)
 
 
@@ -62,7 +68,8 @@ def ordered_lookups(df: DataFrame, keys: Sequence[str], bucket: str | Sequence[s
 
     ``specs`` holds ``(kind, value, out)`` with kind ``prev`` (last non-null
     value strictly before the row), ``next`` (first non-null value strictly
-    after it) or ``cumsum`` (running sum including the row).  ``bucket`` is
+    after it), ``prevmax`` (largest value strictly before the row) or
+    ``cumsum`` (running sum including the row).  ``bucket`` is
     one column or a (coarse, fine) pair - e.g. the hour and the sub-bucket
     from :func:`adaptive_bucket` - each monotone in ``order``; keys and
     buckets must not be NULL.
@@ -90,6 +97,8 @@ def ordered_lookups(df: DataFrame, keys: Sequence[str], bucket: str | Sequence[s
             inner.append(F.last(v, True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_in{i}"))
         elif kind == "next":
             inner.append(F.first(v, True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias(f"_in{i}"))
+        elif kind == "prevmax":
+            inner.append(F.max(v).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_in{i}"))
         elif kind == "cumsum":
             inner.append(F.sum(v).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(f"_in{i}"))
         else:

@@ -58,22 +58,24 @@ def daily_revenue_out(df: DataFrame) -> DataFrame:
 def spot_state(log: DataFrame) -> DataFrame:
     """Live state per spot from the vehicle log: the latest event by
     (time, id) wins, so a late event never overrides a newer one.  A
-    check-in or extend leaves the spot occupied; a check-out frees it and
-    clears the reservation flag (client rule)."""
+    check-in leaves the spot occupied; a check-out frees it and clears the
+    reservation flag (client rule).  An extension changes nothing here: it
+    needs a booking, and with one the spot is occupied already (whether
+    bookings ran out is what the booking stream tells)."""
     s = _event_time(log, "ts").withWatermark("et", WATERMARK)
     last = F.max_by(F.struct("action", "ts", "event_id"), F.struct("ts", "event_id"))
-    return s.groupBy("spot_id").agg(last.alias("l"), F.count(F.lit(1)).alias("events"),
+    moved = F.max_by("action", F.when(F.col("action") != "extend", F.struct("ts", "event_id")))
+    return s.groupBy("spot_id").agg(last.alias("l"), moved.alias("moved"), F.count(F.lit(1)).alias("events"),
                                     F.count_if(F.col("action") == "check_out").alias("check_outs"))
 
 
 def spot_state_out(df: DataFrame, spots: DataFrame) -> DataFrame:
-    """Final state per spot that saw events: occupied after a check-in or
-    extend; the snapshot's reserved flag holds until the first check-out."""
+    """Final state per spot that saw events: occupied after a check-in; the snapshot's reserved flag holds until the first check-out."""
     sp = spots.select(F.col("id").alias("_sid"), F.col("is_reserved").alias("_res"))
     j = df.join(sp, F.col("spot_id") == F.col("_sid"), "left")
     return j.select("spot_id", F.col("l.action").alias("last_action"), F.col("l.ts").alias("last_ts"),
                     F.col("l.event_id").alias("last_event_id"),
-                    F.col("l.action").isin("check_in", "extend").alias("is_occupied"),
+                    F.coalesce(F.col("moved") == "check_in", F.lit(False)).alias("is_occupied"),
                     (F.coalesce(F.col("_res"), F.lit(False)) & (F.col("check_outs") == 0)).alias("is_reserved"),
                     "events")
 
@@ -97,18 +99,18 @@ def _pairing(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[p
     before = pd.Series(is_in).shift(1, fill_value=bool(parked)).to_numpy(dtype=bool)
     accepted = (is_in & ~before) | (~is_in & before)
     # the open check-in each accepted check-out closes: last accepted check-in so far
-    opener = pd.Series(ids.astype("float64")).where(is_in & accepted).ffill()
+    opener = pd.Series(ids, dtype="Int64").where(is_in & accepted).ffill()   # integers: ids may exceed 2^53
     if open_id is not None:
-        opener = opener.fillna(float(open_id))
+        opener = opener.fillna(int(open_id))
     closes = (~is_in) & accepted
     out = pd.DataFrame({
         "event_id": ids, "vehicle_id": pdf["vehicle_id"].to_numpy(), "spot_id": pdf["spot_id"].to_numpy(),
         "action": acts, "ts": pdf["ts"].to_numpy(), "accepted": accepted,
         "reason": pd.Series(acts).map({"check_in": "already_parked", "check_out": "no_open_session"})
                     .where(~accepted, None).to_numpy(),
-        "entry_event_id": opener.where(closes).astype("Int64"),
+        "entry_event_id": opener.where(closes),
     })
-    last_open = opener.iloc[-1] if len(opener) else (float(open_id) if open_id is not None else None)
+    last_open = opener.iloc[-1] if len(opener) else open_id
     now_parked = bool(is_in[-1]) if len(is_in) else bool(parked)
     state.update((now_parked, int(last_open) if now_parked and pd.notna(last_open) else None))
     yield out
@@ -135,43 +137,60 @@ def _us_to_ts(us: int) -> pd.Timestamp:
 
 def _booking(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     spot = int(key[0])
-    if state.hasTimedOut:
-        bid, end_us, _ = state.get
-        state.update((bid, end_us, True))
-        yield pd.DataFrame({"spot_id": [spot], "event_id": [bid], "kind": ["expired"],
-                            "ts": [_us_to_ts(end_us)], "end_time": [_us_to_ts(end_us)]})
-        return
-    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "event_id"], kind="stable")
-    bid, end_us, expired = state.get if state.exists else (None, None, True)
+    columns = ["spot_id", "event_id", "kind", "ts", "end_time"]
+    bid, end_us, expired = state.get if state.exists else (None, 0, True)
     rows = []
-    # requests of one spot in one micro-batch, in (time, id) order: the
-    # decision of each depends on the booking the previous ones left
-    for ev_id, ts, action, hours in zip(pdf["event_id"], pdf["ts"], pdf["action"], pdf["hours"]):
-        t_us = int(pd.Timestamp(ts).value // 1000)
-        if action == "check_in":
-            if bid is None or t_us > end_us:
-                bid, end_us, expired = int(ev_id), t_us + int(hours) * _HOUR_US, False
-                rows.append((spot, bid, "booked", ts, _us_to_ts(end_us)))
+
+    def sweep(past: bool) -> None:
+        nonlocal expired
+        if bid is not None and not expired and past:
+            expired = True
+            rows.append((spot, bid, "expired", _us_to_ts(end_us), _us_to_ts(end_us)))
+
+    if state.hasTimedOut:
+        sweep(True)
+    else:
+        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "event_id"], kind="stable")
+        # actions of one spot in one micro-batch, in (time, id) order: the
+        # decision of each depends on the booking the previous ones left
+        for ev_id, ts, action, hours in zip(pdf["event_id"], pdf["ts"], pdf["action"], pdf["hours"]):
+            t_us = int(pd.Timestamp(ts).value // 1000)
+            sweep(t_us > end_us)
+            if action == "check_in":
+                if bid is None or t_us > end_us:
+                    bid, end_us, expired, kind = int(ev_id), t_us + int(hours) * _HOUR_US, False, "booked"
+                else:
+                    kind = "rejected"
+            elif action == "extend":
+                kind = "no_booking" if bid is None else "extended"
+                if bid is not None:
+                    end_us, expired = end_us + int(hours) * _HOUR_US, False
             else:
-                rows.append((spot, int(ev_id), "rejected", ts, _us_to_ts(end_us)))
-        elif action == "extend" and bid is not None:
-            end_us, expired = end_us + int(hours) * _HOUR_US, False
-            rows.append((spot, int(ev_id), "extended", ts, _us_to_ts(end_us)))
-    if bid is not None:
-        state.update((bid, end_us, expired))
+                bid, kind = None, "checked_out"
+            rows.append((spot, int(ev_id), kind, ts, None if bid is None else _us_to_ts(end_us)))
+    if bid is None:
+        if state.exists:
+            state.remove()
+    else:
         timeout_ms = end_us // 1000 + 1
-        if not expired and timeout_ms > state.getCurrentWatermarkMs():
+        if not expired and timeout_ms <= state.getCurrentWatermarkMs():
+            sweep(True)
+        state.update((bid, end_us, expired))
+        if not expired:
             state.setTimeoutTimestamp(timeout_ms)
-    yield pd.DataFrame(rows, columns=["spot_id", "event_id", "kind", "ts", "end_time"])
+    yield pd.DataFrame(rows, columns=columns)
 
 
-def booking_expiry_stream(log: DataFrame) -> DataFrame:
-    """Per spot: admit booking requests (a spot is free once the request is
-    strictly past the end), extend the current booking, and emit
-    ``expired`` when the watermark passes its end (the extend moves the
-    timeout)."""
-    ev = (log.filter(F.col("action").isin("check_in", "extend"))
+def booking_expiry_stream(log: DataFrame, spots: DataFrame) -> DataFrame:
+    """Per known spot, the booking life cycle (:mod:`parkops.operators.cycle`): admit
+    requests, extend, check out, and emit ``expired`` whenever a booking's end
+    passes, told by the spot's next action or by the watermark.  Invalid
+    actions (no time, a duration that is not positive) are left out."""
+    ids = spots.select(F.col("id").alias("_sid")).distinct()
+    valid = F.col("ts").isNotNull() & ((F.col("action") == "check_out") | (F.col("hours") > 0))
+    ev = (log.filter(F.col("action").isin("check_in", "extend", "check_out") & valid)
           .select("event_id", "spot_id", "action", "ts", "hours")
+          .join(ids, F.col("spot_id") == F.col("_sid"), "left_semi")
           .transform(lambda d: _event_time(d, "ts")).withWatermark("et", WATERMARK))
     return ev.groupBy("spot_id").applyInPandasWithState(
         _booking, BOOKING_OUT, BOOKING_STATE, "append", GroupStateTimeout.EventTimeTimeout)

@@ -53,6 +53,6 @@ def start_live_jobs(spark: SparkSession, events_dir: str, out_dir: str, ckpt_dir
                                lambda df: sj.spot_state_out(df, m.spots)),
         "session_pairing": _publish(sj.session_pairing_stream(log), "session_pairing", out_dir, ckpt_dir,
                                     "append", trigger),
-        "booking_expiry": _publish(sj.booking_expiry_stream(log), "booking_expiry", out_dir, ckpt_dir,
+        "booking_expiry": _publish(sj.booking_expiry_stream(log, m.spots), "booking_expiry", out_dir, ckpt_dir,
                                    "append", trigger),
     }

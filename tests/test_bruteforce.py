@@ -5,9 +5,11 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from parkops import schemas as S
 from parkops.operators import changes, imports, lifecycle
+from parkops.operators.cycle import booking_cycle, expiries
 
 T0 = datetime(2024, 1, 1)
 
@@ -54,27 +56,40 @@ def test_session_pairing_matches_simulation(spark, seed):
     assert got == {k: tuple(v) for k, v in want.items()}
 
 
-@pytest.mark.parametrize("limit", [0, 10_000])
-def test_booking_admission_matches_simulation(spark, limit):
+def test_booking_cycle_matches_simulation(spark):
     rnd = random.Random(5)
-    rows = random_log(rnd, 400, ["check_in"], n_keys=4, hot_share=0.5)
+    rows = random_log(rnd, 700, ["check_in", "check_in", "extend", "check_out"], n_keys=4, hot_share=0.5)
     spots = spark.createDataFrame([(k, f"S{k}", 1, "regular", False, False, None) for k in range(4)],
                                   S.PARKING_SPOTS)  # spot 4 is unknown
-    got = {r["event_id"]: r["accepted"]
-           for r in lifecycle.spot_booking_admission(log_df(spark, rows), spots, group_limit=limit).collect()}
-    want = {}
-    held = {}
+    life = booking_cycle(log_df(spark, rows), spots)
+    got = {r["event_id"]: (r["kind"], r["booking_id"]) for r in life.collect()}
+    want, held, ends = {}, {}, []
     for r in sorted(rows, key=lambda r: (r[1], r[0])):
-        spot = r[3]
+        event, t, _, spot, action, hours = r[:6]
         if spot >= 4:
-            want[r[0]] = False
+            want[event] = ("spot_not_found", None)
             continue
-        end = held.get(spot)
-        ok = end is None or r[1] > end
-        want[r[0]] = ok
-        if ok:
-            held[spot] = r[1] + timedelta(hours=r[5])
+        bid, end, told = held.get(spot, (None, None, True))
+        if bid is not None and not told and t > end:
+            ends.append((spot, bid, end))
+            told = True
+        if action == "check_out":
+            bid, kind = None, "checked_out"
+        elif action == "extend":
+            kind = "no_booking" if bid is None else "extended"
+            if bid is not None:
+                end, told = end + timedelta(hours=hours), False
+        elif bid is None or t > end:
+            bid, end, told, kind = event, t + timedelta(hours=hours), False, "booked"
+        else:
+            kind = "rejected"
+        held[spot] = (bid, end, told)
+        want[event] = (kind, bid)
     assert got == want
+    until = max(r[1] for r in rows)
+    ends += [(s, b, e) for s, (b, e, told) in held.items() if b is not None and not told and until > e]
+    out = expiries(life, F.lit(until).cast("timestamp_ntz")).collect()
+    assert sorted((r["spot_id"], r["booking_id"], r["end_time"]) for r in out) == sorted(ends)
 
 
 def test_reservation_admission_matches_simulation(spark):

@@ -2,12 +2,13 @@
 
 from datetime import datetime as dt
 
-import pytest
+from pyspark.sql import functions as F
 
 from parkops import schemas as S
 from parkops.functions.billing import bill
 from parkops.operators import bookings as bk
 from parkops.operators import imports, lifecycle, lookups, reports
+from parkops.operators.cycle import booking_cycle, expiries
 
 AS_OF = "2024-01-30 23:59:59"
 
@@ -90,18 +91,45 @@ def test_pairing_rejects_double_check_in_and_orphan_check_out(spark):
     assert r[5]["accepted"] and r[5]["exit_time"] is None
 
 
-@pytest.mark.parametrize("limit", [0, 50_000])
-def test_booking_admission_is_strict_at_the_end(spark, limit):
+def test_booking_admission_is_strict_at_the_end(spark):
     spots = spots_df(spark, [(1, "S1", 1, "regular", False, False, None)])
     log = log_df(spark, [
         (1, dt(2024, 1, 1, 8), 1, 1, "check_in", 2),    # holds until 10:00
         (2, dt(2024, 1, 1, 10), 2, 1, "check_in", 1),   # exactly at the end: still held
         (3, dt(2024, 1, 1, 10, 0, 1), 3, 1, "check_in", 1),  # after the end: accepted, holds to 11:00:01
         (4, dt(2024, 1, 1, 11), 4, 1, "check_in", 1),   # rejected
-        (5, dt(2024, 1, 1, 9), 5, 99, "check_in", 1)])  # unknown spot
-    r = {x["event_id"]: x for x in lifecycle.spot_booking_admission(log, spots, group_limit=limit).collect()}
+        (5, dt(2024, 1, 1, 9), 5, 99, "check_in", 1),  # unknown spot
+        (6, dt(2024, 1, 1, 9), 6, 1, "check_in", -2), (7, dt(2024, 1, 1, 9), 7, 1, "check_in", -2),
+        (8, dt(2024, 1, 1, 9), 8, 1, "check_in", None), (9, None, 9, 1, "check_in", 1), (10, dt(2024, 1, 1, 9), 9, None, "check_in", 1)])
+    r = {x["event_id"]: x for x in lifecycle.spot_booking_admission(booking_cycle(log, spots)).collect()}
     assert [r[i]["accepted"] for i in (1, 2, 3, 4, 5)] == [True, False, True, False, False]
     assert r[5]["reason"] == "spot_not_found" and r[2]["reason"] == "spot_occupied"
+    assert {r[i]["reason"] for i in (6, 7, 8, 9, 10)} == {"invalid_event"}
+
+
+def test_check_out_ends_a_booking(spark):
+    spots = spots_df(spark, [(1, "S1", 1, "regular", True, True, None)])
+    log = log_df(spark, [
+        (1, dt(2024, 1, 1, 8), 1, 1, "extend", 1),      # no booking yet
+        (2, dt(2024, 1, 1, 8), 1, 1, "check_in", 24),
+        (3, dt(2024, 1, 1, 9), 2, 1, "check_in", 1),    # held
+        (4, dt(2024, 1, 1, 10), 1, 1, "check_out", None),
+        (5, dt(2024, 1, 1, 10, 30), 1, 1, "extend", 1),  # nothing to extend
+        (6, dt(2024, 1, 1, 11), 3, 1, "check_in", 1),   # inside the old end: free again
+        (7, dt(2024, 1, 1, 13), 3, 1, "extend", 5),     # ran out at 12:00, moves to 17:00
+        (8, dt(2024, 1, 1, 16), 4, 1, "check_in", 1)])
+    life = booking_cycle(log, spots)
+    got = {x["event_id"]: (x["kind"], x["booking_id"]) for x in life.collect()}
+    assert got == {1: ("no_booking", None), 2: ("booked", 2), 3: ("rejected", 2), 4: ("checked_out", None),
+                   5: ("no_booking", None), 6: ("booked", 6), 7: ("extended", 6), 8: ("rejected", 6)}
+    until = F.lit(dt(2024, 1, 1, 17, 0, 1)).cast("timestamp_ntz")
+    ran_out = sorted(x["end_time"] for x in expiries(life, until).collect())
+    assert ran_out == [dt(2024, 1, 1, 12), dt(2024, 1, 1, 17)]
+    swept = bk.expire_bookings(spots, bk.spot_bookings(life, AS_OF), AS_OF).collect()[0]
+    assert (swept["booking_id"], swept["expired"], swept["is_occupied"], swept["is_reserved"]) == (6, True, False, False)
+    gone = bk.spot_bookings(booking_cycle(log.filter("event_id <= 5"), spots), AS_OF)
+    swept = bk.expire_bookings(spots, gone, AS_OF).collect()[0]
+    assert (swept["booking_id"], swept["expired"], swept["is_occupied"], swept["is_reserved"]) == (None, None, False, False)
 
 
 def test_reservation_on_occupied_reserved_spot(spark):
@@ -115,34 +143,28 @@ def test_reservation_on_occupied_reserved_spot(spark):
     assert r[4] == (False, "not_reserved") and r[5] == (True, None) and r[6] == (False, "spot_reserved")
 
 
-def bookings_df(spark, rows):
-    return spark.createDataFrame(rows, "booking_id long, spot_id long, vehicle_id long, start_time timestamp_ntz, "
-                                       "end_time timestamp_ntz, duration_hours int")
-
-
 def test_booking_ending_exactly_now(spark):
-    b = bookings_df(spark, [(1, 1, 1, dt(2024, 1, 30, 22, 59, 59), dt(2024, 1, 30, 23, 59, 59), 1)])
-    x = log_df(spark, []).select("event_id", "ts", "spot_id", "hours")
-    cur = bk.current_bookings(b, x, AS_OF)
     spots = spots_df(spark, [(1, "S1", 1, "regular", False, False, None)])
-    swept = bk.expire_bookings(spots, cur, AS_OF).collect()[0]
+    log = log_df(spark, [(1, dt(2024, 1, 30, 22, 59, 59), 1, 1, "check_in", 1)])
+    states = bk.spot_bookings(booking_cycle(log, spots), AS_OF)
+    swept = bk.expire_bookings(spots, states, AS_OF).collect()[0]
     assert swept["expired"] is False and swept["is_occupied"] is True  # not past the end (strict)
-    u = bk.booking_urgency(cur, AS_OF).collect()[0]
+    u = bk.booking_urgency(bk.current_bookings(states), AS_OF).collect()[0]
     assert u["remaining_ms"] == 0 and u["expired"] is True and u["countdown"] == "00:00:00"
-    cnt = bk.urgency_counts(bk.expire_bookings(spots, cur, AS_OF), AS_OF).collect()[0]
+    cnt = bk.urgency_counts(bk.expire_bookings(spots, states, AS_OF), AS_OF).collect()[0]
     assert (cnt["critical_count"], cnt["warning_count"]) == (1, 1)
-    board = bk.spot_status_board(bk.expire_bookings(spots, cur, AS_OF), cur, AS_OF).collect()[0]
+    board = bk.spot_status_board(bk.expire_bookings(spots, states, AS_OF), AS_OF).collect()[0]
     assert board["status"] == "overdue"
 
 
 def test_extension_of_expired_booking_counts_from_old_end(spark):
-    b = bookings_df(spark, [(1, 1, 1, dt(2024, 1, 1, 8), dt(2024, 1, 1, 9), 1)])
-    x = log_df(spark, [(10, dt(2024, 1, 1, 12), 1, 1, "extend", 2), (11, dt(2024, 1, 1, 7), 1, 1, "extend", 1)])
-    x = x.select("event_id", "ts", "spot_id", "hours")
-    r = {e["event_id"]: e for e in bk.apply_extensions(b, x, AS_OF).collect()}
+    spots = spots_df(spark, [(1, "S1", 1, "regular", False, False, None)])
+    life = booking_cycle(log_df(spark, [(1, dt(2024, 1, 1, 8), 1, 1, "check_in", 1), (10, dt(2024, 1, 1, 12), 1, 1, "extend", 2),
+                                        (11, dt(2024, 1, 1, 7), 1, 1, "extend", 1)]), spots)
+    r = {e["event_id"]: e for e in bk.apply_extensions(life, AS_OF).collect()}
     assert r[10]["new_end_time"] == dt(2024, 1, 1, 11)  # old end 09:00 + 2 h, still in the past
     assert r[11]["booking_id"] is None and not r[11]["applied"]  # before any booking
-    cur = bk.current_bookings(b, x, AS_OF).collect()[0]
+    cur = bk.current_bookings(bk.spot_bookings(life, AS_OF)).collect()[0]
     assert (cur["end_time"], cur["duration_hours"], cur["total_extended_hours"]) == (dt(2024, 1, 1, 11), 3, 2)
 
 

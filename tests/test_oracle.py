@@ -18,7 +18,7 @@ def con():
 
 
 def test_every_query_has_an_oracle_or_is_declared_rows_only():
-    rows_only = {"stream_booking_expiry"}
+    rows_only = set()
     assert set(QUERIES) - set(ORACLES) == rows_only
 
 
@@ -38,7 +38,7 @@ def test_query_matches_oracle(spark, con, name):
     assert rows(got) == rows(want)
 
 
-def test_rows_only_stream_query(spark):
+def test_booking_stream_kinds(spark):
     df = QUERIES["stream_booking_expiry"](spark, SF_SMALL)
     kinds = {r["kind"] for r in df.select("kind").distinct().collect()}
-    assert {"booked"} <= kinds <= {"booked", "rejected", "extended", "expired"}
+    assert {"booked", "expired"} <= kinds <= {"booked", "rejected", "extended", "no_booking", "checked_out", "expired"}

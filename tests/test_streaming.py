@@ -27,19 +27,15 @@ def test_stream_hourly_entries_sum_to_peak_hours(spark):
     assert peak and all(by_hour[r["hour"]] == r["entry_count"] for r in peak)
 
 
-def test_stream_booking_admissions_match_batch_without_extensions(spark):
-    from parkops.operators import lifecycle
+def test_booking_stream_equals_the_batch_cycle(spark):
+    from parkops.operators.cycle import booking_cycle
     from parkops.sources.fixtures import model
     m = model(spark, SF_SMALL)
-    batch = lifecycle.spot_booking_admission(m.lot_events("vehicle").filter(F.col("action") != "extend"), m.spots)
-    from parkops.streaming import jobs as sj
-    from parkops.streaming.runner import run_available_now
-    ms = model(spark, SF_SMALL, streams=("events",))
-    st = run_available_now(sj.booking_expiry_stream(ms.lot_events("vehicle").filter(F.col("action") != "extend")),
-                           "booking_check", "append")
-    booked = st.filter(F.col("kind") == "booked").select("event_id")
-    assert booked.exceptAll(batch.filter("accepted").select("event_id")).count() == 0
-    assert batch.filter("accepted").count() == booked.count()
+    batch = booking_cycle(m.lot_events("vehicle"), m.spots).filter(~F.col("kind").isin("invalid", "spot_not_found"))
+    stream = Q["stream_booking_decisions"](spark, SF_SMALL)
+    cols = ["spot_id", "event_id", "kind"]
+    assert stream.count() == batch.count() > 0
+    assert stream.select(*cols).exceptAll(batch.select(*cols)).count() == 0
 
 
 def test_spot_state_update_mode_equals_complete_mode(spark):
@@ -103,34 +99,24 @@ def test_stateful_streams_carry_state_across_micro_batches(spark):
     batch = lifecycle.session_pairing(model(spark, SF_SMALL).lot_events("vehicle"))
     assert out.select("event_id", "accepted").exceptAll(batch.select("event_id", "accepted")).count() == 0
     assert out.count() == batch.count()
-    bk = run_available_now(sj.booking_expiry_stream(ms.lot_events("vehicle")), "booking_multi", "append")
+    bk = run_available_now(sj.booking_expiry_stream(ms.lot_events("vehicle"), ms.spots), "booking_multi", "append")
     single = Q["stream_booking_decisions"](spark, SF_SMALL)
     cols = ["spot_id", "event_id", "kind"]
     assert bk.filter("kind != 'expired'").select(*cols).exceptAll(single.select(*cols)).count() == 0
 
 
-def test_booking_expiry_rows_follow_the_watermark(spark):
-    """Single data batch: a spot's last booking expires exactly when its end
-    lies before the final watermark (latest event time minus one hour)."""
+def test_large_ids_survive_the_pairing_stream(spark):
     import datetime
+    import tempfile
 
-    from pyspark.sql import Window
-
-    from parkops.sources.fixtures import model
-    out = Q["stream_booking_expiry"](spark, SF_SMALL)
-    dec = out.filter("kind != 'expired'")
-    w = Window.partitionBy("spot_id").orderBy(F.col("ts").desc(), F.col("event_id").desc())
-    last = (dec.filter(F.col("kind").isin("booked", "extended")).withColumn("rn", F.row_number().over(w))
-            .filter("rn = 1"))
-    latest = (model(spark, SF_SMALL).lot_events("vehicle").filter(F.col("action").isin("check_in", "extend"))
-              .agg(F.max("ts")).collect()[0][0])
-    wm_ms = int((latest - datetime.timedelta(hours=1)).replace(tzinfo=datetime.timezone.utc).timestamp() * 1000)
-    due = last.filter(F.lit(wm_ms) > F.unix_millis(F.col("end_time").cast("timestamp")) + 1)
-    expired = out.filter("kind = 'expired'")
-    # the expiry row carries the booking id of the spot's current booking
-    booking_of = (dec.filter("kind = 'booked'").withColumn("rn", F.row_number().over(w)).filter("rn = 1")
-                  .select("spot_id", F.col("event_id").alias("booking_id")))
-    want = due.select("spot_id").join(booking_of, "spot_id")
-    got = expired.select("spot_id", F.col("event_id").alias("booking_id"))
-    assert got.count() == want.count() > 0
-    assert got.exceptAll(want).count() == 0
+    from parkops.streaming import jobs as sj
+    from parkops.streaming.runner import run_available_now
+    base = tempfile.mkdtemp(prefix="ids-")
+    big = 9007199254740993
+    t = datetime.datetime(2024, 1, 1)
+    schema = "event_id long, vehicle_id long, spot_id long, action string, ts timestamp_ntz"
+    spark.createDataFrame([(big, 1, 1, "check_in", t), (big + 2, 1, 1, "check_out", t + datetime.timedelta(hours=1))],
+                          schema).write.parquet(f"{base}/log")
+    log = spark.readStream.schema(schema).parquet(f"{base}/log")
+    out = {r["event_id"]: r["entry_event_id"] for r in run_available_now(sj.session_pairing_stream(log), "ids", "append").collect()}
+    assert out == {big: None, big + 2: big}

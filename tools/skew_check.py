@@ -21,7 +21,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from parkops.operators import lifecycle  # noqa: E402
+from parkops.operators import cycle, lifecycle  # noqa: E402
 from parkops.session import get_session  # noqa: E402
 from parkops.sources.fixtures import model  # noqa: E402
 
@@ -90,8 +90,7 @@ def main() -> None:
         ("reservation_admission (hot spot)",
          lambda: lifecycle.reservation_admission(m.lot_events("reservation").withColumn(
              "spot_id", F.when(F.col("event_id") % 3 == 0, F.lit(0)).otherwise(F.col("spot_id"))), m.spots)),
-        ("spot_booking_admission (hot spot, chain path)",
-         lambda: lifecycle.spot_booking_admission(hot_spot, m.spots, group_limit=1000)),
+        ("booking_cycle (hot spot)", lambda: cycle.booking_cycle(hot_spot, m.spots)),
     ]:
         t0 = time.time()
         windows.HOT_CHUNK_ROWS = 5_000 if "one hour" in name else 1_000_000
