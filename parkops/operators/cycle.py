@@ -96,10 +96,11 @@ def booking_cycle(log: DataFrame, spots: DataFrame) -> DataFrame:
     good = good.withColumn("_added", F.when(F.col("action") == "extend", F.col("span")).otherwise(0))
     good = ordered_lookups(good, ["spot_id"], buckets, order, [("cumsum", "_added", "_shift"), ("prev", "action", "_before"),
                                                                ("next", "ts", "next_ts")])
+    good = materialize(good, "cycle")   # the next look-ups read it twice
     # times less all extensions so far: an end moves with the extensions that follow it
     is_in = F.col("action") == "check_in"
     good = good.withColumn("_reach", F.when(is_in, F.col("us") + F.col("span") - F.col("_shift")))
-    good = ordered_lookups(good, ["spot_id"], buckets, order, [("prevmax", "_reach", "_most")])
+    good = materialize(ordered_lookups(good, ["spot_id"], buckets, order, [("prevmax", "_reach", "_most")]), "cycle")
     apart = is_in & F.coalesce(F.col("us") - F.col("_shift") > F.col("_most"), F.lit(True))
     cut = apart | F.coalesce(F.col("_before") == "check_out", F.lit(True))
     good = good.withColumn("_cut", cut.cast("int"))

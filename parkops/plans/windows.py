@@ -157,20 +157,16 @@ def adaptive_bucket(df: DataFrame, keys: Sequence[str], ts: str, out: str = "_b"
     """Add the bucket columns for :func:`ordered_lookups` and return them.
 
     ``hour_out`` is the hour of ``ts``.  Inside an hour that holds more than
-    ``hot_rows`` rows of one key, ``out`` is the second of ``ts``; such
-    hours get the two-level carry (seconds, then hours).  Both buckets are
-    truncations of ``ts``, so they stay monotone in (ts, ...) order.  The
-    table of hot hours has at most rows / ``hot_rows`` entries, a proven
-    bound, so it is broadcast.  When there is no hot hour at all (one small
-    aggregate tells), the hour alone is the bucket and the plan stays one
-    level deep.  Returns ``(df, buckets)``; pass ``buckets`` on."""
+    ``hot_rows`` rows of one key, ``out`` is the second of ``ts``, else the
+    hour.  Both buckets are truncations of ``ts``, so they stay monotone in
+    (ts, ...) order.  The plan is the same at every size; the table of hot
+    hours (at most rows / ``hot_rows`` entries) is joined as the planner sees
+    fit by its size.  Returns ``(df, buckets)``; pass ``buckets`` on."""
     keys = list(keys)
     hot_rows = HOT_CHUNK_ROWS if hot_rows is None else hot_rows
     with_hour = df.withColumn(hour_out, F.date_trunc("hour", F.col(ts)))
     hot = (with_hour.groupBy(*keys, hour_out).agg(F.count(F.lit(1)).alias("_n"))
            .filter(F.col("_n") > hot_rows).select(*keys, hour_out, F.lit(True).alias("_hot")))
-    if hot.limit(1).count() == 0:
-        return with_hour, (hour_out,)
-    j = with_hour.join(F.broadcast(hot), [*keys, hour_out], "left")
+    j = with_hour.join(hot, [*keys, hour_out], "left")
     return (j.withColumn(out, F.when(F.col("_hot"), F.date_trunc("second", F.col(ts)))
                          .otherwise(F.col(hour_out))).drop("_hot"), (hour_out, out))

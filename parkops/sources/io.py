@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
@@ -29,8 +30,14 @@ def scan_table(spark: SparkSession, path: str, schema: StructType | None = None,
 
 
 def write_result(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
-                 partition_by: Sequence[str] | None = None) -> str:
-    """Write ``df`` to ``path`` (a folder on shared storage) and return it."""
+                 partition_by: Sequence[str] | None = None, spread: Sequence[str] = (), files: int = 4) -> str:
+    """Write ``df`` to ``path`` (a folder on shared storage) and return it.
+
+    With ``spread`` columns the rows are first dealt by partition value and one
+    of ``files`` hashes of them, so a folder gets at most ``files`` files instead
+    of one from every task."""
+    if partition_by and spread:
+        df = df.repartition(*partition_by, F.pmod(F.xxhash64(*spread), F.lit(files)))
     w = df.write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)
