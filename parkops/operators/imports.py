@@ -15,8 +15,12 @@ from ..schemas import (FORCED_ROLE, PASSWORD_MIN_LEN, PLATE_MAX_LEN, USERNAME_MA
                        VEHICLE_TYPES, WALK_IN_VEHICLE_TYPE)
 from ..plans.materialize import materialize
 
-# Fixed value: simplified e-mail shape (one @, a dot in the domain, no blanks).
-EMAIL_PATTERN = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
+# Column widths, and the parts of an e-mail address (dot-separated atoms of at most 64
+# characters, then a domain name whose last label is letters).
+EMAIL_MAX_LEN = FULL_NAME_MAX_LEN = 100
+EMAIL_LOCAL_MAX_LEN = 64
+_ATOM = r"[A-Za-z0-9!#$%&'*+/=?^_`{|}~-]+"
+EMAIL_PATTERN = rf"^{_ATOM}(?:\.{_ATOM})*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{{2,}}$"
 
 
 def _first_violation(rules: list[tuple[Column, str]]) -> Column:
@@ -59,9 +63,9 @@ def greedy_unique(cand: DataFrame, id_col: str, keys: list[str], max_rounds: int
 def user_import_validate(requests: DataFrame, users: DataFrame) -> DataFrame:
     """Registration batch -> decision per request.
 
-    Checks, first failure wins: username 3-50 characters, e-mail shape,
+    Checks, first failure wins: username 3-50 characters, e-mail address,
     password at least 6 characters (only the length is an input), full name
-    not blank, username or e-mail already taken (case-insensitive), then a
+    not empty and at most 100 characters, username or e-mail already taken (case-insensitive), then a
     clash with an earlier accepted request of the same batch.  Accepted
     users always get the role ``customer`` whatever the request asked for.
     """
@@ -73,9 +77,11 @@ def user_import_validate(requests: DataFrame, users: DataFrame) -> DataFrame:
     n = F.length("username")
     pre = _first_violation([
         (F.col("username").isNull() | (n < USERNAME_MIN_LEN) | (n > USERNAME_MAX_LEN), "username_length"),
-        (F.col("email").isNull() | ~F.col("email").rlike(EMAIL_PATTERN), "email_invalid"),
+        (F.col("email").isNull() | ~F.col("email").rlike(EMAIL_PATTERN) | (F.length("email") > EMAIL_MAX_LEN)
+         | (F.length(F.substring_index("email", "@", 1)) > EMAIL_LOCAL_MAX_LEN), "email_invalid"),
         (F.coalesce(F.col("password_length"), F.lit(0)) < PASSWORD_MIN_LEN, "password_short"),
-        (F.coalesce(F.trim("full_name"), F.lit("")) == "", "full_name_empty"),
+        (F.coalesce("full_name", F.lit("")) == "", "full_name_empty"),
+        (F.length("full_name") > FULL_NAME_MAX_LEN, "full_name_long"),
         (F.col("_tu").isNotNull() | F.col("_te").isNotNull(), "already_exists"),
     ])
     r = r.withColumn("_pre", pre)

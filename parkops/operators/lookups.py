@@ -144,6 +144,9 @@ def _current_spot_by_vehicle(sessions: DataFrame, spots: DataFrame, as_of: str |
                           F.struct("entry_time", "id")).alias("_cur")))
 
 
+_VEHICLE_REST = ("make", "model", "color", "created_at", "updated_at")
+
+
 def vehicles_list(vehicles: DataFrame, users: DataFrame, sessions: DataFrame, spots: DataFrame,
                   as_of: str | None = None) -> DataFrame:
     """All vehicles with owner name / e-mail and current spot, newest first."""
@@ -152,7 +155,7 @@ def vehicles_list(vehicles: DataFrame, users: DataFrame, sessions: DataFrame, sp
     cur = _current_spot_by_vehicle(sessions, spots, as_of)
     j = (vehicles.join(u, F.col("user_id") == F.col("_uid"), "left")
          .join(cur, F.col("id") == F.col("_cur_vid"), "left"))
-    return (j.select("id", "user_id", "license_plate", "vehicle_type", "created_at", "owner_username",
+    return (j.select("id", "user_id", "license_plate", "vehicle_type", *_VEHICLE_REST, "owner_username",
                      "owner_email", F.col("_cur.spot_number").alias("current_spot"))
             .orderBy(F.col("created_at").desc(), F.col("id").desc()))
 
@@ -162,7 +165,7 @@ def my_vehicles(vehicles: DataFrame, sessions: DataFrame, spots: DataFrame, as_o
     time taken from the same open session."""
     cur = _current_spot_by_vehicle(sessions, spots, as_of)
     j = vehicles.filter(F.col("user_id").isNotNull()).join(cur, F.col("id") == F.col("_cur_vid"), "left")
-    return (j.select("id", "user_id", "license_plate", "vehicle_type", "created_at",
+    return (j.select("id", "user_id", "license_plate", "vehicle_type", *_VEHICLE_REST,
                      F.col("_cur.spot_number").alias("current_spot"), F.col("_cur.entry_time").alias("entry_time"))
             .orderBy("user_id", F.col("created_at").desc(), F.col("id").desc()))
 
@@ -176,8 +179,8 @@ def user_reservations(reservations: DataFrame, spots: DataFrame, zones: DataFram
          .join(_zone_names(zones), F.col("zone_id") == F.col("_zid"), "inner")
          .join(v, F.col("vehicle_id") == F.col("_vid"), "left"))
     return (j.select("id", "user_id", "spot_id", "vehicle_id", "start_time", "end_time", "status",
-                     F.col("total_amount").cast("double").alias("total_amount"), "spot_number", "zone_name",
-                     "license_plate")
+                     F.col("total_amount").cast("double").alias("total_amount"), "payment_status", "created_at",
+                     "spot_number", "zone_name", "license_plate")
             .orderBy("user_id", "start_time", "id"))
 
 

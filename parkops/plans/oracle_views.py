@@ -49,7 +49,12 @@ VIEWS: dict[str, str] = {
                'P-' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS license_plate,
                CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN 'car' WHEN c_mktsegment = 'HOUSEHOLD' THEN 'electric'
                     WHEN c_mktsegment = 'FURNITURE' THEN 'motorcycle' ELSE 'truck' END AS vehicle_type,
-               TIMESTAMP '2023-01-01 00:00:00' + to_minutes(CAST(c_custkey AS BIGINT)) AS created_at
+               TIMESTAMP '2023-01-01 00:00:00' + to_minutes(CAST(c_custkey AS BIGINT)) AS created_at,
+               CASE WHEN c_custkey % 6 <> 0 THEN 'Make ' || CAST(c_custkey % 6 AS VARCHAR) END AS make,
+               CASE WHEN c_custkey % 6 <> 0 THEN 'Model ' || CAST(c_custkey % 40 AS VARCHAR) END AS model,
+               CASE c_custkey % 3 WHEN 0 THEN 'white' WHEN 1 THEN 'black' END AS color,
+               TIMESTAMP '2023-01-01 00:00:00' + to_minutes(CAST(c_custkey AS BIGINT)) + to_hours(CAST(c_custkey % 48 AS BIGINT))
+                   AS updated_at
         FROM customer""",
     "sessions_base": """
         SELECT event_id AS id, user_id AS vehicle_id, (event_id * 7919) % 200 AS spot_id,
@@ -76,7 +81,9 @@ VIEWS: dict[str, str] = {
                o_orderdate + to_hours(CAST(substr(o_orderpriority, 1, 1) AS BIGINT)) AS end_time,
                CASE o_orderstatus WHEN 'O' THEN 'active' WHEN 'F' THEN 'completed'
                     WHEN 'P' THEN 'cancelled' END AS status,
-               CAST(o_totalprice AS DECIMAL(10,2)) AS total_amount
+               CAST(o_totalprice AS DECIMAL(10,2)) AS total_amount,
+               CASE o_orderstatus WHEN 'F' THEN 'paid' WHEN 'P' THEN 'refunded' ELSE 'pending' END AS payment_status,
+               o_orderdate - to_days(CAST(o_orderkey % 9 AS INTEGER)) AS created_at
         FROM orders""",
     "handles": """
         SELECT CAST(c_custkey AS BIGINT) AS handle_id,

@@ -374,7 +374,7 @@ CURRENT_BY_VEHICLE = f"""
 
 @register("vehicles_list", f"""
     WITH cur AS ({CURRENT_BY_VEHICLE})
-    SELECT v.id, v.user_id, v.license_plate, v.vehicle_type, v.created_at,
+    SELECT v.id, v.user_id, v.license_plate, v.vehicle_type, v.make, v.model, v.color, v.created_at, v.updated_at,
            u.username AS owner_username, u.email AS owner_email, cur.spot_number AS current_spot
     FROM vehicles v LEFT JOIN users u ON v.user_id = u.id LEFT JOIN cur ON v.id = cur.vehicle_id
     ORDER BY v.created_at DESC, v.id DESC
@@ -386,7 +386,7 @@ def q_vehicles_list(spark, base):
 
 @register("my_vehicles", f"""
     WITH cur AS ({CURRENT_BY_VEHICLE})
-    SELECT v.id, v.user_id, v.license_plate, v.vehicle_type, v.created_at,
+    SELECT v.id, v.user_id, v.license_plate, v.vehicle_type, v.make, v.model, v.color, v.created_at, v.updated_at,
            cur.spot_number AS current_spot, cur.entry_time
     FROM vehicles v LEFT JOIN cur ON v.id = cur.vehicle_id
     WHERE v.user_id IS NOT NULL
@@ -399,7 +399,8 @@ def q_my_vehicles(spark, base):
 
 @register("user_reservations", """
     SELECT r.id, r.user_id, r.spot_id, r.vehicle_id, r.start_time, r.end_time, r.status,
-           CAST(r.total_amount AS DOUBLE) AS total_amount, p.spot_number, z.name AS zone_name, v.license_plate
+           CAST(r.total_amount AS DOUBLE) AS total_amount, r.payment_status, r.created_at,
+           p.spot_number, z.name AS zone_name, v.license_plate
     FROM reservations r
     JOIN parking_spots p ON r.spot_id = p.id
     JOIN zones z ON p.zone_id = z.id
@@ -765,17 +766,19 @@ def q_booking_progress(spark, base):
 # Imports, change log, deletes
 # ---------------------------------------------------------------------------
 
-EMAIL_RE = imports.EMAIL_PATTERN
-
-
 @register("user_import_validate", f"""
     WITH RECURSIVE r AS (SELECT *, lower(trim(username)) AS u, lower(trim(email)) AS e FROM user_import),
     chk AS (
         SELECT r.*, CASE
             WHEN username IS NULL OR length(username) < 3 OR length(username) > 50 THEN 'username_length'
-            WHEN email IS NULL OR NOT regexp_matches(email, '{EMAIL_RE}') THEN 'email_invalid'
+            WHEN email IS NULL OR length(email) > 100 OR len(string_split(email, '@')) <> 2
+                 OR NOT regexp_matches(split_part(email, '@', 1), '^[A-Za-z0-9!#$%&''*+/=?^_`{{|}}~-]+(\\.[A-Za-z0-9!#$%&''*+/=?^_`{{|}}~-]+)*$')
+                 OR length(split_part(email, '@', 1)) > 64
+                 OR NOT regexp_matches(split_part(email, '@', 2), '^([A-Za-z0-9]([A-Za-z0-9-]*[A-Za-z0-9])?\\.)+[A-Za-z]{{2,}}$')
+                 THEN 'email_invalid'
             WHEN coalesce(password_length, 0) < 6 THEN 'password_short'
-            WHEN coalesce(trim(full_name), '') = '' THEN 'full_name_empty'
+            WHEN coalesce(full_name, '') = '' THEN 'full_name_empty'
+            WHEN length(full_name) > 100 THEN 'full_name_long'
             WHEN u IN (SELECT lower(username) FROM users) OR e IN (SELECT lower(email) FROM users)
                 THEN 'already_exists' END AS pre
         FROM r),

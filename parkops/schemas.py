@@ -67,6 +67,10 @@ VEHICLES = T.StructType([
     T.StructField("license_plate", T.StringType(), False),
     T.StructField("vehicle_type", T.StringType(), True),
     T.StructField("created_at", T.TimestampNTZType(), True),
+    T.StructField("make", T.StringType(), True),
+    T.StructField("model", T.StringType(), True),
+    T.StructField("color", T.StringType(), True),
+    T.StructField("updated_at", T.TimestampNTZType(), True),
 ])
 
 PARKING_SESSIONS = T.StructType([
@@ -91,6 +95,8 @@ RESERVATIONS = T.StructType([
     T.StructField("end_time", T.TimestampNTZType(), False),
     T.StructField("status", T.StringType(), True),
     T.StructField("total_amount", T.DecimalType(10, 2), True),
+    T.StructField("payment_status", T.StringType(), True),
+    T.StructField("created_at", T.TimestampNTZType(), True),
 ])
 
 LOT_EVENTS = T.StructType([

@@ -135,6 +135,11 @@ class ParkingModel:
             F.when(seg == "AUTOMOBILE", "car").when(seg == "HOUSEHOLD", "electric")
              .when(seg == "FURNITURE", "motorcycle").otherwise("truck").alias("vehicle_type"),
             (as_of_lit("2023-01-01 00:00:00") + F.make_dt_interval(mins=k.cast("int"))).alias("created_at"),
+            F.when(k % 6 != 0, F.concat(F.lit("Make "), (k % 6).cast("string"))).alias("make"),
+            F.when(k % 6 != 0, F.concat(F.lit("Model "), (k % 40).cast("string"))).alias("model"),
+            F.when(k % 3 == 0, "white").when(k % 3 == 1, "black").alias("color"),
+            (as_of_lit("2023-01-01 00:00:00") + F.make_dt_interval(mins=k.cast("int"), hours=(k % 48).cast("int")))
+            .alias("updated_at"),
         )
 
     @cached_property
@@ -187,6 +192,8 @@ class ParkingModel:
             (F.col("o_orderdate") + F.make_dt_interval(hours=hours)).alias("end_time"),
             F.when(st == "O", "active").when(st == "F", "completed").when(st == "P", "cancelled").alias("status"),
             F.col("o_totalprice").cast("decimal(10,2)").alias("total_amount"),
+            F.when(st == "F", "paid").when(st == "P", "refunded").otherwise("pending").alias("payment_status"),
+            (F.col("o_orderdate") - F.make_dt_interval(days=(F.col("o_orderkey") % 9).cast("int"))).alias("created_at"),
         )
 
     @cached_property

@@ -171,7 +171,7 @@ def test_extension_of_expired_booking_counts_from_old_end(spark):
 def test_session_with_missing_vehicle_is_not_listed(spark):
     z = zones_df(spark, [(1, "A", "a", 12, True)])
     s = spots_df(spark, [(1, "A-01", 1, "regular", True, False, None)])
-    v = spark.createDataFrame([(1, None, "P-1", "car", None)], S.VEHICLES)
+    v = spark.createDataFrame([(1, None, "P-1", "car", None, "A", "B", "red", None)], S.VEHICLES)
     sess = spark.createDataFrame(
         [(1, 1, 1, None, dt(2024, 1, 30, 10), None, None, None, "pending", "cash"),
          (2, 99, 1, None, dt(2024, 1, 30, 11), None, None, None, "pending", "cash")], S.PARKING_SESSIONS)
@@ -203,3 +203,32 @@ def test_events_without_key_or_time_are_rejected(spark):
                         (3, dt(2024, 1, 1, 9), 7, 1, "reserve", 1)])
     r = {x["event_id"]: (x["accepted"], x["reason"]) for x in lifecycle.reservation_admission(rl, spots).collect()}
     assert r == {1: (False, "invalid_event"), 2: (False, "spot_not_found"), 3: (True, None)}
+
+
+def test_registration_address_and_length_rules(spark):
+    users = spark.createDataFrame([(1, "admin", "admin@x.io", "Admin", "admin", None, None, True)], S.USERS)
+    mails = ["a@b.co", "a.b+c@d-e.org", "a b@c.io", "a@b", "a@b.c", "a..b@c.io", ".a@c.io", "a@-b.io", "a@b..io", "a@b@c.io",
+             "x" * 65 + "@b.io", "a@" + "b" * 100 + ".io", None]
+    rows = [(i, f"name{i}", m, 8, " ", None) for i, m in enumerate(mails)]
+    rows += [(50, "long", "l@x.io", 8, "n" * 101, None), (51, "none", "n@x.io", 8, "", None)]
+    req = spark.createDataFrame(rows, "request_id long, username string, email string, password_length int, full_name string, "
+                                      "requested_role string")
+    r = {x["request_id"]: x["reason"] for x in imports.user_import_validate(req, users).collect()}
+    assert [i for i in range(len(mails)) if r[i] is None] == [0, 1]
+    assert {r[i] for i in range(2, len(mails))} == {"email_invalid"}
+    assert (r[50], r[51]) == ("full_name_long", "full_name_empty")
+
+
+def test_bad_rows_do_not_stop_or_pollute(spark):
+    from parkops.sources import documents
+    doc = '{"id": 1, "booking": {"sessionId": 1, "startTime": "yesterday", "endTime": "2024-01-01T08:00:00.000Z"}}'
+    row = documents.booking_json_flatten(spark.createDataFrame([(doc,), ("not json",)], "doc string")).filter("spot_id = 1").collect()[0]
+    assert row["start_time"] is None and row["end_time"] == dt(2024, 1, 1, 8)
+    seen = spark.createDataFrame([(1, dt(2024, 1, 1), None), (2, dt(2024, 1, 1), "  "), (3, dt(2024, 1, 1), "p-1")],
+                                 "event_id long, ts timestamp_ntz, license_plate string")
+    none = spark.createDataFrame([], S.VEHICLES)
+    assert [x["license_plate"] for x in imports.walk_in_vehicles(seen, none).collect()] == ["P-1"]
+    z = zones_df(spark, [(1, "A", "a", 12, True)])
+    s = spots_df(spark, [(1, "A-01", 1, "regular", True, False, None)])
+    back = spark.createDataFrame([(1, 1, 1, None, dt(2024, 1, 30, 10), dt(2024, 1, 30, 9), None, None, "pending", "cash")], S.PARKING_SESSIONS)
+    assert reports.occupancy_profile(z, s, back, AS_OF).count() == 24
