@@ -9,8 +9,9 @@ linked documents form classes.
 3. Every member of a bucket is compared with the bucket's smallest member
    (exact Jaccard): the large groups become connected with one pair a member.
 4. Buckets that still hold several components are dealt out, in blocks if they
-   are large, and every pair across components is compared exactly inside the
-   tasks, which return a spanning forest of the links: no pairs are emitted.
+   are large.  Members outside the bucket's largest component are compared
+   exactly with all of its members, inside the tasks, which return a spanning
+   forest of the links: no pairs are emitted.
 
 So a link is lost only if its two documents share no bucket: (1 - 0.8^5)^26, 3 in
 100,000 at the threshold itself, and far less above it.
@@ -112,7 +113,7 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bands: in
 
     keyed = texts.select("cid", "n", F.explode("bands").alias("band"))
     buckets = keyed.groupBy("band").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("cid", "n")).alias("rep")).where("members > 1")
-    shared = materialize(keyed.join(buckets, "band").select("band", "members", "cid", "n", F.col("rep.cid").alias("rep"),
+    shared = materialize(keyed.join(buckets, "band").select("band", "cid", "n", F.col("rep.cid").alias("rep"),
                                                             F.col("rep.n").alias("rep_n")), "buckets")
     wanted = texts.join(shared.select("cid").distinct(), "cid", "left_semi").select("cid", "doc_id", "tkey")
     bodies = df.select(F.md5(F.coalesce(F.col(text), F.lit(""))).alias("tkey"), F.col(doc_id).alias("_id"), F.col(text).alias("text"))
@@ -129,13 +130,19 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bands: in
     roots = components(links)
 
     placed = shared.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select(
-        "band", "members", "cid", F.coalesce("root", "cid").alias("root"))
-    mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
-    placed = placed.join(mixed, "band", "left_semi")
-    # block pairs of a bucket: a member of block i meets blocks i..n as left, 0..i as right
-    placed = placed.withColumns({"blocks": F.ceil(F.col("members") / block).cast("int")}).withColumn(
-        "own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    dealt = placed.withColumn("met", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "band", "cid", F.coalesce("root", "cid").alias("root"))
+    # a bucket's largest component is its bulk: a pair across components has a member outside of it
+    parts = placed.groupBy("band", "root").agg(F.count(F.lit(1)).alias("size"))
+    mixed = parts.groupBy("band").agg(F.count(F.lit(1)).alias("roots"), F.sum("size").alias("members"),
+                                      F.max(F.struct("size", "root")).alias("most")).where("roots > 1")
+    mixed = mixed.select("band", F.col("most.root").alias("bulk"), F.ceil(F.col("most.size") / block).cast("int").alias("nb"),
+                         F.ceil((F.col("members") - F.col("most.size")) / block).cast("int").alias("nl"))
+    placed = placed.join(mixed, "band").withColumn("inside", F.col("root") == F.col("bulk"))
+    # blocks 0..nb of the bulk meet only those of the others, which also meet one another, once
+    own = F.when(F.col("inside"), F.pmod(F.xxhash64("cid"), F.col("nb"))).otherwise(F.col("nb") + F.pmod(F.xxhash64("cid"), F.col("nl")))
+    last = F.col("nb") + F.col("nl") - 1
+    placed = placed.withColumn("own", own.cast("int"))
+    dealt = placed.withColumn("met", F.explode(F.when(F.col("inside"), F.sequence(F.col("nb"), last)).otherwise(F.sequence(F.lit(0), last)))).select(
         "cid", "root", "band", F.least("own", "met").alias("i"), F.greatest("own", "met").alias("j"),
         F.when(F.col("own") == F.col("met"), 2).when(F.col("own") < F.col("met"), 0).otherwise(1).alias("side"))
     more = dealt.join(sets, "cid").groupBy("band", "i", "j").applyInPandas(_compare(similarity), "a long, b long")

@@ -164,7 +164,7 @@ def search(df: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id",
     others = held.where(~F.col("dim").isin(*books)) if books else held
     others = others.select("dim", "c1", rest.alias("block"), F.ceil(F.col("n") / block).cast("int").alias("parts"))
     plan = plan.unionByName(others)
-    entries = rows.join(cells.drop("dim"), "uid").join(F.broadcast(plan) if not books else plan, ["dim", "c1"])
+    entries = rows.join(cells.drop("dim"), "uid").join(plan, ["dim", "c1"])
     entries = entries.withColumn("part", F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int"))
     asked = rows.where("query")
     groups = asked.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / query_block).cast("int").alias("qn"))   # one row a length
