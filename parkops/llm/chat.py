@@ -11,8 +11,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -137,14 +135,18 @@ def read_back(formatted: str, spans: list) -> tuple[list[tuple[str, str]], str]:
     return turns, "".join(unescape(formatted[s["start"]:s["end"]]) for s in spans)
 
 
-def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _digests(formatted: pd.Series, spans: pd.Series) -> pd.DataFrame:
     """What the output says when it is read back."""
-    for batch in batches:
-        rows = []
-        for formatted, spans in zip(batch.pop("formatted"), batch.pop("loss_spans")):
-            turns, learned = read_back(formatted, spans)
-            whole = "".join(f"{role}\n{text}\n" for role, text in turns)
-            rows.append((len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(learned),
-                         hashlib.sha256(learned.encode()).hexdigest(), len(formatted)))
-        columns = ["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-        yield pd.concat([batch.reset_index(drop=True), pd.DataFrame(rows, columns=columns)], axis=1)
+    rows = []
+    for text, mask in zip(formatted, spans):
+        turns, learned = read_back(text, mask)
+        whole = "".join(f"{role}\n{said}\n" for role, said in turns)
+        rows.append((len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(learned),
+                     hashlib.sha256(learned.encode()).hexdigest(), len(text)))
+    return pd.DataFrame(rows, columns=["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+
+
+def digests(formatted: str = "formatted", spans: str = "loss_spans") -> Column:
+    """Struct of what the output says when it is read back."""
+    return F.pandas_udf(_digests, "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")(
+        formatted, spans)

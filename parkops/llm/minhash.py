@@ -30,20 +30,18 @@ from .common import materialize, spread
 from .components import components
 from .shingles import band_keys, prob_minhash, shingles
 
-_SKETCH = "uid long, doc_id {id}, tkey string, n int, bands array<long>"
-
 
 def _sketches(bands: int, rows: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         with np.errstate(over="ignore"):
             for batch in batches:
                 sizes, keys = [], []
-                for text in batch.pop("text"):
+                for text in batch:
                     s, times = shingles(text)
                     sizes.append(len(s))
                     keys.append(band_keys(prob_minhash(s, 1 + np.log(times), bands * rows), bands, rows) if len(s) else [])
-                yield batch.assign(n=np.array(sizes, np.int32), bands=keys)
-    return run
+                yield pd.DataFrame({"n": np.array(sizes, np.int32), "bands": keys})
+    return F.pandas_udf(run, "n int, bands array<long>")   # ids stay outside of pandas, which makes floats of them
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -104,8 +102,8 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bands: in
     spark = df.sparkSession
     light = df.select(F.monotonically_increasing_id().alias("uid"), F.col(doc_id).alias("doc_id"),
                       F.md5(F.coalesce(F.col(text), F.lit(""))).alias("tkey"), F.col(text).alias("text"))
-    id_type = light.schema["doc_id"].dataType.simpleString()
-    sketch = materialize(light.mapInPandas(_sketches(bands, rows), _SKETCH.format(id=id_type)), "sketch")
+    sketch = light.select("uid", "doc_id", "tkey", _sketches(bands, rows)("text").alias("s"))
+    sketch = materialize(sketch.select("uid", "doc_id", "tkey", "s.n", "s.bands"), "sketch")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("uid").alias("uid")))
     texts = sketch.where("n > 0").groupBy("tkey").agg(first.alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     # a class row's uid is its number from here on

@@ -97,9 +97,7 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], turns.schema)
     out = chat.format_conversations(turns.unionByName(extra))
-    kind = turns.schema["conv_id"].dataType.simpleString()
-    return out.mapInPandas(chat.digests, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, "
-                                         "loss_sha256 string, formatted_chars long")
+    return out.select("conv_id", chat.digests().alias("d")).select("conv_id", "d.*")
 
 
 @query()

@@ -61,11 +61,11 @@ def _unigrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _coder(known: object):
     """Texts to symbols: 0 for words below the share, else 1 + place in ``known``."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         words = known.value
         for batch in batches:
             coded, rare, times, sizes = [], [], [], []
-            for text in batch.pop("text"):
+            for text in batch:
                 h = _hashes(text)
                 at = np.searchsorted(words, h)
                 at[at == len(words)] = 0
@@ -76,8 +76,8 @@ def _coder(known: object):
                 rare.append(r)
                 times.append(n)
                 sizes.append(len(symbols))
-            yield batch.assign(n_tokens=np.array(sizes, np.int64), symbols=coded, rare=rare, times=times)
-    return run
+            yield pd.DataFrame({"n_tokens": np.array(sizes, np.int64), "symbols": coded, "rare": rare, "times": times})
+    return F.pandas_udf(run, "n_tokens long, symbols binary, rare array<long>, times array<long>")
 
 
 def _flat(column: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -92,12 +92,11 @@ def _flat(column: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return now, one, two, starts
 
 
-def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _slices(symbols: pd.Series) -> Iterator[pd.Series]:
     """Rows in slices of a bounded number of symbols (a long text is a slice)."""
-    for batch in batches:
-        size = batch.symbols.map(len).cumsum() // (2 * _TOKENS)
-        for _, part in batch.groupby(size, sort=False):
-            yield part
+    size = symbols.map(len).cumsum() // (2 * _TOKENS)
+    for _, part in symbols.groupby(size, sort=False):
+        yield part
 
 
 def _place(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -114,8 +113,8 @@ def _next_counts(contexts: object, symbols: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         depth, keys = contexts.value
         held, size = [], 0
-        for part in _slices(batches):
-            now, one, two, _ = _flat(part.symbols)
+        for part in (part for batch in batches for part in _slices(batch.symbols)):
+            now, one, two, _ = _flat(part)
             past = one if depth == 1 else np.where(two >= 0, two * symbols + one, -1)
             at, there = _place(keys, past)
             held.append((at * symbols + now)[there])
@@ -160,20 +159,22 @@ def _step(level: dict, past: np.ndarray, now: np.ndarray, p: np.ndarray, symbols
 
 
 def _scorer(tree: object):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t = tree.value
+    def scores(part: pd.Series, t: dict) -> pd.DataFrame:
         root, symbols = t["root"], len(t["root"])
-        for part in _slices(batches):
-            now, one, two, starts = _flat(part.symbols)
-            p = root[now]
-            base = np.where(now > 0, np.log10(p), 0.0)
-            p = _step(t["one"], one, now, p, symbols)
-            p = _step(t["two"], np.where(two >= 0, two * symbols + one, -1), now, p, symbols)
-            rare = np.add.reduceat((now == 0).astype(np.int64), starts)
-            yield part.drop(columns=["symbols"]).assign(
-                base=np.add.reduceat(base, starts), n_rare=rare,
-                tree=np.add.reduceat(np.log10(p), starts) - rare * np.log10(root[0]))
-    return run
+        now, one, two, starts = _flat(part)
+        p = root[now]
+        base = np.where(now > 0, np.log10(p), 0.0)
+        p = _step(t["one"], one, now, p, symbols)
+        p = _step(t["two"], np.where(two >= 0, two * symbols + one, -1), now, p, symbols)
+        rare = np.add.reduceat((now == 0).astype(np.int64), starts)
+        return pd.DataFrame({"base": np.add.reduceat(base, starts), "n_rare": rare,
+                             "tree": np.add.reduceat(np.log10(p), starts) - rare * np.log10(root[0])})
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            done = [scores(part, tree.value) for part in _slices(batch)]
+            yield pd.concat(done, ignore_index=True) if done else pd.DataFrame({"base": [], "n_rare": [], "tree": []})
+    return F.pandas_udf(run, "base double, n_rare long, tree double")
 
 
 def score(df: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", least_word: float = 2.5e-7,
@@ -205,10 +206,9 @@ def score(df: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "
     root[0] = max(1 - root[1:].sum(), _SMOOTH / mass)
     symbols = len(root)
 
-    light = docs.withColumn("uid", F.monotonically_increasing_id())
-    id_type = light.schema["doc_id"].dataType.simpleString()
-    head = f"doc_id {id_type}, held_out boolean, uid long, n_tokens long"
-    coded = materialize(light.mapInPandas(_coder(sc.broadcast(words)), f"{head}, symbols binary, rare array<long>, times array<long>"), "symbols")
+    # ids stay outside of pandas, which makes floats of them
+    coded = docs.select("doc_id", "held_out", F.monotonically_increasing_id().alias("uid"), _coder(sc.broadcast(words))("text").alias("c"))
+    coded = materialize(coded.select("doc_id", "held_out", "uid", "c.*"), "symbols")
     training = coded.where("NOT held_out").select("symbols")
 
     def nexts(depth: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -232,8 +232,8 @@ def score(df: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "
     stay1 = (one["gain"] >= divergence) | np.isin(first, second[stay2] % symbols)
     tree = sc.broadcast({"root": root, "one": _prune(one, stay1, symbols), "two": _prune(two, stay2, symbols)})
 
-    scored = coded.select("doc_id", "held_out", "uid", "n_tokens", "symbols").mapInPandas(
-        _scorer(tree), f"{head}, base double, n_rare long, tree double")
+    scored = coded.select("doc_id", "held_out", "uid", "n_tokens", _scorer(tree)("symbols").alias("s")).select(
+        "doc_id", "held_out", "uid", "n_tokens", "s.*")
     pairs = coded.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("uid", "r.rare", "r.times")
     rest = vocabulary.where(~frequent & (F.col("k") != _END))
     own = F.log10((F.coalesce(F.col("n"), F.lit(0)) + _SMOOTH) / F.lit(float(mass)))

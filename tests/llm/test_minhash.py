@@ -72,6 +72,8 @@ def test_keep_one_keeps_rows_and_columns(spark):
 def test_null_ids_and_empty(spark):
     got = minhash.classes(frame(spark, [(None, "a b", None, None), (None, "a b", None, None), (7, "a B", None, None)])).collect()
     assert [(r.class_id, r.doc_id) for r in got if r.kept] == [(7, 7)] and {r.class_id for r in got} == {7}
+    big = 2**53 + 1
+    assert {r.class_id for r in minhash.classes(frame(spark, [(None, "x y z", None, None), (big, "a b c", None, None)])).collect()} == {None, big}
     assert minhash.classes(frame(spark, [])).count() == 0
     assert minhash.keep_one(frame(spark, [])).count() == 0
 

@@ -67,7 +67,9 @@ def test_distributions_sum_to_one():
 
 
 def test_without_training_rows_and_empty(spark):
-    df = frame(spark, [(1, "a b", None, None), (None, None, None, None)])
+    big = 2**53 + 1
+    df = frame(spark, [(big, "a b", None, None), (None, None, None, None)])
+    assert {r.doc_id for r in suffix_tree.score(df, F.lit(False)).collect()} == {big, None}
     got = suffix_tree.score(df, F.lit(True)).collect()
     assert sorted((r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in got) == [(1, 0, 0, 0.0), (3, 0, 0, 0.0)]
     assert suffix_tree.score(frame(spark, []), F.lit(False)).count() == 0
