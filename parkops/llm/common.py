@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..plans.materialize import materialize
 from ..session import ensure_checkpoint_dir, ship_package
 
-__all__ = ["materialize", "prepare", "read", "word_count", "spread", "union_all", "WORD_GAP"]
+__all__ = ["materialize", "prepare", "read", "word_count", "union_all", "WORD_GAP"]
 
 #: What separates words: the six ASCII white-space characters.
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -39,12 +39,6 @@ def word_count(text: Column) -> Column:
     return (F.size(parts) - ends).cast("long")
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Deal rows evenly over the session's shuffle partitions, by ``keys`` if given."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *keys)
-
-
 def union_all(first: DataFrame, *rest: DataFrame) -> DataFrame:
     for df in rest:
         first = first.unionByName(df)

@@ -49,8 +49,9 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], share: float, epoch
 
 
 def queue(df: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, epochs: int = 2, seed: str = "mix",
-          doc_id: str = "doc_id", text: str = "text", source: str = "source", payload: DataFrame | None = None) -> DataFrame:
-    """One row per document and epoch: ``_uid, doc_id, source, size, source_size, target, epoch, taken``.
+          doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """One row per document and epoch: ``_uid, doc_id, source, size, source_size, target, epoch, _t``
+    (digest of the text), ``place`` in the merged queue, ``taken``.
 
     ``taken`` is the size if the mix takes this copy, else 0.  Copies are taken
     whole, in order of finish time, as long as they fit the budget."""

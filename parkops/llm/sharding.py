@@ -36,7 +36,6 @@ def shard(df: DataFrame, shards: int = 8, doc_id: str = "doc_id", text: str = "t
     light = df.select(*[c.alias(k) for k, c in keys.items()],
                       (F.octet_length(body) + 1).cast("long").alias("size"))
     rows, totals = prefix_sums(light, [F.col(k).asc_nulls_first() for k in keys], ["size"], "shard")
-    # fewer than `shards` rows past a multiple of the total: whole numbers only
     cut = F.least(F.lit(shards - 1), F.floor(F.col("size_before") * shards / F.col("size_total"))).cast("int")
     rows = rows.crossJoin(F.broadcast(totals.select("size_total"))).withColumn("shard", cut)   # one row
     first = rows.groupBy("shard").agg(F.min("position").alias("_first"))   # at most `shards` rows
