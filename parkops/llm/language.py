@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _LETTERS = re.compile(r"[^\W\d_]+")
+_WORDS = 50_000    # words whose n-grams a task counts at a time
 _FLUSH = 200_000   # distinct (language, word) pairs that a task gathers before it hands them on
 
 
@@ -97,7 +98,18 @@ def _gram_counts(longest: int):
             held.clear()
             return pd.DataFrame(rows, columns=["lang", "gram", "n"])
 
-        for batch in batches:
+        def gathered() -> Iterator[pd.DataFrame]:
+            parts, size = [], 0
+            for batch in batches:
+                parts.append(batch)
+                size += len(batch)
+                if size >= _WORDS:
+                    yield pd.concat(parts)
+                    parts, size = [], 0
+            if parts:
+                yield pd.concat(parts)
+
+        for batch in gathered():
             for lang, part in batch.groupby("lang"):
                 names, slots, _, sizes = _windows(part.word.tolist(), longest)
                 total = np.bincount(slots[:sizes.sum()], weights=np.repeat(part.n.to_numpy(), sizes), minlength=len(names) + 1)
@@ -206,7 +218,8 @@ def identify(df: DataFrame, training: DataFrame, text: str = "text", lang: str =
     def guesses(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         return predict(texts)
 
-    guess = F.pandas_udf(guesses, "lang_pred string, score double")
+    # marked so that a later filter on the result is not moved below, which would run it twice
+    guess = F.pandas_udf(guesses, "lang_pred string, score double").asNondeterministic()
     rest = [c for c in df.columns if c not in ("lang_pred", "score")]
     told = df.select(F.struct(*rest).alias("row"), guess(F.col(text)).alias("guess"))   # no name of theirs can clash
     return told.select(*[F.col("row")[c].alias(c) for c in rest], F.col("guess.lang_pred").alias("lang_pred"), F.col("guess.score").alias("score"))
