@@ -52,26 +52,23 @@ def chosen_paths(messages: DataFrame, top: int = 1) -> DataFrame:
     up = messages.select("msg", "parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))
     ids = up.select(F.col("msg").alias("parent"), F.lit(True).alias("_there"))
     up = up.join(ids, "parent", "left").select(
-        "msg", F.when(F.col("_there"), F.col("parent")).alias("jump"), F.col("score").alias("sum"), F.lit(1).cast("long").alias("depth"))
+        "msg", F.when(F.col("_there"), F.col("parent")).alias("jump"), F.col("score").alias("sum"), F.lit(1).cast("long").alias("depth"),
+        F.col("msg").alias("top"))
     up = materialize(up, "replies")
     leaves = up.select("msg").join(up.select(F.col("jump").alias("msg")).where("msg IS NOT NULL").distinct(), "msg", "left_anti")
-    levels, total = [up], up.count()
-    # level k: the ancestor 2^k above (null past the root), sum and number of the messages up to it
-    while levels[-1].where("jump IS NOT NULL").limit(1).count() and 2 ** (len(levels) - 1) <= total:
-        low = levels[-1]
-        high = low.select(F.col("msg").alias("_m"), F.col("jump").alias("_jump"), F.col("sum").alias("_sum"), F.col("depth").alias("_depth"))
-        levels.append(materialize(low.join(high, low["jump"] == high["_m"], "left").select(
-            "msg", F.col("_jump").alias("jump"), (F.col("sum") + F.coalesce("_sum", F.lit(0.0))).alias("sum"),
-            (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth")), "replies"))
-    # walk: from each leaf take jumps from the longest to the shortest to find its root
-    done = levels[-1].where("jump IS NULL")
-    paths = leaves.join(done, "msg").select(F.col("msg").alias("leaf"), F.col("msg").alias("at"), F.lit(0).cast("long").alias("gone"), "sum", "depth")
-    root = paths
-    for low in reversed(levels[:-1]):
-        hop = low.select(F.col("msg").alias("at"), F.col("jump"), F.col("depth").alias("hop"))
-        root = root.join(hop, "at").select("leaf", F.coalesce("jump", "at").alias("at"), "sum", "depth",
-                                           (F.col("gone") + F.when(F.col("jump").isNotNull(), F.col("hop")).otherwise(0)).alias("gone"))
-    root = materialize(root.select("leaf", F.col("at").alias("tree"), (F.col("sum") / F.col("depth")).alias("score"), "depth"), "paths")
+    # level k: the ancestor 2^k above (null past the root); sum, number and topmost of the messages below that one.
+    # A message whose root is reached is done and takes no part in further levels
+    levels, total, done = [up], up.count(), up.where("jump IS NULL")
+    while 2 ** (len(levels) - 1) <= total and levels[-1].where("jump IS NOT NULL").limit(1).count():
+        low = levels[-1].where("jump IS NOT NULL")
+        high = low.unionByName(done).select(F.col("msg").alias("_m"), F.col("jump").alias("_jump"), F.col("sum").alias("_sum"),
+                                            F.col("depth").alias("_depth"), F.col("top").alias("_top"))
+        levels.append(materialize(low.join(high, low["jump"] == high["_m"]).select(
+            "msg", F.col("_jump").alias("jump"), (F.col("sum") + F.col("_sum")).alias("sum"),
+            (F.col("depth") + F.col("_depth")).alias("depth"), F.col("_top").alias("top")), "replies"))
+        done = done.unionByName(levels[-1].where("jump IS NULL"))
+    root = materialize(leaves.join(done, "msg").select(F.col("msg").alias("leaf"), F.col("top").alias("tree"),
+                                                       (F.col("sum") / F.col("depth")).alias("score"), "depth"), "paths")
     # rank the leaves of a root; a root's best ones of salted groups meet in the last window
     best = [F.col("score").desc(), F.col("leaf")]
     some = root.withColumn("_r", F.row_number().over(Window.partitionBy("tree", F.pmod(F.xxhash64("leaf"), F.lit(32))).orderBy(*best)))
