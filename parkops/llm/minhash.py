@@ -4,8 +4,9 @@ Documents whose sets of word shingles have Jaccard 0.8 or more are linked;
 linked documents form classes.
 
 1. Equal texts are one class row from the start.
-2. ProbMinHash signatures of weighted shingles (weight 1 + ln of the count; the
-   weights damp, so they estimate the sets' Jaccard closely) are cut into bands.
+2. ProbMinHash signatures of the shingle sets (every shingle has weight 1, so they
+   estimate the very Jaccard that is compared, however often a line is repeated)
+   are cut into bands.
 3. Every member of a bucket is compared with the bucket's smallest member
    (exact Jaccard): the large groups become connected with one pair a member.
 4. Buckets that still hold several components are dealt out, in blocks if they
@@ -37,9 +38,9 @@ def _sketches(bands: int, rows: int):
             for batch in batches:
                 sizes, keys = [], []
                 for text in batch:
-                    s, times = shingles(text)
+                    s, _ = shingles(text)
                     sizes.append(len(s))
-                    keys.append(band_keys(prob_minhash(s, 1 + np.log(times), bands * rows), bands, rows) if len(s) else [])
+                    keys.append(band_keys(prob_minhash(s, np.ones(len(s)), bands * rows), bands, rows) if len(s) else [])
                 yield pd.DataFrame({"n": np.array(sizes, np.int32), "bands": keys})
     return F.pandas_udf(run, "n int, bands array<long>")   # ids stay outside of pandas, which makes floats of them
 

@@ -69,6 +69,18 @@ def test_keep_one_keeps_rows_and_columns(spark):
     assert sorted(r.doc_id for r in out.collect()) == sorted(set(brute(data).values()))
 
 
+def test_repeated_lines_lose_no_link(spark):
+    """Pairs alone: a line stands 50 times in one text and not at all in the other."""
+    rng = random.Random(13)
+    data = []
+    for i in range(40):
+        base, line = words(rng, 120), words(rng, 20)
+        data += [(2 * i, " ".join(base), None, None), (2 * i + 1, " ".join(base + line * 50), None, None)]
+    want = brute(data)
+    assert all(want[i] == i - i % 2 for i in want)     # Jaccard 0.83
+    assert {r.doc_id: r.class_id for r in minhash.classes(frame(spark, data)).collect()} == want
+
+
 def test_null_ids_and_empty(spark):
     got = minhash.classes(frame(spark, [(None, "a b", None, None), (None, "a b", None, None), (7, "a B", None, None)])).collect()
     assert [(r.class_id, r.doc_id) for r in got if r.kept] == [(7, 7)] and {r.class_id for r in got} == {7}
