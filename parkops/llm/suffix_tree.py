@@ -1,36 +1,49 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-A state is a context of zero, one or two words.  A context is a candidate if it
-makes up at least ``least_context`` of all training tokens, and is retained if
-its next-word distribution diverges from that of its suffix by at least
+A state is a context of one or more words.  A context is a candidate if it occurs
+at least ``least_context`` times in the training texts, and is retained if its
+next-word distribution diverges from that of its suffix by at least
 ``divergence`` nats a token.  Distributions are smoothed by absolute discounting
-towards the suffix's, down to the root.  A token is scored in the state of the
-longest suffix of its history that is in the tree.
-
-What is counted is distributed and grows with the corpus.  What is sent out is
-bounded by the thresholds alone, since shares of all tokens sum to one: at most
-1 / ``least_word`` words, 1 / ``least_next`` next words a level and
-1 / ``least_context`` contexts a level, at any corpus size.  Words below
-``least_word`` form one symbol of the tree; within it a word has its own
-smoothed count, which comes from a join, not from memory.
-
-Words are known by 64-bit hashes.
+towards the suffix's, down to the root (the smoothed unigrams).  A token is
+scored in the longest retained suffix of its history; a context that is not
+retained only smooths longer ones.  Depth has no limit: contexts of two words are
+tried below every candidate, longer ones below those that were retained, until a
+level retains none.
+
+All thresholds are counts, so they act alike at every size, and all that is
+learned grows with the corpus and is distributed; nothing but totals reaches the
+driver.  Texts lie in chunks of about ``_CHUNK`` tokens.  Per step a chunk sends
+its distinct keys with its own sums, dealt by ranges of the key (so a key is sent
+once a chunk, however frequent it is), and gets the sums over all chunks back:
+
+1. words: how often each occurs;
+2. per depth, n-grams: how often each next word follows its context;
+3. contexts: tokens and kinds of their kept next words, which give the weight of
+   the suffix;
+4. contexts: the sum of the log ratio to the suffix, which is their divergence.
+
+Words and n-grams are known by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import gc
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialize
-from .shingles import _words
+from .shingles import _GOLDEN, _words, mix
 
 _END = 0x454E44          # stands for the end of a text
-_TOKENS = 2_000_000      # tokens counted at a time in one task
+_CHUNK = 1_000_000       # tokens of a chunk (a longer text is a chunk)
+_BUCKET = 2_000_000      # tokens a range of keys
 _DISCOUNT = 0.75
 _SMOOTH = 0.1
 
@@ -41,63 +54,218 @@ def _hashes(text: str | None) -> np.ndarray:
     return np.fromiter(map(_words.__getitem__, found), np.uint64, len(found)).view(np.int64)
 
 
-def _tally(parts: list[np.ndarray]) -> pd.DataFrame:
-    keys, n = np.unique(np.concatenate(parts) if parts else np.empty(0, np.int64), return_counts=True)
-    return pd.DataFrame({"k": keys, "n": n.astype(np.int64)})
+def _pack(**arrays: np.ndarray) -> bytes:
+    """Arrays as bytes; equal bytes of the items lie together, which compresses well."""
+    raw = pickle.dumps({k: (a.dtype.str, np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes())
+                        for k, a in arrays.items()})
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpack(blob: bytes) -> dict[str, np.ndarray]:
+    raw = pa.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+    return {k: np.frombuffer(b, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
+            for k, (kind, b) in pickle.loads(raw).items()}
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts in chunks: words by their place among the chunk's distinct ones."""
+    ids, held, parts, size = [], [], [], 0
+
+    def chunk() -> pa.RecordBatch:
+        flags = pa.concat_arrays(held)
+        sizes, out = np.array([len(p) for p in parts], np.int32), np.array(flags.to_pylist(), bool)
+        words, codes = np.unique(np.concatenate(parts), return_inverse=True)
+        blob = _pack(words=words, codes=codes.astype(np.int32), sizes=sizes, held=out)
+        row = pa.array([0, len(sizes)], pa.int32())
+        return pa.RecordBatch.from_arrays(
+            [pa.ListArray.from_arrays(row, pa.concat_arrays(ids)), pa.ListArray.from_arrays(row, flags),
+             pa.array([int(sizes.sum())], pa.int64()), pa.array([int(sizes[~out].sum())], pa.int64()), pa.array([blob], pa.binary())],
+            names=["doc_id", "held_out", "size", "train", "blob"])
+
+    for batch in batches:
+        first = 0
+        texts = batch.column("text")
+        for i in range(batch.num_rows):
+            parts.append(np.append(_hashes(texts[i].as_py()), _END).view(np.uint64))
+            size += len(parts[-1])
+            if size >= _CHUNK or i == batch.num_rows - 1:
+                ids.append(batch.column("doc_id").slice(first, i + 1 - first))
+                held.append(batch.column("held_out").slice(first, i + 1 - first))
+                first = i + 1
+            if size >= _CHUNK:
+                yield chunk()
+                ids, held, parts, size = [], [], [], 0
+    if parts:
+        yield chunk()
+
+
+def _open(blobs: pd.Series) -> dict:
+    s = {}
+    for blob in blobs:
+        s |= _unpack(blob)
+    return s
+
+
+def _live(s: dict, c: dict) -> dict:
+    """The tokens whose context of ``depth`` words is a candidate: places, context's
+    count, probability in the suffix and in the longest retained one, and whether
+    the suffix's next word was kept (else this one's can't be)."""
+    if c["depth"] > 1:
+        return {"pos": np.cumsum(s["pos"], dtype=np.int64), "tot": s["tot"], "may": s["may"],
+                "p": s["p"].astype(np.float64), "best": s["best"].astype(np.float64)}
+    codes, seen = s["codes"], s["seen"]
+    begins = np.zeros(len(codes), bool)
+    begins[np.cumsum(s["sizes"]) - s["sizes"]] = True
+    pos = np.flatnonzero(~begins & (seen[np.roll(codes, 1)] >= max(c["least_context"], c["least_word"])))
+    p = (seen[codes[pos]] + _SMOOTH) / c["mass"]
+    return {"pos": pos, "tot": seen[codes[pos - 1]], "may": seen[codes[pos]] >= c["least_next"], "p": p, "best": p}
+
+
+def _grams(s: dict, pos: np.ndarray, n: int) -> np.ndarray:
+    """Keys of the ``n`` words before each place."""
+    key = s["words"][s["codes"][pos - n]]
+    for i in range(n - 1, 0, -1):
+        key = mix(key * _GOLDEN + s["words"][s["codes"][pos - i]])
+    return key
+
+
+def _contexts(s: dict, c: dict, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct contexts and the place in them of each token's."""
+    if c["depth"] > 1:
+        return np.unique(_grams(s, pos, c["depth"]), return_inverse=True)
+    there = np.zeros(len(s["words"]), bool)   # words are sorted
+    there[s["codes"][pos - 1]] = True
+    return s["words"][there], (np.cumsum(there) - 1)[s["codes"][pos - 1]]
+
+
+def _deeper(s: dict, c: dict, t: dict, at: np.ndarray) -> np.ndarray:
+    """Probabilities in the context itself."""
+    own = np.where(s["n"] >= c["least_next"], (s["n"] - _DISCOUNT) / t["tot"], 0.0)
+    return own + s["rest"][at] * t["p"]
+
+
+def _sums(s: dict, c: dict) -> tuple[np.ndarray, dict, np.ndarray | None]:
+    """What a chunk sends in a step: sorted distinct keys, its sums for them, and the
+    key's place for each token that has one."""
+    train = np.repeat(~s["held"], s["sizes"])
+    if c["step"] == "words":
+        return s["words"], {"n": np.bincount(s["codes"][train], minlength=len(s["words"]))}, None
+    t = _live(s, c)
+    pos = t["pos"]
+    if c["step"] == "grams":
+        pos = pos[t["may"]]
+        keys, at = np.unique(mix(_grams(s, pos, c["depth"]) * _GOLDEN + s["words"][s["codes"][pos]]), return_inverse=True)
+        return keys, {"n": np.bincount(at, weights=train[pos], minlength=len(keys)).astype(np.int64)}, at
+    keys, at = _contexts(s, c, pos)
+    if c["step"] == "rests":
+        on = train[pos] & (s["n"] >= c["least_next"])
+        kinds = np.where(on, 1 / np.maximum(s["n"], 1), 0.0)   # a next word's tokens add up to one
+        return keys, {"kept": np.bincount(at, weights=on, minlength=len(keys)).astype(np.int64),
+                      "kinds": np.bincount(at, weights=kinds, minlength=len(keys))}, at
+    ratio = np.where(train[pos], np.log(_deeper(s, c, t, at) / t["p"]), 0.0)
+    return keys, {"gain": np.bincount(at, weights=ratio, minlength=len(keys))}, at
+
+
+def _send(c: dict) -> Callable:
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        keys, sums, _ = _sums(_open(rows.blob), c)
+        bucket = ((keys >> np.uint64(32)) * np.uint64(c["buckets"])) >> np.uint64(32)
+        edges = np.searchsorted(bucket, np.arange(c["buckets"] + 1, dtype=np.uint64))
+        out = [(b, _pack(key=np.diff(keys[i:j], prepend=np.uint64(0)), **{k: v[i:j] for k, v in sums.items()}))
+               for b, (i, j) in enumerate(zip(edges[:-1], edges[1:])) if j > i]
+        return pd.DataFrame({"chunk": rows.chunk.iloc[0], "bucket": [b for b, _ in out], "blob": [x for _, x in out]})
+    return run
+
+
+def _total(rows: pd.DataFrame) -> pd.DataFrame:
+    """Sums over all chunks of one range of keys, for each chunk in the order of its keys."""
+    rows = rows.sort_values("chunk")
+    parts = [_unpack(b) for b in rows.blob]
+    keys, at = np.unique(np.concatenate([np.cumsum(p.pop("key"), dtype=np.uint64) for p in parts]), return_inverse=True)
+    sums = {k: np.bincount(at, weights=np.concatenate([p[k] for p in parts])).astype(v.dtype) for k, v in parts[0].items()}
+    ends = np.cumsum([len(next(iter(p.values()))) for p in parts])
+    blobs = [_pack(**{k: v[x] for k, v in sums.items()}) for x in np.split(at, ends[:-1])]
+    kinds = int((sums["n"] > 0).sum()) if "n" in sums else 0
+    return pd.DataFrame({"chunk": rows.chunk.to_numpy(), "bucket": rows.bucket.to_numpy(), "blob": blobs,
+                         "kinds": [kinds] + [0] * (len(blobs) - 1)})
+
+
+def _by_text(s: dict, pos: np.ndarray, values: np.ndarray) -> np.ndarray:
+    text = np.searchsorted(np.cumsum(s["sizes"]), pos, side="right")
+    return np.bincount(text, weights=values, minlength=len(s["sizes"]))
+
+
+def _take(c: dict) -> Callable:
+    """A chunk's next state from the totals; ``live`` tokens and those whose context was retained."""
+    def run(rows: pd.DataFrame, totals: pd.DataFrame) -> pd.DataFrame:
+        s = _open(rows.blob)
+        parts = [_unpack(b) for b in totals.sort_values("bucket").blob]
+        got = {k: np.concatenate([p[k] for p in parts]) for k in (parts[0] if parts else ())}
+        live = retained = 0
+        if c["step"] == "words":
+            s["seen"] = got["n"]
+            all_ = np.arange(len(s["codes"]))
+            base = np.log10((s["seen"] + _SMOOTH) / c["mass"])[s["codes"]]
+            s["base"] = _by_text(s, all_, base)
+            s["known"] = _by_text(s, all_, s["seen"][s["codes"]] > 0).astype(np.int64)
+            pos = _live(s, c | {"depth": 1})["pos"]
+            s["tree"] = s["base"] - _by_text(s, pos, base[pos])
+            live = len(pos)
+        else:
+            t = _live(s, c)
+            pos = t["pos"]
+            at = _sums(s, c)[2]
+            if c["step"] == "grams":
+                s["n"] = np.zeros(len(pos), np.int64)
+                if len(at):
+                    s["n"][t["may"]] = got["n"][at]
+            elif c["step"] == "rests":
+                tot = np.ones(len(got["kept"]) if got else 0)
+                tot[at] = t["tot"]
+                s["rest"] = (tot - got["kept"] + _DISCOUNT * np.rint(got["kinds"])) / tot if got else tot
+            elif len(pos):
+                p = _deeper(s, c, t, at)
+                stays = got["gain"][at] / t["tot"] >= c["divergence"]
+                best = np.where(stays, p, t["best"])
+                before = np.zeros(len(s["codes"]), np.int64)   # a longer context's count: its last word is the token before
+                before[pos] = s["n"]
+                since = pos - np.repeat(np.cumsum(s["sizes"]) - s["sizes"], s["sizes"])[pos]
+                on = ((since > c["depth"]) & (before[pos - 1] >= c["least_context"])
+                      & (s["seen"][s["codes"][pos - 1]] >= c["least_word"]) & (stays | (c["depth"] == 1)))
+                s["tree"] = s["tree"] + _by_text(s, pos[~on], np.log10(best[~on]))
+                s |= {"pos": np.diff(pos[on], prepend=0).astype(np.int32), "tot": before[pos[on] - 1],
+                      "may": s["n"][on] >= c["least_next"], "p": p[on].astype(np.float32), "best": best[on].astype(np.float32)}
+                live, retained = int(on.sum()), int(stays.sum())
+        done = ["n", "rest"] if c["step"] == "gains" else []
+        blob = _pack(**{k: v for k, v in s.items() if k not in ("words", "codes", "held", *done)})
+        return pd.DataFrame({"chunk": rows.chunk.iloc[:1], "blob": [blob], "live": [live], "retained": [retained]})
+    return run
 
 
-def _unigrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    held, size = [], 0
+def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per chunk the texts' figures, with the tokens that were live to the end."""
     for batch in batches:
-        held.append(np.full(len(batch), _END, np.int64))
-        for text in batch.text:
-            held.append(_hashes(text))
-            size += len(held[-1])
-            if size > _TOKENS:
-                yield _tally(held)
-                held, size = [], 0
-    yield _tally(held)
-
-
-def _coder(known: object):
-    """Texts to symbols: 0 for words below the share, else 1 + place in ``known``."""
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        words = known.value
-        for batch in batches:
-            coded, rare, times, sizes = [], [], [], []
-            for text in batch:
-                h = _hashes(text)
-                at = np.searchsorted(words, h)
-                at[at == len(words)] = 0
-                hit = words[at] == h if len(words) else np.zeros(len(h), bool)
-                symbols = np.append(np.where(hit, at + 1, 0), len(words) + 1).astype(np.int32)
-                r, n = np.unique(h[~hit], return_counts=True)
-                coded.append(symbols.tobytes())
-                rare.append(r)
-                times.append(n)
-                sizes.append(len(symbols))
-            yield pd.DataFrame({"n_tokens": np.array(sizes, np.int64), "symbols": coded, "rare": rare, "times": times})
-    return F.pandas_udf(run, "n_tokens long, symbols binary, rare array<long>, times array<long>")
-
-
-def _flat(column: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All symbols, the one and the two before each (-1 before a text), and where texts start."""
-    parts = [np.frombuffer(x, np.int32) for x in column]
-    now = np.concatenate(parts).astype(np.int64)
-    starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])[:-1]])
-    one = np.concatenate([[-1], now[:-1]])
-    one[starts] = -1
-    two = np.concatenate([[-1], one[:-1]])
-    two[starts] = -1
-    return now, one, two, starts
-
-
-def _slices(symbols: pd.Series) -> Iterator[pd.Series]:
-    """Rows in slices of a bounded number of symbols (a long text is a slice)."""
-    size = symbols.map(len).cumsum() // (2 * _TOKENS)
-    for _, part in symbols.groupby(size, sort=False):
-        yield part
+        out = []
+        for chunk, blob in zip(batch.chunk, batch.blob):
+            s = _unpack(blob)
+            tree = s["tree"]
+            if "pos" in s:
+                tree = tree + _by_text(s, np.cumsum(s["pos"], dtype=np.int64), np.log10(s["best"].astype(np.float64)))
+            out.append((chunk, s["sizes"].astype(np.int64), s["known"], s["base"], tree))
+        yield pd.DataFrame(out, columns=["chunk", "n_tokens", "n_known", "base_score", "score"])
+
 
+def _drop(df: DataFrame) -> None:
+    """Delete a state that the next one replaces; shuffle files go when the driver collects its garbage."""
+    sc = df.sparkSession.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path(folder).getFileSystem(sc._jsc.hadoopConfiguration()).delete(path(folder), True)
+    gc.collect()
+    sc._jvm.System.gc()
+
+
+# One level of a tree in memory, over symbols instead of hashes.
 
 def _place(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of ``wanted`` in sorted ``keys``, and whether they are there."""
@@ -107,25 +275,6 @@ def _place(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, keys[at] == wanted
 
 
-def _next_counts(contexts: object, symbols: int):
-    """Counts of ``place of the context * symbols + next symbol``; contexts of one
-    word are symbols, of two words ``first * symbols + second``."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        depth, keys = contexts.value
-        held, size = [], 0
-        for part in (part for batch in batches for part in _slices(batch.symbols)):
-            now, one, two, _ = _flat(part)
-            past = one if depth == 1 else np.where(two >= 0, two * symbols + one, -1)
-            at, there = _place(keys, past)
-            held.append((at * symbols + now)[there])
-            size += len(held[-1])
-            if size > _TOKENS:
-                yield _tally(held)
-                held, size = [], 0
-        yield _tally(held)
-    return run
-
-
 def _level(keys: np.ndarray, totals: np.ndarray, k: np.ndarray, n: np.ndarray, symbols: int, parent) -> dict:
     """One level's distributions: the discounted share of each kept next symbol, the
     weight of the parent, and the divergence of each context from its parent."""
@@ -158,92 +307,57 @@ def _step(level: dict, past: np.ndarray, now: np.ndarray, p: np.ndarray, symbols
     return out
 
 
-def _scorer(tree: object):
-    def scores(part: pd.Series, t: dict) -> pd.DataFrame:
-        root, symbols = t["root"], len(t["root"])
-        now, one, two, starts = _flat(part)
-        p = root[now]
-        base = np.where(now > 0, np.log10(p), 0.0)
-        p = _step(t["one"], one, now, p, symbols)
-        p = _step(t["two"], np.where(two >= 0, two * symbols + one, -1), now, p, symbols)
-        rare = np.add.reduceat((now == 0).astype(np.int64), starts)
-        return pd.DataFrame({"base": np.add.reduceat(base, starts), "n_rare": rare,
-                             "tree": np.add.reduceat(np.log10(p), starts) - rare * np.log10(root[0])})
-
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            done = [scores(part, tree.value) for part in _slices(batch)]
-            yield pd.concat(done, ignore_index=True) if done else pd.DataFrame({"base": [], "n_rare": [], "tree": []})
-    return F.pandas_udf(run, "base double, n_rare long, tree double")
-
-
-def score(df: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", least_word: float = 2.5e-7,
-          least_context: float = 2e-5, least_next: float = 2e-6, divergence: float = 0.01) -> DataFrame:
+def score(df: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", least_word: float = 2,
+          least_context: float = 10, least_next: float = 2, divergence: float = 0.01) -> DataFrame:
     """Per input row: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
     The tree is learned from rows that are not ``held_out`` and scores all rows.
     ``base_score`` is the smoothed unigram score, ``score`` the tree's log10
-    probability of the text (its words and the end).  Null text is an empty text
-    (the end alone); a null ``held_out`` counts as false; without training rows
-    every token is unknown; repeated rows are texts of their own; empty table: no
-    rows; other columns are ignored, whatever their names."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    probability of the text (its words and the end).  ``least_word`` (of a word in a
+    context), ``least_context`` and ``least_next`` (of a next word in a context, two
+    or more) are counts; a value below 1 is a share of all training tokens.  Null
+    text is an empty text (the end alone); a null ``held_out`` counts as false;
+    without training rows every token is unknown; repeated rows are texts of their
+    own; empty table: no rows; other columns are ignored, whatever their names."""
+    kind = df.schema[doc_id].dataType
     docs = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"),
                      F.col(text).alias("text"))
-    counts = docs.where("NOT held_out").select("text").mapInPandas(_unigrams, "k long, n long")
-    vocabulary = materialize(counts.groupBy("k").agg(F.sum("n").alias("n")), "words")
-    total = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    tokens, kinds = total["n"], total["v"]
-    mass = tokens + _SMOOTH * (kinds + 1)
-    frequent = (F.col("n") >= least_word * tokens) & (F.col("k") != _END)
-    known = vocabulary.where(frequent).orderBy("k").toArrow()     # at most 1 / least_word rows
-    words, seen = known["k"].to_numpy(), known["n"].to_numpy()
-    ends = vocabulary.where(F.col("k") == _END).first()
-    ends = ends["n"] if ends else 0
-    root = np.empty(len(words) + 2)
-    root[1:-1], root[-1] = (seen + _SMOOTH) / mass, (ends + _SMOOTH) / mass
-    root[0] = max(1 - root[1:].sum(), _SMOOTH / mass)
-    symbols = len(root)
-
-    # ids stay outside of pandas, which makes floats of them
-    coded = docs.select("doc_id", "held_out", F.monotonically_increasing_id().alias("uid"), _coder(sc.broadcast(words))("text").alias("c"))
-    coded = materialize(coded.select("doc_id", "held_out", "uid", "c.*"), "symbols")
-    training = coded.where("NOT held_out").select("symbols")
-
-    def nexts(depth: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        found = training.mapInPandas(_next_counts(sc.broadcast((depth, keys)), symbols), "k long, n long")
-        found = found.groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2.0, least_next * tokens))
-        found = found.orderBy("k").toArrow()   # at most 1 / least_next rows
-        return found["k"].to_numpy(), found["n"].to_numpy()
-
-    first = np.flatnonzero(seen >= max(2.0, least_context * tokens)) + 1
-    k1, n1 = nexts(1, first)
-    one = _level(first, seen[first - 1], k1, n1, symbols, lambda c, nxt: root[nxt])
-    follows = (n1 >= max(2.0, least_context * tokens)) & (k1 % symbols != symbols - 1) & (k1 % symbols != 0)
-    second, times = first[k1[follows] // symbols] * symbols + k1[follows] % symbols, n1[follows]
-    inside = np.isin(second % symbols, first)   # a state's suffix is a state
-    second, times = second[inside], times[inside]
-    order = np.argsort(second)
-    second, times = second[order], times[order]
-    k2, n2 = nexts(2, second)
-    two = _level(second, times, k2, n2, symbols, lambda c, nxt: _step(one, c % symbols, nxt, root[nxt], symbols))
-    stay2 = two["gain"] >= divergence
-    stay1 = (one["gain"] >= divergence) | np.isin(first, second[stay2] % symbols)
-    tree = sc.broadcast({"root": root, "one": _prune(one, stay1, symbols), "two": _prune(two, stay2, symbols)})
-
-    scored = coded.select("doc_id", "held_out", "uid", "n_tokens", _scorer(tree)("symbols").alias("s")).select(
-        "doc_id", "held_out", "uid", "n_tokens", "s.*")
-    pairs = coded.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("uid", "r.rare", "r.times")
-    rest = vocabulary.where(~frequent & (F.col("k") != _END))
-    own = F.log10((F.coalesce(F.col("n"), F.lit(0)) + _SMOOTH) / F.lit(float(mass)))
-    rare = pairs.join(rest, pairs["rare"] == rest["k"], "left").groupBy("uid").agg(
-        F.sum(F.col("times") * own).alias("rare_score"),
-        F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("rare_known"))
-    end_known = F.lit(0 if ends else 1)
-    rare_score = F.coalesce("rare_score", F.lit(0.0))
-    return scored.join(rare, "uid", "left").select(
-        "doc_id", "held_out", "n_tokens",
-        (F.col("n_tokens") - F.col("n_rare") - end_known + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(int(tokens)).cast("long").alias("train_tokens"), (F.col("base") + rare_score).alias("base_score"),
-        (F.col("tree") + rare_score).alias("score"))
+    row = T.StructType([T.StructField("doc_id", T.ArrayType(kind)), T.StructField("held_out", T.ArrayType(T.BooleanType())),
+                        T.StructField("size", T.LongType()), T.StructField("train", T.LongType()), T.StructField("blob", T.BinaryType())])
+    chunks = materialize(docs.mapInArrow(_chunks, row).withColumn("chunk", F.monotonically_increasing_id()), "chunks")
+    texts = chunks.select("chunk", "blob")
+    sizes = chunks.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size"), F.coalesce(F.sum("train"), F.lit(0)).alias("train")).first()
+    tokens = sizes["train"]
+    count = lambda x: x if x >= 1 else x * tokens
+    c = {"buckets": sizes["size"] // _BUCKET + 1, "least_word": count(least_word), "least_context": max(1, count(least_context)),
+         "least_next": max(2, count(least_next)), "divergence": divergence}
+
+    def totals(rows: DataFrame, c: dict) -> DataFrame:
+        sent = rows.groupBy("chunk").applyInPandas(_send(c), "chunk long, bucket int, blob binary")
+        return sent.groupBy("bucket").applyInPandas(_total, "chunk long, bucket int, blob binary, kinds long")
+
+    def taken(rows: DataFrame, found: DataFrame, c: dict) -> DataFrame:
+        return materialize(rows.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInPandas(
+            _take(c), "chunk long, blob binary, live long, retained long"), "tree")
+
+    c["step"] = "words"
+    words = materialize(totals(texts, c), "words")
+    kinds = words.agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0]
+    c["mass"] = tokens + _SMOOTH * (kinds + 1)
+    state = taken(texts, words, c)
+    left = state.agg(F.sum("live")).first()[0]
+    c["depth"] = 1
+    while left:
+        for c["step"] in ("grams", "rests", "gains"):
+            rows = texts.unionByName(state.select("chunk", "blob"))
+            old, state = state, taken(rows, totals(rows, c), c)
+            _drop(old)
+        found = state.agg(F.sum("live").alias("live"), F.sum("retained").alias("retained")).first()
+        left = found["live"] if found["retained"] else 0
+        c["depth"] += 1
+    scores = state.select("chunk", "blob").mapInPandas(
+        _finish, "chunk long, n_tokens array<long>, n_known array<long>, base_score array<double>, score array<double>")
+    each = chunks.select("chunk", "doc_id", "held_out").join(scores, "chunk").select(
+        F.explode(F.arrays_zip("doc_id", "held_out", "n_tokens", "n_known", "base_score", "score")).alias("d"))
+    return each.select("d.doc_id", "d.held_out", "d.n_tokens", "d.n_known", F.lit(int(tokens)).cast("long").alias("train_tokens"),
+                       "d.base_score", "d.score")

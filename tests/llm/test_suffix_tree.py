@@ -1,6 +1,6 @@
 import math
 import random
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 from helpers import CLASHING, frame
@@ -45,6 +45,78 @@ def test_base_equals_brute_force_and_tree_beats_it(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held) + 50
 
 
+def brute_scores(data, least_context=10, divergence=0.01):
+    """The tree in plain dictionaries, with contexts of any length."""
+    texts = [tokens(t) for _, t, *_ in data]
+    train = [w for (i, *_), w in zip(data, texts) if i % 10]
+    uni = Counter(x for w in train for x in w)
+    mass = sum(uni.values()) + 0.1 * (len(uni) + 1)
+    p = [[(uni[x] + 0.1) / mass for x in w] for w in texts]
+    best, on, depth = [list(x) for x in p], [[True] * len(w) for w in texts], 0
+    while True:
+        depth += 1
+        after = defaultdict(Counter)
+        for w in train:
+            for j in range(depth, len(w)):
+                after[tuple(w[j - depth:j])][w[j]] += 1
+        after = {k: n for k, n in after.items() if sum(n.values()) >= least_context}
+        rest, gain = {}, Counter()
+        for k, n in after.items():
+            kept = [x for x in n.values() if x > 1]
+            rest[k] = (sum(n.values()) - sum(kept) + 0.75 * len(kept)) / sum(n.values())
+        new = {}
+        for d, w in enumerate(texts):
+            for j in range(depth, len(w)):
+                k = tuple(w[j - depth:j])
+                on[d][j] = on[d][j] and k in after
+                if on[d][j]:
+                    n, total = after[k][w[j]], sum(after[k].values())
+                    new[d, j] = ((n - 0.75) / total if n > 1 else 0) + rest[k] * p[d][j]
+                    if data[d][0] % 10:
+                        gain[k] += math.log(new[d, j] / p[d][j]) / total
+        stays = {k for k in after if gain[k] >= divergence}
+        for (d, j), x in new.items():
+            k = tuple(texts[d][j - depth:j])
+            best[d][j] = x if k in stays else best[d][j]
+            p[d][j] = x
+            on[d][j] = k in stays or depth == 1
+        for d, w in enumerate(texts):
+            on[d][:depth + 1] = [False] * min(depth + 1, len(w))
+        if not stays:
+            return [sum(map(math.log10, b)) for b in best], depth
+
+
+def test_rare_and_long_contexts_equal_brute_force(spark, monkeypatch):
+    """Contexts of a few occurrences, and of more than two words, in many chunks."""
+    rng = random.Random(14)
+    phrases = [[f"a{rng.randrange(6)}" for _ in range(7)] for _ in range(12)]
+    data = []
+    for i in range(300):
+        w = []
+        for _ in range(rng.randrange(0, 12)):
+            w += rng.choice(phrases) if rng.random() < .4 else [f"r{rng.randrange(2000)}" for _ in range(5)]
+        data.append((i, " ".join(w), None, None))
+    data += [(1000 + i, f"lead pair {rng.choice(['follow', 'trail'])}", None, None) for i in range(1, 30)]
+    want, depth = brute_scores(data)
+    assert depth > 4
+    df = frame(spark, data, CLASHING)
+    monkeypatch.setattr(suffix_tree, "_BUCKET", 3000)
+    got = {r.doc_id: r for r in suffix_tree.score(df, F.col("doc_id") % 10 == 0).collect()}
+    assert len(got) == len(data)
+    for (i, *_), x in zip(data, want):
+        assert abs(got[i].score - x) < 1e-4, (i, got[i], x)
+
+
+def test_a_context_counts_alike_at_every_size(spark):
+    """Twenty occurrences are a context also beside a million other tokens."""
+    rng = random.Random(15)
+    data = [(10 * i + 1, "lead pair follow", None, None) for i in range(20)] + [(0, "lead pair follow", None, None)]
+    filler = [f"f{rng.randrange(3000)}" for _ in range(2_500_000)]
+    data += [(10 * i + 2, " ".join(filler[i * 50_000:(i + 1) * 50_000]), None, None) for i in range(50)]
+    r = next(r for r in suffix_tree.score(frame(spark, data), F.col("doc_id") % 10 == 0).collect() if r.doc_id == 0)
+    assert r.score > r.base_score + 8
+
+
 def test_distributions_sum_to_one():
     """Every state's next-symbol probabilities, the root's included."""
     rng = np.random.default_rng(9)
