@@ -106,17 +106,20 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bands: in
     sketch = light.select("uid", "doc_id", "tkey", _sketches(bands, rows)("text").alias("s"))
     sketch = materialize(sketch.select("uid", "doc_id", "tkey", "s.n", "s.bands"), "sketch")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("uid").alias("uid")))
-    texts = sketch.where("n > 0").groupBy("tkey").agg(first.alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    texts = sketch.where("n > 0").groupBy("tkey").agg(first.alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"),
+                                                     F.count(F.lit(1)).alias("copies"))
     # a class row's uid is its number from here on
-    texts = materialize(texts.select("tkey", "first", F.col("first.uid").alias("cid"), F.col("first.doc_id").alias("doc_id"), "n", "bands"), "texts")
+    texts = materialize(texts.select("tkey", "first", F.col("first.uid").alias("cid"), F.col("first.doc_id").alias("doc_id"), "n", "bands", "copies"), "texts")
 
     keyed = texts.select("cid", "n", F.explode("bands").alias("band"))
     buckets = keyed.groupBy("band").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("cid", "n")).alias("rep")).where("members > 1")
     shared = materialize(keyed.join(buckets, "band").select("band", "cid", "n", F.col("rep.cid").alias("rep"),
                                                             F.col("rep.n").alias("rep_n")), "buckets")
-    wanted = texts.join(shared.select("cid").distinct(), "cid", "left_semi").select("cid", "doc_id", "tkey")
+    wanted = texts.join(shared.select("cid").distinct(), "cid", "left_semi").select("cid", "doc_id", "tkey", "copies")
     bodies = df.select(F.md5(F.coalesce(F.col(text), F.lit(""))).alias("tkey"), F.col(doc_id).alias("_id"), F.col(text).alias("text"))
-    bodies = bodies.join(wanted, "tkey").where(F.col("_id").eqNullSafe(F.col("doc_id"))).select("cid", "text")
+    bodies = bodies.join(wanted, "tkey").where(F.col("_id").eqNullSafe(F.col("doc_id"))).select("cid", "text", "copies")
+    # of rows repeated whole, one
+    bodies = bodies.where("copies = 1").unionByName(bodies.where("copies > 1").dropDuplicates(["cid"])).select("cid", "text")
     sets = materialize(bodies.mapInPandas(_sets, "cid long, items array<long>"), "sets")
 
     fits = F.least("n", "rep_n") >= similarity * F.greatest("n", "rep_n")

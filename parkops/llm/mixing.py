@@ -14,9 +14,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import word_count
+from .common import materialize, word_count
 from .prefix import prefix_sums
 
+_BLOCK = 4096   # repeated rows numbered together
+
 
 def source_targets(sizes: DataFrame, weights: Sequence[int], share: float, epochs: int) -> DataFrame:
     """Targets of sources: ``sizes`` (``source, total``, one row a source) plus
@@ -92,6 +94,24 @@ def mix(df: DataFrame, **settings) -> DataFrame:
             .drop("_uid"))
 
 
+def _numbered(rows: DataFrame, names: list[str]) -> DataFrame:
+    """``rows`` plus ``_nth``, their number (from 1) among those of the same ``names``: the
+    number in a block of rows, which are dealt out, and one narrow row a block for
+    what lies before it."""
+    rows = materialize(rows.withColumn("_place", F.monotonically_increasing_id()), "repeats")
+    rows = rows.withColumn("_block", F.floor(F.col("_place") / _BLOCK))
+    earlier = Window.partitionBy(*names).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy(*names, "_block").agg(F.count(F.lit(1)).alias("_in"))
+    blocks = blocks.select(*[F.col(c).alias(f"_of{c}") for c in (*names, "_block")],
+                           F.coalesce(F.sum("_in").over(earlier), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*names, "_block").orderBy("_place"))
+    same = F.col("_block") == F.col("_of_block")
+    for c in names:
+        same &= F.col(c).eqNullSafe(F.col(f"_of{c}"))
+    out = rows.withColumn("_inside", inside).join(blocks, same).withColumn("_nth", F.col("_before") + F.col("_inside"))
+    return out.drop("_place", "_block", "_inside", "_before", *[f"_of{c}" for c in (*names, "_block")])
+
+
 def mixed_rows(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **settings) -> DataFrame:
     """The mix itself: each row of ``df`` as often as the mix takes it, all columns
     as they were.  Rows without words are never taken.
@@ -105,9 +125,8 @@ def mixed_rows(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source
     packed = df.select(F.struct("*").alias("row"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
     met = packed.join(copies, (F.col("_t") == F.col("_digest")) & F.col(f"row.{doc_id}").eqNullSafe(F.col("_id"))
                       & F.col(f"row.{source}").eqNullSafe(F.col("_source")))
-    equal = Window.partitionBy("_id", "_source", "_digest").orderBy(F.lit(1))
     one = met.where("_rows = 1").withColumn("_times", F.col("_copies").cast("int"))
-    many = met.where("_rows > 1").withColumn("_nth", F.row_number().over(equal)).withColumn(
+    many = _numbered(met.where("_rows > 1"), ["_id", "_source", "_digest"]).withColumn(
         "_times", (F.floor(F.col("_copies") / F.col("_rows")) + F.when(F.col("_nth") <= F.col("_copies") % F.col("_rows"), 1).otherwise(0)).cast("int"))
     both = one.unionByName(many.drop("_nth")).where("_times > 0")
     return (both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))

@@ -63,7 +63,7 @@ def prob_minhash(elements: np.ndarray, weights: np.ndarray, m: int) -> np.ndarra
     points = m * (np.log(m) + 3)
     while True:
         horizon = points / total
-        block = int(points / n) + 1
+        block = int(points / n + 2 * np.sqrt(points / n)) + 1   # most elements need no second round
         live, last, scale, drawn = elements, np.zeros(n), 1.0 / weights, 0
         found = []
         while len(live):

@@ -81,6 +81,22 @@ def test_repeated_lines_lose_no_link(spark):
     assert {r.doc_id: r.class_id for r in minhash.classes(frame(spark, data)).collect()} == want
 
 
+def test_rows_repeated_whole_are_one_set(spark, monkeypatch):
+    rng = random.Random(16)
+    w = words(rng, 100)
+    data = [(1, " ".join(w), None, None)] * 300 + [(2, " ".join(w + ["more"]), None, None)]
+    sizes, write = {}, minhash.materialize
+
+    def watched(df, name):
+        out = write(df, name)
+        sizes.setdefault(name, out.count())
+        return out
+    monkeypatch.setattr(minhash, "materialize", watched)
+    got = minhash.classes(frame(spark, data)).collect()
+    assert len(got) == 301 and {r.class_id for r in got} == {1} and sum(r.kept for r in got) == 1
+    assert sizes["sets"] == 2
+
+
 def test_null_ids_and_empty(spark):
     got = minhash.classes(frame(spark, [(None, "a b", None, None), (None, "a b", None, None), (7, "a B", None, None)])).collect()
     assert [(r.class_id, r.doc_id) for r in got if r.kept] == [(7, 7)] and {r.class_id for r in got} == {7}

@@ -68,3 +68,15 @@ def test_empty(spark):
     assert mixing.mix(frame(spark, [])).count() == 0
     assert mixing.mixed_rows(frame(spark, [])).count() == 0
     assert [r.taken for r in mixing.mix(frame(spark, [(1, None, None, None)])).collect()] == [0]
+
+
+def test_repeats_are_numbered_in_blocks(spark, monkeypatch):
+    """No window gathers all rows of a key that is repeated whole."""
+    monkeypatch.setattr(mixing, "_BLOCK", 4)
+    df = frame(spark, [(None if i % 2 else 5, "a b", None, "s") for i in range(60)] + [(7, "c", None, None)] * 9)
+    got = mixing._numbered(df, ["doc_id", "source"]).collect()
+    assert sorted(r._nth for r in got if r.doc_id == 7) == list(range(1, 10))
+    assert sorted(r._nth for r in got if r.doc_id == 5) == sorted(r._nth for r in got if r.doc_id is None) == list(range(1, 31))
+    plan = mixing.mixed_rows(df)._jdf.queryExecution().optimizedPlan().toString()
+    numbers = [x for x in plan.splitlines() if "row_number" in x and "_digest" in x and "Window" in x]
+    assert numbers and all("_block" in x for x in numbers)
