@@ -5,7 +5,7 @@ import subprocess
 import sys
 import tempfile
 
-from conftest import ROOT, SF_SMALL
+from settings import ROOT, SF_SMALL
 
 SCRIPT = """
 import importlib.util, sys

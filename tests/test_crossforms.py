@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from conftest import SF_SMALL
+from settings import SF_SMALL
 from parkops.operators import reports
 from parkops.sources.fixtures import AS_OF, model
 

@@ -5,7 +5,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from settings import SF_SMALL
 from parkops.schemas import SPOT_DOCUMENT
 from parkops.sources import io
 from parkops.sources.fixtures import model

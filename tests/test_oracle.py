@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as entry
 from parkops.plans import catalog
 from parkops.plans.verify import duck, rows
-from conftest import SF_CHECK, SF_SMALL
+from settings import SF_CHECK, SF_SMALL
 
 # the operators on training data have their own tests
 QUERIES = {name: fn for name, fn in entry.queries().items() if name in catalog.QUERIES}

@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
-from conftest import SF_SMALL
+from settings import SF_SMALL
 from parkops.plans import catalog
 
 QUERIES = {name: fn for name, fn in entry.queries().items() if name in catalog.QUERIES}
