@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embedding_dedup, language, minhash, mixing, multi_index, packing, secrets, sharding, suffix_tree
+from . import chat, embedding_dedup, language, minhash, mixing, multi_index, packing, secrets, sharding, suffix_tree, token_counts
 from .common import prepare, read
 
 QUERIES, ORACLES = {}, {}
@@ -127,3 +127,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in eight contiguous shards of near equal bytes."""
     return sharding.shard(read(spark, sf_dir, "documents")).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query()
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document by the word BPE, and which exceed 2048."""
+    import public_tokenizers
+    return token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
