@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embedding_dedup, language, minhash, mixing, multi_index, packing, secrets, sharding, suffix_tree, token_counts
+from . import chat, embedding_dedup, language, minhash, mixing, multi_index, packing, periodic_runs, secrets, sharding, suffix_tree, token_counts
 from .common import prepare, read
 
 QUERIES, ORACLES = {}, {}
@@ -134,3 +134,27 @@ def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document by the word BPE, and which exceed 2048."""
     import public_tokenizers
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def planted_repeats() -> Column:
+    """The text, whose tail repeats itself in a tenth of the documents (told by the id's crc32)."""
+    h, words, n = F.col("h"), F.col("words"), F.size("words")
+    g = F.floor(h / 10)
+    a = g % n
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    from_word = lambda w, i: F.when(i < a, w).otherwise(F.element_at(words, (a + (i - a) % p + 1).cast("int")))
+    return F.when((h % 10 == 0) & (n > 0), F.array_join(F.transform(words, from_word), " ")).otherwise(F.col("text"))
+
+
+@query()
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in every document, some of which get a repeating tail first."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", crc_of_id().alias("h"))
+    words = F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)))
+    docs = docs.withColumn("words", words).select("doc_id", planted_repeats().alias("text"))
+    best, milli = F.col("strongest"), F.expr("1000 * strongest.length div strongest.period")
+    lines = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    return periodic_runs.find_runs(docs).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), *[best[c].alias(c) for c in ("start", "length", "period")],
+        milli.alias("exponent_milli"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
