@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embedding_dedup, language, minhash, mixing, multi_index, packing, periodic_runs, secrets, sharding, suffix_tree, token_counts
+from . import chat, embedding_dedup, language, minhash, mixing, multi_index, packing, periodic_runs, secrets, sharding, spelling, suffix_tree, token_counts
 from .common import prepare, read
 
 QUERIES, ORACLES = {}, {}
@@ -129,13 +129,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-@query()
-def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of every document by the word BPE, and which exceed 2048."""
-    import public_tokenizers
-    return token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
-
-
 def planted_repeats() -> Column:
     """The text, whose tail repeats itself in a tenth of the documents (told by the id's crc32)."""
     h, words, n = F.col("h"), F.col("words"), F.size("words")
@@ -158,3 +151,16 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("runs").cast("long").alias("n_runs"), *[best[c].alias(c) for c in ("start", "length", "period")],
         milli.alias("exponent_milli"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query()
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants among the words of all documents, where one run in 31 loses a letter first."""
+    return spelling.variants(spelling.count_words(read(spark, sf_dir, "documents"), spoil_every=31))
+
+
+@query()
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document by the word BPE, and which exceed 2048."""
+    import public_tokenizers
+    return token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))

@@ -11,9 +11,9 @@ from parkops.plans.verify import duck, rows
 SF_SMALL = "/root/testdata/sf0.001"
 
 
-def test_ten_operators_and_the_pipeline_are_registered():
+def test_thirteen_operators_and_the_pipeline_are_registered():
     names = [n for n in entry.queries() if n.startswith("op") and n[2].isdigit()]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in entry.queries() and set(names) == set(QUERIES)
 
 
@@ -28,7 +28,8 @@ def test_query_runs(spark, name):
     df = QUERIES[name](spark, SF_SMALL)
     table = {"op1_embedding_dedup": "embeddings", "op6_chat_format": "conversations", "op8_ann_search": "embeddings"}.get(name, "documents")
     n = read(spark, SF_SMALL, table).count()
-    assert df.count() >= (n // 10 if "chat" in name else n)
+    # one row a conversation of several turns, one a word, else one a row or more
+    assert df.count() >= (n // 10 if "chat" in name else 1 if "spelling" in name else n)
 
 
 def test_pipeline_stages_take_effect(spark):
