@@ -6,6 +6,8 @@ column is aliased identically in the Spark code and the oracle SQL.
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from ..operators import billing, bookings as bk, changes, cycle, imports, lifecycle, lookups, reports, seeds
@@ -13,7 +15,7 @@ from ..session import scratch_dir
 from ..sources import documents, io
 from ..sources.fixtures import AS_OF, PEAK_AS_OF, model
 from ..streaming import jobs as sj
-from ..streaming.runner import run_available_now
+from ..streaming.runner import log_end, run_available_now, run_to_end
 from .catalog import register
 
 # ---------------------------------------------------------------------------
@@ -1038,25 +1040,19 @@ def q_stream_daily_revenue(spark, base):
     return sj.daily_revenue_out(out)
 
 
-@register("stream_spot_state", """
-    WITH agg AS (
-        SELECT spot_id, COUNT(*) AS events, COUNT(*) FILTER (WHERE action = 'check_out') AS check_outs
-        FROM vehicle_log GROUP BY spot_id),
-    last AS (
-        SELECT * FROM (
-            SELECT spot_id, action AS last_action, ts AS last_ts, event_id AS last_event_id,
-                   row_number() OVER (PARTITION BY spot_id ORDER BY ts DESC, event_id DESC) AS rn
-            FROM vehicle_log) WHERE rn = 1)
-    SELECT l.spot_id, l.last_action, l.last_ts, l.last_event_id,
-           coalesce(m.moved = 'check_in', FALSE) AS is_occupied,
-           coalesce(p.is_reserved, FALSE) AND a.check_outs = 0 AS is_reserved, a.events
-    FROM last l JOIN agg a ON l.spot_id = a.spot_id LEFT JOIN parking_spots p ON l.spot_id = p.id
-         LEFT JOIN (SELECT spot_id, arg_max(action, (ts, event_id)) AS moved FROM vehicle_log
-                    WHERE action <> 'extend' GROUP BY spot_id) m ON l.spot_id = m.spot_id
+@register("stream_spot_state", f"""
+    WITH RECURSIVE {BOOKINGS_SQL},
+    seen AS (SELECT spot_id, count(*) AS events, arg_max(action, rn) AS last_action, max(ts) AS last_ts, arg_max(event_id, rn) AS last_event_id
+             FROM past GROUP BY spot_id)
+    SELECT n.spot_id, n.last_action, n.last_ts, n.last_event_id, s.booking_id, s.booking_end_time, s.expired, s.is_occupied, s.is_reserved,
+           n.events
+    FROM seen n JOIN swept s ON n.spot_id = s.id
 """)
 def q_stream_spot_state(spark, base):
+    """The live state of every spot with an action at ``AS_OF``: equal to the batch sweep."""
     m = _stream_model(spark, base)
-    out = run_available_now(sj.spot_state(m.lot_events("vehicle")), "spot_state", "complete")
+    out = run_to_end(spark, lambda ticks: sj.spot_state(m.lot_events("vehicle"), m.spots, ticks), "spot_state",
+                     datetime.fromisoformat(AS_OF), "update", ["spot_id"])
     return sj.spot_state_out(out, m.spots)
 
 
@@ -1077,7 +1073,8 @@ def q_stream_spot_state(spark, base):
 """)
 def q_stream_session_pairing(spark, base):
     m = _stream_model(spark, base)
-    return run_available_now(sj.session_pairing_stream(m.lot_events("vehicle")), "session_pairing", "append")
+    return run_to_end(spark, lambda ticks: sj.session_pairing_stream(m.lot_events("vehicle"), ticks), "session_pairing",
+                      log_end(model(spark, base).lot_events("vehicle")))
 
 
 @register("stream_booking_decisions", f"""
@@ -1086,23 +1083,25 @@ def q_stream_session_pairing(spark, base):
 """)
 def q_stream_booking_decisions(spark, base):
     """The decisions of the live booking stream (#51), one per action."""
-    m = _stream_model(spark, base)
-    out = run_available_now(sj.booking_expiry_stream(m.lot_events("vehicle"), m.spots), "booking_decisions", "append")
-    return out.filter(F.col("kind") != "expired")
+    return _booking_stream(spark, base).filter(F.col("kind") != "expired")
 
 
 @register("stream_booking_expiry", f"""
     WITH RECURSIVE {CYCLE_SQL},
-    mark AS (SELECT epoch_ms(max(ts) - INTERVAL 1 HOUR) AS ms FROM act)
+    mark AS (SELECT date_trunc('second', max(ts)) + INTERVAL 1 SECOND AS ended FROM vehicle_log)
     SELECT spot_id, event_id, kind, ts, end_t AS end_time FROM life
     UNION ALL
     SELECT spot_id, bid, 'expired', end_t, end_t FROM life
-    WHERE kind IN ('booked', 'rejected', 'extended')
-          AND CASE WHEN next_ts IS NULL THEN (SELECT ms FROM mark) > epoch_ms(end_t) + 1 ELSE next_ts > end_t END
+    WHERE kind IN ('booked', 'rejected', 'extended') AND coalesce(next_ts, (SELECT ended FROM mark)) > end_t
 """)
 def q_stream_booking_expiry(spark, base):
     """All rows of the live booking stream: decisions, and an expiry for each time a
-    booking's end passed before the spot's next action (for its last one:
-    before the final watermark, one hour behind the latest action)."""
+    booking's end passed before the spot's next action (for its last one: before the
+    log's end)."""
+    return _booking_stream(spark, base)
+
+
+def _booking_stream(spark, base):
     m = _stream_model(spark, base)
-    return run_available_now(sj.booking_expiry_stream(m.lot_events("vehicle"), m.spots), "booking_expiry", "append")
+    return run_to_end(spark, lambda ticks: sj.booking_expiry_stream(m.lot_events("vehicle"), m.spots, ticks), "bookings",
+                      log_end(model(spark, base).lot_events("vehicle")))

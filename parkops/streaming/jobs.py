@@ -1,24 +1,20 @@
 """Live versions of the reports and state changes over the event stream.
 
-#47 hourly entries, #48 daily revenue and #49 spot state are windowed or
-keyed aggregations (Spark keeps the partial aggregates as state).  #50
-session pairing and #51 booking expiry are custom stateful operators with
-``applyInPandasWithState``: the state per key is a few scalars, and rows of
-one key in one micro-batch arrive as Arrow batches.
+#47 hourly entries and #48 daily revenue are windowed aggregations (Spark keeps
+the partial aggregates as state).  #49 spot state, #50 session pairing and #51
+booking expiry are decided per key in event-time order (:mod:`.ordered`).
 
 Event time is cast from TIMESTAMP_NTZ to TIMESTAMP (session zone UTC)
 because watermarks need the latter; outputs are cast back.  Late data
-policy: a 1 hour watermark.
+policy: one hour.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from .ordered import HOUR_US, InOrder, Rows, decide, us_time
 
 WATERMARK = "1 hour"
 
@@ -55,142 +51,141 @@ def daily_revenue_out(df: DataFrame) -> DataFrame:
                      F.col("revenue").cast("double").alias("revenue"), "transactions")
 
 
-def spot_state(log: DataFrame) -> DataFrame:
-    """Live state per spot from the vehicle log: the latest event by
-    (time, id) wins, so a late event never overrides a newer one.  A
-    check-in leaves the spot occupied; a check-out frees it and clears the
-    reservation flag (client rule).  An extension changes nothing here: it
-    needs a booking, and with one the spot is occupied already (whether
-    bookings ran out is what the booking stream tells)."""
-    s = _event_time(log, "ts").withWatermark("et", WATERMARK)
-    last = F.max_by(F.struct("action", "ts", "event_id"), F.struct("ts", "event_id"))
-    moved = F.max_by("action", F.when(F.col("action") != "extend", F.struct("ts", "event_id")))
-    return s.groupBy("spot_id").agg(last.alias("l"), moved.alias("moved"), F.count(F.lit(1)).alias("events"),
-                                    F.count_if(F.col("action") == "check_out").alias("check_outs"))
+# --------------------------------------------------------------------------
+# #50 session pairing, per vehicle
+# --------------------------------------------------------------------------
+def _pair(vehicle: int, carry: tuple, event: tuple) -> tuple[tuple, Rows]:
+    (opened,), (us, event_id, action, spot) = carry, event
+    is_in = action == "check_in"
+    accepted = (opened is None) == is_in
+    reason = None if accepted else "already_parked" if is_in else "no_open_session"
+    closes = opened if accepted and not is_in else None
+    if accepted:
+        opened = event_id if is_in else None
+    return (opened,), [(event_id, vehicle, spot and int(spot), action, us_time(us), accepted, reason, closes)]
+
+
+def _pair_late(vehicle: int, event: tuple) -> Rows:
+    us, event_id, action, spot = event
+    return [(event_id, vehicle, spot and int(spot), action, us_time(us), False, "late_event", None)]
 
 
-def spot_state_out(df: DataFrame, spots: DataFrame) -> DataFrame:
-    """Final state per spot that saw events: occupied after a check-in; the snapshot's reserved flag holds until the first check-out."""
-    sp = spots.select(F.col("id").alias("_sid"), F.col("is_reserved").alias("_res"))
-    j = df.join(sp, F.col("spot_id") == F.col("_sid"), "left")
-    return j.select("spot_id", F.col("l.action").alias("last_action"), F.col("l.ts").alias("last_ts"),
-                    F.col("l.event_id").alias("last_event_id"),
-                    F.coalesce(F.col("moved") == "check_in", F.lit(False)).alias("is_occupied"),
-                    (F.coalesce(F.col("_res"), F.lit(False)) & (F.col("check_outs") == 0)).alias("is_reserved"),
-                    "events")
+PAIRING = InOrder(
+    payload={"action": "string", "spot": "string"}, carry={"open_event_id": "long"}, start=(None,), step=_pair, late=_pair_late,
+    output="event_id long, vehicle_id long, spot_id long, action string, ts timestamp_ntz, "
+           "accepted boolean, reason string, entry_event_id long")
 
 
-# --------------------------------------------------------------------------
-# #50 session pairing, stateful per vehicle
-# --------------------------------------------------------------------------
-PAIRING_OUT = ("event_id long, vehicle_id long, spot_id long, action string, ts timestamp_ntz, "
-               "accepted boolean, reason string, entry_event_id long")
-PAIRING_STATE = "parked boolean, open_event_id long"
-
-
-def _pairing(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    # one vehicle's events of this micro-batch (bounded by the trigger size)
-    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "event_id"], kind="stable")
-    parked, open_id = (state.get[0], state.get[1]) if state.exists else (False, None)
-    acts = pdf["action"].to_numpy()
-    ids = pdf["event_id"].to_numpy()
-    is_in = acts == "check_in"
-    # parked before each event = the previous event was a check-in
-    before = pd.Series(is_in).shift(1, fill_value=bool(parked)).to_numpy(dtype=bool)
-    accepted = (is_in & ~before) | (~is_in & before)
-    # the open check-in each accepted check-out closes: last accepted check-in so far
-    opener = pd.Series(ids, dtype="Int64").where(is_in & accepted).ffill()   # integers: ids may exceed 2^53
-    if open_id is not None:
-        opener = opener.fillna(int(open_id))
-    closes = (~is_in) & accepted
-    out = pd.DataFrame({
-        "event_id": ids, "vehicle_id": pdf["vehicle_id"].to_numpy(), "spot_id": pdf["spot_id"].to_numpy(),
-        "action": acts, "ts": pdf["ts"].to_numpy(), "accepted": accepted,
-        "reason": pd.Series(acts).map({"check_in": "already_parked", "check_out": "no_open_session"})
-                    .where(~accepted, None).to_numpy(),
-        "entry_event_id": opener.where(closes),
-    })
-    last_open = opener.iloc[-1] if len(opener) else open_id
-    now_parked = bool(is_in[-1]) if len(is_in) else bool(parked)
-    state.update((now_parked, int(last_open) if now_parked and pd.notna(last_open) else None))
-    yield out
-
-
-def session_pairing_stream(log: DataFrame) -> DataFrame:
-    ev = (log.filter(F.col("action").isin("check_in", "check_out"))
-          .select("event_id", "vehicle_id", "spot_id", "action", "ts"))
-    return ev.groupBy("vehicle_id").applyInPandasWithState(
-        _pairing, PAIRING_OUT, PAIRING_STATE, "append", GroupStateTimeout.NoTimeout)
+def session_pairing_stream(log: DataFrame, ticks: DataFrame | None = None) -> DataFrame:
+    """Check-ins and check-outs paired per vehicle as by ``lifecycle.session_pairing``, in event-time order.
+
+    Each event is told once, when it is decided; an accepted check-out names the
+    check-in that it closes.  Events without a vehicle or a time are rejected as
+    ``invalid_event``, late ones as ``late_event``."""
+    ev = log.filter(F.col("action").isin("check_in", "check_out")).select("event_id", "vehicle_id", "spot_id", "action", "ts")
+    valid = F.col("vehicle_id").isNotNull() & F.col("ts").isNotNull()
+    bad = ev.filter(~valid).select("event_id", "vehicle_id", "spot_id", "action", "ts", F.lit(False).alias("accepted"),
+                                   F.lit("invalid_event").alias("reason"), F.lit(None).cast("long").alias("entry_event_id"))
+    good = ev.filter(valid).withColumn("spot", F.col("spot_id").cast("string"))   # text: whole numbers that may be null
+    return decide(good, "vehicle_id", PAIRING, ticks).unionByName(bad)
 
 
 # --------------------------------------------------------------------------
-# #51 booking admission and expiry, stateful per spot with event-time timeout
+# #49 and #51 the booking life cycle, per spot
 # --------------------------------------------------------------------------
-BOOKING_OUT = "spot_id long, event_id long, kind string, ts timestamp_ntz, end_time timestamp_ntz"
-BOOKING_STATE = "booking_id long, end_us long, expired boolean"
-_HOUR_US = 3_600_000_000
+def _sweep(spot: int, carry: tuple, now: int) -> tuple[tuple, Rows]:
+    """The booking expires if ``now`` is strictly past its end."""
+    booking, end, expired = carry
+    if booking is None or expired or now <= end:
+        return carry, []
+    return (booking, end, True), [(spot, booking, "expired", us_time(end), us_time(end))]
+
+
+def _book(spot: int, carry: tuple, event: tuple) -> tuple[tuple, Rows]:
+    us, event_id, action, hours = event
+    (booking, end, expired), rows = _sweep(spot, carry, us)
+    if action == "check_in":
+        kind = "booked" if booking is None or expired else "rejected"
+        if kind == "booked":
+            booking, end, expired = event_id, us + int(hours) * HOUR_US, False
+    elif action == "extend":
+        kind = "no_booking" if booking is None else "extended"
+        if booking is not None:
+            # counted from the old end, also of a booking that has run out; it may stay in the past
+            end, expired = end + int(hours) * HOUR_US, False
+    else:
+        booking, end, expired, kind = None, None, False, "checked_out"
+    return (booking, end, expired), [*rows, (spot, event_id, kind, us_time(us), us_time(end))]
 
 
-def _us_to_ts(us: int) -> pd.Timestamp:
-    return pd.Timestamp(us * 1000)
+def _booking_end(carry: tuple) -> int | None:
+    booking, end, expired = carry
+    return None if booking is None or expired else end
 
 
-def _booking(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    spot = int(key[0])
-    columns = ["spot_id", "event_id", "kind", "ts", "end_time"]
-    bid, end_us, expired = state.get if state.exists else (None, 0, True)
-    rows = []
+def _booking_late(spot: int, event: tuple) -> Rows:
+    return [(spot, event[1], "late", us_time(event[0]), None)]
 
-    def sweep(past: bool) -> None:
-        nonlocal expired
-        if bid is not None and not expired and past:
-            expired = True
-            rows.append((spot, bid, "expired", _us_to_ts(end_us), _us_to_ts(end_us)))
 
-    if state.hasTimedOut:
-        sweep(True)
-    else:
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "event_id"], kind="stable")
-        # actions of one spot in one micro-batch, in (time, id) order: the
-        # decision of each depends on the booking the previous ones left
-        for ev_id, ts, action, hours in zip(pdf["event_id"], pdf["ts"], pdf["action"], pdf["hours"]):
-            t_us = int(pd.Timestamp(ts).value // 1000)
-            sweep(t_us > end_us)
-            if action == "check_in":
-                if bid is None or t_us > end_us:
-                    bid, end_us, expired, kind = int(ev_id), t_us + int(hours) * _HOUR_US, False, "booked"
-                else:
-                    kind = "rejected"
-            elif action == "extend":
-                kind = "no_booking" if bid is None else "extended"
-                if bid is not None:
-                    end_us, expired = end_us + int(hours) * _HOUR_US, False
-            else:
-                bid, kind = None, "checked_out"
-            rows.append((spot, int(ev_id), kind, ts, None if bid is None else _us_to_ts(end_us)))
-    if bid is None:
-        if state.exists:
-            state.remove()
-    else:
-        timeout_ms = end_us // 1000 + 1
-        if not expired and timeout_ms <= state.getCurrentWatermarkMs():
-            sweep(True)
-        state.update((bid, end_us, expired))
-        if not expired:
-            state.setTimeoutTimestamp(timeout_ms)
-    yield pd.DataFrame(rows, columns=columns)
+_BOOKING = {"booking_id": "long", "end_us": "long", "expired": "boolean"}
+BOOKING = InOrder(
+    payload={"action": "string", "hours": "int"}, carry=_BOOKING, start=(None, None, False), step=_book, late=_booking_late,
+    elapse=_sweep, wakes=_booking_end, output="spot_id long, event_id long, kind string, ts timestamp_ntz, end_time timestamp_ntz")
 
 
-def booking_expiry_stream(log: DataFrame, spots: DataFrame) -> DataFrame:
-    """Per known spot, the booking life cycle (:mod:`parkops.operators.cycle`): admit
-    requests, extend, check out, and emit ``expired`` whenever a booking's end
-    passes, told by the spot's next action or by the watermark.  Invalid
-    actions (no time, a duration that is not positive) are left out."""
+def _spot_actions(log: DataFrame, spots: DataFrame) -> DataFrame:
+    """Actions on known spots with a time and, but for check-outs, a positive duration."""
     ids = spots.select(F.col("id").alias("_sid")).distinct()
     valid = F.col("ts").isNotNull() & ((F.col("action") == "check_out") | (F.col("hours") > 0))
-    ev = (log.filter(F.col("action").isin("check_in", "extend", "check_out") & valid)
-          .select("event_id", "spot_id", "action", "ts", "hours")
-          .join(ids, F.col("spot_id") == F.col("_sid"), "left_semi")
-          .transform(lambda d: _event_time(d, "ts")).withWatermark("et", WATERMARK))
-    return ev.groupBy("spot_id").applyInPandasWithState(
-        _booking, BOOKING_OUT, BOOKING_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return (log.filter(F.col("action").isin("check_in", "extend", "check_out") & valid)
+            .select("event_id", "spot_id", "action", "ts", F.coalesce(F.col("hours").cast("int"), F.lit(0)).alias("hours"))
+            .join(ids, F.col("spot_id") == F.col("_sid"), "left_semi"))
+
+
+def booking_expiry_stream(log: DataFrame, spots: DataFrame, ticks: DataFrame | None = None) -> DataFrame:
+    """Per known spot, the booking life cycle (:mod:`parkops.operators.cycle`): admit
+    requests, extend, check out, and emit ``expired`` whenever a booking's end
+    passes, told by the spot's next action or by the horizon.  Invalid actions (no
+    time, a duration that is not positive) are left out, late ones are told as ``late``."""
+    return decide(_spot_actions(log, spots), "spot_id", BOOKING, ticks)
+
+
+def _spot_elapse(spot: int, carry: tuple, now: int) -> tuple[tuple, Rows]:
+    after, rows = _sweep(spot, carry[:3], now)
+    return (*after, carry[3] or bool(rows), *carry[4:]), []
+
+
+def _spot_step(spot: int, carry: tuple, event: tuple) -> tuple[tuple, Rows]:
+    after, rows = _book(spot, carry[:3], event)
+    freed = any(r[2] in ("expired", "checked_out") for r in rows)
+    return (*after, carry[3] or freed, carry[4] + 1, event[2], event[0], event[1]), []
+
+
+def _spot_report(spot: int, carry: tuple) -> Rows:
+    booking, end, expired, freed, events, action, us, event_id = carry
+    return [(spot, action, us_time(us), event_id, booking, us_time(end), expired if booking is not None else None, freed, events)]
+
+
+SPOT = InOrder(
+    payload=BOOKING.payload, start=(None, None, False, False, 0, None, None, None), step=_spot_step,
+    carry=_BOOKING | {"freed": "boolean", "events": "long", "last_action": "string", "last_us": "long", "last_event_id": "long"},
+    elapse=_spot_elapse, wakes=lambda carry: _booking_end(carry[:3]), report=_spot_report,
+    output="spot_id long, last_action string, last_ts timestamp_ntz, last_event_id long, booking_id long, "
+           "booking_end_time timestamp_ntz, expired boolean, freed boolean, events long")
+
+
+def spot_state(log: DataFrame, spots: DataFrame, ticks: DataFrame | None = None) -> DataFrame:
+    """Live state of every known spot that saw an action, told anew whenever it changes:
+    by an action or because its booking's end has passed (update mode)."""
+    return decide(_spot_actions(log, spots), "spot_id", SPOT, ticks, "update")
+
+
+def spot_state_out(states: DataFrame, spots: DataFrame) -> DataFrame:
+    """The spots' latest states with their flags, as after ``bookings.expire_bookings``: occupied
+    while a booking holds; the snapshot's flags hold until a check-out or an expiry."""
+    sp = spots.select(F.col("id").alias("_sid"), F.col("is_occupied").alias("_occ"), F.col("is_reserved").alias("_res"))
+    free = F.col("freed")
+    return states.join(sp, F.col("spot_id") == F.col("_sid"), "left").select(
+        "spot_id", "last_action", "last_ts", "last_event_id", "booking_id", "booking_end_time", "expired",
+        F.when(F.col("booking_id").isNotNull(), ~F.col("expired")).when(free, False).otherwise(F.col("_occ")).alias("is_occupied"),
+        F.when(free, False).otherwise(F.col("_res")).alias("is_reserved"), "events")

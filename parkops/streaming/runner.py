@@ -15,12 +15,14 @@ DataFrame:
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_dir
+from .ordered import LATENESS_US
 
 
 def _has_batches(spark: SparkSession, path: str) -> bool:
@@ -28,13 +30,8 @@ def _has_batches(spark: SparkSession, path: str) -> bool:
     return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
 
 
-def run_available_now(stream: DataFrame, name: str, output_mode: str = "append",
-                      keys: Sequence[str] | None = None, timeout_s: int | None = None,
-                      processing_time: str | None = None) -> DataFrame:
-    spark: SparkSession = stream.sparkSession
-    out = scratch_dir(spark, f"stream-{name}-out")
-    ckpt = scratch_dir(spark, f"stream-{name}-ckpt")
-
+def _drain(stream: DataFrame, name: str, out: str, ckpt: str, output_mode: str, timeout_s: int | None = None,
+           processing_time: str | None = None) -> None:
     def sink(batch: DataFrame, epoch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch_id:012d}")
 
@@ -52,6 +49,10 @@ def run_available_now(stream: DataFrame, name: str, output_mode: str = "append",
     finally:
         if q.isActive:
             q.stop()
+
+
+def _result(stream: DataFrame, out: str, output_mode: str, keys: Sequence[str] | None) -> DataFrame:
+    spark = stream.sparkSession
     if not _has_batches(spark, out):   # no micro-batch ran: the input is empty
         return spark.createDataFrame([], stream.schema)
     res = spark.read.parquet(out)
@@ -65,3 +66,37 @@ def run_available_now(stream: DataFrame, name: str, output_mode: str = "append",
         g = res.groupBy(*keys).agg(F.max_by(F.struct(*others), F.col("epoch")).alias("_v"))
         return g.select(*keys, *[F.col(f"_v.{c}").alias(c) for c in others])
     return res.select(*cols)
+
+
+def run_available_now(stream: DataFrame, name: str, output_mode: str = "append",
+                      keys: Sequence[str] | None = None, timeout_s: int | None = None,
+                      processing_time: str | None = None) -> DataFrame:
+    spark: SparkSession = stream.sparkSession
+    out, ckpt = scratch_dir(spark, f"stream-{name}-out"), scratch_dir(spark, f"stream-{name}-ckpt")
+    _drain(stream, name, out, ckpt, output_mode, timeout_s, processing_time)
+    return _result(stream, out, output_mode, keys)
+
+
+def run_to_end(spark: SparkSession, build: Callable[[DataFrame], DataFrame], name: str, until: datetime,
+               output_mode: str = "append", keys: Sequence[str] | None = None) -> DataFrame:
+    """Run an event-time ordered stream over a log that ends at ``until``.
+
+    ``build`` gives the stream for a stream of ticks.  The log is drained first; then one
+    tick moves the horizon to ``until``, and the same query, restarted from its
+    checkpoint, decides what its state still holds."""
+    out, ckpt = scratch_dir(spark, f"stream-{name}-out"), scratch_dir(spark, f"stream-{name}-ckpt")
+    folder = scratch_dir(spark, f"stream-{name}-ticks")
+    schema = "ts timestamp_ntz"
+    spark.createDataFrame([], schema).write.parquet(folder)
+    stream = build(spark.readStream.schema(schema).parquet(folder))
+    _drain(stream, name, out, ckpt, output_mode)
+    tick = until + timedelta(microseconds=LATENESS_US)
+    spark.createDataFrame([(tick,)], schema).coalesce(1).write.mode("append").parquet(folder)
+    _drain(stream, name, out, ckpt, output_mode)
+    return _result(stream, out, output_mode, keys)
+
+
+def log_end(log: DataFrame) -> datetime:
+    """The first full second after a log's last event: one row for the driver."""
+    last = log.agg(F.max("ts")).first()[0]
+    return (last or datetime(1970, 1, 1)).replace(microsecond=0) + timedelta(seconds=1)
