@@ -56,12 +56,16 @@ def test_session_pairing_matches_simulation(spark, seed):
     assert got == {k: tuple(v) for k, v in want.items()}
 
 
-def test_booking_cycle_matches_simulation(spark):
+# without check-outs, and check-ins faster than bookings end, a spot is one piece: it's cut into chunks of rows
+@pytest.mark.parametrize("actions, chunk_rows", [(["check_in", "check_in", "extend", "check_out"], 100_000),
+                                                 (["check_in", "check_in", "extend", "check_out"], 5),
+                                                 (["check_in"], 40), (["check_in"] * 12 + ["extend"], 25)])
+def test_booking_cycle_matches_simulation(spark, actions, chunk_rows):
     rnd = random.Random(5)
-    rows = random_log(rnd, 700, ["check_in", "check_in", "extend", "check_out"], n_keys=4, hot_share=0.5)
+    rows = random_log(rnd, 700, actions, n_keys=4, hot_share=0.5)
     spots = spark.createDataFrame([(k, f"S{k}", 1, "regular", False, False, None) for k in range(4)],
                                   S.PARKING_SPOTS)  # spot 4 is unknown
-    life = booking_cycle(log_df(spark, rows), spots)
+    life = booking_cycle(log_df(spark, rows), spots, chunk_rows)
     got = {r["event_id"]: (r["kind"], r["booking_id"]) for r in life.collect()}
     want, held, ends = {}, {}, []
     for r in sorted(rows, key=lambda r: (r[1], r[0])):
@@ -92,6 +96,24 @@ def test_booking_cycle_matches_simulation(spark):
     assert sorted((r["spot_id"], r["booking_id"], r["end_time"]) for r in out) == sorted(ends)
 
 
+def test_chunk_functions_equal_the_walk():
+    from parkops.operators.cycle import chunk_function
+    rnd = random.Random(8)
+    for _ in range(300):
+        rows, t = [], 0
+        for i in range(rnd.randint(0, 12)):
+            t += rnd.randint(0, 4) - (rnd.random() < 0.2) * rnd.randint(0, 9)   # an extension sets the clock back
+            rows.append((t, t + rnd.randint(1, 8), i))
+        function = chunk_function(rows)
+        for entry in (None, *range(-12, 40)):
+            reach, booking = entry, "before"
+            for time, ends, event in rows:
+                if reach is None or time > reach:
+                    reach, booking = ends, event
+            first = next((f for f in function if entry is None or f[0] > entry), None)
+            assert (first[1:] if first else (entry, "before")) == (reach, booking)
+
+
 def test_reservation_admission_matches_simulation(spark):
     rnd = random.Random(9)
     rows = random_log(rnd, 400, ["reserve", "cancel"], n_keys=5)
