@@ -8,11 +8,16 @@ name into one task (per-key minimum via map-side combining aggregates).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import (FORCED_ROLE, PASSWORD_MIN_LEN, PLATE_MAX_LEN, USERNAME_MAX_LEN, USERNAME_MIN_LEN,
                        VEHICLE_TYPES, WALK_IN_VEHICLE_TYPE)
+from ..plans.components import connected_components
 from ..plans.materialize import materialize
 
 # Column widths, and the parts of an e-mail address (dot-separated atoms of at most 64
@@ -30,34 +35,61 @@ def _first_violation(rules: list[tuple[Column, str]]) -> Column:
     return out
 
 
-def greedy_unique(cand: DataFrame, id_col: str, keys: list[str], max_rounds: int | None = None) -> DataFrame:
-    """Ids accepted by the sequential rule "accept a row unless an earlier
-    accepted row shares one of ``keys``", computed in rounds: a row that is
-    the first remaining row for every one of its keys is certainly accepted;
-    the rows sharing a key with it are certainly rejected; repeat on the
-    rest.  Each round is a few aggregates and anti-joins; the remaining rows
-    are written to the checkpoint folder between rounds.  Returns one column
-    ``id_col``."""
+def _settle(rest: DataFrame, id_col: str, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """One round: ``(accepted, undecided)``.  A row that is the first for every one of its keys is certainly
+    accepted; the rows that share a key with it are certainly rejected."""
+    firsts = rest
+    for k in keys:
+        m = rest.groupBy(k).agg(F.min(id_col).alias(f"_min_{k}"))
+        firsts = firsts.join(m, k, "inner").filter(F.col(id_col) == F.col(f"_min_{k}")).drop(f"_min_{k}")
+    firsts = materialize(firsts, "greedy-won")
+    for k in keys:
+        rest = rest.join(firsts.select(k).distinct(), k, "left_anti")
+    return firsts.select(id_col), materialize(rest, "greedy-rest")
+
+
+def _first_wins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ids accepted among rows ``(component, id, *keys)`` that come by component and id; held: a component's accepted keys."""
+    at, taken = None, []
+    for batch in batches:
+        won = []
+        for component, row, *keys in zip(*(c.to_pylist() for c in batch.columns)):
+            if component != at:
+                at, taken = component, [set() for _ in keys]
+            if not any(k in t for k, t in zip(keys, taken)):
+                for k, t in zip(keys, taken):
+                    t.add(k)
+                won.append(row)
+        yield pa.RecordBatch.from_arrays([pa.array(won, batch.schema.field(1).type)], names=[batch.schema.names[1]])
+
+
+def greedy_unique(cand: DataFrame, id_col: str, keys: list[str], rounds: int = 2) -> DataFrame:
+    """Ids accepted by the sequential rule "accept a row unless an earlier accepted row shares one of ``keys``".
+
+    First ``rounds`` rounds of aggregates and anti-joins accept the rows that come first for all of
+    their keys and reject those that share a key with them: that decides nearly all rows of a
+    key that many share.  What is left are chains, in which each row waits for the one before.
+    They are told apart as connected components of the keys (a row links its keys), and each
+    component's rows are decided in one ordered pass, component by component as they stream by.  So the
+    number of jobs grows with the logarithm of the longest chain, not with its length.
+    Ids are distinct and keys not null.  Returns one column ``id_col``."""
     rest = materialize(cand.select(id_col, *keys), "greedy-rest")
-    won: DataFrame | None = None
-    rounds = 0
-    while rest.limit(1).count() > 0:
-        firsts = rest
-        for k in keys:
-            m = rest.groupBy(k).agg(F.min(id_col).alias(f"_min_{k}"))
-            firsts = firsts.join(m, k, "inner").filter(F.col(id_col) == F.col(f"_min_{k}")).drop(f"_min_{k}")
-        firsts = materialize(firsts, "greedy-won")
-        won = firsts.select(id_col) if won is None else won.unionByName(firsts.select(id_col))
-        nxt = rest
-        for k in keys:
-            nxt = nxt.join(firsts.select(k).distinct(), k, "left_anti")
-        rest = materialize(nxt, "greedy-rest")
-        rounds += 1
-        if max_rounds is not None and rounds >= max_rounds:
-            raise RuntimeError("greedy_unique did not settle")
-    if won is None:
-        return cand.select(id_col).limit(0)
-    return won
+    accepted = []
+    for _ in range(rounds):
+        if rest.isEmpty():
+            break
+        won, rest = _settle(rest, id_col, keys)
+        accepted.append(won)
+    if not rest.isEmpty():
+        node = [F.xxhash64(F.lit(k), k) for k in keys]   # a collision only joins two components
+        edges = [rest.select(node[0].alias("a"), n.alias("b")) for n in node[1:]]
+        groups = connected_components(reduce(DataFrame.unionByName, edges, rest.select(node[0].alias("a"), node[0].alias("b"))))
+        placed = rest.withColumn("node", node[0]).join(groups, "node", "left").select(
+            F.coalesce("component", "node").alias("component"), id_col, *keys)
+        dealt = placed.repartition("component").sortWithinPartitions("component", id_col)
+        kind = rest.schema[id_col].dataType.simpleString()
+        accepted.append(materialize(dealt.mapInArrow(_first_wins, f"{id_col} {kind}"), "greedy-won"))
+    return reduce(DataFrame.unionByName, accepted) if accepted else cand.select(id_col).limit(0)
 
 
 def user_import_validate(requests: DataFrame, users: DataFrame) -> DataFrame:
@@ -97,7 +129,8 @@ def user_import_validate(requests: DataFrame, users: DataFrame) -> DataFrame:
 def vehicle_import_validate(requests: DataFrame, vehicles: DataFrame) -> DataFrame:
     """Vehicle batch -> decision per request: plate required (trimmed,
     upper-cased, at most 20 characters), type in the enum, plate not yet
-    registered, and the first request of a plate in the batch wins."""
+    registered, and the first request of a plate in the batch wins.  Empty
+    makes, models and colors become NULL."""
     plate = F.upper(F.trim("license_plate"))
     r = requests.withColumn("plate", plate)
     known = vehicles.select(F.upper(F.trim("license_plate")).alias("plate")).distinct().withColumn("_k", F.lit(True))
@@ -113,7 +146,8 @@ def vehicle_import_validate(requests: DataFrame, vehicles: DataFrame) -> DataFra
               .agg(F.min("request_id").alias("_first")))
     j = r.join(firsts, "plate", "left")
     accepted = F.col("_pre").isNull() & (F.col("request_id") == F.col("_first"))
-    return j.select("request_id", "user_id", "plate", "vehicle_type", accepted.alias("accepted"),
+    attributes = [F.nullif(F.col(c), F.lit("")).alias(c) for c in ("make", "model", "color")]
+    return j.select("request_id", "user_id", "plate", "vehicle_type", *attributes, accepted.alias("accepted"),
                     F.when(accepted, F.lit(None).cast("string"))
                      .otherwise(F.coalesce(F.col("_pre"), F.lit("duplicate_in_batch"))).alias("reason"))
 

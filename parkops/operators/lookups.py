@@ -20,7 +20,14 @@ from ..functions.columns import js_or, whole_minutes
 from ..schemas import CLIENT_FALLBACK_RATE, DASH
 from ..sources.fixtures import as_of_lit
 
-SPOT_COLS = ["id", "spot_number", "zone_id", "spot_type", "is_occupied", "is_reserved", "hourly_rate"]
+SPOT_COLS = ["id", "spot_number", "zone_id", "spot_type", "is_occupied", "is_reserved", "hourly_rate", "created_at"]
+SESSION_COLS = ["id", "vehicle_id", "spot_id", "user_id", "entry_time", "exit_time", "total_amount", "payment_status", "payment_method",
+                "created_at"]
+
+
+def all_of(df: DataFrame, columns: list[str]) -> list[str]:
+    """A table's columns (the ``t.*`` of a query), as far as ``df`` has them."""
+    return [c for c in columns if c in df.columns]
 
 
 def _zone_names(zones: DataFrame, with_description: bool = False) -> DataFrame:
@@ -47,7 +54,7 @@ def spots_filtered(spots: DataFrame, zones: DataFrame, zone: str | None = None,
         preds.append((F.col("is_occupied") == False) & (F.col("is_reserved") == False))  # noqa: E712
     if preds:
         j = j.filter(reduce(lambda a, b: a & b, preds))
-    return j.select(*SPOT_COLS, "zone_name", "zone_description")
+    return j.select(*all_of(spots, SPOT_COLS), "zone_name", "zone_description")
 
 
 def user_profile(users: DataFrame) -> DataFrame:
@@ -66,7 +73,7 @@ def _session_context(sessions: DataFrame, vehicles: DataFrame, spots: DataFrame,
                      how: str = "left") -> DataFrame:
     v = vehicles.select(F.col("id").alias("_vid"), "license_plate", "vehicle_type")
     s = spots.select(F.col("id").alias("_sid"), "spot_number", "zone_id", "hourly_rate")
-    j = (sessions.join(v, F.col("vehicle_id") == F.col("_vid"), how)
+    j = (sessions.drop("spot_number").join(v, F.col("vehicle_id") == F.col("_vid"), how)
          .join(s, F.col("spot_id") == F.col("_sid"), how)
          .join(_zone_names(zones), F.col("zone_id") == F.col("_zid"), how))
     return j
@@ -107,10 +114,9 @@ def active_sessions(sessions: DataFrame, vehicles: DataFrame, spots: DataFrame,
     missing is not listed."""
     now = as_of_lit(as_of)
     open_ = sessions.filter(F.col("exit_time").isNull() & (F.col("entry_time") <= now)).drop("duration_minutes")
-    j = _session_context(open_, vehicles, spots, zones, "inner")
-    return (j.select("id", "vehicle_id", "spot_id", "user_id", "entry_time", "exit_time",
-                     F.col("total_amount").cast("double").alias("total_amount"), "payment_status",
-                     "payment_method", "license_plate", "vehicle_type", "spot_number", "zone_name",
+    own = all_of(sessions, SESSION_COLS)
+    j = _session_context(open_.select(*own), vehicles, spots, zones, "inner").withColumn("total_amount", F.col("total_amount").cast("double"))
+    return (j.select(*own, "license_plate", "vehicle_type", "spot_number", "zone_name",
                      whole_minutes("entry_time", now).alias("duration_minutes"))
             .orderBy(F.col("entry_time").desc(), F.col("id").desc()))
 
@@ -132,7 +138,7 @@ def spot_detail(spots: DataFrame, zones: DataFrame, sessions: DataFrame, vehicle
            .agg(F.min_by("license_plate", F.struct("entry_time", "id")).alias("current_vehicle")))
     j = (spots.join(_zone_names(zones), F.col("zone_id") == F.col("_zid"), "inner")
          .join(cur, F.col("id") == F.col("_cur_sid"), "left"))
-    return j.select(*SPOT_COLS, "zone_name", "current_vehicle")
+    return j.select(*all_of(spots, SPOT_COLS), "zone_name", "current_vehicle")
 
 
 def _current_spot_by_vehicle(sessions: DataFrame, spots: DataFrame, as_of: str | None) -> DataFrame:
@@ -199,10 +205,14 @@ def active_session_for_vehicle(sessions: DataFrame, spots: DataFrame, as_of: str
 
 def booking_rows(sessions: DataFrame, vehicles: DataFrame, spots: DataFrame, zones: DataFrame,
                  as_of: str | None = None) -> DataFrame:
-    """Open bookings with the spot found by number and the booked cost
-    (rate or 5) x booked hours; a session whose spot is gone still shows."""
-    j = _session_context(_open_sessions_at(sessions, as_of), vehicles, spots, zones, "left")
-    rate = js_or(F.col("hourly_rate"), CLIENT_FALLBACK_RATE)
+    """Open bookings with the spot found by the session's ``spot_number`` (the first spot with that number, by id)
+    and the booked cost (rate or 5) x booked hours; a session whose spot is gone still shows."""
+    first = spots.groupBy(F.col("spot_number").alias("_number")).agg(F.min_by(F.struct("zone_id", "hourly_rate"), "id").alias("_s"))
+    v = vehicles.select(F.col("id").alias("_vid"), "license_plate")
+    j = (_open_sessions_at(sessions, as_of).join(v, F.col("vehicle_id") == F.col("_vid"), "left")
+         .join(first, F.col("spot_number") == F.col("_number"), "left")
+         .join(_zone_names(zones), F.col("_s.zone_id") == F.col("_zid"), "left"))
+    rate = js_or(F.col("_s.hourly_rate"), CLIENT_FALLBACK_RATE)
     return j.select("id", "license_plate", "spot_number", "zone_name",
                     F.col("booked_hours").alias("duration_hours"), "entry_time",
                     (F.col("entry_time") + F.make_dt_interval(hours=F.col("booked_hours"))).alias("end_time"),
@@ -210,17 +220,21 @@ def booking_rows(sessions: DataFrame, vehicles: DataFrame, spots: DataFrame, zon
                     (rate * F.col("booked_hours")).cast("double").alias("booking_cost"))
 
 
-def identity_resolve(handles: DataFrame, users: DataFrame) -> DataFrame:
+def identity_resolve(handles: DataFrame, users: DataFrame, case_sensitive: bool = False) -> DataFrame:
     """Resolve login handles (username or e-mail) to active users.
 
-    The ``username = h OR email = h`` test would plan as a nested-loop join;
+    The server's collation takes letters of either case as equal (the handle as it is
+    typed stays in the result); ``case_sensitive`` is the client's rule.  The
+    ``username = h OR email = h`` test would plan as a nested-loop join;
     it is split into two equi-joins whose matches are unioned and
     de-duplicated.  Handles without a match keep a NULL user.
     """
-    act = users.filter(F.col("is_active") == True).select(  # noqa: E712
-        F.col("id").alias("user_id"), "username", "email", "role")
-    h = handles.select("handle_id", "handle")
-    by_name = h.join(act, h["handle"] == act["username"], "inner").select("handle_id", "user_id", "role")
-    by_mail = h.join(act, h["handle"] == act["email"], "inner").select("handle_id", "user_id", "role")
-    matches = by_name.unionByName(by_mail).distinct()
+    def key(c):   # a binary key, so that the joins hash and sort as plain strings do
+        return F.col(c) if case_sensitive else F.lower(F.col(c))
+
+    act = users.filter(F.col("is_active") == True)  # noqa: E712
+    h = handles.select("handle_id", "handle", key("handle").alias("_h"))
+    found = [h.join(act.select(F.col("id").alias("user_id"), "role", key(c).alias("_h")), "_h").select("handle_id", "user_id", "role")
+             for c in ("username", "email")]
+    matches = found[0].unionByName(found[1]).distinct()
     return h.join(matches, "handle_id", "left").select("handle_id", "handle", "user_id", "role")

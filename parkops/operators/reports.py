@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import pct, pct_int, whole_minutes
+from ..plans.materialize import materialize
 from ..schemas import ACTIVITY_CHECK_IN, ACTIVITY_CHECK_OUT, CLIENT_ZONE_LABEL
 from ..sources.fixtures import as_of_lit
 
@@ -148,7 +149,7 @@ def zones_summary(zones: DataFrame, spots: DataFrame) -> DataFrame:
         return F.coalesce(F.col(c), F.lit(0)).cast("bigint")
 
     return j.select(z["id"], z["name"], z["description"], z["total_spots"].alias("declared_spots"),
-                    z["is_active"], z0("n_spots").alias("total_spots"), z0("n_free").alias("available_spots"),
+                    z["is_active"], *[z[c] for c in ("created_at",) if c in z.columns], z0("n_spots").alias("total_spots"), z0("n_free").alias("available_spots"),
                     z0("n_occupied").alias("occupied_spots"), z0("n_reserved").alias("reserved_spots"))
 
 
@@ -259,26 +260,33 @@ def recent_activity(sessions: DataFrame, vehicles: DataFrame, spots: DataFrame,
                     as_of: str, top: int = 20) -> DataFrame:
     """Latest ``top`` check-in / check-out events (plate, spot, zone, time).
 
-    One join chain, then each session yields its two events through an
-    ``explode`` of an array of structs instead of a union of two scans; the
-    top-k is a ``TakeOrderedAndProject`` (per-partition top-k then merge),
-    not a global sort.  Ties are broken by action and session id.
+    Each session yields its events through an ``explode``; the newest events
+    are taken by their ids alone (``TakeOrderedAndProject``: a top-k per partition, then
+    a merge), written, and only they are joined.  Events without a vehicle,
+    spot or zone drop out; while that leaves fewer than ``top`` and there are more
+    events, eight times as many are taken.  Ties are broken by action and
+    session id; the limit is the feature.
     """
     now = as_of_lit(as_of)
-    v = vehicles.select(F.col("id").alias("_vid"), "license_plate")
-    s = spots.select(F.col("id").alias("_sid"), "spot_number", "zone_id")
-    z = zones.select(F.col("id").alias("_zid"), F.col("name").alias("zone_name"))
-    j = (sessions.filter(F.col("entry_time") <= now)
-         .join(v, F.col("vehicle_id") == F.col("_vid"))
-         .join(s, F.col("spot_id") == F.col("_sid"))
-         .join(z, F.col("zone_id") == F.col("_zid")))
     ev = F.array(
         F.struct(F.lit(ACTIVITY_CHECK_IN).alias("action"), F.col("entry_time").alias("timestamp")),
         F.struct(F.lit(ACTIVITY_CHECK_OUT).alias("action"),
                  F.when(F.col("exit_time") <= now, F.col("exit_time")).alias("timestamp")))
-    x = (j.select(F.col("id").alias("session_id"), "license_plate", "spot_number", "zone_name",
-                  F.explode(ev).alias("e"))
-         .filter(F.col("e.timestamp").isNotNull())
-         .select(F.col("e.action").alias("action"), "license_plate", "spot_number", "zone_name",
-                 F.col("e.timestamp").alias("timestamp"), "session_id"))
-    return x.orderBy(F.col("timestamp").desc(), F.col("action").asc(), F.col("session_id").desc()).limit(top)
+    events = (sessions.filter(F.col("entry_time") <= now)
+              .select(F.col("id").alias("session_id"), "vehicle_id", "spot_id", F.explode(ev).alias("e"))
+              .filter(F.col("e.timestamp").isNotNull())
+              .select("session_id", "vehicle_id", "spot_id", "e.action", "e.timestamp"))
+    newest = [F.col("timestamp").desc(), F.col("action").asc(), F.col("session_id").desc()]
+    v = vehicles.select(F.col("id").alias("_vid"), "license_plate")
+    s = spots.select(F.col("id").alias("_sid"), "spot_number", "zone_id")
+    z = zones.select(F.col("id").alias("_zid"), F.col("name").alias("zone_name"))
+    take = 2 * top
+    while True:
+        some = materialize(events.orderBy(*newest).limit(take), "newest-events")
+        found = (some.join(v, F.col("vehicle_id") == F.col("_vid")).join(s, F.col("spot_id") == F.col("_sid"))
+                 .join(z, F.col("zone_id") == F.col("_zid"))
+                 .select("action", "license_plate", "spot_number", "zone_name", "timestamp", "session_id"))
+        found = materialize(found.orderBy(*newest).limit(top), "recent-activity")
+        if found.count() >= top or some.count() < take:
+            return found.orderBy(*newest)
+        take *= 8

@@ -15,7 +15,8 @@ VIEWS: dict[str, str] = {
                'Z' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS name,
                n_name AS description,
                CAST(100 AS INTEGER) AS total_spots,
-               (n_nationkey % 8 <> 7) AS is_active
+               (n_nationkey % 8 <> 7) AS is_active,
+               TIMESTAMP '2022-05-01 00:00:00' + to_hours(CAST(n_nationkey AS BIGINT)) AS created_at
         FROM nation""",
     "seed_zones": """
         SELECT CAST(s_suppkey AS INTEGER) AS id, 'L' || CAST(s_suppkey AS VARCHAR) AS name,
@@ -29,7 +30,8 @@ VIEWS: dict[str, str] = {
                     WHEN p_type = 'LARGE' THEN 'handicapped' ELSE 'regular' END AS spot_type,
                (p_partkey % 3 = 0) AS is_occupied,
                (p_partkey % 7 = 0) AS is_reserved,
-               CAST(CASE WHEN p_type = 'PROMO' THEN 7.00 ELSE 5.00 END AS DECIMAL(10,2)) AS hourly_rate
+               CAST(CASE WHEN p_type = 'PROMO' THEN 7.00 ELSE 5.00 END AS DECIMAL(10,2)) AS hourly_rate,
+               TIMESTAMP '2022-06-01 00:00:00' + to_minutes(CAST(p_partkey % 500000 AS BIGINT)) AS created_at
         FROM part""",
     "users": """
         SELECT CAST(s_suppkey AS BIGINT) AS id,
@@ -72,7 +74,8 @@ VIEWS: dict[str, str] = {
                CAST(datesub('minute', b.entry_time, b.exit_time) AS INTEGER) AS duration_minutes,
                CAST(ceil(datesub('minute', b.entry_time, b.exit_time) / 60.0) * s.hourly_rate
                     AS DECIMAL(10,2)) AS total_amount,
-               b.payment_status, b.payment_method, b.booked_hours
+               b.payment_status, b.payment_method, b.entry_time AS created_at, b.booked_hours,
+               'S-' || lpad(CAST(b.spot_id AS VARCHAR), 6, '0') AS spot_number
         FROM sessions_base b LEFT JOIN parking_spots s ON b.spot_id = s.id""",
     "reservations": """
         SELECT o_orderkey AS id, o_custkey % 10 AS user_id, o_orderkey % 200 AS spot_id,
@@ -88,8 +91,9 @@ VIEWS: dict[str, str] = {
     "handles": """
         SELECT CAST(c_custkey AS BIGINT) AS handle_id,
                CASE c_custkey % 4
-                    WHEN 0 THEN 'user' || lpad(CAST(c_custkey % 16 AS VARCHAR), 6, '0')
-                    WHEN 1 THEN 'user' || lpad(CAST(c_custkey % 16 AS VARCHAR), 6, '0') || '@example.com'
+                    WHEN 0 THEN CASE WHEN c_custkey % 8 = 0 THEN 'USER' ELSE 'user' END || lpad(CAST(c_custkey % 16 AS VARCHAR), 6, '0')
+                    WHEN 1 THEN CASE WHEN c_custkey % 8 = 1 THEN 'User' || lpad(CAST(c_custkey % 16 AS VARCHAR), 6, '0') || '@Example.COM'
+                                     ELSE 'user' || lpad(CAST(c_custkey % 16 AS VARCHAR), 6, '0') || '@example.com' END
                     WHEN 2 THEN 'nobody' || CAST(c_custkey AS VARCHAR)
                     ELSE c_name END AS handle
         FROM customer""",
@@ -114,7 +118,10 @@ VIEWS: dict[str, str] = {
                     ELSE 'N-' || CAST(c_custkey AS VARCHAR) END AS license_plate,
                CASE WHEN c_custkey % 5 = 0 THEN 'spaceship' WHEN c_mktsegment = 'AUTOMOBILE' THEN 'car'
                     WHEN c_mktsegment = 'HOUSEHOLD' THEN 'electric' WHEN c_mktsegment = 'FURNITURE' THEN 'motorcycle'
-                    ELSE 'truck' END AS vehicle_type
+                    ELSE 'truck' END AS vehicle_type,
+               CASE c_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE 'Make ' || CAST(c_custkey % 6 AS VARCHAR) END AS make,
+               CASE WHEN c_custkey % 5 <> 0 THEN 'Model ' || CAST(c_custkey % 40 AS VARCHAR) ELSE '' END AS model,
+               CASE c_custkey % 3 WHEN 0 THEN 'white' WHEN 1 THEN '' END AS color
         FROM customer""",
     "user_changes": """
         SELECT o_orderkey AS change_id, CAST(o_custkey % 16 AS BIGINT) AS user_id,
@@ -128,6 +135,20 @@ VIEWS: dict[str, str] = {
                     ELSE '555-' || lpad(CAST(o_orderkey % 10000 AS VARCHAR), 4, '0') END AS phone,
                CASE o_orderkey % 3 WHEN 0 THEN 'customer' WHEN 1 THEN 'staff' ELSE 'admin' END AS role
         FROM orders""",
+    "spot_flag_changes": """
+        SELECT event_id, ts, (event_id * 7919) % 200 AS spot_id,
+               CASE WHEN event_id % 2 = 0 THEN CASE WHEN event_type IN ('view', 'signup') THEN 'check_in'
+                                                    WHEN event_type IN ('purchase', 'error') THEN 'check_out' END
+                    ELSE CASE WHEN event_type IN ('view', 'signup') THEN 'reserve'
+                              WHEN event_type IN ('purchase', 'error') THEN 'cancel' END END AS action
+        FROM events""",
+    "reservation_changes": """
+        SELECT l_orderkey AS reservation_id, l_shipdate AS changed_at, l_orderkey * 10 + l_linenumber AS change_id,
+               CASE l_returnflag WHEN 'R' THEN 'cancelled' WHEN 'A' THEN 'completed' END AS status,
+               CASE WHEN l_linestatus = 'F' THEN CASE l_returnflag WHEN 'R' THEN 'refunded' ELSE 'paid' END END AS payment_status
+        FROM lineitem""",
+    "ai_predictions": "SELECT event_id AS id, CAST(event_id % 25 AS INTEGER) AS zone_id FROM events",
+    "audit_logs": "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 9 <> 0 THEN o_custkey % 16 END AS user_id FROM orders",
     "vehicle_log": """
         SELECT event_id, ts, user_id AS vehicle_id, (event_id * 7919) % 200 AS spot_id,
                CASE WHEN event_type IN ('view', 'signup') THEN 'check_in'

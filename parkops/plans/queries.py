@@ -141,7 +141,7 @@ def q_peak_hours(spark, base):
                count(*) FILTER (WHERE NOT is_occupied AND NOT is_reserved) AS free,
                count(*) FILTER (WHERE is_reserved) AS held
         FROM parking_spots GROUP BY zone_id)
-    SELECT zones.id, zones.name, zones.description, zones.total_spots AS declared_spots, zones.is_active,
+    SELECT zones.id, zones.name, zones.description, zones.total_spots AS declared_spots, zones.is_active, zones.created_at,
            coalesce(n, 0) AS total_spots, coalesce(free, 0) AS available_spots,
            coalesce(taken, 0) AS occupied_spots, coalesce(held, 0) AS reserved_spots
     FROM zones LEFT JOIN per_zone ON per_zone.zone_id = zones.id WHERE zones.is_active
@@ -265,7 +265,7 @@ def q_recent_activity(spark, base):
 
 JS_RATE = "CASE WHEN {r} IS NULL OR {r} = 0 THEN 5 ELSE {r} END"
 SPOT_SELECT = ("ps.id, ps.spot_number, ps.zone_id, ps.spot_type, ps.is_occupied, ps.is_reserved, "
-               "CAST(ps.hourly_rate AS DOUBLE) AS hourly_rate")
+               "CAST(ps.hourly_rate AS DOUBLE) AS hourly_rate, ps.created_at")
 
 
 @register("spots_filtered", f"""
@@ -336,7 +336,7 @@ def q_user_sessions(spark, base):
 
 @register("active_sessions", f"""
     SELECT s.id, s.vehicle_id, s.spot_id, s.user_id, s.entry_time, s.exit_time,
-           CAST(s.total_amount AS DOUBLE) AS total_amount, s.payment_status, s.payment_method,
+           CAST(s.total_amount AS DOUBLE) AS total_amount, s.payment_status, s.payment_method, s.created_at,
            v.license_plate, v.vehicle_type, p.spot_number, z.name AS zone_name,
            datesub('minute', s.entry_time, {NOW}) AS duration_minutes
     FROM parking_sessions s
@@ -429,13 +429,14 @@ def q_active_session_for_vehicle(spark, base):
 
 
 @register("booking_rows", f"""
-    SELECT s.id, v.license_plate, p.spot_number, z.name AS zone_name, s.booked_hours AS duration_hours,
+    SELECT s.id, v.license_plate, s.spot_number, z.name AS zone_name, s.booked_hours AS duration_hours,
            s.entry_time, s.entry_time + to_hours(s.booked_hours) AS end_time,
            CAST({JS_RATE.format(r='p.hourly_rate')} AS DOUBLE) AS hourly_rate,
            CAST(({JS_RATE.format(r='p.hourly_rate')}) * s.booked_hours AS DOUBLE) AS booking_cost
     FROM parking_sessions s
     LEFT JOIN vehicles v ON s.vehicle_id = v.id
-    LEFT JOIN parking_spots p ON s.spot_id = p.id
+    LEFT JOIN (SELECT spot_number, arg_min(zone_id, id) AS zone_id, arg_min(hourly_rate, id) AS hourly_rate
+               FROM parking_spots GROUP BY spot_number) p ON s.spot_number = p.spot_number
     LEFT JOIN zones z ON p.zone_id = z.id
     WHERE s.exit_time IS NULL AND s.entry_time <= {NOW}
 """)
@@ -447,7 +448,7 @@ def q_booking_rows(spark, base):
 @register("identity_resolve", """
     WITH act AS (SELECT id AS user_id, username, email, role FROM users WHERE is_active = TRUE),
     m AS (SELECT DISTINCT h.handle_id, a.user_id, a.role
-          FROM handles h JOIN act a ON h.handle = a.username OR h.handle = a.email)
+          FROM handles h JOIN act a ON lower(h.handle) = lower(a.username) OR lower(h.handle) = lower(a.email))
     SELECT h.handle_id, h.handle, m.user_id, m.role FROM handles h LEFT JOIN m ON h.handle_id = m.handle_id
 """)
 def q_identity_resolve(spark, base):
@@ -814,7 +815,8 @@ def q_user_import_validate(spark, base):
             WHEN plate IN (SELECT upper(trim(license_plate)) FROM vehicles) THEN 'already_registered' END AS pre
         FROM r),
     f AS (SELECT plate, min(request_id) AS first FROM chk WHERE pre IS NULL GROUP BY plate)
-    SELECT chk.request_id, chk.user_id, chk.plate, chk.vehicle_type,
+    SELECT chk.request_id, chk.user_id, chk.plate, chk.vehicle_type, nullif(chk.make, '') AS make, nullif(chk.model, '') AS model,
+           nullif(chk.color, '') AS color,
            (chk.pre IS NULL AND chk.request_id = f.first) AS accepted,
            CASE WHEN chk.pre IS NULL AND chk.request_id = f.first THEN NULL
                 ELSE coalesce(chk.pre, 'duplicate_in_batch') END AS reason
@@ -880,40 +882,62 @@ def q_change_log_snapshot(spark, base):
     return changes.change_log_snapshot(m.users, m.user_changes)
 
 
-def _count_sql(name: str, before: str, after: str, nulled: bool) -> str:
-    nl = f"(SELECT count(*) FILTER (WHERE nulled) FROM {after})" if nulled else "0"
-    return (f"SELECT '{name}' AS table_name, (SELECT count(*) FROM {before}) AS rows_before, "
-            f"(SELECT count(*) FROM {after}) AS remaining_rows, "
-            f"(SELECT count(*) FROM {before}) - (SELECT count(*) FROM {after}) AS deleted_rows, "
-            f"CAST({nl} AS BIGINT) AS nulled_rows")
+def _last_set(log: str, key: str, column: str, value: str, where: str) -> str:
+    """Last written value of one column per key."""
+    return (f"SELECT {key} AS id, {value} AS {column} FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY changed_at DESC, "
+            f"change_id DESC) AS rn FROM {log} WHERE {where}) WHERE rn = 1")
+
+
+@register("change_log_spots", f"""
+    WITH log AS (SELECT spot_id, action, ts AS changed_at, event_id AS change_id FROM spot_flag_changes),
+    occ AS ({_last_set("log", "spot_id", "flag", "action = 'check_in'", "action IN ('check_in', 'check_out')")}),
+    res AS ({_last_set("log", "spot_id", "flag", "action = 'reserve'", "action IN ('reserve', 'cancel')")})
+    SELECT p.id, p.spot_number, p.zone_id, p.spot_type, coalesce(occ.flag, p.is_occupied) AS is_occupied,
+           coalesce(res.flag, p.is_reserved) AS is_reserved
+    FROM parking_spots p LEFT JOIN occ ON p.id = occ.id LEFT JOIN res ON p.id = res.id
+""")
+def q_change_log_spots(spark, base):
+    """#43 for spots: the last writer of each flag."""
+    m = model(spark, base)
+    return changes.spot_flags_snapshot(m.spots, m.spot_flag_changes)
+
+
+@register("change_log_reservations", f"""
+    WITH st AS ({_last_set("reservation_changes", "reservation_id", "status", "status", "status IS NOT NULL")}),
+    pay AS ({_last_set("reservation_changes", "reservation_id", "payment_status", "payment_status", "payment_status IS NOT NULL")})
+    SELECT r.id, r.user_id, r.spot_id, r.vehicle_id, r.start_time, r.end_time, coalesce(st.status, r.status) AS status,
+           coalesce(pay.payment_status, r.payment_status) AS payment_status
+    FROM reservations r LEFT JOIN st ON r.id = st.id LEFT JOIN pay ON r.id = pay.id
+""")
+def q_change_log_reservations(spark, base):
+    """#43 for reservations: status and payment status have their own last writers."""
+    m = model(spark, base)
+    return changes.reservation_status_snapshot(m.reservations, m.reservation_changes)
 
 
 @register("delete_propagation", """
     WITH dz AS (SELECT id FROM zones WHERE id % 11 = 3),
     du AS (SELECT id FROM users WHERE id % 7 = 3),
     dv AS (SELECT id FROM vehicles WHERE id % 13 = 5),
-    ds AS (SELECT id FROM parking_spots WHERE id % 17 = 4),
-    z2 AS (SELECT * FROM zones WHERE id NOT IN (SELECT id FROM dz)),
-    s2 AS (SELECT * FROM parking_spots
-           WHERE id NOT IN (SELECT id FROM ds) AND zone_id NOT IN (SELECT id FROM dz)),
-    u2 AS (SELECT * FROM users WHERE id NOT IN (SELECT id FROM du)),
-    v2 AS (SELECT *, user_id IN (SELECT id FROM du) AS nulled FROM vehicles WHERE id NOT IN (SELECT id FROM dv)),
-    se2 AS (SELECT *, user_id IN (SELECT id FROM du) AS nulled FROM parking_sessions
-            WHERE spot_id IN (SELECT id FROM s2) AND vehicle_id IN (SELECT id FROM v2)),
-    r2 AS (SELECT *, vehicle_id IN (SELECT id FROM dv) AS nulled FROM reservations
-           WHERE spot_id IN (SELECT id FROM s2) AND user_id NOT IN (SELECT id FROM du))
-""" + " UNION ALL ".join([
-    _count_sql("zones", "zones", "z2", False), _count_sql("parking_spots", "parking_spots", "s2", False),
-    _count_sql("users", "users", "u2", False), _count_sql("vehicles", "vehicles", "v2", True),
-    _count_sql("parking_sessions", "parking_sessions", "se2", True),
-    _count_sql("reservations", "reservations", "r2", True)]))
+    ds AS (SELECT id FROM parking_spots WHERE id % 17 = 4 OR zone_id IN (SELECT id FROM dz))
+    SELECT 'zones' AS table_name, CAST(id AS BIGINT) AS id, '' AS nulled FROM zones WHERE id NOT IN (SELECT id FROM dz)
+    UNION ALL SELECT 'parking_spots', id, '' FROM parking_spots WHERE id NOT IN (SELECT id FROM ds)
+    UNION ALL SELECT 'users', id, '' FROM users WHERE id NOT IN (SELECT id FROM du)
+    UNION ALL SELECT 'vehicles', id, CASE WHEN user_id IN (SELECT id FROM du) THEN 'user_id' ELSE '' END
+              FROM vehicles WHERE id NOT IN (SELECT id FROM dv)
+    UNION ALL SELECT 'parking_sessions', id, CASE WHEN user_id IN (SELECT id FROM du) THEN 'user_id' ELSE '' END
+              FROM parking_sessions WHERE spot_id NOT IN (SELECT id FROM ds) AND vehicle_id NOT IN (SELECT id FROM dv)
+    UNION ALL SELECT 'reservations', id, CASE WHEN vehicle_id IN (SELECT id FROM dv) THEN 'vehicle_id' ELSE '' END
+              FROM reservations WHERE spot_id NOT IN (SELECT id FROM ds) AND user_id NOT IN (SELECT id FROM du)
+    UNION ALL SELECT 'ai_predictions', id, '' FROM ai_predictions WHERE zone_id NOT IN (SELECT id FROM dz)
+    UNION ALL SELECT 'audit_logs', id, CASE WHEN user_id IN (SELECT id FROM du) THEN 'user_id' ELSE '' END FROM audit_logs
+""")
 def q_delete_propagation(spark, base):
+    """Every row that is left in every table, with the keys that became NULL."""
     m = model(spark, base)
-    before = {"zones": m.zones, "parking_spots": m.spots, "users": m.users, "vehicles": m.vehicles,
-              "parking_sessions": m.sessions, "reservations": m.reservations}
-    after = changes.delete_propagation(m.zones, m.spots, m.users, m.vehicles, m.sessions, m.reservations,
-                                       m.delete_lists())
-    return changes.delete_summary(before, after)
+    tables = {"zones": m.zones, "parking_spots": m.spots, "users": m.users, "vehicles": m.vehicles, "parking_sessions": m.sessions,
+              "reservations": m.reservations, "ai_predictions": m.ai_predictions, "audit_logs": m.audit_logs}
+    return changes.surviving_rows(changes.delete_propagation(tables, m.delete_lists()))
 
 
 # ---------------------------------------------------------------------------
@@ -961,37 +985,54 @@ def q_seed_spot_grid_client(spark, base):
     return seeds.seed_spot_grid_client(model(spark, base).seed_zones, ev_zone=EV_ZONE)
 
 
-@register("booking_json_flatten", """
+BOOKING_DOCS_SQL = """
     WITH ev AS (
         SELECT event_id, ts, user_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k
         FROM events),
     d AS (
-        SELECT *, (event_id * 7919) % 200 AS spot_id, CAST(1 + k % 24 AS INTEGER) AS hours,
-               CAST(k % 3 AS INTEGER) AS n_ext, ts + to_hours(1 + k % 24) AS end_ts, k % 4 <> 0 AS has_b
+        SELECT *, (event_id * 7919) % 200 AS spot, 'S-' || lpad(CAST((event_id * 7919) % 200 AS VARCHAR), 6, '0') AS number,
+               CAST(1 + k % 24 AS INTEGER) AS hours, CAST(k % 3 AS INTEGER) AS n_ext, ts + to_hours(1 + k % 24) AS end_ts,
+               event_id % 50 <> 49 AS whole, event_id % 50 <> 49 AND k % 4 <> 0 AS has_b
         FROM ev),
     b AS (
-        SELECT spot_id, 'S-' || lpad(CAST(spot_id AS VARCHAR), 6, '0') AS spot_number,
-               event_type <> 'error' AS is_occupied,
+        SELECT event_id AS doc_id, CASE WHEN whole THEN spot END AS spot_id, CASE WHEN whole THEN number END AS spot_number,
+               CASE WHEN whole THEN event_type <> 'error' END AS is_occupied, CASE WHEN whole THEN event_id % 7 = 0 END AS is_reserved,
+               CASE WHEN whole THEN has_b END AS has_booking,
                CASE WHEN has_b THEN event_id END AS session_id,
+               CASE WHEN has_b THEN 'Z' || lpad(CAST(spot % 24 AS VARCHAR), 2, '0') END AS zone_name,
                CASE WHEN has_b THEN 'P-' || lpad(CAST(user_id AS VARCHAR), 8, '0') END AS license_plate,
+               CASE WHEN has_b THEN CASE WHEN user_id % 2 = 0 THEN 'car' ELSE 'electric' END END AS vehicle_type,
                CASE WHEN has_b THEN date_trunc('millisecond', ts) END AS start_time,
                CASE WHEN has_b THEN date_trunc('millisecond', end_ts) END AS end_time,
                CASE WHEN has_b THEN hours END AS duration_hours,
+               CASE WHEN has_b THEN CASE WHEN k % 5 = 0 THEN 7.0::DOUBLE ELSE 5.0::DOUBLE END END AS hourly_rate,
                CASE WHEN has_b THEN k % 2 = 0 END AS expired,
                CASE WHEN has_b THEN CAST(n_ext * (n_ext + 1) // 2 AS INTEGER) END AS total_extended_hours,
-               CASE WHEN has_b THEN n_ext ELSE 0 END AS n_b, ts, end_ts
+               CASE WHEN has_b THEN user_id % 10 END AS booked_by_user_id,
+               CASE WHEN has_b THEN n_ext ELSE 0 END AS n_b, ts, end_ts,
+               CASE WHEN NOT whole THEN left('{"id":' || spot || ',"spot_number":"' || number || '","is_occupied":', 30) END AS corrupt
         FROM d)
-    SELECT b.spot_id, b.spot_number, b.is_occupied, b.session_id, b.license_plate, b.start_time, b.end_time,
-           b.duration_hours, b.expired, b.total_extended_hours,
+    SELECT b.doc_id, b.spot_id, b.spot_number, b.is_occupied, b.is_reserved, b.has_booking, b.session_id, b.zone_name, b.license_plate,
+           b.vehicle_type, b.start_time, b.end_time, b.duration_hours, b.hourly_rate, b.expired, b.total_extended_hours, b.booked_by_user_id,
            CAST(e.i - 1 AS INTEGER) AS ext_pos, CAST(e.i AS INTEGER) AS added_hours,
            date_trunc('millisecond', b.ts + to_minutes(e.i * 10)) AS extended_at,
-           date_trunc('millisecond', b.end_ts + to_hours(e.i * (e.i + 1) // 2)) AS new_end_time
+           date_trunc('millisecond', b.end_ts + to_hours(e.i * (e.i + 1) // 2)) AS new_end_time, b.corrupt
     FROM b LEFT JOIN (SELECT 1 AS i UNION ALL SELECT 2) e ON e.i <= b.n_b
-""")
+"""
+
+
+@register("booking_json_flatten", BOOKING_DOCS_SQL)
 def q_booking_json_flatten(spark, base):
     return documents.booking_json_flatten(model(spark, base).spot_documents)
 
 
+@register("booking_json_round_trip", BOOKING_DOCS_SQL)
+def q_booking_json_round_trip(spark, base):
+    """#4 both ways: documents parsed, written anew and parsed again."""
+    flat = documents.booking_json_flatten(model(spark, base).spot_documents)
+    return documents.booking_json_flatten(documents.booking_documents(flat))
+
+
 @register("result_sink", """
     SELECT id, vehicle_id, spot_id, entry_time, exit_time, CAST(total_amount AS DOUBLE) AS total_amount,
            strftime(CAST(entry_time AS DATE), '%Y-%m-%d') AS entry_date

@@ -119,7 +119,9 @@ BOOKING = T.StructType([
     T.StructField("sessionId", T.LongType(), True),
     T.StructField("spotId", T.LongType(), True),
     T.StructField("spotNumber", T.StringType(), True),
+    T.StructField("zoneName", T.StringType(), True),
     T.StructField("licensePlate", T.StringType(), True),
+    T.StructField("vehicleType", T.StringType(), True),
     T.StructField("startTime", T.StringType(), True),
     T.StructField("endTime", T.StringType(), True),
     T.StructField("durationHours", T.IntegerType(), True),
@@ -127,6 +129,7 @@ BOOKING = T.StructType([
     T.StructField("expired", T.BooleanType(), True),
     T.StructField("extensions", T.ArrayType(EXTENSION), True),
     T.StructField("totalExtendedHours", T.IntegerType(), True),
+    T.StructField("bookedByUserId", T.LongType(), True),
 ])
 
 SPOT_DOCUMENT = T.StructType([

@@ -76,6 +76,7 @@ class ParkingModel:
             F.col("n_name").alias("description"),
             F.lit(100).cast("int").alias("total_spots"),
             (F.col("n_nationkey") % 8 != 7).alias("is_active"),
+            (as_of_lit("2022-05-01 00:00:00") + F.make_dt_interval(hours=F.col("n_nationkey").cast("int"))).alias("created_at"),
         )
 
     @cached_property
@@ -104,6 +105,7 @@ class ParkingModel:
             (F.col("p_partkey") % 3 == 0).alias("is_occupied"),
             (F.col("p_partkey") % 7 == 0).alias("is_reserved"),
             F.when(t == "PROMO", F.lit(7.00)).otherwise(F.lit(5.00)).cast("decimal(10,2)").alias("hourly_rate"),
+            (as_of_lit("2022-06-01 00:00:00") + F.make_dt_interval(mins=(F.col("p_partkey") % 500_000).cast("int"))).alias("created_at"),
         )
 
     @cached_property
@@ -146,8 +148,8 @@ class ParkingModel:
     def sessions(self) -> DataFrame:
         """parking_sessions: one row per event; `error` events stay open.
 
-        ``booked_hours`` is the duration the client books at check-in (the
-        same ``props`` rule as ``lot_events.hours``)."""
+        ``booked_hours`` (the same ``props`` rule as ``lot_events.hours``) and
+        ``spot_number`` are what the client keeps with a session."""
         e = self.raw("events")
         et = F.col("event_type")
         base = e.select(
@@ -175,7 +177,8 @@ class ParkingModel:
                             (F.ceil(F.col("duration_minutes") / F.lit(60.0)) * F.col("_rate")).cast("decimal(10,2)"))
                 .select("id", "vehicle_id", "spot_id", "user_id", "entry_time", "exit_time",
                         "duration_minutes", "total_amount", "payment_status", "payment_method",
-                        "booked_hours"))
+                        F.col("entry_time").alias("created_at"), "booked_hours",
+                        F.concat(F.lit("S-"), _lpad_num(F.col("spot_id"), 6)).alias("spot_number")))
 
     @cached_property
     def reservations(self) -> DataFrame:
@@ -204,7 +207,8 @@ class ParkingModel:
         uname = F.concat(F.lit("user"), _lpad_num(k % 16, 6))
         return c.select(
             k.cast("bigint").alias("handle_id"),
-            F.when(k % 4 == 0, uname).when(k % 4 == 1, F.concat(uname, F.lit("@example.com")))
+            F.when(k % 8 == 0, F.upper(uname)).when(k % 4 == 0, uname)
+             .when(k % 8 == 1, F.concat(F.initcap(uname), F.lit("@Example.COM"))).when(k % 4 == 1, F.concat(uname, F.lit("@example.com")))
              .when(k % 4 == 2, F.concat(F.lit("nobody"), k.cast("string"))).otherwise(F.col("c_name"))
              .alias("handle"))
 
@@ -241,7 +245,10 @@ class ParkingModel:
         vtype = (F.when(k % 5 == 0, F.lit("spaceship")).when(seg == "AUTOMOBILE", "car")
                  .when(seg == "HOUSEHOLD", "electric").when(seg == "FURNITURE", "motorcycle").otherwise("truck"))
         return c.select(k.cast("bigint").alias("request_id"), (k % 10).alias("user_id"),
-                        plate.alias("license_plate"), vtype.alias("vehicle_type"))
+                        plate.alias("license_plate"), vtype.alias("vehicle_type"),
+                        F.when(k % 4 == 0, F.lit("")).when(k % 4 != 1, F.concat(F.lit("Make "), (k % 6).cast("string"))).alias("make"),
+                        F.when(k % 5 != 0, F.concat(F.lit("Model "), (k % 40).cast("string"))).otherwise(F.lit("")).alias("model"),
+                        F.when(k % 3 == 0, F.lit("white")).when(k % 3 == 1, F.lit("")).alias("color"))
 
     @cached_property
     def checkin_plates(self) -> DataFrame:
@@ -270,6 +277,44 @@ class ParkingModel:
              .otherwise(F.concat(F.lit("555-"), _lpad_num(k % 10000, 4))).alias("phone"),
             F.when(k % 3 == 0, "customer").when(k % 3 == 1, "staff").otherwise("admin").alias("role"))
 
+    @cached_property
+    def spot_flag_changes(self) -> DataFrame:
+        """Flag changes of spots: even events act on ``is_occupied``, odd ones on ``is_reserved``."""
+        e = self.raw("events")
+        kind, even = F.col("event_type"), F.col("event_id") % 2 == 0
+        action = F.when(even, F.when(kind == "click", None).otherwise(vehicle_action(kind))).otherwise(reservation_action(kind))
+        return e.select("event_id", "ts", event_spot(F.col("event_id")).alias("spot_id"), action.alias("action"))
+
+    @cached_property
+    def reservation_changes(self) -> DataFrame:
+        """Status and payment changes of reservations, one per order line."""
+        li = self.raw("lineitem")
+        flag = F.col("l_returnflag")
+        return li.select(
+            F.col("l_orderkey").alias("reservation_id"), F.col("l_shipdate").alias("changed_at"),
+            (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("change_id"),
+            F.when(flag == "R", "cancelled").when(flag == "A", "completed").alias("status"),
+            F.when(F.col("l_linestatus") == "F", F.when(flag == "R", "refunded").otherwise("paid")).alias("payment_status"))
+
+    @cached_property
+    def ai_predictions(self) -> DataFrame:
+        """One stored prediction per event."""
+        e = self.raw("events")
+        return e.select(
+            F.col("event_id").alias("id"), (F.col("event_id") % 25).cast("int").alias("zone_id"),
+            F.to_date("ts").alias("prediction_date"), F.hour("ts").cast("int").alias("hour"),
+            (F.col("event_id") % 101).cast("decimal(5,2)").alias("predicted_occupancy"))
+
+    @cached_property
+    def audit_logs(self) -> DataFrame:
+        """One audit entry per order; every ninth has no user."""
+        o = self.raw("orders")
+        k = F.col("o_orderkey")
+        return o.select(
+            k.alias("id"), F.when(k % 9 != 0, F.col("o_custkey") % 16).alias("user_id"),
+            F.when(k % 2 == 0, "login").otherwise("reserve").alias("action"), F.lit("reservation").alias("entity_type"),
+            k.alias("entity_id"), F.col("o_orderdate").alias("created_at"))
+
     @cached_property
     def spot_documents(self) -> DataFrame:
         """Client-storage spot documents as JSON text, one per event: a spot
@@ -289,13 +334,18 @@ class ParkingModel:
             lambda x: x["addedHours"] <= n_ext)
         booking = F.when(k % 4 == 0, F.lit(None)).otherwise(F.struct(
             F.col("event_id").alias("sessionId"), spot.alias("spotId"), number.alias("spotNumber"),
+            F.concat(F.lit("Z"), _lpad_num(spot % 24, 2)).alias("zoneName"),
             F.concat(F.lit("P-"), _lpad_num(F.col("user_id"), 8)).alias("licensePlate"),
+            F.when(F.col("user_id") % 2 == 0, "car").otherwise("electric").alias("vehicleType"),
             iso_text(F.col("ts")).alias("startTime"), iso_text(end).alias("endTime"),
-            hours.alias("durationHours"), F.lit(5.0).alias("hourlyRate"), (k % 2 == 0).alias("expired"),
-            exts.alias("extensions"), ((n_ext * (n_ext + 1)) / 2).cast("int").alias("totalExtendedHours")))
+            hours.alias("durationHours"), F.when(k % 5 == 0, F.lit(7.0)).otherwise(F.lit(5.0)).alias("hourlyRate"),
+            (k % 2 == 0).alias("expired"), exts.alias("extensions"), ((n_ext * (n_ext + 1)) / 2).cast("int").alias("totalExtendedHours"),
+            (F.col("user_id") % 10).alias("bookedByUserId")))
         doc = F.to_json(F.struct(spot.alias("id"), number.alias("spot_number"),
                                  (F.col("event_type") != "error").alias("is_occupied"),
-                                 F.lit(False).alias("is_reserved"), booking.alias("booking")))
+                                 (F.col("event_id") % 7 == 0).alias("is_reserved"), booking.alias("booking")))
+        # some were cut off when they were stored
+        doc = F.when(F.col("event_id") % 50 == 49, F.substring(doc, 1, 30)).otherwise(doc)
         return e.select(F.col("event_id").alias("doc_id"), doc.alias("doc"))
 
     def delete_lists(self) -> dict[str, DataFrame]:
@@ -304,7 +354,7 @@ class ParkingModel:
             "zones": self.zones.filter(F.col("id") % 11 == 3).select("id"),
             "users": self.users.filter(F.col("id") % 7 == 3).select("id"),
             "vehicles": self.vehicles.filter(F.col("id") % 13 == 5).select("id"),
-            "spots": self.spots.filter(F.col("id") % 17 == 4).select("id"),
+            "parking_spots": self.spots.filter(F.col("id") % 17 == 4).select("id"),
         }
 
     def lot_events(self, log: str = "vehicle") -> DataFrame:
