@@ -10,7 +10,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from ..operators import billing, bookings as bk, changes, cycle, imports, lifecycle, lookups, reports, seeds
+from ..operators import billing, bookings as bk, changes, cycle, daily, imports, lifecycle, lookups, reports, seeds
 from ..session import scratch_dir
 from ..sources import documents, io
 from ..sources.fixtures import AS_OF, PEAK_AS_OF, model
@@ -85,8 +85,11 @@ def occ_rate_sql(occ: str, total: str) -> str:
     FROM k CROSS JOIN s
 """)
 def q_dashboard_kpis(spark, base):
+    """From the day's partials; here the whole history is loaded first, as one load."""
     m = model(spark, base)
-    return reports.dashboard_kpis(m.spots, m.sessions, AS_OF)
+    path = scratch_dir(spark, "session-days")
+    daily.load_sessions(m.sessions, path, 0)
+    return daily.dashboard_kpis(m.spots, path, AS_OF)
 
 
 @register("dashboard_kpis_client", f"""
@@ -111,8 +114,10 @@ def q_dashboard_kpis_client(spark, base):
     ORDER BY date
 """)
 def q_weekly_revenue(spark, base):
-    m = model(spark, base)
-    return reports.weekly_revenue(m.sessions, AS_OF)
+    """From the week's partials; here the whole history is loaded first, as one load."""
+    path = scratch_dir(spark, "session-days")
+    daily.load_sessions(model(spark, base).sessions, path, 0, ["exits"])
+    return daily.weekly_revenue(spark, path, AS_OF)
 
 
 @register("vehicle_distribution", """
