@@ -447,7 +447,7 @@ def q_active_session_for_vehicle(spark, base):
 """)
 def q_booking_rows(spark, base):
     m = model(spark, base)
-    return lookups.booking_rows(m.sessions, m.vehicles, m.spots, m.zones, AS_OF)
+    return lookups.booking_rows(m.client_sessions, m.vehicles, m.spots, m.zones, AS_OF)
 
 
 @register("identity_resolve", """

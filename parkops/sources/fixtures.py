@@ -148,8 +148,8 @@ class ParkingModel:
     def sessions(self) -> DataFrame:
         """parking_sessions: one row per event; `error` events stay open.
 
-        ``booked_hours`` (the same ``props`` rule as ``lot_events.hours``) and
-        ``spot_number`` are what the client keeps with a session."""
+        ``booked_hours`` is the duration the client books at check-in (the
+        same ``props`` rule as ``lot_events.hours``)."""
         e = self.raw("events")
         et = F.col("event_type")
         base = e.select(
@@ -177,8 +177,12 @@ class ParkingModel:
                             (F.ceil(F.col("duration_minutes") / F.lit(60.0)) * F.col("_rate")).cast("decimal(10,2)"))
                 .select("id", "vehicle_id", "spot_id", "user_id", "entry_time", "exit_time",
                         "duration_minutes", "total_amount", "payment_status", "payment_method",
-                        F.col("entry_time").alias("created_at"), "booked_hours",
-                        F.concat(F.lit("S-"), _lpad_num(F.col("spot_id"), 6)).alias("spot_number")))
+                        F.col("entry_time").alias("created_at"), "booked_hours"))
+
+    @cached_property
+    def client_sessions(self) -> DataFrame:
+        """Sessions as the client keeps them: with the number of their spot."""
+        return self.sessions.withColumn("spot_number", F.concat(F.lit("S-"), _lpad_num(F.col("spot_id"), 6)))
 
     @cached_property
     def reservations(self) -> DataFrame:
