@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Letters, and number signs that are no decimal digits, which :func:`words` takes out.
 _LETTERS = re.compile(r"[^\W\d_]+")
 _WORDS = 50_000    # words whose n-grams a task counts at a time
 _FLUSH = 200_000   # distinct (language, word) pairs that a task gathers before it hands them on
@@ -69,8 +70,13 @@ def _windows(listed: list[str], longest: int) -> tuple[list[str], np.ndarray, np
 
 
 def words(text: str | None) -> Counter:
-    """Runs of letters, lower-cased, with their counts."""
-    return Counter(_LETTERS.findall((text or "").lower()))
+    """Runs of letters (Unicode category L), lower-cased, with their counts."""
+    found = Counter(_LETTERS.findall((text or "").lower()))
+    for mixed in [w for w in found if not w.isalpha()]:   # superscripts, fractions, Roman numerals, circled digits
+        n = found.pop(mixed)
+        for w in "".join(c if c.isalpha() else " " for c in mixed).split():
+            found[w] += n
+    return found
 
 
 def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -16,7 +16,8 @@ def rows():
     rng = random.Random(7)
     out = [(i, text(rng, lang, rng.randrange(3, 60)), lang, "s") for i, lang in enumerate(rng.choices(["aa", "bb", "cc"], [8, 1, 1], k=300))]
     return out + [(300, None, "aa", None), (301, "", "bb", None), (302, "12 34 !!", "cc", None), (303, text(rng, "bb", 9), None, None),
-                  (304, "kor" * 50_000, "aa", None), (305, "漢字仮名交じり文", None, None), (1, out[1][1], out[1][2], None)]
+                  (304, "kor" * 50_000, "aa", None), (305, "漢字仮名交じり文", None, None),
+                  (306, "² ½ 42", "aa", None), (307, "Ⅷ ① ⑫", None, None), (308, "kor² x½tal Ⅷmin①ros", None, None), (1, out[1][1], out[1][2], None)]
 
 
 def grams(t, top):
@@ -52,7 +53,7 @@ def test_equals_brute_force_and_held_out_accuracy(spark):
         assert r.lang_pred == want[r.doc_id][0] and abs(r.score - want[r.doc_id][1]) < 1e-9 and 0 <= r.score <= 1
     held = [r for r in got if r.doc_id % 4 == 2 and r.lang and r.lang_pred != "und"]
     assert sum(r.lang == r.lang_pred for r in held) >= 0.97 * len(held)
-    assert {r.doc_id for r in got if r.lang_pred == "und"} == {300, 301, 302}
+    assert {r.doc_id for r in got if r.lang_pred == "und"} == {300, 301, 302, 306, 307}
 
 
 def test_nothing_learned_and_empty(spark):
