@@ -23,9 +23,12 @@ def prefix_sums(df: DataFrame, order: Sequence[Column], values: Sequence[str], n
     value column ``v``, ``v_before``: its sum over all earlier rows.
     ``totals`` has one row: ``n_rows`` and, for each ``v``, ``v_total`` (0 for
     an empty table).  Rows that tie in the whole of ``order`` come in any
-    sequence, so ``order`` should end with what tells rows apart."""
+    sequence, so ``order`` should end with what tells rows apart.  A row number
+    comes last, so that rows repeated whole, however many, are cut too."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = materialize(df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id()), name)
+    order = [*order, F.col("_tie")]
+    placed = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(n, *order)
+    placed = materialize(placed.withColumn("_pid", F.spark_partition_id()), name)
     sums = [F.sum(v).alias(f"_sum_{v}") for v in values]
     per = placed.groupBy("_pid").agg(F.count(F.lit(1)).alias("_rows"), *sums)
     earlier = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)   # one row per partition
@@ -39,7 +42,7 @@ def prefix_sums(df: DataFrame, order: Sequence[Column], values: Sequence[str], n
     rows = rows.join(F.broadcast(offsets), "_pid")   # at most one row per shuffle partition
     rows = rows.withColumns({"position": F.col("_off") + F.col("_local")}
                             | {f"{v}_before": F.col(f"_off_{v}") + F.col(f"_local_{v}") for v in values})
-    rows = rows.drop("_pid", "_off", "_local", *[f"{p}_{v}" for p in ("_off", "_local") for v in values])
+    rows = rows.drop("_pid", "_tie", "_off", "_local", *[f"{p}_{v}" for p in ("_off", "_local") for v in values])
     totals = per.agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("n_rows"),
                      *[F.coalesce(F.sum(f"_sum_{v}"), F.lit(0)).alias(f"{v}_total") for v in values])
     return rows, totals
