@@ -12,32 +12,36 @@ level retains none.
 
 All thresholds are counts, so they act alike at every size, and all that is
 learned grows with the corpus and is distributed; nothing but totals reaches the
-driver.  Texts lie in chunks of about ``_CHUNK`` tokens.  Per step a chunk sends
-its distinct keys with its own sums, dealt by ranges of the key (so a key is sent
-once a chunk, however frequent it is), and gets the sums over all chunks back:
+driver.  Texts lie in chunks of about ``_CHUNK`` tokens.  A chunk sends its distinct
+keys with its own counts, dealt by ranges of the key (so a key is sent once a
+chunk, however frequent it is), and gets what all chunks together say of them:
 
 1. words: how often each occurs;
-2. per depth, n-grams: how often each next word follows its context;
-3. contexts: tokens and kinds of their kept next words, which give the weight of
-   the suffix;
-4. contexts: the sum of the log ratio to the suffix, which is their divergence.
-
-Words and n-grams are known by 64-bit hashes.
+2. per depth, contexts with their next words, how often each follows and its
+   probability in the suffix.  Dealt by context, so that one task has all of a
+   context: it gives the counts, the weight of the suffix, and whether the
+   context diverges from its suffix and is retained.
+
+Chunks and their states are tables bucketed by chunk: they meet each other, and what
+comes back, without being shuffled again.  Words and contexts are known by 64-bit
+hashes, a next word within its context by 48 bits of one.
 """
 
 from __future__ import annotations
 
 import gc
 import pickle
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import scratch_dir
 from .common import materialize
 from .shingles import _GOLDEN, _words, mix
 
@@ -99,95 +103,131 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield chunk()
 
 
-def _open(blobs: pd.Series) -> dict:
-    s = {}
-    for blob in blobs:
-        s |= _unpack(blob)
-    return s
-
-
 def _live(s: dict, c: dict) -> dict:
     """The tokens whose context of ``depth`` words is a candidate: places, context's
     count, probability in the suffix and in the longest retained one, and whether
     the suffix's next word was kept (else this one's can't be)."""
     if c["depth"] > 1:
-        return {"pos": np.cumsum(s["pos"], dtype=np.int64), "tot": s["tot"], "may": s["may"],
-                "p": s["p"].astype(np.float64), "best": s["best"].astype(np.float64)}
+        return {"pos": np.cumsum(s["pos"], dtype=np.int64), "tot": s["tot"], "may": s["may"], "p": s["p"], "best": s["best"]}
     codes, seen = s["codes"], s["seen"]
     begins = np.zeros(len(codes), bool)
     begins[np.cumsum(s["sizes"]) - s["sizes"]] = True
     pos = np.flatnonzero(~begins & (seen[np.roll(codes, 1)] >= max(c["least_context"], c["least_word"])))
-    p = (seen[codes[pos]] + _SMOOTH) / c["mass"]
+    p = ((seen[codes[pos]] + _SMOOTH) / c["mass"]).astype(np.float32)
     return {"pos": pos, "tot": seen[codes[pos - 1]], "may": seen[codes[pos]] >= c["least_next"], "p": p, "best": p}
 
 
-def _grams(s: dict, pos: np.ndarray, n: int) -> np.ndarray:
-    """Keys of the ``n`` words before each place."""
-    key = s["words"][s["codes"][pos - n]]
-    for i in range(n - 1, 0, -1):
-        key = mix(key * _GOLDEN + s["words"][s["codes"][pos - i]])
-    return key
-
-
 def _contexts(s: dict, c: dict, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct contexts and the place in them of each token's."""
     if c["depth"] > 1:
-        return np.unique(_grams(s, pos, c["depth"]), return_inverse=True)
+        key = s["words"][s["codes"][pos - c["depth"]]]
+        for i in range(c["depth"] - 1, 0, -1):
+            key = mix(key * _GOLDEN + s["words"][s["codes"][pos - i]])
+        return np.unique(key, return_inverse=True)
     there = np.zeros(len(s["words"]), bool)   # words are sorted
     there[s["codes"][pos - 1]] = True
     return s["words"][there], (np.cumsum(there) - 1)[s["codes"][pos - 1]]
 
 
-def _deeper(s: dict, c: dict, t: dict, at: np.ndarray) -> np.ndarray:
-    """Probabilities in the context itself."""
-    own = np.where(s["n"] >= c["least_next"], (s["n"] - _DISCOUNT) / t["tot"], 0.0)
-    return own + s["rest"][at] * t["p"]
-
-
-def _sums(s: dict, c: dict) -> tuple[np.ndarray, dict, np.ndarray | None]:
-    """What a chunk sends in a step: sorted distinct keys, its sums for them, and the
-    key's place for each token that has one."""
-    train = np.repeat(~s["held"], s["sizes"])
-    if c["step"] == "words":
-        return s["words"], {"n": np.bincount(s["codes"][train], minlength=len(s["words"]))}, None
-    t = _live(s, c)
-    pos = t["pos"]
-    if c["step"] == "grams":
-        pos = pos[t["may"]]
-        keys, at = np.unique(mix(_grams(s, pos, c["depth"]) * _GOLDEN + s["words"][s["codes"][pos]]), return_inverse=True)
-        return keys, {"n": np.bincount(at, weights=train[pos], minlength=len(keys)).astype(np.int64)}, at
-    keys, at = _contexts(s, c, pos)
-    if c["step"] == "rests":
-        on = train[pos] & (s["n"] >= c["least_next"])
-        kinds = np.where(on, 1 / np.maximum(s["n"], 1), 0.0)   # a next word's tokens add up to one
-        return keys, {"kept": np.bincount(at, weights=on, minlength=len(keys)).astype(np.int64),
-                      "kinds": np.bincount(at, weights=kinds, minlength=len(keys))}, at
-    ratio = np.where(train[pos], np.log(_deeper(s, c, t, at) / t["p"]), 0.0)
-    return keys, {"gain": np.bincount(at, weights=ratio, minlength=len(keys))}, at
+def _pairs(s: dict, c: dict, t: dict) -> dict:
+    """Distinct contexts (``keys``, ``tot``, ``kinds`` of next words that can be kept) and their next words
+    (``next``, 48 bits; ``p``), by context; ``ctx`` and ``pair`` are the places of each live token and of
+    each that can be kept, ``ours`` the training tokens among the latter."""
+    keys, ctx = _contexts(s, c, t["pos"])
+    may, pos = t["may"], t["pos"][t["may"]]
+    # a pair of numbers in one: the context's place, and the next word's among the chunk's words
+    both, first, pair = np.unique(ctx[may] * len(s["words"]) + s["codes"][pos], return_index=True, return_inverse=True)
+    tot = np.zeros(len(keys), np.int64)
+    tot[ctx] = t["tot"]
+    train = np.repeat(~s["held"], s["sizes"])[pos]
+    return {"keys": keys, "tot": tot, "kinds": np.bincount(both // len(s["words"]), minlength=len(keys)),
+            "next": (s["words"] >> np.uint64(16))[both % len(s["words"])], "p": t["p"][may][first], "ctx": ctx, "pair": pair,
+            "n": np.bincount(pair, weights=train, minlength=len(both)).astype(np.int64)}
+
+
+def _ranges(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each range of the sorted keys begins, and the last one ends."""
+    bucket = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    return np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
+
+
+def _six_bytes(x: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :6].ravel()
+
+
+def _from_six(raw: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = raw.reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
+def _sent(chunk: int, parts: list[tuple[int, bytes]]) -> pd.DataFrame:
+    return pd.DataFrame({"chunk": chunk, "bucket": [b for b, _ in parts], "blob": [x for _, x in parts]})
+
+
+def _send_words(c: dict) -> Callable:
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        s = _unpack(rows.text.iloc[0])
+        n = np.bincount(s["codes"][np.repeat(~s["held"], s["sizes"])], minlength=len(s["words"]))
+        edges = _ranges(s["words"], c["buckets"])
+        return _sent(rows.chunk.iloc[0], [(b, _pack(keys=np.diff(s["words"][i:j], prepend=np.uint64(0)), n=n[i:j]))
+                                          for b, (i, j) in enumerate(zip(edges[:-1], edges[1:])) if j > i])
+    return run
 
 
 def _send(c: dict) -> Callable:
+    """A chunk's contexts and next words, dealt by ranges of the context."""
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        keys, sums, _ = _sums(_open(rows.blob), c)
-        bucket = ((keys >> np.uint64(32)) * np.uint64(c["buckets"])) >> np.uint64(32)
-        edges = np.searchsorted(bucket, np.arange(c["buckets"] + 1, dtype=np.uint64))
-        out = [(b, _pack(key=np.diff(keys[i:j], prepend=np.uint64(0)), **{k: v[i:j] for k, v in sums.items()}))
-               for b, (i, j) in enumerate(zip(edges[:-1], edges[1:])) if j > i]
-        return pd.DataFrame({"chunk": rows.chunk.iloc[0], "bucket": [b for b, _ in out], "blob": [x for _, x in out]})
+        s = _unpack(rows.text.iloc[0]) | _unpack(rows.state.iloc[0])
+        m = _pairs(s, c, _live(s, c))
+        edges, at, out = _ranges(m["keys"], c["buckets"]), np.concatenate([[0], np.cumsum(m["kinds"])]), []
+        for b, (i, j) in enumerate(zip(edges[:-1], edges[1:])):
+            if j > i:
+                own = slice(at[i], at[j])
+                out.append((b, _pack(keys=np.diff(m["keys"][i:j], prepend=np.uint64(0)), tot=m["tot"][i:j].astype(np.int32),
+                                     kinds=m["kinds"][i:j].astype(np.int32), next=_six_bytes(m["next"][own]), n=m["n"][own].astype(np.int32),
+                                     p=m["p"][own])))
+        return _sent(rows.chunk.iloc[0], out)
     return run
 
 
-def _total(rows: pd.DataFrame) -> pd.DataFrame:
-    """Sums over all chunks of one range of keys, for each chunk in the order of its keys."""
-    rows = rows.sort_values("chunk")
+def _returned(rows: pd.DataFrame, blobs: list[bytes], kinds: int = 0) -> pd.DataFrame:
+    return pd.DataFrame({"chunk": rows.chunk.to_numpy(), "bucket": rows.bucket.to_numpy(), "blob": blobs, "kinds": [kinds] + [0] * (len(blobs) - 1)})
+
+
+def _total_words(rows: pd.DataFrame) -> pd.DataFrame:
+    """Counts over all chunks of one range of words, for each chunk in its order."""
     parts = [_unpack(b) for b in rows.blob]
-    keys, at = np.unique(np.concatenate([np.cumsum(p.pop("key"), dtype=np.uint64) for p in parts]), return_inverse=True)
-    sums = {k: np.bincount(at, weights=np.concatenate([p[k] for p in parts])).astype(v.dtype) for k, v in parts[0].items()}
-    ends = np.cumsum([len(next(iter(p.values()))) for p in parts])
-    blobs = [_pack(**{k: v[x] for k, v in sums.items()}) for x in np.split(at, ends[:-1])]
-    kinds = int((sums["n"] > 0).sum()) if "n" in sums else 0
-    return pd.DataFrame({"chunk": rows.chunk.to_numpy(), "bucket": rows.bucket.to_numpy(), "blob": blobs,
-                         "kinds": [kinds] + [0] * (len(blobs) - 1)})
+    keys, at = np.unique(np.concatenate([np.cumsum(p["keys"], dtype=np.uint64) for p in parts]), return_inverse=True)
+    n = np.bincount(at, weights=np.concatenate([p["n"] for p in parts])).astype(np.int64)
+    ends = np.cumsum([len(p["n"]) for p in parts])
+    return _returned(rows, [_pack(n=n[x]) for x in np.split(at, ends[:-1])], int((n > 0).sum()))
+
+
+def _total(c: dict) -> Callable:
+    """What all chunks together say of one range of contexts: counts of the next words, weight
+    of the suffix, and whether the context is retained; for each chunk in its order."""
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        parts = [_unpack(b) for b in rows.blob]
+        every = lambda name: np.concatenate([p[name] for p in parts])
+        keys, first, ctx = np.unique(np.concatenate([np.cumsum(p["keys"], dtype=np.uint64) for p in parts]), return_index=True,
+                                     return_inverse=True)
+        tot, kinds = every("tot")[first].astype(np.float64), every("kinds")
+        of = np.repeat(ctx, kinds)   # each pair's context
+        _, lead, pair = np.unique(mix(keys[of] * _GOLDEN + _from_six(every("next"))), return_index=True, return_inverse=True)
+        n = np.bincount(pair, weights=every("n"), minlength=len(lead))
+        kept = n >= c["least_next"]
+        of, p, m = of[lead][kept], every("p")[lead][kept].astype(np.float64), n[kept]
+        taken = np.bincount(of, weights=m, minlength=len(keys))
+        rest = (tot - taken + _DISCOUNT * np.bincount(of, minlength=len(keys))) / tot
+        ratio = np.log(((m - _DISCOUNT) / tot[of] + rest[of] * p) / p)
+        gain = np.bincount(of, weights=m * ratio, minlength=len(keys)) + (tot - taken) * np.log(np.maximum(rest, 1e-300))
+        stays = gain / tot >= c["divergence"]
+        n, rest = n.astype(np.int32), rest.astype(np.float32)
+        pairs = np.split(pair, np.cumsum([len(q["n"]) for q in parts])[:-1])
+        contexts = np.split(ctx, np.cumsum([len(q["tot"]) for q in parts])[:-1])
+        return _returned(rows, [_pack(n=n[x], rest=rest[y], stays=stays[y]) for x, y in zip(pairs, contexts)])
+    return run
 
 
 def _by_text(s: dict, pos: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -195,116 +235,100 @@ def _by_text(s: dict, pos: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.bincount(text, weights=values, minlength=len(s["sizes"]))
 
 
+def _state(chunk: int, s: dict, live: int, retained: int) -> pd.DataFrame:
+    kept = ("sizes", "seen", "base", "known", "tree", "pos", "tot", "may", "p", "best")
+    return pd.DataFrame({"chunk": [chunk], "state": [_pack(**{k: s[k] for k in kept if k in s})], "live": [live], "retained": [retained]})
+
+
+def _got(totals: pd.DataFrame) -> dict:
+    parts = [_unpack(b) for b in totals.sort_values("bucket").blob]
+    return {k: np.concatenate([p[k] for p in parts]) for k in (parts[0] if parts else ())}
+
+
+def _take_words(c: dict) -> Callable:
+    """A chunk's first state: the base scores, and the tokens that follow a candidate."""
+    def run(rows: pd.DataFrame, totals: pd.DataFrame) -> pd.DataFrame:
+        s = _unpack(rows.text.iloc[0])
+        s["seen"] = _got(totals)["n"]
+        every = np.arange(len(s["codes"]))
+        base = np.log10((s["seen"] + _SMOOTH) / c["mass"])[s["codes"]]
+        s["base"] = _by_text(s, every, base)
+        s["known"] = _by_text(s, every, s["seen"][s["codes"]] > 0).astype(np.int64)
+        pos = _live(s, c | {"depth": 1})["pos"]
+        s["tree"] = s["base"] - _by_text(s, pos, base[pos])
+        return _state(rows.chunk.iloc[0], s, len(pos), 0)
+    return run
+
+
 def _take(c: dict) -> Callable:
-    """A chunk's next state from the totals; ``live`` tokens and those whose context was retained."""
+    """A chunk's next state: tokens that stay ``live``, and how many had a context that was retained."""
     def run(rows: pd.DataFrame, totals: pd.DataFrame) -> pd.DataFrame:
-        s = _open(rows.blob)
-        parts = [_unpack(b) for b in totals.sort_values("bucket").blob]
-        got = {k: np.concatenate([p[k] for p in parts]) for k in (parts[0] if parts else ())}
-        live = retained = 0
-        if c["step"] == "words":
-            s["seen"] = got["n"]
-            all_ = np.arange(len(s["codes"]))
-            base = np.log10((s["seen"] + _SMOOTH) / c["mass"])[s["codes"]]
-            s["base"] = _by_text(s, all_, base)
-            s["known"] = _by_text(s, all_, s["seen"][s["codes"]] > 0).astype(np.int64)
-            pos = _live(s, c | {"depth": 1})["pos"]
-            s["tree"] = s["base"] - _by_text(s, pos, base[pos])
-            live = len(pos)
-        else:
-            t = _live(s, c)
-            pos = t["pos"]
-            at = _sums(s, c)[2]
-            if c["step"] == "grams":
-                s["n"] = np.zeros(len(pos), np.int64)
-                if len(at):
-                    s["n"][t["may"]] = got["n"][at]
-            elif c["step"] == "rests":
-                tot = np.ones(len(got["kept"]) if got else 0)
-                tot[at] = t["tot"]
-                s["rest"] = (tot - got["kept"] + _DISCOUNT * np.rint(got["kinds"])) / tot if got else tot
-            elif len(pos):
-                p = _deeper(s, c, t, at)
-                stays = got["gain"][at] / t["tot"] >= c["divergence"]
-                best = np.where(stays, p, t["best"])
-                before = np.zeros(len(s["codes"]), np.int64)   # a longer context's count: its last word is the token before
-                before[pos] = s["n"]
-                since = pos - np.repeat(np.cumsum(s["sizes"]) - s["sizes"], s["sizes"])[pos]
-                on = ((since > c["depth"]) & (before[pos - 1] >= c["least_context"])
-                      & (s["seen"][s["codes"][pos - 1]] >= c["least_word"]) & (stays | (c["depth"] == 1)))
-                s["tree"] = s["tree"] + _by_text(s, pos[~on], np.log10(best[~on]))
-                s |= {"pos": np.diff(pos[on], prepend=0).astype(np.int32), "tot": before[pos[on] - 1],
-                      "may": s["n"][on] >= c["least_next"], "p": p[on].astype(np.float32), "best": best[on].astype(np.float32)}
-                live, retained = int(on.sum()), int(stays.sum())
-        done = ["n", "rest"] if c["step"] == "gains" else []
-        blob = _pack(**{k: v for k, v in s.items() if k not in ("words", "codes", "held", *done)})
-        return pd.DataFrame({"chunk": rows.chunk.iloc[:1], "blob": [blob], "live": [live], "retained": [retained]})
+        s = _unpack(rows.text.iloc[0]) | _unpack(rows.state.iloc[0])
+        t = _live(s, c)
+        pos, got = t["pos"], _got(totals)
+        if not len(pos):
+            return _state(rows.chunk.iloc[0], s, 0, 0)
+        m = _pairs(s, c, t)
+        n = np.zeros(len(pos), np.int64)
+        n[t["may"]] = got["n"][m["pair"]]
+        own = np.where(n >= c["least_next"], (n - _DISCOUNT) / t["tot"], 0.0)
+        p = own + got["rest"].astype(np.float64)[m["ctx"]] * t["p"]
+        stays = got["stays"][m["ctx"]]
+        best = np.where(stays, p, t["best"])
+        before = np.zeros(len(s["codes"]), np.int64)   # a longer context's count: its last word is the token before
+        before[pos] = n
+        since = pos - np.repeat(np.cumsum(s["sizes"]) - s["sizes"], s["sizes"])[pos]
+        on = ((since > c["depth"]) & (before[pos - 1] >= c["least_context"])
+              & (s["seen"][s["codes"][pos - 1]] >= c["least_word"]) & (stays | (c["depth"] == 1)))
+        s["tree"] = s["tree"] + _by_text(s, pos[~on], np.log10(best[~on]))
+        s |= {"pos": np.diff(pos[on], prepend=0).astype(np.int32), "tot": before[pos[on] - 1].astype(np.int32),
+              "may": n[on] >= c["least_next"], "p": p[on].astype(np.float32), "best": best[on].astype(np.float32)}
+        return _state(rows.chunk.iloc[0], s, int(on.sum()), int(stays.sum()))
     return run
 
 
-def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per chunk the texts' figures, with the tokens that were live to the end."""
-    for batch in batches:
-        out = []
-        for chunk, blob in zip(batch.chunk, batch.blob):
-            s = _unpack(blob)
-            tree = s["tree"]
-            if "pos" in s:
-                tree = tree + _by_text(s, np.cumsum(s["pos"], dtype=np.int64), np.log10(s["best"].astype(np.float64)))
-            out.append((chunk, s["sizes"].astype(np.int64), s["known"], s["base"], tree))
-        yield pd.DataFrame(out, columns=["chunk", "n_tokens", "n_known", "base_score", "score"])
-
-
-def _drop(df: DataFrame) -> None:
-    """Delete a state that the next one replaces; shuffle files go when the driver collects its garbage."""
+def _finish(c: dict) -> Callable:
+    """A chunk's texts' figures, with the tokens that were live to the end."""
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        s = _unpack(rows.state.iloc[0])
+        tree = s["tree"]
+        if "pos" in s:
+            tree = tree + _by_text(s, np.cumsum(s["pos"], dtype=np.int64), np.log10(s["best"].astype(np.float64)))
+        return pd.DataFrame([(rows.chunk.iloc[0], s["sizes"].astype(np.int64), s["known"], s["base"], tree)],
+                            columns=["chunk", "n_tokens", "n_known", "base_score", "score"])
+    return run
+
+
+def _delete(df: DataFrame) -> None:
+    """Delete a written intermediate that nothing reads any more."""
     sc = df.sparkSession.sparkContext
     path = sc._jvm.org.apache.hadoop.fs.Path
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path(folder).getFileSystem(sc._jsc.hadoopConfiguration()).delete(path(folder), True)
-    gc.collect()
-    sc._jvm.System.gc()
-
-
-# One level of a tree in memory, over symbols instead of hashes.
-
-def _place(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of ``wanted`` in sorted ``keys``, and whether they are there."""
-    if not len(keys):
-        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return at, keys[at] == wanted
-
-
-def _level(keys: np.ndarray, totals: np.ndarray, k: np.ndarray, n: np.ndarray, symbols: int, parent) -> dict:
-    """One level's distributions: the discounted share of each kept next symbol, the
-    weight of the parent, and the divergence of each context from its parent."""
-    ctx, nxt = k // symbols, k % symbols
-    kept = np.bincount(ctx, weights=n, minlength=len(keys))
-    kinds = np.bincount(ctx, minlength=len(keys))
-    rest = np.maximum(totals - kept + _DISCOUNT * kinds, 1e-9) / totals
-    own = (n - _DISCOUNT) / totals[ctx]
-    above = parent(keys[ctx], nxt)
-    gain = np.bincount(ctx, weights=n * np.log((own + rest[ctx] * above) / above), minlength=len(keys)).astype(float)
-    gain += (totals - kept) * np.log(rest)
-    return {"keys": keys, "rest": rest, "k": k, "own": own, "gain": gain / totals}
-
-
-def _prune(level: dict, stay: np.ndarray, symbols: int) -> dict:
-    """The level with the contexts that stay, renumbered."""
-    number = np.cumsum(stay) - 1
-    ctx, nxt = level["k"] // symbols, level["k"] % symbols
-    on = stay[ctx]
-    return {"keys": level["keys"][stay], "rest": level["rest"][stay], "k": number[ctx[on]] * symbols + nxt[on], "own": level["own"][on]}
-
-
-def _step(level: dict, past: np.ndarray, now: np.ndarray, p: np.ndarray, symbols: int) -> np.ndarray:
-    """Probabilities one level deeper where the context is a state, else as they were."""
-    at, there = _place(level["keys"], past)
-    at, where = at[there], np.flatnonzero(there)
-    j, hit = _place(level["k"], at * symbols + now[where])
-    out = p.copy()
-    out[where] = level["rest"][at] * p[where] + (np.where(hit, level["own"][j], 0.0) if len(level["own"]) else 0.0)
-    return out
+
+
+class _Tables:
+    """Tables bucketed by chunk, in the checkpoint folder; a table that is no longer read is dropped."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.buckets, self.paths = spark, int(spark.conf.get("spark.sql.shuffle.partitions")), {}
+
+    def write(self, df: DataFrame) -> DataFrame:
+        name = f"suffix_tree_{uuid.uuid4().hex}"
+        self.paths[name] = scratch_dir(self.spark, name)
+        df.write.bucketBy(self.buckets, "chunk").option("path", self.paths[name]).saveAsTable(name)
+        return self.spark.table(name)
+
+    def drop(self, keep: int = 0) -> None:
+        """Drop all but the newest ``keep`` after the first; shuffle files go when the driver collects its garbage."""
+        sc = self.spark.sparkContext
+        names = list(self.paths)
+        for name in names[1 if keep else 0:len(names) - keep]:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            at = sc._jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+        gc.collect()
+        sc._jvm.System.gc()
 
 
 def score(df: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", least_word: float = 2,
@@ -324,40 +348,39 @@ def score(df: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "
                      F.col(text).alias("text"))
     row = T.StructType([T.StructField("doc_id", T.ArrayType(kind)), T.StructField("held_out", T.ArrayType(T.BooleanType())),
                         T.StructField("size", T.LongType()), T.StructField("train", T.LongType()), T.StructField("blob", T.BinaryType())])
-    chunks = materialize(docs.mapInArrow(_chunks, row).withColumn("chunk", F.monotonically_increasing_id()), "chunks")
-    texts = chunks.select("chunk", "blob")
-    sizes = chunks.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size"), F.coalesce(F.sum("train"), F.lit(0)).alias("train")).first()
+    tables = _Tables(df.sparkSession)
+    chunks = docs.mapInArrow(_chunks, row).withColumn("chunk", F.monotonically_increasing_id())
+    texts = tables.write(chunks.withColumnRenamed("blob", "text"))
+    sizes = texts.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size"), F.coalesce(F.sum("train"), F.lit(0)).alias("train")).first()
     tokens = sizes["train"]
     count = lambda x: x if x >= 1 else x * tokens
     c = {"buckets": sizes["size"] // _BUCKET + 1, "least_word": count(least_word), "least_context": max(1, count(least_context)),
          "least_next": max(2, count(least_next)), "divergence": divergence}
+    sent, back, held = "chunk long, bucket int, blob binary", "chunk long, bucket int, blob binary, kinds long", \
+        "chunk long, state binary, live long, retained long"
 
-    def totals(rows: DataFrame, c: dict) -> DataFrame:
-        sent = rows.groupBy("chunk").applyInPandas(_send(c), "chunk long, bucket int, blob binary")
-        return sent.groupBy("bucket").applyInPandas(_total, "chunk long, bucket int, blob binary, kinds long")
-
-    def taken(rows: DataFrame, found: DataFrame, c: dict) -> DataFrame:
-        return materialize(rows.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInPandas(
-            _take(c), "chunk long, blob binary, live long, retained long"), "tree")
-
-    c["step"] = "words"
-    words = materialize(totals(texts, c), "words")
+    bodies = texts.select("chunk", "text")
+    words = materialize(bodies.groupBy("chunk").applyInPandas(_send_words(c), sent).groupBy("bucket").applyInPandas(_total_words, back), "words")
     kinds = words.agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0]
     c["mass"] = tokens + _SMOOTH * (kinds + 1)
-    state = taken(texts, words, c)
+    state = tables.write(bodies.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInPandas(_take_words(c), held))
     left = state.agg(F.sum("live")).first()[0]
     c["depth"] = 1
     while left:
-        for c["step"] in ("grams", "rests", "gains"):
-            rows = texts.unionByName(state.select("chunk", "blob"))
-            old, state = state, taken(rows, totals(rows, c), c)
-            _drop(old)
+        rows = bodies.join(state.select("chunk", "state"), "chunk")
+        found = materialize(rows.groupBy("chunk").applyInPandas(_send(c), sent).groupBy("bucket").applyInPandas(_total(c), back), "contexts")
+        tables.drop(1)
+        state = tables.write(rows.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInPandas(_take(c), held))
+        _delete(found)
+        tables.drop(1)
         found = state.agg(F.sum("live").alias("live"), F.sum("retained").alias("retained")).first()
         left = found["live"] if found["retained"] else 0
         c["depth"] += 1
-    scores = state.select("chunk", "blob").mapInPandas(
-        _finish, "chunk long, n_tokens array<long>, n_known array<long>, base_score array<double>, score array<double>")
-    each = chunks.select("chunk", "doc_id", "held_out").join(scores, "chunk").select(
+    scores = state.select("chunk", "state").groupBy("chunk").applyInPandas(
+        _finish(c), "chunk long, n_tokens array<long>, n_known array<long>, base_score array<double>, score array<double>")
+    each = texts.select("chunk", "doc_id", "held_out").join(scores, "chunk").select(
         F.explode(F.arrays_zip("doc_id", "held_out", "n_tokens", "n_known", "base_score", "score")).alias("d"))
-    return each.select("d.doc_id", "d.held_out", "d.n_tokens", "d.n_known", F.lit(int(tokens)).cast("long").alias("train_tokens"),
-                       "d.base_score", "d.score")
+    out = materialize(each.select("d.doc_id", "d.held_out", "d.n_tokens", "d.n_known", F.lit(int(tokens)).cast("long").alias("train_tokens"),
+                                  "d.base_score", "d.score"), "scores")
+    tables.drop()
+    return out

@@ -2,7 +2,6 @@ import math
 import random
 from collections import Counter, defaultdict
 
-import numpy as np
 from helpers import CLASHING, frame
 from parkops.llm import suffix_tree
 from pyspark.sql import functions as F
@@ -117,27 +116,6 @@ def test_a_context_counts_alike_at_every_size(spark):
     assert r.score > r.base_score + 8
 
 
-def test_distributions_sum_to_one():
-    """Every state's next-symbol probabilities, the root's included."""
-    rng = np.random.default_rng(9)
-    symbols = 12
-    root = rng.random(symbols)
-    root /= root.sum()
-    now = rng.choice(symbols - 1, 5000, p=root[:-1] / root[:-1].sum())
-    first = np.arange(1, symbols - 1)
-    past, nxt = now[:-1], now[1:]
-    at, there = suffix_tree._place(first, past)
-    k, n = np.unique(at[there] * symbols + nxt[there], return_counts=True)
-    big = n >= 20
-    one = suffix_tree._level(first, np.bincount(at[there], minlength=len(first)), k[big], n[big], symbols, lambda c, s: root[s])
-    for stay in (np.ones(len(first), bool), one["gain"] >= np.median(one["gain"])):
-        level = suffix_tree._prune(one, stay, symbols)
-        for ctx in range(symbols):
-            p = suffix_tree._step(level, np.full(symbols, ctx), np.arange(symbols), root, symbols)
-            assert abs(p.sum() - 1) < 1e-9 and (p > 0).all()
-            assert ctx in first[stay] or np.allclose(p, root)
-
-
 def test_without_training_rows_and_empty(spark):
     big = 2**53 + 1
     df = frame(spark, [(big, "a b", None, None), (None, None, None, None)])
