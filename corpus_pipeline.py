@@ -35,9 +35,10 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every secret becomes a mark and ``n_chars`` follows.  All documents stay."""
+    """Every secret becomes a mark and ``n_chars``, where docs have it, follows.  All documents stay."""
     prepare(spark)
-    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
+    out = secrets.redact(docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +56,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES = [("language_id", language_stage), ("near_dedup", dedup_stage), ("secret_scan", secret_stage),
           ("mixing", mixing_stage), ("packing", packing_stage)]
-#: SQL can't express the stages; tests compare them with brute-force versions.
+#: SQL can't express the stages; tests compare each, and run(), with plain Python (tests/llm/test_pipeline.py).
 ORACLE_SQL = None
 
 
