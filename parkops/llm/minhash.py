@@ -12,7 +12,9 @@ linked documents form classes.
 4. Buckets that still hold several components are dealt out, in blocks if they
    are large.  Members outside the bucket's largest component are compared
    exactly with all of its members, inside the tasks, which return a spanning
-   forest of the links: no pairs are emitted.
+   forest of the links: no pairs are emitted.  A pair that shares several
+   buckets is compared in the first of them only, and none whose sizes alone
+   rule out the similarity.
 
 So a link is lost only if its two documents share no bucket: (1 - 0.8^5)^26, 3 in
 100,000 at the threshold itself, and far less above it.
@@ -24,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,17 +56,17 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _compare(similarity: float):
-    """Links of one block pair: exact Jaccard of members of different components."""
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.drop_duplicates(["cid", "side"])
-        left, right = block[block.side != 1], block[block.side != 0]   # side 2: both (a block with itself)
-        if left.empty or right.empty:
-            return pd.DataFrame([], columns=["a", "b"], dtype=np.int64)
-        lens = right["items"].map(len).to_numpy()
-        starts = np.concatenate([[0], np.cumsum(lens)[:-1]])
-        flat = np.concatenate(right["items"].to_numpy())
-        known, ids = np.unique(flat, return_inverse=True)
-        root = dict(zip(block.root, block.root))
+    """Links of block pairs, many in a table: exact Jaccard of members of different
+    components whose first common band is the block's."""
+    def run(table: pa.Table) -> pa.Table:
+        cid, roots, place, side = (table.column(c).to_numpy() for c in ("cid", "root", "place", "side"))
+        lists = {c: table.column(c).combine_chunks() for c in ("items", "bands")}
+        lens = np.diff(lists["items"].offsets.to_numpy())
+        starts = np.cumsum(lens) - lens
+        known, ids = np.unique(lists["items"].flatten().to_numpy(), return_inverse=True)
+        bands = lists["bands"].flatten().to_numpy().reshape(len(cid), -1)
+        flag = np.zeros(len(known), bool)
+        root = dict(zip(roots.tolist(), roots.tolist()))
 
         def find(x: int) -> int:
             while root[x] != x:
@@ -72,25 +75,42 @@ def _compare(similarity: float):
             return x
 
         links = []
-        cids, roots = right.cid.to_numpy(), right.root.to_numpy()
-        for cid, r, items in zip(left.cid, left.root, left["items"]):
-            at = np.searchsorted(known, items)
-            at[at == len(known)] = 0
-            flag = np.zeros(len(known), np.int32)
-            flag[at[known[at] == items]] = 1
-            shared = np.add.reduceat(flag[ids], starts)
-            near = (shared >= similarity * (lens + len(items) - shared)) & (roots != r)
-            for other, o in zip(cids[near], roots[near]):
-                x, y = find(r), find(o)
-                if x != y:
-                    root[max(x, y)] = min(x, y)
-                    links.append((cid, other))
-        return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
+        block = [table.column(c).to_numpy() for c in ("j", "i", "band")]
+        order = np.lexsort((cid, *block))
+        ends = np.flatnonzero(np.any([np.diff(b[order]) != 0 for b in block], axis=0)) + 1
+        for rows in np.split(order, ends):
+            # side 0 meets side 1; a block with itself is side 2
+            left, right = rows[side[rows] != 1], rows[side[rows] != 0]
+            if not (len(left) and len(right)):
+                continue
+            at, sizes = int(place[rows[0]]), lens[right]
+            earlier, others = bands[right, :at], roots[right]
+            for x in left.tolist():
+                n = int(lens[x])
+                fits = (others != roots[x]) & (np.minimum(sizes, n) >= similarity * np.maximum(sizes, n))
+                if at:
+                    fits &= ~(earlier == bands[x, :at]).any(axis=1)
+                want = right[fits]
+                if not len(want):
+                    continue
+                own = ids[starts[x]:starts[x] + n]
+                flag[own] = True
+                far = lens[want]
+                first = np.cumsum(far) - far
+                theirs = ids[np.repeat(starts[want] - first, far) + np.arange(int(far.sum()))]
+                shared = np.add.reduceat(flag[theirs].astype(np.int32), first)
+                flag[own] = False
+                for y in want[shared >= similarity * (far + n - shared)].tolist():
+                    a, b = find(int(roots[x])), find(int(roots[y]))
+                    if a != b:
+                        root[max(a, b)] = min(a, b)
+                        links.append((int(cid[x]), int(cid[y])))
+        return pa.table({c: pa.array([link[k] for link in links], pa.int64()) for k, c in enumerate("ab")})
     return run
 
 
 def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bands: int = 26, rows: int = 5,
-            similarity: float = 0.8, block: int = 1024) -> DataFrame:
+            similarity: float = 0.8, block: int = 1024, group_rows: int = 4096) -> DataFrame:
     """Per input row: ``doc_id, class_id, kept, n_shingles`` (and ``tkey``, a digest of
     the text).  ``class_id`` is the smallest id of the class; one row of each
     class is kept, the one with that id.
@@ -111,20 +131,20 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bands: in
     # a class row's uid is its number from here on
     texts = materialize(texts.select("tkey", "first", F.col("first.uid").alias("cid"), F.col("first.doc_id").alias("doc_id"), "n", "bands", "copies"), "texts")
 
-    keyed = texts.select("cid", "n", F.explode("bands").alias("band"))
+    keyed = texts.select("cid", "n", F.posexplode("bands").alias("place", "band"))
     buckets = keyed.groupBy("band").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("cid", "n")).alias("rep")).where("members > 1")
-    shared = materialize(keyed.join(buckets, "band").select("band", "cid", "n", F.col("rep.cid").alias("rep"),
+    shared = materialize(keyed.join(buckets, "band").select("band", "place", "cid", "n", F.col("rep.cid").alias("rep"),
                                                             F.col("rep.n").alias("rep_n")), "buckets")
-    wanted = texts.join(shared.select("cid").distinct(), "cid", "left_semi").select("cid", "doc_id", "tkey", "copies")
+    wanted = texts.join(shared.select("cid").distinct(), "cid", "left_semi").select("cid", "doc_id", "tkey", "bands", "copies")
     bodies = df.select(F.md5(F.coalesce(F.col(text), F.lit(""))).alias("tkey"), F.col(doc_id).alias("_id"), F.col(text).alias("text"))
-    bodies = bodies.join(wanted, "tkey").where(F.col("_id").eqNullSafe(F.col("doc_id"))).select("cid", "text", "copies")
+    bodies = bodies.join(wanted, "tkey").where(F.col("_id").eqNullSafe(F.col("doc_id"))).select("cid", "bands", "text", "copies")
     # of rows repeated whole, one
-    bodies = bodies.where("copies = 1").unionByName(bodies.where("copies > 1").dropDuplicates(["cid"])).select("cid", "text")
-    sets = materialize(bodies.mapInPandas(_sets, "cid long, items array<long>"), "sets")
+    bodies = bodies.where("copies = 1").unionByName(bodies.where("copies > 1").dropDuplicates(["cid"])).select("cid", "bands", "text")
+    sets = materialize(bodies.mapInPandas(_sets, "cid long, bands array<long>, items array<long>"), "sets")
 
     fits = F.least("n", "rep_n") >= similarity * F.greatest("n", "rep_n")
     stars = shared.where((F.col("cid") != F.col("rep")) & fits).select("rep", "cid").distinct()
-    pairs = (stars.join(sets, "cid").withColumnRenamed("items", "mine")
+    pairs = (stars.join(sets.select("cid", F.col("items").alias("mine")), "cid")
              .join(sets.select(F.col("cid").alias("rep"), F.col("items").alias("theirs")), "rep"))
     common = F.size(F.array_intersect("mine", "theirs"))
     linked = common >= similarity * (F.size("mine") + F.size("theirs") - common)
@@ -132,7 +152,7 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bands: in
     roots = components(links)
 
     placed = shared.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select(
-        "band", "cid", F.coalesce("root", "cid").alias("root"))
+        "band", "place", "cid", F.coalesce("root", "cid").alias("root"))
     # a bucket's largest component is its bulk: a pair across components has a member outside of it
     parts = placed.groupBy("band", "root").agg(F.count(F.lit(1)).alias("size"))
     mixed = parts.groupBy("band").agg(F.count(F.lit(1)).alias("roots"), F.sum("size").alias("members"),
@@ -145,9 +165,12 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bands: in
     last = F.col("nb") + F.col("nl") - 1
     placed = placed.withColumn("own", own.cast("int"))
     dealt = placed.withColumn("met", F.explode(F.when(F.col("inside"), F.sequence(F.col("nb"), last)).otherwise(F.sequence(F.lit(0), last)))).select(
-        "cid", "root", "band", F.least("own", "met").alias("i"), F.greatest("own", "met").alias("j"),
+        "cid", "root", "band", "place", F.least("own", "met").alias("i"), F.greatest("own", "met").alias("j"),
         F.when(F.col("own") == F.col("met"), 2).when(F.col("own") < F.col("met"), 0).otherwise(1).alias("side"))
-    more = dealt.join(sets, "cid").groupBy("band", "i", "j").applyInPandas(_compare(similarity), "a long, b long")
+    # whole block pairs, a few thousand rows of them to a group
+    groups = max(1, -(-dealt.count() // group_rows))
+    dealt = dealt.withColumn("grp", F.pmod(F.xxhash64("band", "i", "j"), F.lit(groups)))
+    more = dealt.join(sets, "cid").groupBy("grp").applyInArrow(_compare(similarity), "a long, b long")
     more = materialize(more, "links")
     roots = components(links.unionByName(more))
 
