@@ -31,7 +31,9 @@ RAW_SCHEMAS: dict[str, T.StructType] = {
                     ("p_retailprice", _D)),
     "orders": _schema(("o_orderkey", _L), ("o_custkey", _L), ("o_orderstatus", _S), ("o_totalprice", _D),
                       ("o_orderdate", _TS), ("o_orderpriority", _S)),
-    "lineitem": _schema(("l_orderkey", _L), ("l_linenumber", _I), ("l_returnflag", _S), ("l_linestatus", _S), ("l_shipdate", _TS)),
+    "lineitem": _schema(("l_orderkey", _L), ("l_partkey", _L), ("l_suppkey", _L), ("l_linenumber", _I), ("l_quantity", _D),
+                        ("l_extendedprice", _D), ("l_discount", _D), ("l_tax", _D), ("l_returnflag", _S), ("l_linestatus", _S),
+                        ("l_shipdate", _TS)),
     "events": _schema(("event_id", _L), ("ts", _TS), ("user_id", _L), ("event_type", _S), ("value", _D),
                       ("props", _S)),
 }
