@@ -24,7 +24,8 @@ chunk, however frequent it is), and gets what all chunks together say of them:
 
 Chunks and their states are tables bucketed by chunk: they meet each other, and what
 comes back, without being shuffled again.  Words and contexts are known by 64-bit
-hashes, a next word within its context by 48 bits of one.
+hashes; next words go by numbers that step 1 gives, small ones for frequent words,
+which take fewer bytes.
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ from .shingles import _GOLDEN, _words, mix
 
 _END = 0x454E44          # stands for the end of a text
 _CHUNK = 1_000_000       # tokens of a chunk (a longer text is a chunk)
-_BUCKET = 2_000_000      # tokens a range of keys
+_BUCKET = 1_000_000      # tokens a range of keys
 _DISCOUNT = 0.75
 _SMOOTH = 0.1
 
@@ -131,7 +132,7 @@ def _contexts(s: dict, c: dict, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _pairs(s: dict, c: dict, t: dict) -> dict:
     """Distinct contexts (``keys``, ``tot``, ``kinds`` of next words that can be kept) and their next words
-    (``next``, 48 bits; ``p``), by context; ``ctx`` and ``pair`` are the places of each live token and of
+    (``next``, numbers; ``p``), by context; ``ctx`` and ``pair`` are the places of each live token and of
     each that can be kept, ``ours`` the training tokens among the latter."""
     keys, ctx = _contexts(s, c, t["pos"])
     may, pos = t["may"], t["pos"][t["may"]]
@@ -141,7 +142,7 @@ def _pairs(s: dict, c: dict, t: dict) -> dict:
     tot[ctx] = t["tot"]
     train = np.repeat(~s["held"], s["sizes"])[pos]
     return {"keys": keys, "tot": tot, "kinds": np.bincount(both // len(s["words"]), minlength=len(keys)),
-            "next": (s["words"] >> np.uint64(16))[both % len(s["words"])], "p": t["p"][may][first], "ctx": ctx, "pair": pair,
+            "next": s["number"][both % len(s["words"])], "p": t["p"][may][first], "ctx": ctx, "pair": pair,
             "n": np.bincount(pair, weights=train, minlength=len(both)).astype(np.int64)}
 
 
@@ -151,16 +152,6 @@ def _ranges(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
 
 
-def _six_bytes(x: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :6].ravel()
-
-
-def _from_six(raw: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = raw.reshape(-1, 6)
-    return out.view(np.uint64).ravel()
-
-
 def _sent(chunk: int, parts: list[tuple[int, bytes]]) -> pd.DataFrame:
     return pd.DataFrame({"chunk": chunk, "bucket": [b for b, _ in parts], "blob": [x for _, x in parts]})
 
@@ -185,7 +176,7 @@ def _send(c: dict) -> Callable:
             if j > i:
                 own = slice(at[i], at[j])
                 out.append((b, _pack(keys=np.diff(m["keys"][i:j], prepend=np.uint64(0)), tot=m["tot"][i:j].astype(np.int32),
-                                     kinds=m["kinds"][i:j].astype(np.int32), next=_six_bytes(m["next"][own]), n=m["n"][own].astype(np.int32),
+                                     kinds=m["kinds"][i:j].astype(np.int32), next=m["next"][own], n=m["n"][own].astype(np.int32),
                                      p=m["p"][own])))
         return _sent(rows.chunk.iloc[0], out)
     return run
@@ -195,13 +186,17 @@ def _returned(rows: pd.DataFrame, blobs: list[bytes], kinds: int = 0) -> pd.Data
     return pd.DataFrame({"chunk": rows.chunk.to_numpy(), "bucket": rows.bucket.to_numpy(), "blob": blobs, "kinds": [kinds] + [0] * (len(blobs) - 1)})
 
 
-def _total_words(rows: pd.DataFrame) -> pd.DataFrame:
-    """Counts over all chunks of one range of words, for each chunk in its order."""
-    parts = [_unpack(b) for b in rows.blob]
-    keys, at = np.unique(np.concatenate([np.cumsum(p["keys"], dtype=np.uint64) for p in parts]), return_inverse=True)
-    n = np.bincount(at, weights=np.concatenate([p["n"] for p in parts])).astype(np.int64)
-    ends = np.cumsum([len(p["n"]) for p in parts])
-    return _returned(rows, [_pack(n=n[x]) for x in np.split(at, ends[:-1])], int((n > 0).sum()))
+def _total_words(c: dict) -> Callable:
+    """Counts over all chunks of one range of words, and a number for each word, for each chunk in its order."""
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        parts = [_unpack(b) for b in rows.blob]
+        keys, at = np.unique(np.concatenate([np.cumsum(p["keys"], dtype=np.uint64) for p in parts]), return_inverse=True)
+        n = np.bincount(at, weights=np.concatenate([p["n"] for p in parts])).astype(np.int64)
+        number = np.empty(len(n), np.int64)   # frequent words first; no two ranges share one
+        number[np.argsort(-n, kind="stable")] = np.arange(len(n)) * c["buckets"] + int(rows.bucket.iloc[0])
+        ends = np.cumsum([len(p["n"]) for p in parts])
+        return _returned(rows, [_pack(n=n[x], number=number[x]) for x in np.split(at, ends[:-1])], int((n > 0).sum()))
+    return run
 
 
 def _total(c: dict) -> Callable:
@@ -209,12 +204,13 @@ def _total(c: dict) -> Callable:
     of the suffix, and whether the context is retained; for each chunk in its order."""
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         parts = [_unpack(b) for b in rows.blob]
-        every = lambda name: np.concatenate([p[name] for p in parts])
-        keys, first, ctx = np.unique(np.concatenate([np.cumsum(p["keys"], dtype=np.uint64) for p in parts]), return_index=True,
+        sizes = [(len(p["tot"]), len(p["n"])) for p in parts]
+        every = lambda name: np.concatenate([p.pop(name) for p in parts])  # noqa: E731  (held once)
+        keys, first, ctx = np.unique(np.concatenate([np.cumsum(p.pop("keys"), dtype=np.uint64) for p in parts]), return_index=True,
                                      return_inverse=True)
-        tot, kinds = every("tot")[first].astype(np.float64), every("kinds")
-        of = np.repeat(ctx, kinds)   # each pair's context
-        _, lead, pair = np.unique(mix(keys[of] * _GOLDEN + _from_six(every("next"))), return_index=True, return_inverse=True)
+        tot = every("tot")[first].astype(np.float64)
+        of = np.repeat(ctx, every("kinds"))   # each pair's context
+        _, lead, pair = np.unique(mix(keys[of] * _GOLDEN + every("next").view(np.uint64)), return_index=True, return_inverse=True)
         n = np.bincount(pair, weights=every("n"), minlength=len(lead))
         kept = n >= c["least_next"]
         of, p, m = of[lead][kept], every("p")[lead][kept].astype(np.float64), n[kept]
@@ -224,8 +220,7 @@ def _total(c: dict) -> Callable:
         gain = np.bincount(of, weights=m * ratio, minlength=len(keys)) + (tot - taken) * np.log(np.maximum(rest, 1e-300))
         stays = gain / tot >= c["divergence"]
         n, rest = n.astype(np.int32), rest.astype(np.float32)
-        pairs = np.split(pair, np.cumsum([len(q["n"]) for q in parts])[:-1])
-        contexts = np.split(ctx, np.cumsum([len(q["tot"]) for q in parts])[:-1])
+        contexts, pairs = (np.split(x, np.cumsum(own)[:-1]) for x, own in zip((ctx, pair), zip(*sizes)))
         return _returned(rows, [_pack(n=n[x], rest=rest[y], stays=stays[y]) for x, y in zip(pairs, contexts)])
     return run
 
@@ -236,7 +231,7 @@ def _by_text(s: dict, pos: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def _state(chunk: int, s: dict, live: int, retained: int) -> pd.DataFrame:
-    kept = ("sizes", "seen", "base", "known", "tree", "pos", "tot", "may", "p", "best")
+    kept = ("sizes", "seen", "number", "base", "known", "tree", "pos", "tot", "may", "p", "best")
     return pd.DataFrame({"chunk": [chunk], "state": [_pack(**{k: s[k] for k in kept if k in s})], "live": [live], "retained": [retained]})
 
 
@@ -249,7 +244,8 @@ def _take_words(c: dict) -> Callable:
     """A chunk's first state: the base scores, and the tokens that follow a candidate."""
     def run(rows: pd.DataFrame, totals: pd.DataFrame) -> pd.DataFrame:
         s = _unpack(rows.text.iloc[0])
-        s["seen"] = _got(totals)["n"]
+        got = _got(totals)
+        s["seen"], s["number"] = got["n"], got["number"]
         every = np.arange(len(s["codes"]))
         base = np.log10((s["seen"] + _SMOOTH) / c["mass"])[s["codes"]]
         s["base"] = _by_text(s, every, base)
@@ -360,10 +356,11 @@ def score(df: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "
         "chunk long, state binary, live long, retained long"
 
     bodies = texts.select("chunk", "text")
-    words = materialize(bodies.groupBy("chunk").applyInPandas(_send_words(c), sent).groupBy("bucket").applyInPandas(_total_words, back), "words")
+    words = materialize(bodies.groupBy("chunk").applyInPandas(_send_words(c), sent).groupBy("bucket").applyInPandas(_total_words(c), back), "words")
     kinds = words.agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0]
     c["mass"] = tokens + _SMOOTH * (kinds + 1)
     state = tables.write(bodies.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInPandas(_take_words(c), held))
+    _delete(words)
     left = state.agg(F.sum("live")).first()[0]
     c["depth"] = 1
     while left:
