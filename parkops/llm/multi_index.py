@@ -7,9 +7,12 @@ wanted share of all entries.  Entries of the visited cells are reranked by the
 exact inner product.
 
 The walk needs only the codebooks and the cells' sizes, both bounded by the
-number of centroids.  Where it ended, as a bound on the sum, goes with the query
-to the blocks of entries; a block reranks the entries within the bound and
-returns its best.
+number of centroids.  Entries lie in blocks of neighbouring lists (first-half
+centroids).  A query goes to the blocks that hold a cell that its walk visited, with
+where the walk ended as a bound on the sum; a block reranks the entries
+within the bound and returns its best.  Queries are grouped by the block that
+they lie in themselves, so that those of a group visit much the same blocks
+and an entry is copied only to groups that visit its block.
 """
 
 from __future__ import annotations
@@ -72,10 +75,11 @@ def walk(near: tuple[np.ndarray, np.ndarray], sizes: np.ndarray, wanted: int) ->
     return last
 
 
-def _bounds(books: object, sizes: object, share: float, least: int):
+def _bounds(books: object, sizes: object, places: object, share: float, least: int):
+    """Per query the last sum of its walk, and the blocks of the cells it visited."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            bound = np.full(len(batch), -np.inf)
+            bound, visited = np.full(len(batch), -np.inf), [[0]] * len(batch)
             for i, (dim, vec) in enumerate(zip(batch.dim, batch.vec)):
                 if dim in books.value:
                     b1, b2 = books.value[dim]
@@ -83,9 +87,12 @@ def _bounds(books: object, sizes: object, share: float, least: int):
                     cells = sizes.value[dim]
                     wanted = max(least, int(np.ceil(share * cells.sum())))
                     # a little below, so that rounding never leaves out the last cell
-                    last = walk((b1 @ q[:dim // 2], b2 @ q[dim // 2:]), cells, wanted)
+                    near = b1 @ q[:dim // 2], b2 @ q[dim // 2:]
+                    last = walk(near, cells, wanted)
                     bound[i] = last - 1e-9 * max(1.0, abs(last))
-            yield batch.assign(bound=bound)[["uid", "bound"]]
+                    best = near[0] + np.where(cells > 0, near[1][None, :], -np.inf).max(axis=1)
+                    visited[i] = np.unique(places.value[dim][best >= bound[i]])
+            yield batch.assign(bound=bound, visited=visited)[["uid", "bound", "visited"]]
     return run
 
 
@@ -117,17 +124,9 @@ def _rerank(books: object, k: int):
     return run
 
 
-def search(df: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", share: float = 0.5,
-           least: int = 2000, most_centroids: int = 128, block: int = 8192, query_block: int = 1024) -> DataFrame:
-    """``query_id, rank, vec_id, score``: for each row with ``is_query`` the ``k`` entries
-    with the largest inner product among those visited, ties to the smaller id.
-
-    Candidates are all rows but the query's own (a repeated row is another
-    row).  Vectors that are null, empty, zero or hold null or non-finite
-    components, and rows with a null id, take no part; vectors of different
-    lengths are not compared.  Empty table: no rows; other columns are ignored,
-    whatever their names.  Every row is indexed; only codebooks are fitted on a
-    sample.  ``share`` of the entries (``least`` at the least) is visited."""
+def _dealt(df: DataFrame, is_query: Column, vec_id: str, vector: str, share: float, least: int, most_centroids: int, block: int,
+           query_block: int) -> tuple[DataFrame, object, DataFrame]:
+    """The usable rows, the broadcast codebooks, and queries and entries dealt to where they meet."""
     spark = df.sparkSession
     sc = spark.sparkContext
     vec = F.transform(vector, lambda x: x.cast("double"))
@@ -146,7 +145,7 @@ def search(df: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id",
     # at most centroids^2 rows a length with a codebook
     held = cells.groupBy("dim", "c1", "c2").agg(F.count(F.lit(1)).alias("n"))
     sizes = {dim: np.zeros((len(b[0]), len(b[1])), np.int64) for dim, b in books.items()}
-    lists = []   # blocks: neighbouring lists of the first half together, long ones in several
+    lists, places = [], {}   # blocks: neighbouring lists of the first half together, long ones in several
     for dim, b in books.items():
         for r in held.where(F.col("dim") == dim).collect():
             sizes[dim][r["c1"], r["c2"]] = r["n"]
@@ -154,6 +153,7 @@ def search(df: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id",
         for c1, n in enumerate(sizes[dim].sum(axis=1).tolist()):
             lists.append((dim, c1, full // block, -(-n // block) if n > block else 1))
             full += n
+        places[dim] = np.array([b for d, _, b, _ in lists if d == dim], np.int32)
     starts = {}
     for dim, c1, b, parts in lists:
         starts.setdefault((dim, b), 1)
@@ -166,18 +166,38 @@ def search(df: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id",
     plan = plan.unionByName(others)
     entries = rows.join(cells.drop("dim"), "uid").join(plan, ["dim", "c1"])
     entries = entries.withColumn("part", F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int"))
-    asked = rows.where("query")
-    groups = asked.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / query_block).cast("int").alias("qn"))   # one row a length
-    bounds = asked.select("uid", "dim", "vec").mapInPandas(_bounds(shared, sc.broadcast(sizes), share, least), "uid long, bound double")
-    asked = asked.join(bounds, "uid").join(groups, "dim").withColumn("qb", F.pmod(F.xxhash64("uid"), F.col("qn")).cast("int"))
+    asked = rows.where("query").join(cells.select("uid", "c1"), "uid").join(plan.select("dim", "c1", F.col("block").alias("home")), ["dim", "c1"])
+    asked = materialize(asked.drop("c1"), "queries")
+    groups = asked.groupBy("dim", "home").agg(F.ceil(F.count(F.lit(1)) / query_block).alias("qn"))   # one row a block
+    bounds = asked.select("uid", "dim", "vec").mapInPandas(_bounds(shared, sc.broadcast(sizes), sc.broadcast(places), share, least),
+                                                           "uid long, bound double, visited array<int>")
+    asked = asked.join(bounds, "uid").join(groups, ["dim", "home"]).withColumn(
+        "qb", F.concat_ws("/", "home", F.pmod(F.xxhash64("uid"), F.col("qn"))))
+    asked = materialize(asked.withColumn("block", F.explode("visited")).select("dim", "block", "qb", "uid", "bound"), "asked")
+    meets = asked.select("dim", "block", "qb").distinct()
     blocks = plan.select("dim", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).distinct()
     none = F.lit(None)
-    left = asked.join(blocks, "dim").select("dim", "block", "part", "qb", F.lit(True).alias("query"), "uid", "vec_id", "vec", "bound",
-                                            F.lit(0).alias("c1"), F.lit(0).alias("c2"))
-    right = entries.join(groups, "dim").withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("qn") - 1))).select(
+    left = asked.join(blocks, ["dim", "block"]).join(rows.select("uid", "vec_id", "vec"), "uid").select("dim", "block", "part", "qb", F.lit(True).alias("query"), "uid", "vec_id", "vec", "bound",
+                                                       F.lit(0).alias("c1"), F.lit(0).alias("c2"))
+    right = entries.join(meets, ["dim", "block"]).select(
         "dim", "block", "part", "qb", F.lit(False).alias("query"), "uid", "vec_id", "vec", none.cast("double").alias("bound"), "c1", "c2")
+    return rows, shared, left.unionByName(right)
+
+
+def search(df: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", share: float = 0.5,
+           least: int = 2000, most_centroids: int = 128, block: int = 8192, query_block: int = 1024) -> DataFrame:
+    """``query_id, rank, vec_id, score``: for each row with ``is_query`` the ``k`` entries
+    with the largest inner product among those visited, ties to the smaller id.
+
+    Candidates are all rows but the query's own (a repeated row is another
+    row).  Vectors that are null, empty, zero or hold null or non-finite
+    components, and rows with a null id, take no part; vectors of different
+    lengths are not compared.  Empty table: no rows; other columns are ignored,
+    whatever their names.  Every row is indexed; only codebooks are fitted on a
+    sample.  ``share`` of the entries (``least`` at the least) is visited."""
+    rows, shared, dealt = _dealt(df, is_query, vec_id, vector, share, least, most_centroids, block, query_block)
     id_type = rows.schema["vec_id"].dataType.simpleString()
-    best = left.unionByName(right).groupBy("dim", "block", "part", "qb").applyInPandas(
+    best = dealt.groupBy("dim", "block", "part", "qb").applyInPandas(
         _rerank(shared, k), f"quid long, vec_id {id_type}, uid long, score double")
     rank = F.row_number().over(Window.partitionBy("quid").orderBy(F.col("score").desc(), "vec_id", "uid"))
     found = best.withColumn("rank", rank).where(F.col("rank") <= k)

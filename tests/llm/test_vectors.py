@@ -99,6 +99,25 @@ def test_search_recall(spark):
     assert np.mean([len(got[i] & {v for _, v in w}) / len(w) for i, w in want.items()]) >= 0.9
 
 
+def test_queries_go_only_where_their_walk_went(spark):
+    """On clustered vectors few entries are multiplied, and recall stays."""
+    from pyspark.sql import functions as F
+    rng = np.random.default_rng(16)
+    centres = rng.normal(size=(40, 16))
+    centres /= np.linalg.norm(centres, axis=1)[:, None]
+    data = [(i, (centres[i % 40] * 4 + 0.1 * rng.normal(size=16)).astype(np.float32).tolist(), 0) for i in range(4000)]
+    df, is_query = frame(spark, data), F.col("vec_id") % 20 == 0
+    settings = {"share": 0.05, "least": 100, "most_centroids": 40, "block": 100, "query_block": 50}
+    _, _, dealt = multi_index._dealt(df, is_query, "vec_id", "embedding", **settings)
+    each = dealt.groupBy("dim", "block", "part", "qb").agg((F.count_if("query") * F.count_if(~F.col("query"))).alias("n"))
+    assert each.agg(F.sum("n")).first()[0] < 0.4 * 200 * 4000
+    got = {}
+    for r in multi_index.search(df, is_query, **settings).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = brute_search(data)
+    assert np.mean([len(got[i] & {v for _, v in w}) / len(w) for i, w in want.items()]) >= 0.9
+
+
 def test_walk_visits_the_nearest_pairs():
     rng = np.random.default_rng(15)
     a, b, sizes = rng.normal(size=9), rng.normal(size=7), rng.integers(0, 5, (9, 7))
