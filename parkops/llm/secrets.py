@@ -28,6 +28,7 @@ BASE = 3   # the first three kinds are strong
 _IDENT, _ENDPOINT, _WEAK = 3, 4, 5
 _SPAN = "struct<kind:int,start:int,end:int>"
 _SALTS = 16
+_LONG = 20   # least length of a weak secret with letters of one case only
 
 
 def _parts(text: Column, kind: int) -> Column:
@@ -38,8 +39,9 @@ def _parts(text: Column, kind: int) -> Column:
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else hits
     gaps = F.split(text, pattern, -1)
     ok = lambda v: F.length(v) >= least
-    if kind == _WEAK:   # a mixed token: digits and letters in both cases
-        ok = lambda v: (F.length(v) >= least) & v.rlike("[0-9]") & v.rlike("[a-z]") & v.rlike("[A-Z]")
+    if kind == _WEAK:   # a mixed token: digits with letters of both cases, or with those of one if it is longer
+        both = lambda v: v.rlike("[a-z]") & v.rlike("[A-Z]")
+        ok = lambda v: (F.length(v) >= least) & v.rlike("[0-9]") & (both(v) | ((F.length(v) >= _LONG) & v.rlike("[A-Za-z]")))
     rows = F.zip_with(F.arrays_zip(hits.alias("m"), value.alias("v")), F.slice(gaps, 1, F.size(hits)),
                       lambda x, gap: F.struct(x["m"].alias("m"), x["v"].alias("v"), gap.alias("g")))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
@@ -119,7 +121,10 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", scope: int =
     """Per input row: ``doc_id, base, spans`` (arrays of ``kind, start, end``; code
     points, end exclusive; by start, then kind).
 
-    ``base`` holds the strong kinds, ``spans`` also the linked weak ones.  Null
+    ``base`` holds the strong kinds, ``spans`` also the linked weak ones: an identifier (``user: name``)
+    with a secret, a weak secret with an identifier or access key, an endpoint with both, whose
+    starts are at most ``scope`` code points away.  A weak secret is a token of 16 characters or more
+    with digits and letters of both cases, or of 20 with digits and letters of one.  Null
     text is an empty text; empty table: no rows; repeated rows are each
     reported; other columns are ignored, whatever their names.  Whole texts of
     any length are read once; what is kept of them is written once."""
@@ -138,9 +143,9 @@ def redact(df: DataFrame, text: str = "text", scope: int = 256, mark: str = "[SE
     """``df`` with every reported span of ``text`` replaced by ``mark`` (spans that
     overlap or touch become one).  All rows and columns stay; a null text stays null."""
     packed = df.select(F.struct("*").alias("row"), F.col(text).alias("_text"))
-    scanned = _scan(packed, "_text")
-    parts = materialize(scanned.where(_possible()).select("_key", "_base", "_soft"), "secret-parts")
-    both = _with_links(scanned, _links(parts, scope))
+    # written with the rows: three branches read the spans, and the patterns are the work
+    scanned = materialize(_scan(packed, "_text").drop("_text"), "secret-rows").withColumn("_text", F.col("row")[text])
+    both = _with_links(scanned, _links(scanned.select("_key", "_base", "_soft"), scope))
     spans = F.array_sort(F.transform(F.concat("_base", "_linked"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     # a span that starts inside the last one only moves its end

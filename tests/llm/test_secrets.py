@@ -6,13 +6,14 @@ from parkops.llm import secrets
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 KEY, HEX, MIXED = "AKIA" + "A1B2" * 4, "0123456789abcdef" * 2, "Zq8Lm2Xc9Vb4Nn7Kp1Rt"
+LOWER = "k3zq9wv7m2xj5t8r1p6y"   # one case: 20 characters are enough, 18 not, nor letters alone
 TEXTS = [
     None, "", "no secret here", "PassWord = 'hunter22' é token: abc secret: token: abcdefgh", f"é{KEY} {KEY}x AKIAABC {HEX}{HEX} 0123456789abcdef",
     f"api-key=1234567 apikey:'{HEX}' passwd\":\"a=b/c+d.e_f-g\"", "password=12345 password=123456", f"x{HEX[:23]} g{HEX[:24]}z{HEX}",
     f"user: alice {MIXED} https://db.example.com/x",          # an identifier, a mixed token, an endpoint
     f"just {MIXED} and https://example.com/page",              # weak parts without a complement
     f"user: alice {'la ' * 200} {MIXED}",                      # too far apart
-    f"{KEY} {MIXED}", "a" * 200_000 + f" password=deadbeef99 {HEX}", "token" * 5000 + "=abcdef1",
+    f"{KEY} {MIXED}", f"user: alice {LOWER} {'x9' * 9} {'Qy' * 12}", f"{LOWER} alone", "a" * 200_000 + f" password=deadbeef99 {HEX}", "token" * 5000 + "=abcdef1",
 ]
 
 
@@ -39,6 +40,7 @@ def test_weak_parts_need_a_complement_in_scope(spark):
     assert found[8] == ["ident", "weak", "endpoint"]
     assert found[9] == [] and found[10] == []
     assert found[11] == ["access", "weak"]
+    assert found[12] == ["ident", "weak"] and found[13] == []
 
 
 def test_linked_spans_equal_brute_force(spark):
