@@ -12,9 +12,8 @@ linked documents form classes.
 4. Buckets that still hold several components are dealt out, in blocks if they
    are large.  Members outside the bucket's largest component are compared
    exactly with all of its members, inside the tasks, which return a spanning
-   forest of the links: no pairs are emitted.  A pair that shares several
-   buckets is compared in the first of them only, and none whose sizes alone
-   rule out the similarity.
+   forest of the links: no pairs are emitted, and none is compared whose sizes
+   alone rule out the similarity.
 
 So a link is lost only if its two documents share no bucket: (1 - 0.8^5)^26, 3 in
 100,000 at the threshold itself, and far less above it.
@@ -56,15 +55,13 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _compare(similarity: float):
-    """Links of block pairs, many in a table: exact Jaccard of members of different
-    components whose first common band is the block's."""
+    """Links of block pairs, many in a table: exact Jaccard of members of different components."""
     def run(table: pa.Table) -> pa.Table:
-        cid, roots, place, side = (table.column(c).to_numpy() for c in ("cid", "root", "place", "side"))
-        lists = {c: table.column(c).combine_chunks() for c in ("items", "bands")}
-        lens = np.diff(lists["items"].offsets.to_numpy())
+        cid, roots, side = (table.column(c).to_numpy() for c in ("cid", "root", "side"))
+        items = table.column("items").combine_chunks()
+        lens = np.diff(items.offsets.to_numpy())
         starts = np.cumsum(lens) - lens
-        known, ids = np.unique(lists["items"].flatten().to_numpy(), return_inverse=True)
-        bands = lists["bands"].flatten().to_numpy().reshape(len(cid), -1)
+        known, ids = np.unique(items.flatten().to_numpy(), return_inverse=True)
         flag = np.zeros(len(known), bool)
         root = dict(zip(roots.tolist(), roots.tolist()))
 
@@ -83,14 +80,10 @@ def _compare(similarity: float):
             left, right = rows[side[rows] != 1], rows[side[rows] != 0]
             if not (len(left) and len(right)):
                 continue
-            at, sizes = int(place[rows[0]]), lens[right]
-            earlier, others = bands[right, :at], roots[right]
+            sizes, others = lens[right], roots[right]
             for x in left.tolist():
                 n = int(lens[x])
-                fits = (others != roots[x]) & (np.minimum(sizes, n) >= similarity * np.maximum(sizes, n))
-                if at:
-                    fits &= ~(earlier == bands[x, :at]).any(axis=1)
-                want = right[fits]
+                want = right[(others != roots[x]) & (np.minimum(sizes, n) >= similarity * np.maximum(sizes, n))]
                 if not len(want):
                     continue
                 own = ids[starts[x]:starts[x] + n]
@@ -131,16 +124,16 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bands: in
     # a class row's uid is its number from here on
     texts = materialize(texts.select("tkey", "first", F.col("first.uid").alias("cid"), F.col("first.doc_id").alias("doc_id"), "n", "bands", "copies"), "texts")
 
-    keyed = texts.select("cid", "n", F.posexplode("bands").alias("place", "band"))
+    keyed = texts.select("cid", "n", F.explode("bands").alias("band"))
     buckets = keyed.groupBy("band").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("cid", "n")).alias("rep")).where("members > 1")
-    shared = materialize(keyed.join(buckets, "band").select("band", "place", "cid", "n", F.col("rep.cid").alias("rep"),
+    shared = materialize(keyed.join(buckets, "band").select("band", "cid", "n", F.col("rep.cid").alias("rep"),
                                                             F.col("rep.n").alias("rep_n")), "buckets")
-    wanted = texts.join(shared.select("cid").distinct(), "cid", "left_semi").select("cid", "doc_id", "tkey", "bands", "copies")
+    wanted = texts.join(shared.select("cid").distinct(), "cid", "left_semi").select("cid", "doc_id", "tkey", "copies")
     bodies = df.select(F.md5(F.coalesce(F.col(text), F.lit(""))).alias("tkey"), F.col(doc_id).alias("_id"), F.col(text).alias("text"))
-    bodies = bodies.join(wanted, "tkey").where(F.col("_id").eqNullSafe(F.col("doc_id"))).select("cid", "bands", "text", "copies")
+    bodies = bodies.join(wanted, "tkey").where(F.col("_id").eqNullSafe(F.col("doc_id"))).select("cid", "text", "copies")
     # of rows repeated whole, one
-    bodies = bodies.where("copies = 1").unionByName(bodies.where("copies > 1").dropDuplicates(["cid"])).select("cid", "bands", "text")
-    sets = materialize(bodies.mapInPandas(_sets, "cid long, bands array<long>, items array<long>"), "sets")
+    bodies = bodies.where("copies = 1").unionByName(bodies.where("copies > 1").dropDuplicates(["cid"])).select("cid", "text")
+    sets = materialize(bodies.mapInPandas(_sets, "cid long, items array<long>"), "sets")
 
     fits = F.least("n", "rep_n") >= similarity * F.greatest("n", "rep_n")
     stars = shared.where((F.col("cid") != F.col("rep")) & fits).select("rep", "cid").distinct()
@@ -152,7 +145,7 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bands: in
     roots = components(links)
 
     placed = shared.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select(
-        "band", "place", "cid", F.coalesce("root", "cid").alias("root"))
+        "band", "cid", F.coalesce("root", "cid").alias("root"))
     # a bucket's largest component is its bulk: a pair across components has a member outside of it
     parts = placed.groupBy("band", "root").agg(F.count(F.lit(1)).alias("size"))
     mixed = parts.groupBy("band").agg(F.count(F.lit(1)).alias("roots"), F.sum("size").alias("members"),
@@ -165,7 +158,7 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bands: in
     last = F.col("nb") + F.col("nl") - 1
     placed = placed.withColumn("own", own.cast("int"))
     dealt = placed.withColumn("met", F.explode(F.when(F.col("inside"), F.sequence(F.col("nb"), last)).otherwise(F.sequence(F.lit(0), last)))).select(
-        "cid", "root", "band", "place", F.least("own", "met").alias("i"), F.greatest("own", "met").alias("j"),
+        "cid", "root", "band", F.least("own", "met").alias("i"), F.greatest("own", "met").alias("j"),
         F.when(F.col("own") == F.col("met"), 2).when(F.col("own") < F.col("met"), 0).otherwise(1).alias("side"))
     # whole block pairs, a few thousand rows of them to a group
     groups = max(1, -(-dealt.count() // group_rows))
