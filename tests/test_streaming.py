@@ -186,3 +186,27 @@ def test_large_ids_survive_the_pairing_stream(spark):
     out = {r["event_id"]: r["entry_event_id"] for r in run_to_end(
         spark, lambda ticks: sj.session_pairing_stream(log, ticks), "ids", t + datetime.timedelta(hours=1)).collect()}
     assert out == {big: None, big + 2: big}
+
+
+def test_keys_share_the_state_of_their_group(spark, monkeypatch):
+    """Spark keeps a state for each group of keys, not for each key; keys don't mix, also beside an event without an id."""
+    import tempfile
+    from datetime import datetime, timedelta
+
+    from parkops.operators import lifecycle
+    from parkops.streaming import jobs as sj, ordered
+    from parkops.streaming.runner import run_to_end
+    monkeypatch.setattr(ordered, "GROUPS", 8, raising=False)
+    big, t = 2**53, datetime(2024, 1, 1)
+    rows = [(big + i, i % 60, i % 7 or None, ("check_in", "check_out", "check_in")[i % 7 % 3], t + timedelta(minutes=i), 1) for i in range(600)]
+    log = spark.createDataFrame(rows, LOG)
+    stream = arrivals(spark, [*rows, (None, 61, 1, "check_in", t + timedelta(minutes=600), 1)], 2)
+    got = run_to_end(spark, lambda ticks: sj.session_pairing_stream(stream, ticks), "shared", t + timedelta(minutes=601))
+    ours = ("event_id", "spot_id", "accepted", "reason")
+    want = lifecycle.session_pairing(log).select(*ours).collect()
+    assert sorted(map(str, got.filter("vehicle_id < 61").select(*ours).collect())) == sorted(map(str, want))
+    assert [(r.event_id, r.accepted) for r in got.filter("vehicle_id = 61").collect()] == [(None, True)]
+    query = (sj.session_pairing_stream(stream).writeStream.foreachBatch(lambda batch, _: batch.count())
+             .option("checkpointLocation", tempfile.mkdtemp(prefix="shared-")).trigger(availableNow=True).start())
+    query.awaitTermination()
+    assert 0 < max(op.numRowsTotal for p in query.recentProgress for op in p.stateOperators) <= 8
