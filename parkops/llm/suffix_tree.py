@@ -24,8 +24,8 @@ chunk, however frequent it is), and gets what all chunks together say of them:
 
 Chunks and their states are tables bucketed by chunk: they meet each other, and what
 comes back, without being shuffled again.  Words and contexts are known by 64-bit
-hashes; next words go by numbers that step 1 gives, small ones for frequent words,
-which take fewer bytes.
+hashes; from step 1 on words go by the numbers that it gives, small ones for frequent
+words, which take fewer bytes.
 """
 
 from __future__ import annotations
@@ -59,6 +59,17 @@ def _hashes(text: str | None) -> np.ndarray:
     return np.fromiter(map(_words.__getitem__, found), np.uint64, len(found)).view(np.int64)
 
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct items, a place where each lies, and the place of each item of ``x`` among them (``np.unique`` would
+    sort stably to give the first places, which takes twice as long)."""
+    order = np.argsort(x)
+    x = x[order]
+    new = np.append(True, x[1:] != x[:-1])[:len(x)]
+    place = np.empty(len(x), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return x[new], order[new], place
+
+
 def _pack(**arrays: np.ndarray) -> bytes:
     """Arrays as bytes; equal bytes of the items lie together, which compresses well."""
     raw = pickle.dumps({k: (a.dtype.str, np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes())
@@ -80,7 +91,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = pa.concat_arrays(held)
         sizes, out = np.array([len(p) for p in parts], np.int32), np.array(flags.to_pylist(), bool)
         words, codes = np.unique(np.concatenate(parts), return_inverse=True)
-        blob = _pack(words=words, codes=codes.astype(np.int32), sizes=sizes, held=out)
+        blob = _pack(words=np.diff(words, prepend=np.uint64(0)), codes=codes.astype(np.int32), sizes=sizes, held=out)
         row = pa.array([0, len(sizes)], pa.int32())
         return pa.RecordBatch.from_arrays(
             [pa.ListArray.from_arrays(row, pa.concat_arrays(ids)), pa.ListArray.from_arrays(row, flags),
@@ -104,17 +115,23 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield chunk()
 
 
+def _base(c: dict, seen: np.ndarray) -> np.ndarray:
+    """Probability in the root of words that occur so often."""
+    return ((seen + _SMOOTH) / c["mass"]).astype(np.float32)
+
+
 def _live(s: dict, c: dict) -> dict:
     """The tokens whose context of ``depth`` words is a candidate: places, context's
     count, probability in the suffix and in the longest retained one, and whether
     the suffix's next word was kept (else this one's can't be)."""
     if c["depth"] > 1:
-        return {"pos": np.cumsum(s["pos"], dtype=np.int64), "tot": s["tot"], "may": s["may"], "p": s["p"], "best": s["best"]}
+        pos = np.cumsum(s["pos"], dtype=np.int64)
+        return {"pos": pos, "tot": s["tot"], "may": s["may"], "p": s["p"], "best": np.where(s["own"], s["p"], _base(c, s["seen"][s["codes"][pos]]))}
     codes, seen = s["codes"], s["seen"]
     begins = np.zeros(len(codes), bool)
     begins[np.cumsum(s["sizes"]) - s["sizes"]] = True
     pos = np.flatnonzero(~begins & (seen[np.roll(codes, 1)] >= max(c["least_context"], c["least_word"])))
-    p = ((seen[codes[pos]] + _SMOOTH) / c["mass"]).astype(np.float32)
+    p = _base(c, seen[codes[pos]])
     return {"pos": pos, "tot": seen[codes[pos - 1]], "may": seen[codes[pos]] >= c["least_next"], "p": p, "best": p}
 
 
@@ -125,24 +142,35 @@ def _contexts(s: dict, c: dict, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray
         for i in range(c["depth"] - 1, 0, -1):
             key = mix(key * _GOLDEN + s["words"][s["codes"][pos - i]])
         return np.unique(key, return_inverse=True)
-    there = np.zeros(len(s["words"]), bool)   # words are sorted
+    there = np.zeros(len(s["words"]), bool)
     there[s["codes"][pos - 1]] = True
-    return s["words"][there], (np.cumsum(there) - 1)[s["codes"][pos - 1]]
+    own = np.flatnonzero(there)
+    own = own[np.argsort(s["words"][own])]
+    place = np.empty(len(there), np.int64)
+    place[own] = np.arange(len(own))
+    return s["words"][own], place[s["codes"][pos - 1]]
+
+
+def _numbered(text: bytes, state: bytes) -> dict:
+    """A chunk whose words have numbers (and lie by them), with its state."""
+    s = _unpack(text) | _unpack(state)
+    s["number"] = np.cumsum(s["number"])
+    return s | {"words": mix((s["number"] + 1).view(np.uint64) * _GOLDEN)}
 
 
 def _pairs(s: dict, c: dict, t: dict) -> dict:
     """Distinct contexts (``keys``, ``tot``, ``kinds`` of next words that can be kept) and their next words
-    (``next``, numbers; ``p``), by context; ``ctx`` and ``pair`` are the places of each live token and of
+    (``word``, a place among the chunk's; ``p``), by context and number; ``ctx`` and ``pair`` are the places of each live token and of
     each that can be kept, ``ours`` the training tokens among the latter."""
     keys, ctx = _contexts(s, c, t["pos"])
     may, pos = t["may"], t["pos"][t["may"]]
     # a pair of numbers in one: the context's place, and the next word's among the chunk's words
-    both, first, pair = np.unique(ctx[may] * len(s["words"]) + s["codes"][pos], return_index=True, return_inverse=True)
+    both, one, pair = _distinct(ctx[may] * len(s["words"]) + s["codes"][pos])
     tot = np.zeros(len(keys), np.int64)
     tot[ctx] = t["tot"]
     train = np.repeat(~s["held"], s["sizes"])[pos]
     return {"keys": keys, "tot": tot, "kinds": np.bincount(both // len(s["words"]), minlength=len(keys)),
-            "next": s["number"][both % len(s["words"])], "p": t["p"][may][first], "ctx": ctx, "pair": pair,
+            "word": both % len(s["words"]), "p": t["p"][may][one], "ctx": ctx, "pair": pair,
             "n": np.bincount(pair, weights=train, minlength=len(both)).astype(np.int64)}
 
 
@@ -160,24 +188,31 @@ def _send_words(c: dict) -> Callable:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         s = _unpack(rows.text.iloc[0])
         n = np.bincount(s["codes"][np.repeat(~s["held"], s["sizes"])], minlength=len(s["words"]))
-        edges = _ranges(s["words"], c["buckets"])
-        return _sent(rows.chunk.iloc[0], [(b, _pack(keys=np.diff(s["words"][i:j], prepend=np.uint64(0)), n=n[i:j]))
+        words = np.cumsum(s["words"], dtype=np.uint64)
+        edges = _ranges(words, c["buckets"])
+        return _sent(rows.chunk.iloc[0], [(b, _pack(keys=np.diff(words[i:j], prepend=np.uint64(0)), n=n[i:j]))
                                           for b, (i, j) in enumerate(zip(edges[:-1], edges[1:])) if j > i])
     return run
 
 
 def _send(c: dict) -> Callable:
-    """A chunk's contexts and next words, dealt by ranges of the context."""
+    """A chunk's contexts and next words, dealt by ranges of the context.  Next words lie by number, so steps are small;
+    of the first depth each next word is sent once, with its count, which tells the probability in the root."""
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        s = _unpack(rows.text.iloc[0]) | _unpack(rows.state.iloc[0])
+        s = _numbered(rows.text.iloc[0], rows.state.iloc[0])
         m = _pairs(s, c, _live(s, c))
         edges, at, out = _ranges(m["keys"], c["buckets"]), np.concatenate([[0], np.cumsum(m["kinds"])]), []
         for b, (i, j) in enumerate(zip(edges[:-1], edges[1:])):
             if j > i:
                 own = slice(at[i], at[j])
+                if c["depth"] > 1:
+                    follow = {"next": np.diff(s["number"][m["word"][own]], prepend=0), "p": m["p"][own]}
+                else:
+                    words, place = np.unique(m["word"][own], return_inverse=True)
+                    follow = {"words": np.diff(s["number"][words], prepend=0), "seen": np.diff(s["seen"][words], prepend=0),
+                              "place": np.diff(place.astype(np.int32), prepend=np.int32(0))}
                 out.append((b, _pack(keys=np.diff(m["keys"][i:j], prepend=np.uint64(0)), tot=m["tot"][i:j].astype(np.int32),
-                                     kinds=m["kinds"][i:j].astype(np.int32), next=m["next"][own], n=m["n"][own].astype(np.int32),
-                                     p=m["p"][own])))
+                                     kinds=m["kinds"][i:j].astype(np.int32), n=m["n"][own].astype(np.int32), **follow)))
         return _sent(rows.chunk.iloc[0], out)
     return run
 
@@ -204,13 +239,18 @@ def _total(c: dict) -> Callable:
     of the suffix, and whether the context is retained; for each chunk in its order."""
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         parts = [_unpack(b) for b in rows.blob]
+        for p in parts:
+            if c["depth"] > 1:
+                p["next"] = np.cumsum(p["next"])
+            else:
+                place = np.cumsum(p.pop("place"))
+                p["next"], p["p"] = np.cumsum(p.pop("words"))[place], _base(c, np.cumsum(p.pop("seen")))[place]
         sizes = [(len(p["tot"]), len(p["n"])) for p in parts]
         every = lambda name: np.concatenate([p.pop(name) for p in parts])  # noqa: E731  (held once)
-        keys, first, ctx = np.unique(np.concatenate([np.cumsum(p.pop("keys"), dtype=np.uint64) for p in parts]), return_index=True,
-                                     return_inverse=True)
-        tot = every("tot")[first].astype(np.float64)
+        keys, one, ctx = _distinct(np.concatenate([np.cumsum(p.pop("keys"), dtype=np.uint64) for p in parts]))
+        tot = every("tot")[one].astype(np.float64)
         of = np.repeat(ctx, every("kinds"))   # each pair's context
-        _, lead, pair = np.unique(mix(keys[of] * _GOLDEN + every("next").view(np.uint64)), return_index=True, return_inverse=True)
+        _, lead, pair = _distinct(mix(keys[of] * _GOLDEN + every("next").view(np.uint64)))
         n = np.bincount(pair, weights=every("n"), minlength=len(lead))
         kept = n >= c["least_next"]
         of, p, m = of[lead][kept], every("p")[lead][kept].astype(np.float64), n[kept]
@@ -231,7 +271,7 @@ def _by_text(s: dict, pos: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def _state(chunk: int, s: dict, live: int, retained: int) -> pd.DataFrame:
-    kept = ("sizes", "seen", "number", "base", "known", "tree", "pos", "tot", "may", "p", "best")
+    kept = ("sizes", "base", "known", "tree", "last", "pos", "tot", "may", "p", "own")
     return pd.DataFrame({"chunk": [chunk], "state": [_pack(**{k: s[k] for k in kept if k in s})], "live": [live], "retained": [retained]})
 
 
@@ -241,28 +281,34 @@ def _got(totals: pd.DataFrame) -> dict:
 
 
 def _take_words(c: dict) -> Callable:
-    """A chunk's first state: the base scores, and the tokens that follow a candidate."""
+    """A chunk with numbers instead of its words' hashes, frequent words first, and its first state: the base
+    scores, and the tokens that follow a candidate."""
     def run(rows: pd.DataFrame, totals: pd.DataFrame) -> pd.DataFrame:
         s = _unpack(rows.text.iloc[0])
         got = _got(totals)
-        s["seen"], s["number"] = got["n"], got["number"]
+        order = np.argsort(got["number"])
+        code = np.empty(len(order), np.int32)
+        code[order] = np.arange(len(order), dtype=np.int32)
+        s["codes"], s["seen"] = code[s["codes"]], got["n"][order]
+        text = _pack(number=np.diff(got["number"][order], prepend=0), seen=s["seen"], codes=s["codes"], held=s["held"])
         every = np.arange(len(s["codes"]))
         base = np.log10((s["seen"] + _SMOOTH) / c["mass"])[s["codes"]]
         s["base"] = _by_text(s, every, base)
         s["known"] = _by_text(s, every, s["seen"][s["codes"]] > 0).astype(np.int64)
         pos = _live(s, c | {"depth": 1})["pos"]
-        s["tree"] = s["base"] - _by_text(s, pos, base[pos])
-        return _state(rows.chunk.iloc[0], s, len(pos), 0)
+        s["last"] = _by_text(s, pos, base[pos])
+        s["tree"] = s["base"] - s["last"]
+        return _state(rows.chunk.iloc[0], s, len(pos), 0).assign(text=text)
     return run
 
 
 def _take(c: dict) -> Callable:
     """A chunk's next state: tokens that stay ``live``, and how many had a context that was retained."""
     def run(rows: pd.DataFrame, totals: pd.DataFrame) -> pd.DataFrame:
-        s = _unpack(rows.text.iloc[0]) | _unpack(rows.state.iloc[0])
+        s = _numbered(rows.text.iloc[0], rows.state.iloc[0])
         t = _live(s, c)
         pos, got = t["pos"], _got(totals)
-        if not len(pos):
+        if not len(pos):   # nor were any before: ``last`` is 0
             return _state(rows.chunk.iloc[0], s, 0, 0)
         m = _pairs(s, c, t)
         n = np.zeros(len(pos), np.int64)
@@ -278,19 +324,17 @@ def _take(c: dict) -> Callable:
               & (s["seen"][s["codes"][pos - 1]] >= c["least_word"]) & (stays | (c["depth"] == 1)))
         s["tree"] = s["tree"] + _by_text(s, pos[~on], np.log10(best[~on]))
         s |= {"pos": np.diff(pos[on], prepend=0).astype(np.int32), "tot": before[pos[on] - 1].astype(np.int32),
-              "may": n[on] >= c["least_next"], "p": p[on].astype(np.float32), "best": best[on].astype(np.float32)}
+              "may": n[on] >= c["least_next"], "p": p[on].astype(np.float32), "own": stays[on],
+              "last": _by_text(s, pos[on], np.log10(best[on].astype(np.float32).astype(np.float64)))}
         return _state(rows.chunk.iloc[0], s, int(on.sum()), int(stays.sum()))
     return run
 
 
 def _finish(c: dict) -> Callable:
-    """A chunk's texts' figures, with the tokens that were live to the end."""
+    """A chunk's texts' figures, with the tokens that were live to the end (``last``)."""
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         s = _unpack(rows.state.iloc[0])
-        tree = s["tree"]
-        if "pos" in s:
-            tree = tree + _by_text(s, np.cumsum(s["pos"], dtype=np.int64), np.log10(s["best"].astype(np.float64)))
-        return pd.DataFrame([(rows.chunk.iloc[0], s["sizes"].astype(np.int64), s["known"], s["base"], tree)],
+        return pd.DataFrame([(rows.chunk.iloc[0], s["sizes"].astype(np.int64), s["known"], s["base"], s["tree"] + (s["last"] if "pos" in s else 0))],
                             columns=["chunk", "n_tokens", "n_known", "base_score", "score"])
     return run
 
@@ -316,10 +360,10 @@ class _Tables:
         return self.spark.table(name)
 
     def drop(self, keep: int = 0) -> None:
-        """Drop all but the newest ``keep`` after the first; shuffle files go when the driver collects its garbage."""
+        """Drop all but the newest ``keep``; shuffle files go when the driver collects its garbage."""
         sc = self.spark.sparkContext
         names = list(self.paths)
-        for name in names[1 if keep else 0:len(names) - keep]:
+        for name in names[:len(names) - keep]:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
             at = sc._jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
             at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
@@ -344,9 +388,10 @@ def score(df: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "
                      F.col(text).alias("text"))
     row = T.StructType([T.StructField("doc_id", T.ArrayType(kind)), T.StructField("held_out", T.ArrayType(T.BooleanType())),
                         T.StructField("size", T.LongType()), T.StructField("train", T.LongType()), T.StructField("blob", T.BinaryType())])
-    tables = _Tables(df.sparkSession)
+    tables, kept = _Tables(df.sparkSession), _Tables(df.sparkSession)
     chunks = docs.mapInArrow(_chunks, row).withColumn("chunk", F.monotonically_increasing_id())
     texts = tables.write(chunks.withColumnRenamed("blob", "text"))
+    ids = kept.write(texts.select("chunk", "doc_id", "held_out"))
     sizes = texts.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size"), F.coalesce(F.sum("train"), F.lit(0)).alias("train")).first()
     tokens = sizes["train"]
     count = lambda x: x if x >= 1 else x * tokens
@@ -355,12 +400,15 @@ def score(df: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "
     sent, back, held = "chunk long, bucket int, blob binary", "chunk long, bucket int, blob binary, kinds long", \
         "chunk long, state binary, live long, retained long"
 
-    bodies = texts.select("chunk", "text")
-    words = materialize(bodies.groupBy("chunk").applyInPandas(_send_words(c), sent).groupBy("bucket").applyInPandas(_total_words(c), back), "words")
+    hashed = texts.select("chunk", "text")
+    words = materialize(hashed.groupBy("chunk").applyInPandas(_send_words(c), sent).groupBy("bucket").applyInPandas(_total_words(c), back), "words")
+    tables.drop(1)
     kinds = words.agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0]
     c["mass"] = tokens + _SMOOTH * (kinds + 1)
-    state = tables.write(bodies.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInPandas(_take_words(c), held))
+    state = kept.write(hashed.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInPandas(_take_words(c), held + ", text binary"))
+    bodies = state.select("chunk", "text")
     _delete(words)
+    tables.drop()
     left = state.agg(F.sum("live")).first()[0]
     c["depth"] = 1
     while left:
@@ -375,9 +423,10 @@ def score(df: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "
         c["depth"] += 1
     scores = state.select("chunk", "state").groupBy("chunk").applyInPandas(
         _finish(c), "chunk long, n_tokens array<long>, n_known array<long>, base_score array<double>, score array<double>")
-    each = texts.select("chunk", "doc_id", "held_out").join(scores, "chunk").select(
+    each = ids.join(scores, "chunk").select(
         F.explode(F.arrays_zip("doc_id", "held_out", "n_tokens", "n_known", "base_score", "score")).alias("d"))
     out = materialize(each.select("d.doc_id", "d.held_out", "d.n_tokens", "d.n_known", F.lit(int(tokens)).cast("long").alias("train_tokens"),
                                   "d.base_score", "d.score"), "scores")
     tables.drop()
+    kept.drop()
     return out

@@ -123,3 +123,27 @@ def test_without_training_rows_and_empty(spark):
     got = suffix_tree.score(df, F.lit(True)).collect()
     assert sorted((r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in got) == [(1, 0, 0, 0.0), (3, 0, 0, 0.0)]
     assert suffix_tree.score(frame(spark, []), F.lit(False)).count() == 0
+
+
+def test_messages_tell_a_word_once():
+    """Numbered chunks hold no hashes, and of the first depth no next word's probability is sent with every context."""
+    import numpy as np
+    import pandas as pd
+    import pyarrow as pa
+    rng = random.Random(16)
+    names = [f"w{i}" for i in range(20_000)]
+    texts = [" ".join(names[min(int(rng.paretovariate(0.6)), 20_000) - 1] for _ in range(1000)) for _ in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array([False] * 200), pa.array(texts)], names=["doc_id", "held_out", "text"])
+    (chunk,) = suffix_tree._chunks(iter([batch]))
+    c = {"buckets": 1, "least_word": 2, "least_context": 10, "least_next": 2, "divergence": 0.01, "depth": 1, "mass": 2e5}
+    text = chunk["blob"][0].as_py()
+    rows = pd.DataFrame({"chunk": [0], "text": [text]})
+    words = suffix_tree._total_words(c)(suffix_tree._send_words(c)(rows))
+    state = suffix_tree._take_words(c)(rows, words)
+    assert len(state.text[0]) < 0.85 * len(text) and len(state.state[0]) < 0.05 * len(text)
+    sent = suffix_tree._send(c)(state)
+    m = suffix_tree._unpack(sent.blob[0])
+    assert len(m["n"]) > 10_000 and len(sent.blob[0]) < 2 * len(m["n"])
+    back = suffix_tree._total(c)(sent)
+    taken = suffix_tree._unpack(suffix_tree._take(c)(state, back).state[0])
+    assert "best" not in taken and "number" not in taken and np.isfinite(taken["last"]).all()
