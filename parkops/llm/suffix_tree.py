@@ -22,10 +22,13 @@ chunk, however frequent it is), and gets what all chunks together say of them:
    context: it gives the counts, the weight of the suffix, and whether the
    context diverges from its suffix and is retained.
 
+A depth that many tokens reach, with a long state each, deals its ranges in several rounds,
+so that their messages don't lie beside the states all at once.
+
 Chunks and their states are tables bucketed by chunk: they meet each other, and what
 comes back, without being shuffled again.  Words and contexts are known by 64-bit
 hashes; from step 1 on words go by the numbers that it gives, small ones for frequent
-words, which take fewer bytes.
+words, which take fewer bytes, and contexts by the numbers of their words.
 """
 
 from __future__ import annotations
@@ -43,13 +46,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import scratch_dir
-from .common import materialize
+from .common import materialize, union_all
 from .shingles import _GOLDEN, _words, mix
 
 _END = 0x454E44          # stands for the end of a text
-_CHUNK = 1_000_000       # tokens of a chunk (a longer text is a chunk)
-_BUCKET = 1_000_000      # tokens a range of keys
+_CHUNK = 2_000_000       # tokens of a chunk (a longer text is a chunk)
+_BUCKET = 2_000_000      # tokens a range of keys
+_ROUNDS = 4              # a round deals about one of so many parts of all tokens
 _DISCOUNT = 0.75
+_QUARTER = 0.25          # the discount is a whole number of these
 _SMOOTH = 0.1
 
 
@@ -70,6 +75,17 @@ def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return x[new], order[new], place
 
 
+def _steps(x: np.ndarray) -> np.ndarray:
+    """Differences of whole numbers, twice their size and odd if negative: small ones of either sign are small numbers."""
+    step = np.diff(x, prepend=x.dtype.type(0))
+    return (step << 1) ^ (step >> (8 * step.itemsize - 1))
+
+
+def _sums(x: np.ndarray) -> np.ndarray:
+    """What ``_steps`` was given."""
+    return np.cumsum((x >> 1) ^ -(x & 1), dtype=x.dtype)
+
+
 def _pack(**arrays: np.ndarray) -> bytes:
     """Arrays as bytes; equal bytes of the items lie together, which compresses well."""
     raw = pickle.dumps({k: (a.dtype.str, np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes())
@@ -90,7 +106,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def chunk() -> pa.RecordBatch:
         flags = pa.concat_arrays(held)
         sizes, out = np.array([len(p) for p in parts], np.int32), np.array(flags.to_pylist(), bool)
-        words, codes = np.unique(np.concatenate(parts), return_inverse=True)
+        words, _, codes = _distinct(np.concatenate(parts))
         blob = _pack(words=np.diff(words, prepend=np.uint64(0)), codes=codes.astype(np.int32), sizes=sizes, held=out)
         row = pa.array([0, len(sizes)], pa.int32())
         return pa.RecordBatch.from_arrays(
@@ -135,49 +151,67 @@ def _live(s: dict, c: dict) -> dict:
     return {"pos": pos, "tot": seen[codes[pos - 1]], "may": seen[codes[pos]] >= c["least_next"], "p": p, "best": p}
 
 
-def _contexts(s: dict, c: dict, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct contexts and the place in them of each token's."""
+def _keys(words: list[np.ndarray]) -> np.ndarray:
+    """Hashes of contexts from their words' hashes, the last word first."""
+    key = words[-1]
+    for word in words[-2::-1]:
+        key = mix(key * _GOLDEN + word)
+    return key
+
+
+def _contexts(s: dict, c: dict, pos: np.ndarray, key: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Distinct contexts by range, then by their words from the last one on: those words' places among the
+    chunk's, where each range begins, and the place of each token's context."""
     if c["depth"] > 1:
-        key = s["words"][s["codes"][pos - c["depth"]]]
-        for i in range(c["depth"] - 1, 0, -1):
-            key = mix(key * _GOLDEN + s["words"][s["codes"][pos - i]])
-        return np.unique(key, return_inverse=True)
-    there = np.zeros(len(s["words"]), bool)
-    there[s["codes"][pos - 1]] = True
-    own = np.flatnonzero(there)
-    own = own[np.argsort(s["words"][own])]
-    place = np.empty(len(there), np.int64)
-    place[own] = np.arange(len(own))
-    return s["words"][own], place[s["codes"][pos - 1]]
+        keys, one, ctx = _distinct(key)
+        own = [s["codes"][pos[one] - i] for i in range(1, c["depth"] + 1)]
+    else:
+        last = s["codes"][pos - 1]
+        there = np.zeros(len(s["words"]), bool)
+        there[last] = True
+        own, ctx = [np.flatnonzero(there)], (np.cumsum(there) - 1)[last]
+        keys = s["words"][own[0]]
+    bucket = _range_of(keys, c["buckets"])
+    order = np.lexsort((*own[::-1], bucket))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return [x[order] for x in own], np.searchsorted(bucket[order], np.arange(c["buckets"] + 1)), place[ctx]
 
 
 def _numbered(text: bytes, state: bytes) -> dict:
-    """A chunk whose words have numbers (and lie by them), with its state."""
+    """A chunk whose words have numbers (and lie by their counts), with its state."""
     s = _unpack(text) | _unpack(state)
-    s["number"] = np.cumsum(s["number"])
-    return s | {"words": mix((s["number"] + 1).view(np.uint64) * _GOLDEN)}
+    s["number"], s["seen"] = _sums(s["number"]), _sums(s["seen"])
+    return s | {"words": _hash(s["number"])}
+
 
+def _hash(number: np.ndarray) -> np.ndarray:
+    return mix((number + 1).view(np.uint64) * _GOLDEN)
 
-def _pairs(s: dict, c: dict, t: dict) -> dict:
-    """Distinct contexts (``keys``, ``tot``, ``kinds`` of next words that can be kept) and their next words
-    (``word``, a place among the chunk's; ``p``), by context and number; ``ctx`` and ``pair`` are the places of each live token and of
-    each that can be kept, ``ours`` the training tokens among the latter."""
-    keys, ctx = _contexts(s, c, t["pos"])
+
+def _pairs(s: dict, c: dict, t: dict, of: range | None = None) -> dict:
+    """Distinct contexts (``own``, their words' places; ``edges``, where ranges begin; ``tot``; ``kinds`` of next words that
+    can be kept) and their next words (``word``, a place among the chunk's; ``p``), by context and count; ``ctx`` and ``pair`` are
+    the places of each live token and of each that can be kept, ``n`` the training tokens among the latter.  ``of``: of these ranges only."""
+    key = _keys([s["words"][s["codes"][t["pos"] - i]] for i in range(1, c["depth"] + 1)])
+    if of is not None and len(of) < c["buckets"]:
+        bucket = _range_of(key, c["buckets"])
+        mine = (bucket >= of.start) & (bucket < of.stop)
+        key, t = key[mine], {k: v[mine] for k, v in t.items()}
+    own, edges, ctx = _contexts(s, c, t["pos"], key)
     may, pos = t["may"], t["pos"][t["may"]]
     # a pair of numbers in one: the context's place, and the next word's among the chunk's words
     both, one, pair = _distinct(ctx[may] * len(s["words"]) + s["codes"][pos])
-    tot = np.zeros(len(keys), np.int64)
+    tot = np.zeros(len(own[0]), np.int64)
     tot[ctx] = t["tot"]
     train = np.repeat(~s["held"], s["sizes"])[pos]
-    return {"keys": keys, "tot": tot, "kinds": np.bincount(both // len(s["words"]), minlength=len(keys)),
+    return {"own": own, "edges": edges, "tot": tot, "kinds": np.bincount(both // len(s["words"]), minlength=len(tot)),
             "word": both % len(s["words"]), "p": t["p"][may][one], "ctx": ctx, "pair": pair,
             "n": np.bincount(pair, weights=train, minlength=len(both)).astype(np.int64)}
 
 
-def _ranges(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each range of the sorted keys begins, and the last one ends."""
-    bucket = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-    return np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
+def _range_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
 
 def _sent(chunk: int, parts: list[tuple[int, bytes]]) -> pd.DataFrame:
@@ -189,29 +223,31 @@ def _send_words(c: dict) -> Callable:
         s = _unpack(rows.text.iloc[0])
         n = np.bincount(s["codes"][np.repeat(~s["held"], s["sizes"])], minlength=len(s["words"]))
         words = np.cumsum(s["words"], dtype=np.uint64)
-        edges = _ranges(words, c["buckets"])
+        edges = np.searchsorted(_range_of(words, c["buckets"]), np.arange(c["buckets"] + 1))
         return _sent(rows.chunk.iloc[0], [(b, _pack(keys=np.diff(words[i:j], prepend=np.uint64(0)), n=n[i:j]))
                                           for b, (i, j) in enumerate(zip(edges[:-1], edges[1:])) if j > i])
     return run
 
 
-def _send(c: dict) -> Callable:
-    """A chunk's contexts and next words, dealt by ranges of the context.  Next words lie by number, so steps are small;
-    of the first depth each next word is sent once, with its count, which tells the probability in the root."""
+def _send(c: dict, of: range | None = None) -> Callable:
+    """A chunk's contexts and next words, dealt by ranges of the context (``of``: these ranges only).  Contexts and next words lie by
+    their words' counts, so steps are small; of the first depth each next word is sent once, with its count, which tells the probability in the root."""
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        if not rows.live.iloc[0]:
+            return _sent(rows.chunk.iloc[0], [])
         s = _numbered(rows.text.iloc[0], rows.state.iloc[0])
-        m = _pairs(s, c, _live(s, c))
-        edges, at, out = _ranges(m["keys"], c["buckets"]), np.concatenate([[0], np.cumsum(m["kinds"])]), []
+        m = _pairs(s, c, _live(s, c), of)
+        edges, at, out = m["edges"], np.concatenate([[0], np.cumsum(m["kinds"])]), []
         for b, (i, j) in enumerate(zip(edges[:-1], edges[1:])):
             if j > i:
                 own = slice(at[i], at[j])
                 if c["depth"] > 1:
-                    follow = {"next": np.diff(s["number"][m["word"][own]], prepend=0), "p": m["p"][own]}
+                    follow = {"next": _steps(s["number"][m["word"][own]]), "p": m["p"][own]}
                 else:
                     words, place = np.unique(m["word"][own], return_inverse=True)
-                    follow = {"words": np.diff(s["number"][words], prepend=0), "seen": np.diff(s["seen"][words], prepend=0),
-                              "place": np.diff(place.astype(np.int32), prepend=np.int32(0))}
-                out.append((b, _pack(keys=np.diff(m["keys"][i:j], prepend=np.uint64(0)), tot=m["tot"][i:j].astype(np.int32),
+                    follow = {"words": _steps(s["number"][words]), "seen": _steps(s["seen"][words]), "place": _steps(place.astype(np.int32))}
+                out.append((b, _pack(**{f"own{k}": _steps(s["number"][x[i:j]]) for k, x in enumerate(m["own"])},
+                                     tot=_steps(m["tot"][i:j]) if c["depth"] == 1 else m["tot"][i:j].astype(np.int32),
                                      kinds=m["kinds"][i:j].astype(np.int32), n=m["n"][own].astype(np.int32), **follow)))
         return _sent(rows.chunk.iloc[0], out)
     return run
@@ -225,12 +261,12 @@ def _total_words(c: dict) -> Callable:
     """Counts over all chunks of one range of words, and a number for each word, for each chunk in its order."""
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         parts = [_unpack(b) for b in rows.blob]
-        keys, at = np.unique(np.concatenate([np.cumsum(p["keys"], dtype=np.uint64) for p in parts]), return_inverse=True)
+        _, _, at = _distinct(np.concatenate([np.cumsum(p["keys"], dtype=np.uint64) for p in parts]))
         n = np.bincount(at, weights=np.concatenate([p["n"] for p in parts])).astype(np.int64)
-        number = np.empty(len(n), np.int64)   # frequent words first; no two ranges share one
-        number[np.argsort(-n, kind="stable")] = np.arange(len(n)) * c["buckets"] + int(rows.bucket.iloc[0])
+        rank = np.empty(len(n), np.int64)   # frequent words first
+        rank[np.argsort(-n, kind="stable")] = np.arange(len(n))
         ends = np.cumsum([len(p["n"]) for p in parts])
-        return _returned(rows, [_pack(n=n[x], number=number[x]) for x in np.split(at, ends[:-1])], int((n > 0).sum()))
+        return _returned(rows, [_pack(n=n[x], rank=rank[x]) for x in np.split(at, ends[:-1])], int((n > 0).sum()))
     return run
 
 
@@ -240,14 +276,15 @@ def _total(c: dict) -> Callable:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         parts = [_unpack(b) for b in rows.blob]
         for p in parts:
+            p["keys"] = _keys([_hash(_sums(p.pop(f"own{k}"))) for k in range(c["depth"])])
             if c["depth"] > 1:
-                p["next"] = np.cumsum(p["next"])
+                p["next"] = _sums(p["next"])
             else:
-                place = np.cumsum(p.pop("place"))
-                p["next"], p["p"] = np.cumsum(p.pop("words"))[place], _base(c, np.cumsum(p.pop("seen")))[place]
+                place, p["tot"] = _sums(p.pop("place")), _sums(p["tot"])
+                p["next"], p["p"] = _sums(p.pop("words"))[place], _base(c, _sums(p.pop("seen")))[place]
         sizes = [(len(p["tot"]), len(p["n"])) for p in parts]
         every = lambda name: np.concatenate([p.pop(name) for p in parts])  # noqa: E731  (held once)
-        keys, one, ctx = _distinct(np.concatenate([np.cumsum(p.pop("keys"), dtype=np.uint64) for p in parts]))
+        keys, one, ctx = _distinct(every("keys"))
         tot = every("tot")[one].astype(np.float64)
         of = np.repeat(ctx, every("kinds"))   # each pair's context
         _, lead, pair = _distinct(mix(keys[of] * _GOLDEN + every("next").view(np.uint64)))
@@ -255,13 +292,14 @@ def _total(c: dict) -> Callable:
         kept = n >= c["least_next"]
         of, p, m = of[lead][kept], every("p")[lead][kept].astype(np.float64), n[kept]
         taken = np.bincount(of, weights=m, minlength=len(keys))
-        rest = (tot - taken + _DISCOUNT * np.bincount(of, minlength=len(keys))) / tot
+        left = tot - taken + _DISCOUNT * np.bincount(of, minlength=len(keys))   # a whole number of quarters
+        rest = left / tot
         ratio = np.log(((m - _DISCOUNT) / tot[of] + rest[of] * p) / p)
         gain = np.bincount(of, weights=m * ratio, minlength=len(keys)) + (tot - taken) * np.log(np.maximum(rest, 1e-300))
         stays = gain / tot >= c["divergence"]
-        n, rest = n.astype(np.int32), rest.astype(np.float32)
+        n, left = n.astype(np.int32), (left / _QUARTER).astype(np.int64)
         contexts, pairs = (np.split(x, np.cumsum(own)[:-1]) for x, own in zip((ctx, pair), zip(*sizes)))
-        return _returned(rows, [_pack(n=n[x], rest=rest[y], stays=stays[y]) for x, y in zip(pairs, contexts)])
+        return _returned(rows, [_pack(n=n[x], left=left[y], stays=stays[y]) for x, y in zip(pairs, contexts)])
     return run
 
 
@@ -276,7 +314,9 @@ def _state(chunk: int, s: dict, live: int, retained: int) -> pd.DataFrame:
 
 
 def _got(totals: pd.DataFrame) -> dict:
-    parts = [_unpack(b) for b in totals.sort_values("bucket").blob]
+    totals = totals.sort_values("bucket")
+    parts = [_unpack(b) for b in totals.blob]
+    parts = [p | {"bucket": np.full(len(p["n"]), b)} for p, b in zip(parts, totals.bucket)]
     return {k: np.concatenate([p[k] for p in parts]) for k in (parts[0] if parts else ())}
 
 
@@ -286,11 +326,12 @@ def _take_words(c: dict) -> Callable:
     def run(rows: pd.DataFrame, totals: pd.DataFrame) -> pd.DataFrame:
         s = _unpack(rows.text.iloc[0])
         got = _got(totals)
-        order = np.argsort(got["number"])
+        number = got["rank"] * c["buckets"] + got["bucket"]   # no two ranges share one
+        order = np.lexsort((number, -got["n"]))
         code = np.empty(len(order), np.int32)
         code[order] = np.arange(len(order), dtype=np.int32)
         s["codes"], s["seen"] = code[s["codes"]], got["n"][order]
-        text = _pack(number=np.diff(got["number"][order], prepend=0), seen=s["seen"], codes=s["codes"], held=s["held"])
+        text = _pack(number=_steps(number[order]), seen=_steps(s["seen"]), codes=s["codes"], held=s["held"])
         every = np.arange(len(s["codes"]))
         base = np.log10((s["seen"] + _SMOOTH) / c["mass"])[s["codes"]]
         s["base"] = _by_text(s, every, base)
@@ -305,16 +346,19 @@ def _take_words(c: dict) -> Callable:
 def _take(c: dict) -> Callable:
     """A chunk's next state: tokens that stay ``live``, and how many had a context that was retained."""
     def run(rows: pd.DataFrame, totals: pd.DataFrame) -> pd.DataFrame:
+        if not rows.live.iloc[0]:   # ``last`` is 0
+            return _state(rows.chunk.iloc[0], _unpack(rows.state.iloc[0]), 0, 0)
         s = _numbered(rows.text.iloc[0], rows.state.iloc[0])
         t = _live(s, c)
         pos, got = t["pos"], _got(totals)
-        if not len(pos):   # nor were any before: ``last`` is 0
+        if not len(pos):
             return _state(rows.chunk.iloc[0], s, 0, 0)
         m = _pairs(s, c, t)
         n = np.zeros(len(pos), np.int64)
         n[t["may"]] = got["n"][m["pair"]]
         own = np.where(n >= c["least_next"], (n - _DISCOUNT) / t["tot"], 0.0)
-        p = own + got["rest"].astype(np.float64)[m["ctx"]] * t["p"]
+        rest = (got["left"] * _QUARTER / m["tot"]).astype(np.float32)
+        p = own + rest.astype(np.float64)[m["ctx"]] * t["p"]
         stays = got["stays"][m["ctx"]]
         best = np.where(stays, p, t["best"])
         before = np.zeros(len(s["codes"]), np.int64)   # a longer context's count: its last word is the token before
@@ -412,11 +456,17 @@ def score(df: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "
     left = state.agg(F.sum("live")).first()[0]
     c["depth"] = 1
     while left:
-        rows = bodies.join(state.select("chunk", "state"), "chunk")
-        found = materialize(rows.groupBy("chunk").applyInPandas(_send(c), sent).groupBy("bucket").applyInPandas(_total(c), back), "contexts")
-        tables.drop(1)
+        rows = bodies.join(state.select("chunk", "state", "live"), "chunk")
+        rounds = 1 if c["depth"] == 1 else int(min(1 + _ROUNDS * left // sizes["size"], c["buckets"]))   # first states are small
+        parts = []
+        for i in range(rounds):
+            of = range(i * c["buckets"] // rounds, (i + 1) * c["buckets"] // rounds)
+            parts.append(materialize(rows.groupBy("chunk").applyInPandas(_send(c, of), sent).groupBy("bucket").applyInPandas(_total(c), back), "contexts"))
+            tables.drop(1)
+        found = union_all(*parts)
         state = tables.write(rows.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInPandas(_take(c), held))
-        _delete(found)
+        for part in parts:
+            _delete(part)
         tables.drop(1)
         found = state.agg(F.sum("live").alias("live"), F.sum("retained").alias("retained")).first()
         left = found["live"] if found["retained"] else 0

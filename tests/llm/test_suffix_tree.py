@@ -147,3 +147,30 @@ def test_messages_tell_a_word_once():
     back = suffix_tree._total(c)(sent)
     taken = suffix_tree._unpack(suffix_tree._take(c)(state, back).state[0])
     assert "best" not in taken and "number" not in taken and np.isfinite(taken["last"]).all()
+
+
+def test_messages_stay_small_in_many_ranges():
+    """A context costs no hash and a decision no float, also if a chunk's contexts go to many ranges; rounds split the same messages."""
+    import pandas as pd
+    import pyarrow as pa
+    rng = random.Random(17)
+    names = [f"w{i}" for i in range(20_000)]
+    texts = [" ".join(names[min(int(rng.paretovariate(0.5)), 20_000) - 1] for _ in range(1000)) for _ in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array([False] * 300), pa.array(texts)], names=["doc_id", "held_out", "text"])
+    (chunk,) = suffix_tree._chunks(iter([batch]))
+    c = {"buckets": 16, "least_word": 2, "least_context": 2, "least_next": 2, "divergence": 0.01, "depth": 1, "mass": 3e5}
+    rows = pd.DataFrame({"chunk": [0], "text": [chunk["blob"][0].as_py()]})
+    ask = lambda run, sent: pd.concat([run(sent[sent.bucket == b]) for b in sorted(set(sent.bucket))])
+    state = suffix_tree._take_words(c)(rows, ask(suffix_tree._total_words(c), suffix_tree._send_words(c)(rows)))
+    for depth in (1, 2):
+        c["depth"] = depth
+        sent = suffix_tree._send(c)(state)
+        parts = [suffix_tree._unpack(b) for b in sent.blob]
+        contexts, pairs = sum(len(p["tot"]) for p in parts), sum(len(p["n"]) for p in parts)
+        assert contexts > 2_000 and len(parts) == 16
+        assert sent.blob.map(len).sum() < (2 if depth == 1 else 6) * pairs
+        back = ask(suffix_tree._total(c), sent)
+        assert back.blob.map(len).sum() < 2 * contexts + 0.4 * pairs
+        rounds = pd.concat([suffix_tree._send(c, range(i, i + 8))(state) for i in (0, 8)])
+        assert rounds.bucket.tolist() == sent.bucket.tolist() and rounds.blob.tolist() == sent.blob.tolist()
+        state = state[["chunk", "text"]].merge(suffix_tree._take(c)(state, back), on="chunk")
